@@ -76,3 +76,30 @@ def closest_match_udf(candidates: Sequence[str], cutoff: float = 0.1):
         return pd.DataFrame({"key": keys, "ratio": pd.Series(ratios, dtype="float64")})
 
     return _closest
+
+
+def closest_matches_udf(candidate_sets: dict[str, Sequence[str]], cutoff: float = 0.1):
+    """Several J5 look-ups in one Arrow pass.
+
+    ``word -> STRUCT<{name}_key STRING, {name}_ratio DOUBLE, ...>`` with one
+    key/ratio pair per named candidate list (flat: Arrow UDFs return flat structs).
+    """
+    sets = {name: tuple(dict.fromkeys(c)) for name, c in candidate_sets.items()}
+    fields = []
+    for name in sets:
+        fields += [T.StructField(f"{name}_key", T.StringType()), T.StructField(f"{name}_ratio", T.DoubleType())]
+
+    @F.pandas_udf(T.StructType(fields))
+    def _closest_many(words: pd.Series) -> pd.DataFrame:
+        out = {}
+        for name, cands in sets.items():
+            ks, rs = [], []
+            for w in words:
+                k, r = (None, None) if w is None else best_match(w, cands, cutoff)
+                ks.append(k)
+                rs.append(r)
+            out[f"{name}_key"] = pd.Series(ks, dtype="object")
+            out[f"{name}_ratio"] = pd.Series(rs, dtype="float64")
+        return pd.DataFrame(out)
+
+    return _closest_many

@@ -70,6 +70,14 @@ def claim_items(c) -> Column:
     return F.filter(items, lambda x: x != F.lit(""))
 
 
+def claim_pairs(c) -> Column:
+    """``ARRAY<STRUCT<prop, status>>``: items with exactly one ``:``, both sides stripped."""
+    parts = F.transform(claim_items(c), lambda x: F.split(x, ":", -1))
+    kept = F.filter(parts, lambda p: F.size(p) == 2)
+    return F.transform(kept, lambda p: F.struct(unicode_strip(p.getItem(0)).alias("prop"),
+                                               unicode_strip(p.getItem(1)).alias("status")))
+
+
 def parse_claims(c, negation_aware: bool = False) -> Column:
     """``ARRAY<STRUCT<prop STRING, label INT>>`` from the name block.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.functions.similarity import closest_match_udf
+from chemscore.functions.similarity import closest_match_udf, closest_matches_udf
 from chemscore.functions.text import normalize_name
 from chemscore.plans import dims
 
@@ -33,6 +33,10 @@ def fuzzy_top1(words: DataFrame, word_col: str, candidates, cutoff: float = DEFA
     return words.withColumn(out, udf(F.col(word_col)))
 
 
+def _match(name: str):
+    return F.struct(F.col(f"m.{name}_key").alias("key"), F.col(f"m.{name}_ratio").alias("ratio"))
+
+
 def resolve_vocabulary(names: DataFrame, name_col: str = "prop",
                        cutoff: float = DEFAULT_CUTOFF, exact_first: bool = False) -> DataFrame:
     """Resolve every distinct normalized name for every known task.
@@ -45,17 +49,18 @@ def resolve_vocabulary(names: DataFrame, name_col: str = "prop",
     spark = names.sparkSession
     words = names.select(normalize_name(F.col(name_col)).alias("norm")).distinct()
 
-    words = fuzzy_top1(words, "norm", dims.alias_keys(), cutoff, "m_alias")
-    words = fuzzy_top1(words, "norm", dims.registry_keys(), cutoff, "m_reg")
     by_keyset: dict[tuple[str, ...], list[str]] = {}
     for t in dims.TASKS:
         by_keyset.setdefault(tuple(sorted(dims.range_keys(t))), []).append(t)
+    sets = {"m_alias": dims.alias_keys(), "m_reg": dims.registry_keys()}
     per_task = []
     for i, (keys, tasks) in enumerate(by_keyset.items()):
-        col = f"m_fb{i}"
-        words = fuzzy_top1(words, "norm", keys, cutoff, col)
-        per_task += [F.struct(F.lit(t).alias("task"), F.col(col).alias("m_fb")) for t in tasks]
-    words = words.select("norm", "m_alias", "m_reg", F.explode(F.array(*per_task)).alias("tm"))
+        sets[f"m_fb{i}"] = keys
+        per_task += [F.struct(F.lit(t).alias("task"), _match(f"m_fb{i}").alias("m_fb")) for t in tasks]
+    # one Arrow pass per distinct word computes all three stages' best keys
+    words = words.withColumn("m", closest_matches_udf(sets, cutoff)(F.col("norm")))
+    words = words.select("norm", _match("m_alias").alias("m_alias"), _match("m_reg").alias("m_reg"),
+                         F.explode(F.array(*per_task)).alias("tm"))
     words = words.select("norm", "m_alias", "m_reg", "tm.task", "tm.m_fb")
 
     alias = F.broadcast(dims.alias_df(spark).select(F.col("alias").alias("a_key"),

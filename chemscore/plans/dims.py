@@ -10,7 +10,6 @@ constants, so the DataFrames built from them are safe to broadcast.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: alias -> descriptor (54 entries, natural order)
@@ -199,32 +198,24 @@ def registry_rows() -> list[tuple[str, str, bool]]:
 
 
 # ----- DataFrames (constants: proven size bound, broadcast-safe) ----------
+# Built from SQL VALUES, i.e. JVM-side local relations: broadcasting them
+# needs no Python job.
 
 def alias_df(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("alias", T.StringType(), False),
-                           T.StructField("descriptor", T.StringType(), False)])
-    return spark.createDataFrame(list(ALIASES), schema)
+    return spark.sql(sql_alias())
 
 
 def ranges_df(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("task", T.StringType(), False),
-                           T.StructField("descriptor", T.StringType(), False),
-                           T.StructField("lo", T.DoubleType(), False),
-                           T.StructField("hi", T.DoubleType(), False)])
-    return spark.createDataFrame(range_rows(), schema)
+    return spark.sql(sql_ranges())
 
 
 def registry_df(spark: SparkSession) -> DataFrame:
-    schema = T.StructType([T.StructField("key", T.StringType(), False),
-                           T.StructField("descriptor", T.StringType(), False),
-                           T.StructField("is_function", T.BooleanType(), False)])
-    return spark.createDataFrame(registry_rows(), schema)
+    return spark.sql(sql_registry())
 
 
 def scorable_df(spark: SparkSession) -> DataFrame:
     """Descriptors that can be computed: registry keys (membership test of the scorer)."""
-    schema = T.StructType([T.StructField("descriptor", T.StringType(), False)])
-    return spark.createDataFrame([(k,) for k in registry_keys()], schema)
+    return spark.sql(f"SELECT * FROM {_sql_values([(k,) for k in registry_keys()], ['descriptor'])}")
 
 
 def _sql_values(rows, cols) -> str:

@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("CHEMSCORE_DRIVER_MEMORY", "16g"))
         .config("spark.sql.ansi.enabled", "true")
     )
@@ -61,3 +62,20 @@ def checkpoint(df):
     """Reliable checkpoint (never localCheckpoint) in the session's checkpoint dir."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df, label: str = "table"):
+    """Write ``df`` once as parquet under the checkpoint folder and read it back.
+
+    Unlike ``Dataset.checkpoint`` (which recomputes its input to write it),
+    this computes the plan exactly once, cuts the lineage, survives executor
+    loss (the folder is the shared one the cluster names) and gives the
+    optimizer real size statistics for the result.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/chemscore-{label}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
