@@ -395,3 +395,127 @@ def q_reward_summary(spark, sf):
     out = R.reward_summary(s)
     return out.select("reward", "task", "n", r6(F.col("mean")).alias("mean"), r6(F.col("std")).alias("std"),
                       r6(F.col("min")).alias("min"), r6(F.col("max")).alias("max"))
+
+
+# ----- evaluation (E2-E7, E9, E10, P3, P4, P7, U1, W3) --------------------------------
+
+def eval_input(spark, sf) -> DataFrame:
+    """Deterministic scores for evaluation: ``documents.n_chars`` as the score,
+    ``labels.quality`` as the label, joined on doc_id."""
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    doc = table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"),
+                                               "lang", "source")
+    return lab.join(doc, "doc_id", "inner")
+
+
+def labelled(spark, sf) -> DataFrame:
+    return table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("label"))
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    from chemscore.operators import metrics as M
+    return M.roc_auc(eval_input(spark, sf)).select(r6(F.col("auc")).alias("auc"), "n_pos", "n_neg")
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf):
+    from chemscore.operators import metrics as M
+    return M.roc_curve(eval_input(spark, sf)).select("threshold", "tp", "fp", r6(F.col("tpr")).alias("tpr"),
+                                                     r6(F.col("fpr")).alias("fpr"))
+
+
+@query("youden_threshold")
+def q_youden_threshold(spark, sf):
+    from chemscore.operators import metrics as M
+    return M.youden_threshold(eval_input(spark, sf))
+
+
+@query("apply_threshold")
+def q_apply_threshold(spark, sf):
+    from chemscore.operators import metrics as M
+    ev = eval_input(spark, sf)
+    t = M.scalar_threshold(ev)
+    return M.apply_threshold(ev, t).select("doc_id", "score", F.col("label").cast("long").alias("label"),
+                                           F.col("pred").cast("long").alias("pred"))
+
+
+@query("accuracy")
+def q_accuracy(spark, sf):
+    from chemscore.operators import metrics as M
+    ev = eval_input(spark, sf)
+    t = M.scalar_threshold(ev)
+    return M.accuracy(M.apply_threshold(ev, t)).select(F.lit(t).alias("threshold"),
+                                                       r6(F.col("accuracy")).alias("accuracy"), "n")
+
+
+@query("confusion_counts")
+def q_confusion_counts(spark, sf):
+    from chemscore.operators import metrics as M
+    ev = eval_input(spark, sf)
+    t = M.scalar_threshold(ev)
+    out = M.confusion_counts(M.apply_threshold(ev, t))
+    return out.select("label", "tp", "fp", "fn", "support", r6(F.col("precision")).alias("precision"),
+                      r6(F.col("recall")).alias("recall"), r6(F.col("f1")).alias("f1"))
+
+
+@query("roc_auc_by_group")
+def q_roc_auc_by_group(spark, sf):
+    from chemscore.operators import metrics as M
+    return M.roc_auc(eval_input(spark, sf), by=["lang"]).select("lang", r6(F.col("auc")).alias("auc"),
+                                                                  "n_pos", "n_neg")
+
+
+@query("cv_best")
+def q_cv_best(spark, sf):
+    """(source, lang) stand in for (parameter setting, fold): AUC per cell, mean
+    per setting, best setting."""
+    from chemscore.operators import metrics as M
+    cells = M.roc_auc(eval_input(spark, sf), by=["source", "lang"]).withColumnRenamed("source", "param")
+    best = M.cv_best(cells, "param", "auc")
+    return best.select("param", r6(F.col("mean_score")).alias("mean_score"), "n_settings")
+
+
+@query("stratified_folds")
+def q_stratified_folds(spark, sf):
+    from chemscore.operators import folds as FO
+    return FO.stratified_folds(labelled(spark, sf), "label", "doc_id", 5).select("doc_id", "label", "fold")
+
+
+@query("concat_train_valid")
+def q_concat_train_valid(spark, sf):
+    from chemscore.operators import folds as FO
+    f = FO.stratified_folds(labelled(spark, sf), "label", "doc_id", 5)
+    return FO.concat_splits(train=f.filter(F.col("fold") >= 2), valid=f.filter(F.col("fold") == 1)) \
+        .select("doc_id", "label", "split")
+
+
+@query("balanced_weights")
+def q_balanced_weights(spark, sf):
+    from chemscore.operators import folds as FO
+    return FO.balanced_weights(labelled(spark, sf)).select("doc_id", "label", r6(F.col("weight")).alias("weight"))
+
+
+@query("cast_label")
+def q_cast_label(spark, sf):
+    from chemscore.operators import folds as FO
+    lab = table(spark, sf, "labels")
+    q1 = F.col("quality") == 1
+    txt = (F.when(F.col("doc_id") % 3 == 0, F.when(q1, F.lit("True")).otherwise(F.lit("False")))
+           .when(F.col("doc_id") % 3 == 1, F.when(q1, F.lit("1.0")).otherwise(F.lit("0.0")))
+           .otherwise(F.when(q1, F.lit("1")).otherwise(F.lit("0"))))
+    t = lab.select("doc_id", txt.alias("label_text"))
+    return t.select("doc_id", "label_text", FO.cast_label("label_text").cast("long").alias("label"))
+
+
+def doc_features(spark, sf) -> DataFrame:
+    """P3 input: numeric features of every document."""
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+                    F.size(F.split(F.col("text"), " ", -1)).cast("double").alias("n_words"),
+                    F.size(F.split(F.col("text"), "\n", -1)).cast("double").alias("n_lines"))
+
+
+@query("select_features")
+def q_select_features(spark, sf):
+    return doc_features(spark, sf).select("doc_id", "n_chars", "n_words", "n_lines")

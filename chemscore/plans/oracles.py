@@ -246,3 +246,77 @@ oracle("reward_summary", SCORING + """, lg AS (UNPIVOT (SELECT task, reward_form
     INTO NAME reward VALUE value)
 SELECT reward, task, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
   round(min(value), 6) AS min, round(max(value), 6) AS max FROM lg GROUP BY ROLLUP (reward, task)""")
+
+# ----- evaluation -------------------------------------------------------------------------------------
+EV = """WITH t AS (SELECT doc_id, n_chars::DOUBLE AS score, quality AS label, lang, source
+                FROM labels JOIN documents USING (doc_id))"""
+
+
+def _roc(group: str) -> str:
+    g = f"{group}, " if group else ""
+    part = f"PARTITION BY {group} " if group else ""
+    return f""",
+q AS (SELECT {g}score AS threshold, CAST(sum(label) AS BIGINT) AS tp_s, CAST(sum(1 - label) AS BIGINT) AS fp_s
+      FROM t GROUP BY ALL),
+k AS (SELECT {g}threshold, tp_s, fp_s,
+             CAST(sum(tp_s) OVER ({part}ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS tp,
+             CAST(sum(fp_s) OVER ({part}ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fp FROM q),
+tot AS (SELECT {g}CAST(sum(label) AS BIGINT) AS P, CAST(sum(1 - label) AS BIGINT) AS N FROM t {'GROUP BY ' + group if group else ''})
+"""
+
+
+_YOUDEN = """, yt AS (SELECT CASE WHEN max(tp * N - fp * P) > 0 THEN arg_max(threshold, (tp * N - fp * P, threshold))
+                   ELSE 'inf'::DOUBLE END AS threshold,
+              greatest(max(tp * N - fp * P), 0) AS gain FROM k CROSS JOIN tot)
+"""
+_PRED = _YOUDEN + """, pr AS (SELECT t.*, CAST(score >= yt.threshold AS BIGINT) AS pred, yt.threshold FROM t CROSS JOIN yt)
+"""
+
+oracle("roc_auc", EV + _roc("") + """SELECT round(CAST(sum(fp_s * (2 * (tp - tp_s) + tp_s)) AS DOUBLE) / (2.0 * P * N), 6) AS auc,
+  P AS n_pos, N AS n_neg FROM k CROSS JOIN tot GROUP BY P, N""")
+oracle("roc_curve", EV + _roc("") + """SELECT threshold, tp, fp, round(tp / P, 6) AS tpr, round(fp / N, 6) AS fpr FROM k CROSS JOIN tot
+  UNION ALL SELECT 'inf'::DOUBLE, 0, 0, 0.0, 0.0""")
+oracle("youden_threshold", EV + _roc("") + _YOUDEN + "SELECT threshold, gain FROM yt")
+oracle("apply_threshold", EV + _roc("") + _PRED + "SELECT doc_id, score, CAST(label AS BIGINT) AS label, pred FROM pr")
+oracle("accuracy", EV + _roc("") + _PRED + """SELECT any_value(threshold) AS threshold,
+  round(avg(CAST(pred = label AS DOUBLE)), 6) AS accuracy, count(*) AS n FROM pr""")
+oracle("confusion_counts", EV + _roc("") + _PRED + """, cls AS (SELECT DISTINCT CAST(label AS BIGINT) AS c FROM pr UNION SELECT DISTINCT pred FROM pr),
+cc AS (SELECT c AS label,
+  count(*) FILTER (WHERE label = c AND pred = c) AS tp,
+  count(*) FILTER (WHERE label <> c AND pred = c) AS fp,
+  count(*) FILTER (WHERE label = c AND pred <> c) AS fn FROM pr CROSS JOIN cls GROUP BY c)
+SELECT label, tp, fp, fn, tp + fn AS support,
+  round(coalesce(tp / nullif(tp + fp, 0), 0.0), 6) AS precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0.0), 6) AS recall,
+  round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 6) AS f1 FROM cc""")
+oracle("roc_auc_by_group", EV + _roc("lang") + """SELECT lang,
+  round(CASE WHEN P > 0 AND N > 0 THEN CAST(sum(fp_s * (2 * (tp - tp_s) + tp_s)) AS DOUBLE) / (2.0 * P * N) END, 6) AS auc,
+  P AS n_pos, N AS n_neg FROM k JOIN tot USING (lang) GROUP BY lang, P, N""")
+oracle("cv_best", EV + _roc("source, lang").replace("USING (lang)", "") + """, a AS (SELECT source, lang,
+  CASE WHEN P > 0 AND N > 0 THEN CAST(sum(fp_s * (2 * (tp - tp_s) + tp_s)) AS DOUBLE) / (2.0 * P * N) END AS auc
+  FROM k JOIN tot USING (source, lang) GROUP BY source, lang, P, N),
+m AS (SELECT source AS param, avg(auc) AS mean_score FROM a GROUP BY source)
+SELECT arg_min(param, (-round(mean_score, 9), param)) AS param, round(max(mean_score), 6) AS mean_score, count(*) AS n_settings FROM m""")
+
+_FOLDS = """WITH l AS (SELECT doc_id, CAST(quality AS BIGINT) AS label FROM labels),
+cls AS (SELECT label, min(doc_id) AS first FROM l GROUP BY label),
+cr AS (SELECT label, row_number() OVER (ORDER BY first) AS crank FROM cls),
+s AS (SELECT doc_id, l.label, row_number() OVER (ORDER BY crank, doc_id) - 1 AS j,
+             row_number() OVER (PARTITION BY l.label ORDER BY doc_id) - 1 AS r FROM l JOIN cr USING (label)),
+f AS (SELECT label, j % 5 AS fold, row_number() OVER (PARTITION BY label ORDER BY j % 5, j) - 1 AS r FROM s),
+fo AS (SELECT doc_id, label, CAST(fold AS BIGINT) AS fold FROM s JOIN f USING (label, r))
+"""
+oracle("stratified_folds", _FOLDS + "SELECT doc_id, label, fold FROM fo")
+oracle("concat_train_valid", _FOLDS + """SELECT doc_id, label, 'train' AS split FROM fo WHERE fold >= 2
+  UNION ALL SELECT doc_id, label, 'valid' AS split FROM fo WHERE fold = 1""")
+oracle("balanced_weights", """WITH l AS (SELECT doc_id, CAST(quality AS BIGINT) AS label FROM labels),
+c AS (SELECT label, count(*) AS n_c FROM l GROUP BY label),
+w AS (SELECT label, (SELECT count(*) FROM l) / ((SELECT count(*) FROM c) * n_c) AS weight FROM c)
+SELECT doc_id, label, round(weight, 6) AS weight FROM l JOIN w USING (label)""")
+oracle("cast_label", """WITH t AS (SELECT doc_id, CASE doc_id % 3
+    WHEN 0 THEN CASE WHEN quality = 1 THEN 'True' ELSE 'False' END
+    WHEN 1 THEN CASE WHEN quality = 1 THEN '1.0' ELSE '0.0' END
+    ELSE CASE WHEN quality = 1 THEN '1' ELSE '0' END END AS label_text FROM labels)
+SELECT doc_id, label_text, CAST(coalesce(CAST(TRY_CAST(label_text AS BOOLEAN) AS INT), CAST(TRY_CAST(label_text AS DOUBLE) AS INT)) AS BIGINT) AS label FROM t""")
+oracle("select_features", """SELECT doc_id, n_chars::DOUBLE AS n_chars, len(string_split(text, ' '))::DOUBLE AS n_words,
+  len(string_split(text, chr(10)))::DOUBLE AS n_lines FROM documents""")
