@@ -138,6 +138,7 @@ def cv_best(fold_scores: DataFrame, param: str = "param", score: str = "auc") ->
     means = fold_scores.groupBy(param).agg(F.avg(score).alias("mean_score"), F.count(score).alias("n_folds"))
     # means are compared at 1e-9 so floating noise in the averages cannot break a tie
     order = F.struct((-F.round(F.col("mean_score"), 9)).alias("m"), F.col(param).alias("p"))
-    return means.agg(F.min_by(F.col(param), order).alias(param),
+    # a setting whose folds all lack a class has no mean; it cannot win
+    return means.filter(F.col("mean_score").isNotNull()).agg(F.min_by(F.col(param), order).alias(param),
                      F.max("mean_score").alias("mean_score"),
                      F.count(F.lit(1)).alias("n_settings"))

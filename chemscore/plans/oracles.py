@@ -296,7 +296,7 @@ oracle("cv_best", EV + _roc("source, lang").replace("USING (lang)", "") + """, a
   CASE WHEN P > 0 AND N > 0 THEN CAST(sum(fp_s * (2 * (tp - tp_s) + tp_s)) AS DOUBLE) / (2.0 * P * N) END AS auc
   FROM k JOIN tot USING (source, lang) GROUP BY source, lang, P, N),
 m AS (SELECT source AS param, avg(auc) AS mean_score FROM a GROUP BY source)
-SELECT arg_min(param, (-round(mean_score, 9), param)) AS param, round(max(mean_score), 6) AS mean_score, count(*) AS n_settings FROM m""")
+SELECT arg_min(param, (-round(mean_score, 9), param)) AS param, round(max(mean_score), 6) AS mean_score, count(*) AS n_settings FROM m WHERE mean_score IS NOT NULL""")
 
 _FOLDS = """WITH l AS (SELECT doc_id, CAST(quality AS BIGINT) AS label FROM labels),
 cls AS (SELECT label, min(doc_id) AS first FROM l GROUP BY label),
