@@ -519,3 +519,70 @@ def doc_features(spark, sf) -> DataFrame:
 @query("select_features")
 def q_select_features(spark, sf):
     return doc_features(spark, sf).select("doc_id", "n_chars", "n_words", "n_lines")
+
+
+# ----- learning (M1, M3, M5, M6, E8) --------------------------------------------------------
+
+FEATURES = ["n_chars", "n_words", "n_lines"]
+
+
+def learning_input(spark, sf) -> DataFrame:
+    """Document features + quality label; splits from stratified folds of the
+    labels (fold 0 test, fold 1 valid, the rest train)."""
+    from chemscore.operators import folds as FO
+    f = FO.stratified_folds(labelled(spark, sf), "label", "doc_id", 5, out="f5")
+    from chemscore.session import materialize
+    split = F.when(F.col("f5") == 0, F.lit("test")).when(F.col("f5") == 1, F.lit("valid")).otherwise(F.lit("train"))
+    data = f.select("doc_id", F.col("label").cast("double").alias("label"), split.alias("split")) \
+        .join(doc_features(spark, sf), "doc_id", "inner")
+    # written once: every fit of the grid search reads the table, not the lineage
+    return materialize(data, "learning-input")
+
+
+@query("rf_fit_score")
+def q_rf_fit_score(spark, sf):
+    from chemscore.operators import ml
+    data = learning_input(spark, sf)
+    rf = ml.forest().setNumTrees(20).setMaxDepth(8)
+    from pyspark.ml import Pipeline
+    model = Pipeline(stages=[ml.assembler(FEATURES), rf]).fit(data.filter(F.col("split") != "test"))
+    out = ml.positive_probability(model.transform(data))
+    return out.select("doc_id", "split", F.col("label").cast("long").alias("label"), r6(F.col("prob")).alias("prob"),
+                      F.col("prediction").cast("long").alias("pred"))
+
+
+@query("grid_search_cv")
+def q_grid_search_cv(spark, sf):
+    from chemscore.operators import folds as FO
+    from chemscore.operators import ml
+    data = learning_input(spark, sf).filter(F.col("split") != "test")
+    tv = FO.stratified_folds(data, "label", "doc_id", 5, out="fold")
+    res = ml.grid_search_cv(tv, FEATURES, ml.SMALL_GRID, "fold")
+    return res.table.select("param_id", "numTrees", "maxDepth", "minInstancesPerNode",
+                            r6(F.col("mean_auc")).alias("mean_auc"))
+
+
+@query("importance_rank")
+def q_importance_rank(spark, sf):
+    from chemscore.operators import folds as FO
+    from chemscore.operators import ml
+    data = learning_input(spark, sf).filter(F.col("split") != "test")
+    tv = FO.stratified_folds(data, "label", "doc_id", 5, out="fold")
+    res = ml.grid_search_cv(tv, FEATURES, ml.SMALL_GRID, "fold")
+    return ml.feature_importances(res.model, FEATURES)
+
+
+@query("balanced_tree")
+def q_balanced_tree(spark, sf):
+    from chemscore.operators import ml
+    data = learning_input(spark, sf)
+    model = ml.balanced_tree(data.filter(F.col("split") != "test"), FEATURES)
+    out = ml.positive_probability(model.transform(data))
+    return out.select("doc_id", "split", r6(F.col("prob")).alias("prob"), F.col("prediction").cast("long").alias("pred"))
+
+
+@query("tune_and_apply")
+def q_tune_and_apply(spark, sf):
+    from chemscore.operators import ml
+    metrics, _ = ml.tune_and_apply(learning_input(spark, sf), FEATURES)
+    return metrics.select("split", "metric", r6(F.col("value")).alias("value"))
