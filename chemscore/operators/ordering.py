@@ -38,6 +38,8 @@ def quantile_buckets(df: DataFrame, order_col: str, buckets: int | None = None,
         probs = [i / n for i in range(1, n)]
         cuts = sorted(set(d.approxQuantile(tmp, probs, rel_err if rel_err is not None else 1.0 / (4 * n))))
     splits = [float("-inf")] + [c for c in cuts if c not in (float("-inf"), float("inf"))] + [float("inf")]
+    if len(splits) < 3:
+        return df.withColumn(BUCKET, F.lit(0))
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=BUCKET, handleInvalid="keep")
     return b.transform(d).withColumn(BUCKET, F.col(BUCKET).cast("int")).drop(tmp)
 

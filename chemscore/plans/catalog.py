@@ -586,3 +586,14 @@ def q_tune_and_apply(spark, sf):
     from chemscore.operators import ml
     metrics, _ = ml.tune_and_apply(learning_input(spark, sf), FEATURES)
     return metrics.select("split", "metric", r6(F.col("value")).alias("value"))
+
+
+# ----- streaming batch twin (ST2) ------------------------------------------------------------
+
+@query("reward_metrics_windowed")
+def q_reward_metrics_windowed(spark, sf):
+    from chemscore.streaming.scoring import windowed_metrics
+    ev = table(spark, sf, "events").select("ts", F.col("value").alias("value"), F.col("event_type").alias("task"))
+    out = windowed_metrics(ev, "ts", "value", "task", "1 hour")
+    return out.select("window_start", "window_end", "task", "n", r6(F.col("mean")).alias("mean"),
+                      r6(F.col("std")).alias("std"), r6(F.col("min")).alias("min"), r6(F.col("max")).alias("max"))

@@ -320,3 +320,9 @@ oracle("cast_label", """WITH t AS (SELECT doc_id, CASE doc_id % 3
 SELECT doc_id, label_text, CAST(coalesce(CAST(TRY_CAST(label_text AS BOOLEAN) AS INT), CAST(TRY_CAST(label_text AS DOUBLE) AS INT)) AS BIGINT) AS label FROM t""")
 oracle("select_features", """SELECT doc_id, n_chars::DOUBLE AS n_chars, len(string_split(text, ' '))::DOUBLE AS n_words,
   len(string_split(text, chr(10)))::DOUBLE AS n_lines FROM documents""")
+
+# ----- streaming batch twin ------------------------------------------------------------------------
+oracle("reward_metrics_windowed", """WITH b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, event_type AS task, value FROM events)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+  task, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+  round(min(value), 6) AS min, round(max(value), 6) AS max FROM b GROUP BY ws, task""")
