@@ -75,7 +75,10 @@ def closest_match_udf(candidates: Sequence[str], cutoff: float = 0.1):
             ratios.append(r)
         return pd.DataFrame({"key": keys, "ratio": pd.Series(ratios, dtype="float64")})
 
-    return _closest
+    # Declared non-deterministic so the optimizer never copies the call below
+    # a ``distinct`` (a filter on its result would otherwise be pushed down and
+    # the UDF would run once per claim instead of once per distinct name).
+    return _closest.asNondeterministic()
 
 
 def closest_matches_udf(candidate_sets: dict[str, Sequence[str]], cutoff: float = 0.1):
@@ -102,4 +105,4 @@ def closest_matches_udf(candidate_sets: dict[str, Sequence[str]], cutoff: float
             out[f"{name}_ratio"] = pd.Series(rs, dtype="float64")
         return pd.DataFrame(out)
 
-    return _closest_many
+    return _closest_many.asNondeterministic()  # see closest_match_udf

@@ -130,8 +130,11 @@ def completion_features(completions: DataFrame, opts: ScoreOptions) -> DataFrame
 
 
 def aligned(completions: DataFrame, prompts: DataFrame, molecules: DataFrame,
-            descriptors: DataFrame, opts: ScoreOptions) -> DataFrame:
-    """J8 + J9: completions keyed to their prompt, molecule validity and descriptors."""
+            descriptors: DataFrame, opts: ScoreOptions, features: DataFrame | None = None) -> DataFrame:
+    """J8 + J9: completions keyed to their prompt, molecule validity and descriptors.
+
+    ``features`` (the output of ``completion_features``) may be passed in when
+    it has already been computed."""
     p = prompt_fields(prompts)
     if opts.scope == "batch":
         p = batch_task(prompts, max_broadcast_rows=opts.max_broadcast_rows).select(
@@ -139,10 +142,21 @@ def aligned(completions: DataFrame, prompts: DataFrame, molecules: DataFrame,
     else:
         p = p.select("prompt_id", "task", "smiles", "answer")
     p = p.join(molecule_side(molecules, descriptors), "smiles", "left")
-    c = completion_features(completions, opts)
+    c = features if features is not None else completion_features(completions, opts)
     return c.join(p, "prompt_id", "inner")
 
 
+def prepare(completions: DataFrame, prompts: DataFrame, molecules: DataFrame, descriptors: DataFrame,
+            opts: ScoreOptions) -> tuple[DataFrame, DataFrame]:
+    """Text work once: the per-completion features are written to the
+    checkpoint folder (compact: the text is gone), then both the name
+    vocabulary and the scoring read them.  Returns (aligned base, vocabulary)."""
+    feats = materialize(completion_features(completions, opts), "completion-features")
+    names = feats.select(F.explode("claims").alias("c")).select(F.col("c.prop").alias("prop"))
+    vocab = vocabulary(names, opts)
+    return aligned(completions, prompts, molecules, descriptors, opts, features=feats), vocab
+
+
 # ----- claims ---------------------------------------------------------------------
 
 def vocabulary(claim_rows: DataFrame, opts: ScoreOptions) -> DataFrame:
@@ -160,7 +174,7 @@ def claim_names(completions: DataFrame, opts: ScoreOptions) -> DataFrame:
 
 
 def claim_detail(base: DataFrame, opts: ScoreOptions, keep_unclaimed: bool = True,
-                 vocab: DataFrame | None = None) -> DataFrame:
+                 vocab: DataFrame | None = None, value_from: str = "map") -> DataFrame:
     """R4 (+P8): one row per claim with the resolved descriptor, value, range
     and agreement; completions without claims keep one row with NULL claim
     when ``keep_unclaimed``.  Unscorable claims carry a NULL agreement and a
@@ -180,7 +194,9 @@ def claim_detail(base: DataFrame, opts: ScoreOptions, keep_unclaimed: bool = Tru
     scorable = F.broadcast(dims.scorable_df(spark).withColumn("has_function", F.lit(True)))
     rows = rows.join(scorable, ["descriptor"], "left")
 
-    value = F.try_element_at(F.col("desc"), F.col("descriptor")) if "desc" in rows.columns else F.col("value")
+    # value_from='map': the molecule's descriptor map; 'none': leave NULL for a later join
+    value = (F.try_element_at(F.col("desc"), F.col("descriptor")) if value_from == "map"
+             else F.lit(None).cast("double"))
     rows = rows.withColumn("value", F.when(F.col("descriptor").isNotNull(), value))
     in_range = F.when(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(1)).otherwise(F.lit(-1))
     status = (F.when(F.col("prop").isNull(), F.lit("no_claims"))
@@ -261,8 +277,7 @@ def score_completions(completions: DataFrame, prompts: DataFrame, molecules: Dat
                       with_group_advantage: bool = True) -> DataFrame:
     """The whole scoring job: rewards R1-R6 per completion, then R7."""
     opts = opts or ScoreOptions()
-    vocab = vocabulary(claim_names(completions, opts), opts)
-    base = aligned(completions, prompts, molecules, descriptors, opts)
+    base, vocab = prepare(completions, prompts, molecules, descriptors, opts)
     scored = per_completion(claim_detail(base, opts, vocab=vocab), opts)
     return group_advantage(scored, eps=opts.eps) if with_group_advantage else scored
 

@@ -51,8 +51,7 @@ def scored(spark, sf, opts: R.ScoreOptions | None = None, group: bool = True) ->
 def claim_rows(spark, sf, opts: R.ScoreOptions | None = None, keep_unclaimed: bool = False) -> DataFrame:
     opts = opts or R.ScoreOptions()
     c, p, m, d = scoring_inputs(spark, sf)
-    vocab = R.vocabulary(R.claim_names(c, opts), opts)
-    base = R.aligned(c, p, m, d, opts)
+    base, vocab = R.prepare(c, p, m, d, opts)
     return R.claim_detail(base, opts, keep_unclaimed=keep_unclaimed, vocab=vocab)
 
 
@@ -302,11 +301,9 @@ def q_descriptor_join(spark, sf):
     descriptor table (the scorer itself reads the same values from a map)."""
     opts = R.ScoreOptions()
     c, p, m, d = scoring_inputs(spark, sf)
-    vocab = R.vocabulary(R.claim_names(c, opts), opts)
-    base = R.aligned(c, p, m, d, opts).drop("desc")
-    rows = R.claim_detail(base.withColumn("value", F.lit(None).cast("double")), opts,
-                          keep_unclaimed=False, vocab=vocab).drop("value")
-    rows = rows.filter(F.col("descriptor").isNotNull() & F.col("valid"))
+    base, vocab = R.prepare(c, p, m, d, opts)
+    rows = R.claim_detail(base, opts, keep_unclaimed=False, vocab=vocab, value_from="none")
+    rows = rows.filter(F.col("descriptor").isNotNull() & F.col("valid")).drop("value")
     long = R.descriptors_long(d)
     return _claims_out(rows.join(long, ["smiles", "descriptor"], "inner"), "smiles", "descriptor", "value")
 
@@ -330,12 +327,16 @@ def q_match_trace(spark, sf):
 
 @query("ratio_udf")
 def q_ratio_udf(spark, sf):
+    """F2: the scalar similarity UDF re-scores each distinct name against its
+    best alias key (it must reproduce the J5 ratio)."""
     from chemscore.functions.similarity import ratio_udf
+    from chemscore.operators.resolve import fuzzy_top1
     names = R.claim_names(view(spark, sf, "completions"), R.ScoreOptions())
     words = names.select(X.normalize_name("prop").alias("norm")).distinct()
-    alias = F.broadcast(dims.alias_df(spark))
-    j = words.join(alias, F.substring("norm", 1, 1) == F.substring("alias", 1, 1), "inner")
-    return j.select("norm", "alias", r6(ratio_udf(F.col("alias"), F.col("norm"))).alias("ratio"))
+    m = fuzzy_top1(words, "norm", dims.alias_keys(), 0.1, "m")
+    return m.select("norm", F.col("m.key").alias("alias"),
+                    r6(ratio_udf(F.col("m.key"), F.col("norm"))).alias("ratio"),
+                    r6(F.col("m.ratio")).alias("top1_ratio"))
 
 
 # ----- rewards ---------------------------------------------------------------------------
