@@ -598,3 +598,13 @@ def q_reward_metrics_windowed(spark, sf):
     out = windowed_metrics(ev, "ts", "value", "task", "1 hour")
     return out.select("window_start", "window_end", "task", "n", r6(F.col("mean")).alias("mean"),
                       r6(F.col("std")).alias("std"), r6(F.col("min")).alias("min"), r6(F.col("max")).alias("max"))
+
+
+@query("smote_oversample")
+def q_smote_oversample(spark, sf):
+    from chemscore.operators.smote import smote
+    lab = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("long").alias("label"))
+    data = lab.join(doc_features(spark, sf), "doc_id", "inner")
+    out = smote(data, FEATURES, "label", "doc_id", k=5, seed=196)
+    return out.select("i", "base_id", "nn_id", r6(F.col("gap")).alias("gap"),
+                      *[r6(F.col(f)).alias(f) for f in FEATURES], "label")

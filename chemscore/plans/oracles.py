@@ -326,3 +326,25 @@ oracle("reward_metrics_windowed", """WITH b AS (SELECT time_bucket(INTERVAL 1 HO
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
   task, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
   round(min(value), 6) AS min, round(max(value), 6) AS max FROM b GROUP BY ws, task""")
+
+# ----- SMOTE (brute-force neighbours are fine in the oracle) ---------------------------------------
+oracle("smote_oversample", """WITH d AS (SELECT l.doc_id, CAST(l.quality AS BIGINT) AS label, d.n_chars::DOUBLE AS n_chars,
+    len(string_split(d.text, ' '))::DOUBLE AS n_words, len(string_split(d.text, chr(10)))::DOUBLE AS n_lines
+  FROM labels l JOIN documents d USING (doc_id)),
+c AS (SELECT label, count(*) AS n FROM d GROUP BY label),
+mi AS (SELECT arg_min(label, (n, label)) AS label, min(n) AS n_min, max(n) AS n_maj FROM c),
+m AS (SELECT d.*, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM d JOIN mi USING (label)),
+nn AS (SELECT a.doc_id AS base_id, b.doc_id AS nn_id,
+         row_number() OVER (PARTITION BY a.doc_id ORDER BY (a.n_chars - b.n_chars)^2 + (a.n_words - b.n_words)^2
+                            + (a.n_lines - b.n_lines)^2, b.doc_id) AS nn_rank
+       FROM m a JOIN m b ON a.doc_id <> b.doc_id),
+dr AS (SELECT i, ('0x' || substr(md5('196:' || CAST(i AS VARCHAR)), 1, 8))::BIGINT % (n_min * 5) AS s,
+              ('0x' || substr(md5('196:' || CAST(i AS VARCHAR)), 9, 8))::BIGINT / 4294967296.0 AS gap
+       FROM mi, range(0, n_maj - n_min) AS r(i)),
+g AS (SELECT i, gap, s // 5 AS base_idx, s % 5 + 1 AS nn_rank FROM dr)
+SELECT g.i, b.doc_id AS base_id, nn.nn_id, round(g.gap, 6) AS gap,
+  round(b.n_chars + g.gap * (o.n_chars - b.n_chars), 6) AS n_chars,
+  round(b.n_words + g.gap * (o.n_words - b.n_words), 6) AS n_words,
+  round(b.n_lines + g.gap * (o.n_lines - b.n_lines), 6) AS n_lines, b.label
+FROM g JOIN m b ON b.idx = g.base_idx JOIN nn ON nn.base_id = b.doc_id AND nn.nn_rank = g.nn_rank
+JOIN m o ON o.doc_id = nn.nn_id""")
