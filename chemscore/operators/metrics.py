@@ -114,15 +114,22 @@ def accuracy(df: DataFrame, pred: str = "pred", label: str = "label", by: Sequen
 
 
 def confusion_counts(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
-    """Per class: tp, fp, fn, support, precision, recall, F1 (0 when undefined)."""
+    """Per class: tp, fp, fn, support, precision, recall, F1 (0 when undefined).
+
+    Each (label, pred) cell credits two classes: its label (tp or fn) and its
+    prediction (fp when wrong); an ``explode`` of fan-out 2 and one partial
+    aggregate, no join."""
     y, p = F.col(label).cast("long"), F.col(pred).cast("long")
     cells = df.groupBy(y.alias("y"), p.alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    classes = cells.select(F.col("y").alias("cls")).union(cells.select(F.col("p").alias("cls"))).distinct()
-    stats = cells.join(F.broadcast(classes), (F.col("y") == F.col("cls")) | (F.col("p") == F.col("cls"))) \
-        .groupBy("cls").agg(
-            F.sum(F.when((F.col("y") == F.col("cls")) & (F.col("p") == F.col("cls")), F.col("n")).otherwise(0)).alias("tp"),
-            F.sum(F.when((F.col("y") != F.col("cls")) & (F.col("p") == F.col("cls")), F.col("n")).otherwise(0)).alias("fp"),
-            F.sum(F.when((F.col("y") == F.col("cls")) & (F.col("p") != F.col("cls")), F.col("n")).otherwise(0)).alias("fn"))
+    hit = F.col("y") == F.col("p")
+    zero = F.lit(0).cast("long")
+    credit = F.explode(F.array(
+        F.struct(F.col("y").alias("cls"), F.when(hit, F.col("n")).otherwise(zero).alias("tp"),
+                 zero.alias("fp"), F.when(hit, zero).otherwise(F.col("n")).alias("fn")),
+        F.struct(F.col("p").alias("cls"), zero.alias("tp"),
+                 F.when(hit, zero).otherwise(F.col("n")).alias("fp"), zero.alias("fn"))))
+    stats = cells.select(credit.alias("c")).groupBy(F.col("c.cls").alias("cls")).agg(
+        F.sum("c.tp").alias("tp"), F.sum("c.fp").alias("fp"), F.sum("c.fn").alias("fn"))
     prec = F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col("fp"), F.lit(0)), F.lit(0.0))
     rec = F.coalesce(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)), F.lit(0.0))
     f1 = F.coalesce(F.lit(2.0) * F.col("tp") / F.nullif(F.lit(2) * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)),
