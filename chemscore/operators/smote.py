@@ -110,4 +110,4 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "label", id_col:
     out = nn.join(other, "nn_id", "inner")
     return out.select("i", "base_id", "nn_id", "gap",
                       *[(F.col(f) + F.col("gap") * (F.col(f"nn_{f}") - F.col(f))).alias(f) for f in features],
-                      F.lit(minority).alias(label))
+                      F.lit(minority).cast(df.schema[label].dataType).alias(label))

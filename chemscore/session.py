@@ -12,6 +12,25 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Settings we expect on a large cluster (set by the deployment, not by the
+# library): AQE re-plans joins and coalesces partitions at run time and splits
+# skewed join partitions; partitions are sized for executor memory.
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+    "spark.sql.shuffle.partitions": "20000",           # initial; AQE coalesces
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.session.timeZone": "UTC",
+    # "spark.checkpoint.dir": a shared folder (HDFS/S3/ABFS), set by the cluster
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "chemscore") -> SparkSession:
     """A local[N] session configured the way the tests and bench expect."""
