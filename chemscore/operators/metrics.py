@@ -20,20 +20,19 @@ from chemscore.operators.joins import lookup_join
 from chemscore.operators.ordering import running_totals
 
 INF = float("inf")
-ALL = "_all"
 
 
-def _groups(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """Ungrouped calls get a constant key, so totals join back by an equi-join
-    against a one-row-per-group table (never a cartesian product)."""
-    by = list(by)
+def _with_totals(pts: DataFrame, df: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """Attach the class totals P and N: an equi-join on the group keys, or for
+    an ungrouped call the two totals as literals (one aggregated row fetched;
+    a join on a constant key would be planned as a cartesian product)."""
+    tot = class_totals(df, label, by)
     if by:
-        return df, by
-    return df.withColumn(ALL, F.lit(0)), [ALL]
-
-
-def _ungroup(df: DataFrame) -> DataFrame:
-    return df.drop(ALL) if ALL in df.columns else df
+        return lookup_join(pts, tot, by, "inner")
+    row = tot.first()
+    p = int(row["P"] or 0) if row else 0
+    n = int(row["N"] or 0) if row else 0
+    return pts.withColumn("P", F.lit(p).cast("long")).withColumn("N", F.lit(n).cast("long"))
 
 
 def roc_points(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -56,15 +55,18 @@ def class_totals(df: DataFrame, label: str = "label", by: Sequence[str] = ()) ->
 def roc_curve(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """(group, threshold, tp, fp, tpr, fpr) for every distinct score plus the
     (+inf, 0, 0) start point; tpr/fpr are NULL when a class is absent."""
-    df, by = _groups(df, by)
+    by = list(by)
     pts = roc_points(df, score, label, by).select(*by, "threshold", "tp", "fp")
-    tot = class_totals(df, label, by)
-    start = tot.select(*by, F.lit(INF).alias("threshold"), F.lit(0).cast("long").alias("tp"),
-                       F.lit(0).cast("long").alias("fp"))
-    j = lookup_join(pts.unionByName(start), tot, by, "inner")
-    return _ungroup(j.select(*by, "threshold", "tp", "fp",
-                             (F.col("tp") / F.nullif(F.col("P"), F.lit(0))).alias("tpr"),
-                             (F.col("fp") / F.nullif(F.col("N"), F.lit(0))).alias("fpr")))
+    if by:
+        start = df.select(*by).distinct()
+    else:
+        start = pts.sparkSession.range(1).select()
+    start = start.select(*by, F.lit(INF).alias("threshold"), F.lit(0).cast("long").alias("tp"),
+                         F.lit(0).cast("long").alias("fp"))
+    j = _with_totals(pts.unionByName(start), df, label, by)
+    return j.select(*by, "threshold", "tp", "fp",
+                    (F.col("tp") / F.nullif(F.col("P"), F.lit(0))).alias("tpr"),
+                    (F.col("fp") / F.nullif(F.col("N"), F.lit(0))).alias("fpr"))
 
 
 def roc_auc(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -85,15 +87,13 @@ def youden_threshold(df: DataFrame, score: str = "score", label: str = "label",
     """E5: ``thresholds[argmax(tpr - fpr)]``; the first maximum along the
     descending curve, i.e. the highest threshold among ties; +inf when no
     point beats the origin."""
-    df, by = _groups(df, by)
-    pts = roc_points(df, score, label, by)
-    tot = class_totals(df, label, by)
-    j = lookup_join(pts, tot, by, "inner")
+    by = list(by)
+    j = _with_totals(roc_points(df, score, label, by), df, label, by)
     gain = F.col("tp") * F.col("N") - F.col("fp") * F.col("P")
     best = j.groupBy(*by).agg(F.max(F.struct(gain.alias("g"), F.col("threshold").alias("t"))).alias("b"))
     # the origin (+inf, 0, 0) has gain 0 and comes first, so it wins unless beaten
-    return _ungroup(best.select(*by, F.when(F.col("b.g") > 0, F.col("b.t")).otherwise(F.lit(INF)).alias("threshold"),
-                                F.greatest(F.col("b.g"), F.lit(0)).alias("gain")))
+    return best.select(*by, F.when(F.col("b.g") > 0, F.col("b.t")).otherwise(F.lit(INF)).alias("threshold"),
+                       F.greatest(F.col("b.g"), F.lit(0)).alias("gain"))
 
 
 def apply_threshold(df: DataFrame, threshold: float, score: str = "score", out: str = "pred") -> DataFrame:
