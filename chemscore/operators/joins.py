@@ -11,29 +11,37 @@ from pyspark.sql import functions as F
 # broadcast is narrow (a few short columns), so 2M rows stays well under the
 # default 8 GB broadcast limit and far under executor memory.
 DEFAULT_BROADCAST_ROWS = 2_000_000
-DEFAULT_SALTS = 32
+HOT_KEY_SALTS = 32
 
 
 def lookup_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner",
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                salts: int = DEFAULT_SALTS, dim_rows: int | None = None,
+                salts: int = 0, dim_rows: int | None = None,
                 salt_by: Sequence[str] | None = None) -> DataFrame:
     """N:1 join of a large table to a lookup table whose size is data dependent.
 
     The lookup side is counted (callers pass a checkpointed or cheap ``dim`` so
     this is one small job); when it fits under ``max_broadcast_rows`` it is
-    broadcast and the large side is not shuffled at all.  Beyond that we fall
-    back to a shuffle join whose keys are salted: each large-side row gets one
-    of ``salts`` sub-keys and the lookup side is replicated ``salts`` times,
-    so a hot key (say a third of all rows) is spread over ``salts`` tasks.
-    The salt is a hash of ``salt_by`` (default: all large-side columns), so a
-    retried task routes every row exactly as before.
+    broadcast and the large side is not shuffled at all.  Beyond that:
+
+    * ``salts > 1`` (callers that know some keys are hot, e.g. a few claimed
+      property names carry most claims): a shuffle join on salted keys.  Each
+      large-side row gets one of ``salts`` sub-keys and the lookup side is
+      replicated ``salts`` times, so a hot key (say a third of all rows) is
+      spread over ``salts`` tasks.  The salt is a hash of ``salt_by``
+      (default: all large-side columns), so a retried task routes every row
+      exactly as before.
+    * otherwise a plain shuffle join; AQE's skew-join rule still splits a
+      partition that turns out to be hot at run time, without replicating the
+      whole lookup side up front.
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join supports inner/left/semi/anti, not {how!r}")
     n = dim.count() if dim_rows is None else dim_rows
     if n <= max_broadcast_rows:
         return big.join(F.broadcast(dim), list(on), how)
+    if salts <= 1:
+        return big.join(dim, list(on), how)
     salt = "_salt"
     big_s = big.withColumn(salt, F.pmod(F.xxhash64(*[F.col(c) for c in (salt_by or big.columns)]), F.lit(salts)))
     dim_s = dim.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))

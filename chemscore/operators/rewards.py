@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from chemscore.functions import text as X
-from chemscore.operators.joins import DEFAULT_BROADCAST_ROWS, lookup_join
+from chemscore.operators.joins import DEFAULT_BROADCAST_ROWS, HOT_KEY_SALTS, lookup_join
 from chemscore.operators.resolve import DEFAULT_CUTOFF, resolve_vocabulary
 from chemscore.plans import dims
 from chemscore.session import materialize
@@ -82,7 +82,7 @@ def batch_task(prompts: DataFrame, batch_col: str = "batch_id", pos_col: str = "
     """
     p = prompt_fields(prompts)
     first = p.groupBy(batch_col).agg(F.min_by("task", pos_col).alias("batch_task"))
-    return lookup_join(p, first, [batch_col], "left", max_broadcast_rows, salt_by=["prompt_id"])
+    return lookup_join(p, first, [batch_col], "left", max_broadcast_rows)
 
 
 def descriptor_map(descriptors: DataFrame) -> DataFrame:
@@ -187,8 +187,9 @@ def claim_detail(base: DataFrame, opts: ScoreOptions, keep_unclaimed: bool = Tru
 
     if vocab is None:
         vocab = vocabulary(rows.filter(F.col("prop").isNotNull()).select("prop"), opts)
+    # a handful of names carry most claims: salt if the vocabulary is too big to broadcast
     rows = lookup_join(rows, vocab.drop("ratio"), ["norm", "task"], "left", opts.max_broadcast_rows,
-                       salt_by=["prompt_id", "gen_idx", "claim_pos"])
+                       salts=HOT_KEY_SALTS, salt_by=["prompt_id", "gen_idx", "claim_pos"])
     ranges = F.broadcast(dims.ranges_df(spark))
     rows = rows.join(ranges, ["task", "descriptor"], "left")
     scorable = F.broadcast(dims.scorable_df(spark).withColumn("has_function", F.lit(True)))
