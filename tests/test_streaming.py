@@ -14,18 +14,20 @@ from conftest import SF001
 def test_stream_score_equals_batch(spark, scratch):
     c, p, m, d = (view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide"))
     src = os.path.join(scratch, "in")
-    # three arriving files
+    # three arriving files, each holding complete prompt groups; one file per trigger
     for i in range(3):
-        c.filter(F.col("prompt_id") % 3 == i).write.parquet(os.path.join(src, f"part{i}"))
-    files = os.path.join(scratch, "flat")
-    c.write.parquet(files)
-    q = ST.stream_score(spark, files, p, m, d, os.path.join(scratch, "out"), os.path.join(scratch, "ckpt"))
+        c.filter(F.col("prompt_id") % 3 == i).coalesce(1).write.mode("append").parquet(src)
+    q = ST.stream_score(spark, src, p, m, d, os.path.join(scratch, "out"), os.path.join(scratch, "ckpt"),
+                        complete_groups=True, max_files_per_trigger=1)
     q.awaitTermination()
-    got = spark.read.parquet(os.path.join(scratch, "out")).drop("batch_id")
-    want = R.score_completions(c, p, m, d, with_group_advantage=False)
+    out = spark.read.parquet(os.path.join(scratch, "out"))
+    assert out.select("batch_id").distinct().count() == 3
+    want = R.score_completions(c, p, m, d, with_group_advantage=True)
     cols = ["prompt_id", "gen_idx", "reward_format", "reward_correctness", "reward_choices",
             "reward_advantage", "reward_total", "skip_reason"]
-    assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+    got_rows = sorted(out.select(*cols, F.round("advantage", 9).alias("adv")).collect())
+    want_rows = sorted(want.select(*cols, F.round("advantage", 9).alias("adv")).collect())
+    assert got_rows == want_rows
 
 
 def test_stream_reward_metrics(spark, scratch):
@@ -37,6 +39,7 @@ def test_stream_reward_metrics(spark, scratch):
     q.awaitTermination()
     batch = {(r.window_start, r.task): r.n for r in ST.windowed_metrics(ev).collect()}
     path = os.path.join(scratch, "m")
-    stream = {(r.window_start, r.task): r.n for r in spark.read.parquet(path).collect()} if os.path.exists(path) else {}
+    stream = {(r.window_start, r.task): r.n for r in spark.read.parquet(path).collect()}
+    assert stream, "closed windows must be emitted"
     for k, n in stream.items():
         assert batch[k] == n
