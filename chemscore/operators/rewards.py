@@ -143,7 +143,10 @@ def aligned(completions: DataFrame, prompts: DataFrame, molecules: DataFrame,
         p = p.select("prompt_id", "task", "smiles", "answer")
     p = p.join(molecule_side(molecules, descriptors), "smiles", "left")
     c = features if features is not None else completion_features(completions, opts)
-    return c.join(p, "prompt_id", "inner")
+    # The completion side is the fact table: never broadcast it, even when a
+    # compact feature table looks small; the sort-merge join on prompt_id is
+    # the partitioning the per-completion aggregate and the group window reuse.
+    return c.join(p.hint("merge"), "prompt_id", "inner")
 
 
 def prepare(completions: DataFrame, prompts: DataFrame, molecules: DataFrame, descriptors: DataFrame,
