@@ -43,12 +43,18 @@ def unicode_strip(c) -> Column:
 
 def extract_answer(c, greedy: bool = False) -> Column:
     """X1 / X1g: body of the first ``<answer>`` up to the first (or, greedy, the
-    last) ``</answer>``, across newlines, stripped; ``''`` when absent."""
-    return unicode_strip(F.regexp_extract(_c(c), ANSWER_GREEDY if greedy else ANSWER_LAZY, 1))
+    last) ``</answer>``, across newlines, stripped; ``''`` when absent.
+
+    The ``contains`` guard skips the regex on texts without a closing tag
+    (where a lazy span would rescan the rest of the text from every
+    ``<answer>``: quadratic on hostile input)."""
+    cc = _c(c)
+    body = F.regexp_extract(cc, ANSWER_GREEDY if greedy else ANSWER_LAZY, 1)
+    return F.when(cc.contains("</answer>"), unicode_strip(body)).otherwise(F.lit(""))
 
 
 def has_name_block(c) -> Column:
-    return _c(c).rlike(NAME_BLOCK)
+    return _c(c).contains("</name>") & _c(c).rlike(NAME_BLOCK)
 
 
 def extract_name_block(c) -> Column:
@@ -174,7 +180,8 @@ def choice_count(c, dotall: bool = False) -> Column:
     """Number of comma parts in the first name block (single-line unless
     ``dotall``); NULL when there is no such block."""
     pat = NAME_BLOCK if dotall else NAME_LINE
-    return F.when(_c(c).rlike(pat), F.size(F.split(F.regexp_extract(_c(c), pat, 1), ",", -1)))
+    found = _c(c).contains("</name>") & _c(c).rlike(pat)
+    return F.when(found, F.size(F.split(F.regexp_extract(_c(c), pat, 1), ",", -1)))
 
 
 def reward_choice_count(c, min_number: int = 3, max_number: int = 10, dotall: bool = False) -> Column:

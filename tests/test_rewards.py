@@ -140,3 +140,12 @@ def test_salted_lookup_join_equals_broadcast(spark):
     b = sorted(lookup_join(big, dim, ["k"], "left", max_broadcast_rows=0, salts=4).collect())
     c = sorted(lookup_join(big, dim, ["k"], "left", max_broadcast_rows=0).collect())
     assert a == b == c
+
+
+def test_duplicate_claim_keeps_advantage_in_range(spark):
+    c, p, m, d = (view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide"))
+    dup = c.withColumn("completion", F.regexp_replace("completion", "</name>", ", LogP: improve, LogP: improve</name>"))
+    out = R.score_completions(dup, p, m, d, with_group_advantage=False)
+    row = out.agg(F.min("reward_advantage").alias("lo"), F.max("reward_advantage").alias("hi"),
+                  F.count(F.lit(1)).alias("n")).first()
+    assert 0.0 <= row.lo and row.hi <= 1.0 and row.n == c.count()

@@ -66,3 +66,14 @@ def test_prompt_array_paths(spark):
     r = df.select(X.assemble_prompt("s", "u").alias("p")).select(
         X.extract_task("p").alias("t"), X.extract_smiles("p").alias("m")).first()
     assert r.t == "Clintox" and r.m == "M12"
+
+
+def test_hostile_text_is_fast_and_whole(spark):
+    import time
+    bad = "<answer><name>" * 20000 + "x" * 100000
+    df = spark.createDataFrame([(bad,)], "c string")
+    t = time.time()
+    r = df.select(X.extract_answer("c").alias("a"), X.reward_format("c").alias("f"),
+                  X.reward_choice_count("c").alias("n"), F.size(X.parse_claims("c")).alias("k")).first()
+    assert (r.a, r.f, r.n, r.k) == ("", -2.0, -1.5, 0)
+    assert time.time() - t < 30
