@@ -48,6 +48,7 @@ class ScoreOptions:
                                                    "choices": 1.0, "advantage": 1.0})
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     eps: float = 1e-4
+    staging_dir: str | None = None  # overwrite-in-place staging (streams); default: unique tables
 
 
 # ----- inputs -------------------------------------------------------------------
@@ -154,7 +155,7 @@ def prepare(completions: DataFrame, prompts: DataFrame, molecules: DataFrame, de
     """Text work once: the per-completion features are written to the
     checkpoint folder (compact: the text is gone), then both the name
     vocabulary and the scoring read them.  Returns (aligned base, vocabulary)."""
-    feats = materialize(completion_features(completions, opts), "completion-features")
+    feats = materialize(completion_features(completions, opts), "completion-features", opts.staging_dir)
     names = feats.select(F.explode("claims").alias("c")).select(F.col("c.prop").alias("prop"))
     vocab = vocabulary(names, opts)
     return aligned(completions, prompts, molecules, descriptors, opts, features=feats), vocab
@@ -167,7 +168,7 @@ def vocabulary(claim_rows: DataFrame, opts: ScoreOptions) -> DataFrame:
     folder so the similarity UDF never re-runs and its size can be checked."""
     return materialize(resolve_vocabulary(claim_rows, "prop", opts.cutoff, opts.exact_first)
                        .select("norm", "task", "descriptor", "stage", "matched_key", "ratio"),
-                       "vocabulary")
+                       "vocabulary", opts.staging_dir)
 
 
 def claim_names(completions: DataFrame, opts: ScoreOptions) -> DataFrame:

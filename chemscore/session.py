@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -91,17 +92,23 @@ def checkpoint(df):
     return df.checkpoint(eager=True)
 
 
-def materialize(df, label: str = "table"):
+def materialize(df, label: str = "table", staging_dir: str | None = None):
     """Write ``df`` once as parquet under the checkpoint folder and read it back.
 
     Unlike ``Dataset.checkpoint`` (which recomputes its input to write it),
     this computes the plan exactly once, cuts the lineage, survives executor
     loss (the folder is the shared one the cluster names) and gives the
     optimizer real size statistics for the result.
-    """
-    import uuid
 
+    With ``staging_dir`` the table is written to ``<staging_dir>/<label>`` and
+    replaces the previous one (bounded space for long-running streams whose
+    micro-batches run one after another).
+    """
     spark = df.sparkSession
+    if staging_dir:
+        path = f"{staging_dir.rstrip('/')}/{label}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/chemscore-{label}-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)

@@ -39,8 +39,14 @@ def stream_score(spark: SparkSession, source_dir: str, prompts: DataFrame, molec
                  descriptors: DataFrame, sink_dir: str, checkpoint_dir: str,
                  opts: R.ScoreOptions | None = None, complete_groups: bool = False,
                  available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
-    """ST1: score a stream of completion files into a parquet table."""
-    opts = opts or R.ScoreOptions()
+    """ST1: score a stream of completion files into a parquet table.
+
+    Per-batch staging tables (features, vocabulary) live in one folder under
+    the stream's checkpoint location and are overwritten by the next batch."""
+    import dataclasses
+
+    opts = dataclasses.replace(opts or R.ScoreOptions(),
+                               staging_dir=f"{checkpoint_dir.rstrip('/')}/_staging")
     reader = spark.readStream.schema(COMPLETION_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
