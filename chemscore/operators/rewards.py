@@ -114,9 +114,14 @@ def descriptors_long(descriptors_wide: DataFrame) -> DataFrame:
 
 
 def molecule_side(molecules: DataFrame, descriptors: DataFrame) -> DataFrame:
-    """(smiles, valid, desc): one row per molecule."""
+    """(smiles, valid, desc): one row per molecule.  The map keeps only the
+    descriptors a claim can ever be scored on, so the prompt-side shuffle
+    carries no unusable values."""
+    keep = F.array(*[F.lit(d) for d in dims.scorable_descriptors()])
+    dm = descriptor_map(descriptors)
+    dm = dm.select("smiles", F.map_filter("desc", lambda k, v: F.array_contains(keep, k)).alias("desc"))
     return (molecules.select("smiles", F.col("valid").cast("boolean").alias("valid"))
-            .join(descriptor_map(descriptors), "smiles", "left"))
+            .join(dm, "smiles", "left"))
 
 
 def completion_features(completions: DataFrame, opts: ScoreOptions) -> DataFrame:

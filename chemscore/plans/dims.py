@@ -191,6 +191,12 @@ def range_keys(task: str) -> tuple[str, ...]:
     return tuple(d for t, d, _, _ in range_rows() if t == task)
 
 
+def scorable_descriptors() -> tuple[str, ...]:
+    """Descriptors a claim can be scored on: a range for some task and a registry entry."""
+    reg = set(registry_keys())
+    return tuple(sorted({d for _, d, _, _ in range_rows() if d in reg}))
+
+
 def registry_rows() -> list[tuple[str, str, bool]]:
     """(key, descriptor, is_function): the registry with canonical targets (82 rows)."""
     return ([(k, k, True) for k in REGISTRY_FUNCTIONS]
