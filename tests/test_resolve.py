@@ -43,3 +43,14 @@ def test_best_match_equals_difflib():
 def test_ratio_is_asymmetric():
     # candidate is seq1, word is seq2
     assert difflib.SequenceMatcher(None, "aaab", "baca").ratio() != difflib.SequenceMatcher(None, "baca", "aaab").ratio()
+
+
+def test_exact_first_and_cutoff_options(spark):
+    df = spark.createDataFrame([("LabuteASA",), ("zzzz",)], "prop string")
+    q10 = {r.norm: (r.descriptor, r.stage) for r in resolve_vocabulary(df).filter("task = 'BBBP'").collect()}
+    assert q10["labuteasa"] == ("BalabanJ", "alias")
+    fixed = {r.norm: (r.descriptor, r.stage)
+             for r in resolve_vocabulary(df, exact_first=True).filter("task = 'BBBP'").collect()}
+    assert fixed["labuteasa"] == ("LabuteASA", "exact")
+    strict = {r.norm: r.stage for r in resolve_vocabulary(df, cutoff=0.9).filter("task = 'BBBP'").collect()}
+    assert strict["zzzz"] == "none"
