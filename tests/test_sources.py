@@ -59,3 +59,20 @@ def test_answer_to_string_variants(spark):
     df = spark.createDataFrame([('[{"instruction":"a","input":"b","output":false},{"instruction":"a","input":"b","output":"x"}]',)], "js string")
     rec = records.records_from_column(df, "js")
     assert [r.a for r in rec.select(records.answer_to_string(F.col("output")).alias("a")).collect()] == ["False", "x"]
+
+
+def test_tune_and_apply_oof(spark):
+    import random
+    rnd = random.Random(2)
+    rows = []
+    for i in range(160):
+        y = i % 3 != 0
+        rows.append((i, float(y), ("test", "valid", "train", "train", "train")[i % 5],
+                     rnd.gauss(2.0 if y else 0.0, 1.0), rnd.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "doc_id long, label double, split string, a double, b double")
+    grid = {"n_estimators": [10], "max_depth": [3], "min_samples_leaf": [1]}
+    for mode in ("oof",):
+        metrics, res = ml.tune_and_apply(df, ["a", "b"], grid, k=3, threshold_on=mode)
+        got = {(r.split, r.metric): r.value for r in metrics.collect()}
+        assert 0.5 < got[("test", "auc")] <= 1.0
+        assert ("valid", "threshold") in got
