@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from chemscore.functions.similarity import closest_match_udf, closest_matches_udf
 from chemscore.functions.text import normalize_name
 from chemscore.plans import dims
+from chemscore.session import materialize
 
 DEFAULT_CUTOFF = 0.1
 
@@ -38,7 +39,8 @@ def _match(name: str):
 
 
 def resolve_vocabulary(names: DataFrame, name_col: str = "prop",
-                       cutoff: float = DEFAULT_CUTOFF, exact_first: bool = False) -> DataFrame:
+                       cutoff: float = DEFAULT_CUTOFF, exact_first: bool = False,
+                       names_per_task: int = 2000, staging_dir: str | None = None) -> DataFrame:
     """Resolve every distinct normalized name for every known task.
 
     Returns ``(norm, task, descriptor, stage, matched_key, ratio)`` with one
@@ -48,6 +50,13 @@ def resolve_vocabulary(names: DataFrame, name_col: str = "prop",
     """
     spark = names.sparkSession
     words = names.select(normalize_name(F.col(name_col)).alias("norm")).distinct()
+    # The UDF is CPU-heavy per row while the name table is tiny in bytes, so
+    # AQE would coalesce it into very few tasks.  Stage the distinct names,
+    # count them and spread them over an explicit number of partitions
+    # (an explicit count is never coalesced).
+    words = materialize(words, "distinct-names", staging_dir)
+    n_words = words.count()
+    words = words.repartition(max(1, -(-n_words // names_per_task)), "norm")
 
     by_keyset: dict[tuple[str, ...], list[str]] = {}
     for t in dims.TASKS:

@@ -171,7 +171,8 @@ def prepare(completions: DataFrame, prompts: DataFrame, molecules: DataFrame, de
 def vocabulary(claim_rows: DataFrame, opts: ScoreOptions) -> DataFrame:
     """The (norm, task) -> descriptor table, written once to the checkpoint
     folder so the similarity UDF never re-runs and its size can be checked."""
-    return materialize(resolve_vocabulary(claim_rows, "prop", opts.cutoff, opts.exact_first)
+    return materialize(resolve_vocabulary(claim_rows, "prop", opts.cutoff, opts.exact_first,
+                                          staging_dir=opts.staging_dir)
                        .select("norm", "task", "descriptor", "stage", "matched_key", "ratio"),
                        "vocabulary", opts.staging_dir)
 

@@ -54,3 +54,11 @@ def test_exact_first_and_cutoff_options(spark):
     assert fixed["labuteasa"] == ("LabuteASA", "exact")
     strict = {r.norm: r.stage for r in resolve_vocabulary(df, cutoff=0.9).filter("task = 'BBBP'").collect()}
     assert strict["zzzz"] == "none"
+
+
+def test_distinct_names_are_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+    names = spark.range(0, 3000).select(F.concat(F.lit("prop"), F.col("id").cast("string")).alias("prop"))
+    v = resolve_vocabulary(names, names_per_task=500)
+    assert v.rdd.getNumPartitions() >= 6
+    assert v.count() == 3000 * len(dims.TASKS)
