@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from chemscore.operators.joins import lookup_join
 from chemscore.operators.ordering import running_totals
+from chemscore.session import materialize
 
 INF = float("inf")
 
@@ -43,6 +44,9 @@ def roc_points(df: DataFrame, score: str = "score", label: str = "label", by: Se
     y = F.col(label).cast("long")
     q = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(y).alias("tp_s"), F.sum(F.lit(1) - y).alias("fp_s"))
+    # the distinct-score table is read three times below (quantiles, bucket
+    # totals, running sums): stage it once instead of re-aggregating the rows
+    q = materialize(q, "roc-scores")
     rt = running_totals(q, by, "threshold", ["tp_s", "fp_s"], descending=True)
     return rt.select(*by, "threshold", "tp_s", "fp_s", F.col("cum_tp_s").alias("tp"), F.col("cum_fp_s").alias("fp"))
 

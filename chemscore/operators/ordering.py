@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chemscore.operators.joins import lookup_join
+from chemscore.session import materialize
 
 BUCKET = "_bucket"
 
@@ -59,6 +60,9 @@ def running_totals(df: DataFrame, by: Sequence[str], order_col: str, sums: Seque
     offsets = totals.select(*by, BUCKET,
                             *[F.coalesce(F.sum(f"_t_{s}").over(prev), F.lit(0)).alias(f"_o_{s}") for s in sums],
                             F.coalesce(F.sum("_t_n").over(prev), F.lit(0)).alias("_o_n"))
+    # staged once (groups x buckets rows at most): its size is then known and the
+    # final job does not recompute the totals inside the broadcast
+    offsets = materialize(offsets, "bucket-offsets")
     joined = lookup_join(bucketed, offsets, [*by, BUCKET], "inner")
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = (Window.partitionBy(*by, BUCKET).orderBy(o, *[F.col(t) for t in tiebreak])
