@@ -24,7 +24,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from chemscore.functions import text as X
 from chemscore.operators.joins import DEFAULT_BROADCAST_ROWS, HOT_KEY_SALTS, lookup_join
@@ -94,7 +93,11 @@ def descriptor_map(descriptors: DataFrame) -> DataFrame:
     by the number of descriptors).
     """
     if {"descriptor", "value"} <= set(descriptors.columns):
-        long = descriptors.filter(F.col("value").isNotNull())
+        # only scorable descriptors, one value per (molecule, descriptor) via a
+        # partial aggregate: each collected list has at most 31 entries
+        keep = list(dims.scorable_descriptors())
+        long = descriptors.filter(F.col("value").isNotNull() & F.col("descriptor").isin(keep))
+        long = long.groupBy("smiles", "descriptor").agg(F.max("value").alias("value"))
         return long.groupBy("smiles").agg(
             F.map_from_entries(F.collect_list(F.struct("descriptor", "value"))).alias("desc"))
     names = [c for c in descriptors.columns if c != "smiles"]
@@ -265,22 +268,24 @@ def per_completion(detail: DataFrame, opts: ScoreOptions) -> DataFrame:
 
 
 def group_advantage(scored: DataFrame, reward_col: str = "reward_total", group_col: str = "prompt_id",
-                    eps: float = 1e-4) -> DataFrame:
-    """(reward - group mean) / (group sample std + eps), over the GRPO
-    generation group of each prompt.
-
-    The scored rows are already hash partitioned on prompt_id, so the window
-    adds only a sort, no exchange, and the scoring plan runs once.  A group
-    is the generations of one prompt (``num_generations``, 8 in the trainer
-    config), so the window frame is small; the window buffer spills if not.
+                    eps: float = 1e-4, staging_dir: str | None = None, stage: bool = True) -> DataFrame:
+    """(reward - group mean) / (group sample std + eps) over the generation
+    group of each prompt.
+
+    The group statistics are partial aggregates (map-side combine), joined
+    back on the group key; the statistics side has one row per group, so even
+    a group holding a large share of all rows is never buffered by one task
+    (AQE's skew join splits its partition).  The per-completion table is
+    staged first so the scoring plan runs once for both sides.
     """
-    w = Window.partitionBy(group_col)
-    std = F.stddev_samp(reward_col).over(w)
-    return (scored.withColumn("group_mean", F.avg(reward_col).over(w))
-            .withColumn("group_std", std)
-            .withColumn("group_size", F.count(F.lit(1)).over(w))
-            .withColumn("advantage", (F.col(reward_col) - F.col("group_mean"))
-                        / (F.coalesce(F.col("group_std"), F.lit(0.0)) + F.lit(eps))))
+    if stage:
+        scored = materialize(scored, "scored-completions", staging_dir)
+    stats = scored.groupBy(group_col).agg(F.avg(reward_col).alias("group_mean"),
+                                          F.stddev_samp(reward_col).alias("group_std"),
+                                          F.count(F.lit(1)).alias("group_size"))
+    out = scored.join(stats, group_col, "inner")
+    return out.withColumn("advantage", (F.col(reward_col) - F.col("group_mean"))
+                          / (F.coalesce(F.col("group_std"), F.lit(0.0)) + F.lit(eps)))
 
 
 def score_completions(completions: DataFrame, prompts: DataFrame, molecules: DataFrame,
@@ -290,7 +295,7 @@ def score_completions(completions: DataFrame, prompts: DataFrame, molecules: Dat
     opts = opts or ScoreOptions()
     base, vocab = prepare(completions, prompts, molecules, descriptors, opts)
     scored = per_completion(claim_detail(base, opts, vocab=vocab), opts)
-    return group_advantage(scored, eps=opts.eps) if with_group_advantage else scored
+    return group_advantage(scored, eps=opts.eps, staging_dir=opts.staging_dir) if with_group_advantage else scored
 
 
 def reward_summary(scored: DataFrame) -> DataFrame:

@@ -149,3 +149,12 @@ def test_duplicate_claim_keeps_advantage_in_range(spark):
     row = out.agg(F.min("reward_advantage").alias("lo"), F.max("reward_advantage").alias("hi"),
                   F.count(F.lit(1)).alias("n")).first()
     assert 0.0 <= row.lo and row.hi <= 1.0 and row.n == c.count()
+
+
+def test_long_and_wide_descriptors_score_alike(spark):
+    c, p, m, d = (view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide"))
+    long = R.descriptors_long(d)
+    long = long.unionByName(long)  # duplicated rows must not change anything
+    a = R.score_completions(c, p, m, long, with_group_advantage=False).select("prompt_id", "gen_idx", "reward_advantage")
+    b = R.score_completions(c, p, m, d, with_group_advantage=False).select("prompt_id", "gen_idx", "reward_advantage")
+    assert sorted(a.collect()) == sorted(b.collect())
