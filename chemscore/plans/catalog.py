@@ -608,3 +608,96 @@ def q_smote_oversample(spark, sf):
     out = smote(data, FEATURES, "label", "doc_id", k=5, seed=196)
     return out.select("i", "base_id", "nn_id", r6(F.col("gap")).alias("gap"),
                       *[r6(F.col(f)).alias(f) for f in FEATURES], "label")
+
+
+# ----- sources, sinks, streams and the reward surface as registered queries -------------------
+# Each reads the given tables; file-based steps first stage Spark-derived data
+# under the checkpoint folder (a shared folder on a cluster).
+
+def _staging(spark, label: str) -> str:
+    import uuid
+
+    from chemscore.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/chemscore-{label}-{uuid.uuid4().hex}"
+
+
+@query("csv_scan")
+def q_csv_scan(spark, sf):
+    """Labelled document features written as a header CSV (label as text),
+    read back with an explicit schema and the P4 label cast."""
+    from chemscore.sources import files
+    path = _staging(spark, "csv")
+    lab = table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, F.lit("True"))
+                                            .otherwise(F.lit("False")).alias("p_np"))
+    lab.join(doc_features(spark, sf), "doc_id").select("doc_id", "n_chars", "n_words", "n_lines", "p_np") \
+        .write.option("header", "true").csv(path)
+    df = files.read_csv(spark, path, "doc_id BIGINT, n_chars DOUBLE, n_words DOUBLE, n_lines DOUBLE, p_np STRING")
+    return df.select("doc_id", "n_chars", "n_words", "n_lines", F.col("label").cast("long").alias("label"))
+
+
+@query("metrics_sink")
+def q_metrics_sink(spark, sf):
+    """The ROC points written as a parquet metric table and read back."""
+    from chemscore.operators import metrics as M
+    from chemscore.sources import files
+    path = _staging(spark, "roc-points")
+    files.write_metrics(M.roc_curve(eval_input(spark, sf)), path)
+    out = spark.read.parquet(path)
+    return out.select("threshold", "tp", "fp", r6(F.col("tpr")).alias("tpr"), r6(F.col("fpr")).alias("fpr"))
+
+
+@query("model_save_load")
+def q_model_save_load(spark, sf):
+    """S3: a fitted forest saved as a PipelineModel directory, loaded, and used to score."""
+    from pyspark.ml import Pipeline
+
+    from chemscore.operators import ml
+    from chemscore.sources import files
+    data = learning_input(spark, sf)
+    model = Pipeline(stages=[ml.assembler(FEATURES), ml.forest().setNumTrees(10).setMaxDepth(5)]) \
+        .fit(data.filter(F.col("split") != "test"))
+    path = _staging(spark, "model")
+    files.save_model(model, path)
+    out = ml.positive_probability(files.load_model(path).transform(data))
+    return out.select("doc_id", "split", r6(F.col("prob")).alias("prob"), F.col("prediction").cast("long").alias("pred"))
+
+
+@query("reward_registry")
+def q_reward_registry(spark, sf):
+    """the registered text rewards applied through the reward surface."""
+    from chemscore.functions.registry import apply_rewards, builtin_rewards
+    c, p, _, _ = scoring_inputs(spark, sf)
+    j = c.join(p.select("prompt_id", "answer"), "prompt_id")
+    out = apply_rewards(j, builtin_rewards("completion", "answer"))
+    return out.select("prompt_id", "gen_idx", "reward_format", "reward_correctness", "reward_choices",
+                      r6(F.col("reward_total")).alias("reward_total"))
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    """ST1: completions (derived from lineitem) arrive as files; the stream is
+    run to completion (availableNow) and its sink table returned."""
+    from chemscore.streaming import scoring as ST
+    c, p, m, d = scoring_inputs(spark, sf)
+    src = _staging(spark, "stream-in")
+    c.write.parquet(src)
+    sink, ck = _staging(spark, "stream-out"), _staging(spark, "stream-ckpt")
+    ST.stream_score(spark, src, p, m, d, sink, ck).awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select("prompt_id", "gen_idx", "reward_format", "reward_correctness", "reward_choices",
+                      r6(F.col("reward_advantage")).alias("reward_advantage"),
+                      r6(F.col("reward_total")).alias("reward_total"), "skip_reason")
+
+
+@query("stream_reward_metrics")
+def q_stream_reward_metrics(spark, sf):
+    """ST2: events arrive as files; watermarked one-hour windows in append mode.
+    Windows still open when the input ends are not emitted (append semantics)."""
+    from chemscore.streaming import scoring as ST
+    src = _staging(spark, "events-in")
+    table(spark, sf, "events").select("ts", "value", F.col("event_type").alias("task")).write.parquet(src)
+    sink, ck = _staging(spark, "metrics-out"), _staging(spark, "metrics-ckpt")
+    ST.stream_reward_metrics(spark, src, "ts TIMESTAMP_NTZ, value DOUBLE, task STRING", sink, ck).awaitTermination()
+    out = spark.read.parquet(sink)
+    return out.select("window_start", "window_end", "task", "n", r6(F.col("mean")).alias("mean"),
+                      r6(F.col("std")).alias("std"), r6(F.col("min")).alias("min"), r6(F.col("max")).alias("max"))

@@ -348,3 +348,24 @@ SELECT g.i, b.doc_id AS base_id, nn.nn_id, round(g.gap, 6) AS gap,
   round(b.n_lines + g.gap * (o.n_lines - b.n_lines), 6) AS n_lines, b.label
 FROM g JOIN m b ON b.idx = g.base_idx JOIN nn ON nn.base_id = b.doc_id AND nn.nn_rank = g.nn_rank
 JOIN m o ON o.doc_id = nn.nn_id""")
+
+# ----- sources / sinks / reward surface / stream -------------------------------------------------------
+oracle("csv_scan", """SELECT l.doc_id, d.n_chars::DOUBLE AS n_chars, len(string_split(d.text, ' '))::DOUBLE AS n_words,
+  len(string_split(d.text, chr(10)))::DOUBLE AS n_lines, CAST(l.quality AS BIGINT) AS label
+  FROM labels l JOIN documents d USING (doc_id)""")
+oracle("metrics_sink", ORACLES["roc_curve"])
+oracle("reward_registry", duckdb_ctes("completions", "prompts") + f"""SELECT prompt_id, gen_idx, {R1('completion')} AS reward_format,
+  CASE WHEN contains({ANSWER('completion')}, answer) THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS reward_correctness,
+  {R3('completion')} AS reward_choices,
+  round({R1('completion')} + CASE WHEN contains({ANSWER('completion')}, answer) THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END
+        + {R3('completion')}, 6) AS reward_total
+  FROM completions JOIN prompts USING (prompt_id)""")
+oracle("stream_score", SCORING + """SELECT prompt_id, gen_idx, reward_format, reward_correctness, reward_choices,
+  round(reward_advantage, 6) AS reward_advantage, round(reward_total, 6) AS reward_total, skip_reason FROM sc2""")
+# append mode emits the windows the watermark (max event time - 1 hour) has closed
+oracle("stream_reward_metrics", """WITH b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, event_type AS task, value FROM events),
+wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
+  task, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+  round(min(value), 6) AS min, round(max(value), 6) AS max
+FROM b, wm WHERE ws + INTERVAL 1 HOUR <= wm.wm GROUP BY ws, task""")
