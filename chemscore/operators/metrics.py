@@ -23,11 +23,10 @@ from chemscore.session import materialize
 INF = float("inf")
 
 
-def _with_totals(pts: DataFrame, df: DataFrame, label: str, by: list[str]) -> DataFrame:
+def _with_totals(pts: DataFrame, tot: DataFrame, by: list[str]) -> DataFrame:
     """Attach the class totals P and N: an equi-join on the group keys, or for
     an ungrouped call the two totals as literals (one aggregated row fetched;
     a join on a constant key would be planned as a cartesian product)."""
-    tot = class_totals(df, label, by)
     if by:
         return lookup_join(pts, tot, by, "inner")
     row = tot.first()
@@ -40,6 +39,12 @@ def roc_points(df: DataFrame, score: str = "score", label: str = "label", by: Se
     """E4 core: one row per (group, distinct score), descending, with the counts
     at that score (``tp_s``, ``fp_s``) and cumulative counts at threshold = score
     (``tp``, ``fp``: rows with score >= threshold)."""
+    return _roc_tables(df, score, label, by)[0]
+
+
+def _roc_tables(df: DataFrame, score: str, label: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(points, class totals); the totals come from the staged distinct-score
+    table, not from another pass over the rows."""
     by = list(by)
     y = F.col(label).cast("long")
     q = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
@@ -48,7 +53,9 @@ def roc_points(df: DataFrame, score: str = "score", label: str = "label", by: Se
     # totals, running sums): stage it once instead of re-aggregating the rows
     q = materialize(q, "roc-scores")
     rt = running_totals(q, by, "threshold", ["tp_s", "fp_s"], descending=True)
-    return rt.select(*by, "threshold", "tp_s", "fp_s", F.col("cum_tp_s").alias("tp"), F.col("cum_fp_s").alias("fp"))
+    pts = rt.select(*by, "threshold", "tp_s", "fp_s", F.col("cum_tp_s").alias("tp"), F.col("cum_fp_s").alias("fp"))
+    tot = q.groupBy(*by).agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
+    return pts, tot
 
 
 def class_totals(df: DataFrame, label: str = "label", by: Sequence[str] = ()) -> DataFrame:
@@ -60,14 +67,15 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label", by: Seq
     """(group, threshold, tp, fp, tpr, fpr) for every distinct score plus the
     (+inf, 0, 0) start point; tpr/fpr are NULL when a class is absent."""
     by = list(by)
-    pts = roc_points(df, score, label, by).select(*by, "threshold", "tp", "fp")
+    pts, tot = _roc_tables(df, score, label, by)
+    pts = pts.select(*by, "threshold", "tp", "fp")
     if by:
-        start = df.select(*by).distinct()
+        start = tot.select(*by)
     else:
         start = pts.sparkSession.range(1).select()
     start = start.select(*by, F.lit(INF).alias("threshold"), F.lit(0).cast("long").alias("tp"),
                          F.lit(0).cast("long").alias("fp"))
-    j = _with_totals(pts.unionByName(start), df, label, by)
+    j = _with_totals(pts.unionByName(start), tot, by)
     return j.select(*by, "threshold", "tp", "fp",
                     (F.col("tp") / F.nullif(F.col("P"), F.lit(0))).alias("tpr"),
                     (F.col("fp") / F.nullif(F.col("N"), F.lit(0))).alias("fpr"))
@@ -92,7 +100,8 @@ def youden_threshold(df: DataFrame, score: str = "score", label: str = "label",
     descending curve, i.e. the highest threshold among ties; +inf when no
     point beats the origin."""
     by = list(by)
-    j = _with_totals(roc_points(df, score, label, by), df, label, by)
+    pts, tot = _roc_tables(df, score, label, by)
+    j = _with_totals(pts, tot, by)
     gain = F.col("tp") * F.col("N") - F.col("fp") * F.col("P")
     best = j.groupBy(*by).agg(F.max(F.struct(gain.alias("g"), F.col("threshold").alias("t"))).alias("b"))
     # the origin (+inf, 0, 0) has gain 0 and comes first, so it wins unless beaten
