@@ -86,3 +86,15 @@ def test_weights_confusion_cast(spark):
 def test_cv_best_ties_go_to_first(spark):
     df = spark.createDataFrame([("p2", .8), ("p1", .8), ("p3", .1)], "param string, auc double")
     assert M.cv_best(df).first().param == "p1"
+
+
+def test_grouped_roc_curve_and_threshold(spark):
+    df = spark.createDataFrame([("a", 1, .9), ("a", 0, .8), ("a", 1, .8), ("a", 0, .1), ("b", 1, .5), ("b", 0, .7)],
+                               "g string, label int, score double")
+    pts = {}
+    for r in M.roc_curve(df, by=["g"]).collect():
+        pts.setdefault(r.g, []).append((r.threshold, r.fpr, r.tpr))
+    assert sorted(pts["a"], reverse=True) == [(float("inf"), 0.0, 0.0), (.9, 0.0, .5), (.8, .5, 1.0), (.1, 1.0, 1.0)]
+    assert sorted(pts["b"], reverse=True) == [(float("inf"), 0.0, 0.0), (.7, 1.0, 0.0), (.5, 1.0, 1.0)]
+    th = {r.g: r.threshold for r in M.youden_threshold(df, by=["g"]).collect()}
+    assert th == {"a": .9, "b": float("inf")}
