@@ -36,52 +36,102 @@ def _dist2(features: Sequence[str], a: str, b: str):
     return expr
 
 
-def exact_knn(points: DataFrame, features: Sequence[str], id_col: str = "id", k: int = 5,
-              max_grid_dims: int = 3) -> DataFrame:
-    """(id, nn_rank 1..k, nn_id, dist2) for every row of ``points``."""
-    feats = list(features)
-    stats = points.agg(*[F.min(f).alias(f"lo_{f}") for f in feats],
-                       *[F.max(f).alias(f"hi_{f}") for f in feats], F.count(F.lit(1)).alias("n")).first()
-    n = stats["n"]
-    ranges = {f: float(stats[f"hi_{f}"] - stats[f"lo_{f}"]) for f in feats}
-    grid = [f for f in sorted(feats, key=lambda f: -ranges[f]) if ranges[f] > 0][:max_grid_dims]
-    span = max([ranges[f] for f in grid], default=0.0)
-    pts = points.select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(f) for f in feats])
-    if not grid:  # every row identical: neighbours by id only
-        span, grid = 1.0, feats[:1]
+def _nearest_vectors(queries: DataFrame, vectors: DataFrame, feats: list[str], grid: list[str],
+                     span: float, n_vec: int) -> DataFrame:
+    """For each query vector (vid, need, feats) the nearest other distinct vectors
+    (vid, weight, feats) until their weights cover ``need``, ties included:
+    rows (q_vid, c_vid, dist2).  Grid refinement from fine to coarse cells."""
     m = len(grid)
-    # start near the mean spacing; each level doubles the cell width
-    h = span / max(1.0, math.ceil(max(n, 1) ** (1.0 / m)))
+    h = span / float(2 ** max(1, math.ceil(math.log2(max(n_vec, 2)))))
     offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=m)]
-    pending = pts
+    pending = queries
     done: DataFrame | None = None
     while True:
         last = h >= span
         cell = [F.floor(F.col(g) / F.lit(h)).cast("long") for g in grid]
-        data = pts.select(F.struct(*[F.col(c) for c in pts.columns]).alias("d"),
-                          *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-        q = pending.select(F.struct(*[F.col(c) for c in pts.columns]).alias("q"),
+        data = vectors.select(F.struct("vid", "weight", *feats).alias("d"),
+                              *[c.alias(f"c{i}") for i, c in enumerate(cell)])
+        q = pending.select(F.struct("vid", "need", *feats).alias("q"),
                            F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])).alias("off"),
                            *[c.alias(f"b{i}") for i, c in enumerate(cell)])
         q = q.select("q", *[(F.col(f"b{i}") + F.col("off").getItem(i)).alias(f"c{i}") for i in range(m)])
-        cand = q.join(data, [f"c{i}" for i in range(m)], "inner").filter(F.col("q.id") != F.col("d.id"))
-        cand = cand.select(F.col("q.id").alias("id"), F.col("d.id").alias("nn_id"),
+        cand = q.join(data, [f"c{i}" for i in range(m)], "inner").filter(F.col("q.vid") != F.col("d.vid"))
+        cand = cand.select(F.col("q.vid").alias("q_vid"), F.col("q.need").alias("need"),
+                           F.col("d.vid").alias("c_vid"), F.col("d.weight").alias("weight"),
                            _dist2(feats, "q", "d").alias("dist2"))
-        w = Window.partitionBy("id").orderBy("dist2", "nn_id")
-        ranked = cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
-        kth = ranked.groupBy("id").agg(F.count(F.lit(1)).alias("got"), F.max("dist2").alias("kd2"))
-        ok = kth.filter((F.col("got") >= k) & (F.col("kd2") <= F.lit(h * h))) if not last else kth
-        res = materialize(ranked.join(ok.select("id"), "id", "left_semi"), "knn-level")
+        # cumulative weight in (distance, id) order; the covering distance is the
+        # distance at which the weights first reach ``need``
+        w = Window.partitionBy("q_vid").orderBy("dist2", "c_vid").rowsBetween(Window.unboundedPreceding, 0)
+        cand = cand.withColumn("cum", F.sum("weight").over(w))
+        cover = cand.filter(F.col("cum") >= F.col("need")).groupBy("q_vid").agg(F.min("dist2").alias("cover2"))
+        if last:
+            # the block holds every vector: keep what covers, or all when too few exist
+            cover_all = cand.groupBy("q_vid").agg(F.max("dist2").alias("max2"))
+            cover = cover_all.join(cover, "q_vid", "left").select(
+                "q_vid", F.coalesce("cover2", "max2").alias("cover2"))
+        else:
+            cover = cover.filter(F.col("cover2") <= F.lit(h * h))
+        res = cand.join(cover, "q_vid", "inner").filter(F.col("dist2") <= F.col("cover2")) \
+            .select("q_vid", "c_vid", "dist2")
+        res = materialize(res, "knn-level")
         done = res if done is None else done.unionByName(res)
         if last:
             break
-        pending = materialize(pending.join(res.select("id").distinct(), "id", "left_anti"), "knn-pending")
+        pending = materialize(pending.join(res.select(F.col("q_vid").alias("vid")).distinct(), "vid", "left_anti"),
+                              "knn-pending")
         if pending.isEmpty():
             break
         h *= 2.0
     return done
 
 
+def exact_knn(points: DataFrame, features: Sequence[str], id_col: str = "id", k: int = 5,
+              max_grid_dims: int = 3) -> DataFrame:
+    """(id, nn_rank 1..k, nn_id, dist2) for every row of ``points``; neighbours
+    ordered by (squared distance, id), the row itself excluded.
+
+    Identical rows are collapsed first: a row's duplicates are its nearest
+    neighbours (distance 0), and they come from the first k+1 members of its
+    vector by id, a bounded fan-out even when one vector holds a third of all
+    rows.  Only vectors with at most k copies need other vectors; those are
+    found by the grid search over distinct vectors."""
+    feats = list(features)
+    pts = points.select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(f) for f in feats])
+    vectors = pts.groupBy(*feats).agg(F.count(F.lit(1)).alias("mult"), F.min("id").alias("vid"))
+    vectors = materialize(vectors, "knn-vectors")
+    member = materialize(pts.join(vectors.select(*feats, "vid", "mult"), feats, "inner").select("id", "vid", "mult"),
+                         "knn-members")
+    ranked = running_totals(member.select("id", "vid"), ["vid"], "id", row_number="r")
+    first = materialize(ranked.filter(F.col("r") <= k + 1).select("vid", F.col("id").alias("nn_id"), "r"),
+                        "knn-first")
+
+    dup = member.select("id", "vid").join(first, "vid").filter(F.col("nn_id") != F.col("id")) \
+        .select("id", "nn_id", F.lit(0.0).alias("dist2"))
+
+    stats = vectors.agg(*[F.min(f).alias(f"lo_{f}") for f in feats],
+                        *[F.max(f).alias(f"hi_{f}") for f in feats], F.count(F.lit(1)).alias("n")).first()
+    ranges = {f: float(stats[f"hi_{f}"] - stats[f"lo_{f}"]) for f in feats}
+    grid = [f for f in sorted(feats, key=lambda f: -ranges[f]) if ranges[f] > 0][:max_grid_dims]
+    parts = [dup]
+    if grid and stats["n"] > 1:
+        span = max(ranges[f] for f in grid)
+        queries = vectors.filter(F.col("mult") <= k).select(
+            "vid", (F.lit(k) - (F.col("mult") - F.lit(1))).alias("need"), *feats)
+        data = vectors.select("vid", F.least(F.col("mult"), F.lit(k)).alias("weight"), *feats)
+        near = _nearest_vectors(queries, data, feats, grid, span, stats["n"])
+        # members of the (small) query vectors x members of their near vectors
+        qm = member.filter(F.col("mult") <= k).select("id", F.col("vid").alias("q_vid"))
+        other = qm.join(near, "q_vid").join(first.filter(F.col("r") <= k).select(F.col("vid").alias("c_vid"), "nn_id"),
+                                            "c_vid").select("id", "nn_id", "dist2")
+        parts.append(other)
+    cand = parts[0]
+    for p_ in parts[1:]:
+        cand = cand.unionByName(p_)
+    w = Window.partitionBy("id").orderBy("dist2", "nn_id")
+    return cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k) \
+        .select("id", "nn_rank", "nn_id", "dist2")
+
+
 def smote(df: DataFrame, features: Sequence[str], label: str = "label", id_col: str = "doc_id",
           k: int = 5, seed: int = 196) -> DataFrame:
     """Synthetic minority rows ``(i, base_id, nn_id, gap, <features>, label)``."""

@@ -19,7 +19,8 @@ def test_knn_matches_brute_force_with_clusters_and_ties(spark):
     rnd = random.Random(5)
     pts = [(i, float(rnd.randint(0, 1000)), float(rnd.randint(0, 50)), float(rnd.randint(0, 3))) for i in range(150)]
     pts += [(1000 + i, 500.0 + rnd.random(), 20.0, 1.0) for i in range(40)]   # a dense cluster
-    pts += [(2000 + i, 7.0, 7.0, 7.0) for i in range(4)]                        # exact duplicates
+    pts += [(2000 + i, 7.0, 7.0, 7.0) for i in range(4)]                        # a few exact duplicates
+    pts += [(3000 + i, 300.0, 10.0, 2.0) for i in range(12)]                    # a hot duplicate vector
     df = spark.createDataFrame(pts, "id long, a double, b double, c double")
     got = {}
     for r in exact_knn(df, ["a", "b", "c"], "id", 5).collect():
