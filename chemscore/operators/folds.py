@@ -67,8 +67,14 @@ def balanced_weights(df: DataFrame, label: str = "label", out: str = "weight") -
     return lookup_join(df, cls, [label], "left")
 
 
-def cast_label(c) -> Column:
+def cast_label(c, strict: bool = True) -> Column:
     """``astype(int)`` of a label read as text: booleans (``True``/``False``,
-    ``0``/``1``) or numbers (``0.0``/``1.0``); NULL when neither parses."""
+    ``0``/``1``) or numbers (``0.0``/``1.0``).  A value that is neither fails
+    the job, as ``astype(int)`` does; ``strict=False`` yields NULL instead."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(col.try_cast("boolean").cast("int"), col.try_cast("double").cast("int"))
+    out = F.coalesce(col.try_cast("boolean").cast("int"), col.try_cast("double").cast("int"))
+    if not strict:
+        return out
+    return F.when(out.isNull(), F.raise_error(F.concat(F.lit("label is not a boolean or a number: "),
+                                                       F.coalesce(col.cast("string"), F.lit("NULL"))))
+                  ).otherwise(out)

@@ -80,7 +80,10 @@ def test_weights_confusion_cast(spark):
     cc = {r.label: r for r in M.confusion_counts(pr).collect()}
     assert (cc[1].tp, cc[1].fn, cc[0].tp, cc[0].fp) == (1, 1, 2, 1)
     t = spark.createDataFrame([("True",), ("0.0",), ("1",), ("x",)], "s string")
-    assert [r.v for r in t.select(FO.cast_label("s").alias("v")).collect()] == [1, 0, 1, None]
+    assert [r.v for r in t.select(FO.cast_label("s", strict=False).alias("v")).collect()] == [1, 0, 1, None]
+    import pytest
+    with pytest.raises(Exception):
+        t.select(FO.cast_label("s").alias("v")).collect()
 
 
 def test_cv_best_ties_go_to_first(spark):
