@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chemscore.session import materialize
+
 # Rows a lookup side may have before we stop broadcasting it.  Each side we
 # broadcast is narrow (a few short columns), so 2M rows stays well under the
 # default 8 GB broadcast limit and far under executor memory.
@@ -17,12 +19,14 @@ HOT_KEY_SALTS = 32
 def lookup_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner",
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                 salts: int = 0, dim_rows: int | None = None,
-                salt_by: Sequence[str] | None = None) -> DataFrame:
+                salt_by: Sequence[str] | None = None, stage: bool = True) -> DataFrame:
     """N:1 join of a large table to a lookup table whose size is data dependent.
 
-    The lookup side is counted (callers pass a checkpointed or cheap ``dim`` so
-    this is one small job); when it fits under ``max_broadcast_rows`` it is
-    broadcast and the large side is not shuffled at all.  Beyond that:
+    The lookup side is staged once (``stage``; callers holding an already
+    written table pass ``stage=False``) so that counting it is a metadata read
+    and the join does not recompute it; when it fits under
+    ``max_broadcast_rows`` it is broadcast and the large side is not shuffled
+    at all.  Beyond that:
 
     * ``salts > 1`` (callers that know some keys are hot, e.g. a few claimed
       property names carry most claims): a shuffle join on salted keys.  Each
@@ -37,6 +41,8 @@ def lookup_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "i
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join supports inner/left/semi/anti, not {how!r}")
+    if dim_rows is None and stage:
+        dim = materialize(dim, "lookup")
     n = dim.count() if dim_rows is None else dim_rows
     if n <= max_broadcast_rows:
         return big.join(F.broadcast(dim), list(on), how)

@@ -63,7 +63,7 @@ def running_totals(df: DataFrame, by: Sequence[str], order_col: str, sums: Seque
     # staged once (groups x buckets rows at most): its size is then known and the
     # final job does not recompute the totals inside the broadcast
     offsets = materialize(offsets, "bucket-offsets")
-    joined = lookup_join(bucketed, offsets, [*by, BUCKET], "inner")
+    joined = lookup_join(bucketed, offsets, [*by, BUCKET], "inner", stage=False)
     o = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = (Window.partitionBy(*by, BUCKET).orderBy(o, *[F.col(t) for t in tiebreak])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))

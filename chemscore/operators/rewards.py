@@ -202,7 +202,7 @@ def claim_detail(base: DataFrame, opts: ScoreOptions, keep_unclaimed: bool = Tru
         vocab = vocabulary(rows.filter(F.col("prop").isNotNull()).select("prop"), opts)
     # a handful of names carry most claims: salt if the vocabulary is too big to broadcast
     rows = lookup_join(rows, vocab.drop("ratio"), ["norm", "task"], "left", opts.max_broadcast_rows,
-                       salts=HOT_KEY_SALTS, salt_by=["prompt_id", "gen_idx", "claim_pos"])
+                       salts=HOT_KEY_SALTS, salt_by=["prompt_id", "gen_idx", "claim_pos"], stage=False)
     ranges = F.broadcast(dims.ranges_df(spark))
     rows = rows.join(ranges, ["task", "descriptor"], "left")
     scorable = F.broadcast(dims.scorable_df(spark).withColumn("has_function", F.lit(True)))
