@@ -108,8 +108,9 @@ def materialize(df, label: str = "table", staging_dir: str | None = None):
     if staging_dir:
         path = f"{staging_dir.rstrip('/')}/{label}"
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/chemscore-{label}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    else:
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        path = f"{base}/chemscore-{label}-{uuid.uuid4().hex}"
+        df.write.mode("error").parquet(path)
+    # the schema is known: no footer-reading inference job on read-back
+    return spark.read.schema(df.schema).parquet(path)
