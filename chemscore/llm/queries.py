@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from chemscore.llm import bpe, token_counts
+from chemscore.llm import bpe, token_counts, token_files
 from chemscore.llm.common import table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -16,12 +16,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path(BPE_FILE), limit=512)
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                  public_tokenizers.path(BPE_FILE), end_id=2)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BPE_FILE))
 
 
 QUERIES = {f.__name__: f for f in (
-    op4_token_counts, op10_bpe,
+    op4_token_counts, op6_token_files, op10_bpe,
 )}
 
 ORACLES: dict[str, str] = {}
