@@ -9,6 +9,7 @@ from chemscore.llm import (
     bpe, decontaminate, license_scan, near_dups, secret_scan, token_counts, token_files, topk, toxicity, url_filter,
 )
 from chemscore.llm.common import table
+from chemscore.llm.oracles import ORACLES  # noqa: F401 - read by __spark_entry__.py
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -66,5 +67,3 @@ QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_url_filter, op3_top_k, op4_token_counts, op5_license_scan, op6_token_files,
     op7_secret_scan, op8_toxicity, op9_near_duplicates, op10_bpe,
 )}
-
-ORACLES: dict[str, str] = {}
