@@ -61,7 +61,8 @@ def _scores(candidates: np.ndarray, queries: np.ndarray) -> np.ndarray:
 class _Chunk:
     """A bounded chunk of queries: ids, matrix by dimension, and each query's range."""
 
-    def __init__(self, rows: list):
+    def __init__(self, rows: list, bins: int = BINS):
+        self.bins = bins
         self.ids = np.array([r.vec_id for r in rows], dtype=np.int64)
         vectors = [np.floor(SCALE * np.array(r.embedding, dtype=np.float64)) for r in rows]
         self.by_dim = {}
@@ -71,7 +72,7 @@ class _Chunk:
         norm = np.array([np.abs(v).sum() for v in vectors])
         top = norm.astype(object) * LARGEST + 1               # no score is beyond |q|_1 times the largest component
         self.low = np.array([-int(t) for t in top], dtype=np.int64)
-        self.width = np.array([-(-2 * int(t) // BINS) for t in top], dtype=np.int64)
+        self.width = np.array([-(-2 * int(t) // bins) for t in top], dtype=np.int64)
         self.above = np.zeros(len(rows), dtype=np.int64)
         self.done = np.zeros(len(rows), dtype=bool)
 
@@ -90,11 +91,11 @@ _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", p
 
 def _histogram(chunk: _Chunk, k: int):
     def run(batches):
-        counts = np.zeros((len(chunk.ids), BINS), dtype=np.int64)
+        counts = np.zeros((len(chunk.ids), chunk.bins), dtype=np.int64)
         for _, _, at, scores, own in chunk.blocks(batches):
             bins = (scores - chunk.low[at]) // chunk.width[at]
-            use = (bins >= 0) & (bins < BINS) & ~own & ~chunk.done[at]
-            places = (at * BINS + np.where(use, bins, 0))[use]
+            use = (bins >= 0) & (bins < chunk.bins) & ~own & ~chunk.done[at]
+            places = (at * chunk.bins + np.where(use, bins, 0))[use]
             counts += np.bincount(places, minlength=counts.size).reshape(counts.shape)
         # No bin under a task's own k-th score can hold the k-th score of all.
         higher = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
@@ -143,13 +144,14 @@ def _refine(candidates: DataFrame, chunk: _Chunk, k: int) -> None:
             chunk.low[q] += hit.bin * chunk.width[q]
             chunk.above[q] += hit.cum - hit.n
             chunk.done[q] = chunk.width[q] == 1 or hit.cum <= need + k
-            chunk.width[q] = -(-chunk.width[q] // BINS)
+            chunk.width[q] = -(-chunk.width[q] // chunk.bins)
         for q in range(len(chunk.ids)):
             if q not in seen:
                 chunk.done[q] = True
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk_queries: int = CHUNK_QUERIES) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk_queries: int = CHUNK_QUERIES,
+          bins: int = BINS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest integer inner
     products of every query over all rows of ``vectors`` but its own.
 
@@ -173,7 +175,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk_queries: int
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == c).orderBy("vec_id").collect()
         if not rows:
             continue
-        chunk = _Chunk(rows)
+        chunk = _Chunk(rows, bins)
         _refine(candidates, chunk, k)
         state = vectors.sparkSession.sparkContext.broadcast(chunk)
         found.append(stage(candidates.mapInArrow(lambda it, s=state: _hits(s.value, k)(it),

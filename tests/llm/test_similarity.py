@@ -24,8 +24,7 @@ def top_k_brute(rows, queries, k):
 
 
 @pytest.mark.parametrize("chunk,bins", [(8192, 256), (2, 4)])
-def test_top_k(spark, monkeypatch, chunk, bins):
-    monkeypatch.setattr(topk, "BINS", bins)
+def test_top_k(spark, chunk, bins):
     r = random.Random(9)
     rows = [(i, [r.choice([-0.5, 0.25, 0.1, 1.0]) for _ in range(4)]) for i in range(120)]      # many ties
     rows += [(200 + i, [0.25] * 4) for i in range(40)] + [(None, [1.0] * 4), (300, None), (301, [1.0, None, 0.0, 0.0]),
@@ -35,7 +34,7 @@ def test_top_k(spark, monkeypatch, chunk, bins):
     queries = df.where("vec_id % 50 = 0 or vec_id in (304, 306, 302)")
     finite = [(i, None if v and any(x is not None and abs(x) > 1e30 for x in v) else v) for i, v in rows]
     want = top_k_brute(finite, {0, 50, 100, 200, 250, 300, 304, 306, 302}, 5)
-    assert lines(topk.top_k(df, queries, 5, chunk)) == sorted(want, key=str)
+    assert lines(topk.top_k(df, queries, 5, chunk, bins)) == sorted(want, key=str)
     assert topk.top_k(df.limit(0), queries.limit(0)).count() == 0
 
 
