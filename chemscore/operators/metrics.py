@@ -102,11 +102,13 @@ def youden_threshold(df: DataFrame, score: str = "score", label: str = "label",
     by = list(by)
     pts, tot = _roc_tables(df, score, label, by)
     j = _with_totals(pts, tot, by)
-    gain = F.col("tp") * F.col("N") - F.col("fp") * F.col("P")
+    # DECIMAL(38,0): counts of billions would overflow a BIGINT product
+    dec = "decimal(19,0)"
+    gain = (F.col("tp").cast(dec) * F.col("N").cast(dec) - F.col("fp").cast(dec) * F.col("P").cast(dec)).cast("decimal(38,0)")
     best = j.groupBy(*by).agg(F.max(F.struct(gain.alias("g"), F.col("threshold").alias("t"))).alias("b"))
     # the origin (+inf, 0, 0) has gain 0 and comes first, so it wins unless beaten
     return best.select(*by, F.when(F.col("b.g") > 0, F.col("b.t")).otherwise(F.lit(INF)).alias("threshold"),
-                       F.greatest(F.col("b.g"), F.lit(0)).alias("gain"))
+                       F.greatest(F.col("b.g"), F.lit(0).cast("decimal(38,0)")).alias("gain"))
 
 
 def apply_threshold(df: DataFrame, threshold: float, score: str = "score", out: str = "pred") -> DataFrame:
@@ -155,10 +157,11 @@ def cv_best(fold_scores: DataFrame, param: str = "param", score: str = "auc") ->
     """Mean score over folds per parameter setting and the best setting;
     ties go to the first in grid order (the smallest ``param``).  Both steps
     are partial aggregates; the per-setting table is as large as the grid."""
-    means = fold_scores.groupBy(param).agg(F.avg(score).alias("mean_score"), F.count(score).alias("n_folds"))
-    # means are compared at 1e-9 so floating noise in the averages cannot break a tie
-    order = F.struct((-F.round(F.col("mean_score"), 9)).alias("m"), F.col(param).alias("p"))
+    # exact decimal sums: means are compared unrounded, and the order of rows cannot break a tie
+    means = fold_scores.groupBy(param).agg(F.avg(F.col(score).cast("decimal(28,18)")).alias("mean_score"))
     # a setting whose folds all lack a class has no mean; it cannot win
-    return means.filter(F.col("mean_score").isNotNull()).agg(F.min_by(F.col(param), order).alias(param),
-                     F.max("mean_score").alias("mean_score"),
-                     F.count(F.lit(1)).alias("n_settings"))
+    best = F.struct((-F.col("mean_score")).alias("m"), F.col(param).alias("p"))
+    return means.filter(F.col("mean_score").isNotNull()).agg(
+        F.min_by(F.col(param), best).alias(param),
+        F.min_by(F.col("mean_score"), best).cast("double").alias("mean_score"),
+        F.count(F.lit(1)).alias("n_settings"))

@@ -27,6 +27,16 @@ def registry_resolve(spark) -> DataFrame:
     return dims.registry_df(spark).select("key", F.col("descriptor").alias("canonical"), "is_function")
 
 
+def spread_words(words: DataFrame, word_col: str, names_per_task: int = 2000,
+                 staging_dir: str | None = None) -> DataFrame:
+    """Distinct names, dealt over tasks for the similarity UDF.  It is CPU-heavy
+    per row while the name table is tiny in bytes, so AQE would coalesce it
+    into very few tasks: stage the names, count them and spread them over an
+    explicit number of partitions (an explicit count is never coalesced)."""
+    words = materialize(words, "distinct-names", staging_dir)
+    return words.repartition(max(1, -(-words.count() // names_per_task)), word_col)
+
+
 def fuzzy_top1(words: DataFrame, word_col: str, candidates, cutoff: float = DEFAULT_CUTOFF,
                out: str = "match") -> DataFrame:
     """Best candidate per word (ratio >= cutoff, best ratio, ties -> greatest key)."""
@@ -50,13 +60,7 @@ def resolve_vocabulary(names: DataFrame, name_col: str = "prop",
     """
     spark = names.sparkSession
     words = names.select(normalize_name(F.col(name_col)).alias("norm")).distinct()
-    # The UDF is CPU-heavy per row while the name table is tiny in bytes, so
-    # AQE would coalesce it into very few tasks.  Stage the distinct names,
-    # count them and spread them over an explicit number of partitions
-    # (an explicit count is never coalesced).
-    words = materialize(words, "distinct-names", staging_dir)
-    n_words = words.count()
-    words = words.repartition(max(1, -(-n_words // names_per_task)), "norm")
+    words = spread_words(words, "norm", names_per_task, staging_dir)
 
     by_keyset: dict[tuple[str, ...], list[str]] = {}
     for t in dims.TASKS:

@@ -4,17 +4,17 @@ Physical plan (what ``score_completions`` asks Catalyst for):
 
 1. Completion side, map-only: every regex runs once per completion and the
    long text is dropped before any shuffle (format/answer/choice rewards,
-   claim array).
-2. Prompt side: task and SMILES are projected from the prompt; the molecule's
+   claim array); the result is staged.
+2. Claims are resolved before any prompt is met: exploded, joined with the
+   vocabulary of distinct names (a name's descriptor for every task, in one
+   map) and gathered back by the unique (prompt_id, gen_idx); staged.
+3. Prompt side: task and SMILES are projected from the prompt; the molecule's
    descriptors arrive as a bounded ``MAP<descriptor, value>`` through one
    shuffle on ``smiles`` (hot molecules are split by AQE's skew-join).
-3. ``completions JOIN prompts USING (prompt_id)``: one shuffle on prompt_id.
-4. Claims are exploded inside each row, names resolved through a vocabulary
-   built once per distinct name (broadcast when its checked size allows),
-   fixed dictionaries broadcast; values are looked up in the map, so the claim
-   rows never leave their partition.
-5. Per-completion mean and per-prompt statistics reuse the prompt_id
-   partitioning: no further exchange on the default path.
+4. ``completions JOIN prompts USING (prompt_id)``: two bare shuffles with no
+   aggregate above, so AQE can split a hot prompt.
+5. Claims are scored inside the row (higher-order functions over the claim
+   array, the fixed ranges as a literal map): no shuffle after the join.
 """
 
 from __future__ import annotations
@@ -43,6 +43,7 @@ class ScoreOptions:
     cutoff: float = DEFAULT_CUTOFF  # Q6
     exact_first: bool = False       # Q10
     scope: str = "row"              # Q5: 'row' (default) or 'batch'
+    task_name: str | None = None    # overrides the task that the prompts name
     weights: dict = field(default_factory=lambda: {"format": 1.0, "correctness": 1.0,
                                                    "choices": 1.0, "advantage": 1.0})
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
@@ -138,35 +139,33 @@ def completion_features(completions: DataFrame, opts: ScoreOptions) -> DataFrame
         X.parse_claims(txt, opts.negation_aware).alias("claims"))
 
 
-def aligned(completions: DataFrame, prompts: DataFrame, molecules: DataFrame,
-            descriptors: DataFrame, opts: ScoreOptions, features: DataFrame | None = None) -> DataFrame:
-    """J8 + J9: completions keyed to their prompt, molecule validity and descriptors.
-
-    ``features`` (the output of ``completion_features``) may be passed in when
-    it has already been computed."""
+def aligned(resolved: DataFrame, prompts: DataFrame, molecules: DataFrame, descriptors: DataFrame,
+            opts: ScoreOptions) -> DataFrame:
+    """J8 + J9: completions (``resolve_claims``) keyed to their prompt, molecule
+    validity and descriptors.  Nothing above this join needs its partitioning,
+    so AQE can broadcast a small side or split a hot prompt."""
     p = prompt_fields(prompts)
     if opts.scope == "batch":
         p = batch_task(prompts, max_broadcast_rows=opts.max_broadcast_rows).select(
             "prompt_id", F.col("batch_task").alias("task"), "smiles", "answer")
     else:
         p = p.select("prompt_id", "task", "smiles", "answer")
+    if opts.task_name is not None:
+        p = p.withColumn("task", F.lit(opts.task_name))
     p = p.join(molecule_side(molecules, descriptors), "smiles", "left")
-    c = features if features is not None else completion_features(completions, opts)
-    # The completion side is the fact table: never broadcast it, even when a
-    # compact feature table looks small; the sort-merge join on prompt_id is
-    # the partitioning the per-completion aggregate and the group window reuse.
-    return c.join(p.hint("merge"), "prompt_id", "inner")
+    return resolved.join(p, "prompt_id", "inner")
 
 
 def prepare(completions: DataFrame, prompts: DataFrame, molecules: DataFrame, descriptors: DataFrame,
-            opts: ScoreOptions) -> tuple[DataFrame, DataFrame]:
+            opts: ScoreOptions) -> DataFrame:
     """Text work once: the per-completion features are written to the
     checkpoint folder (compact: the text is gone), then both the name
-    vocabulary and the scoring read them.  Returns (aligned base, vocabulary)."""
+    vocabulary and the claim resolution read them.  One row per completion
+    with its scored claims (``scored_claims``)."""
     feats = materialize(completion_features(completions, opts), "completion-features", opts.staging_dir)
     names = feats.select(F.explode("claims").alias("c")).select(F.col("c.prop").alias("prop"))
-    vocab = vocabulary(names, opts)
-    return aligned(completions, prompts, molecules, descriptors, opts, features=feats), vocab
+    resolved = resolve_claims(feats, vocabulary(names, opts), opts)
+    return score_claims(aligned(resolved, prompts, molecules, descriptors, opts))
 
 
 # ----- claims ---------------------------------------------------------------------
@@ -186,80 +185,100 @@ def claim_names(completions: DataFrame, opts: ScoreOptions) -> DataFrame:
     return completions.select(F.explode(claims).alias("c")).select(F.col("c.prop").alias("prop"))
 
 
-def claim_detail(base: DataFrame, opts: ScoreOptions, keep_unclaimed: bool = True,
-                 vocab: DataFrame | None = None, value_from: str = "map") -> DataFrame:
-    """R4 (+P8): one row per claim with the resolved descriptor, value, range
-    and agreement; completions without claims keep one row with NULL claim
-    when ``keep_unclaimed``.  Unscorable claims carry a NULL agreement and a
-    ``claim_status`` saying why."""
-    spark = base.sparkSession
-    explode = F.posexplode_outer if keep_unclaimed else F.posexplode
-    rows = base.select("*", explode("claims").alias("claim_pos", "claim")).drop("claims")
-    rows = rows.withColumn("prop", F.col("claim.prop")).withColumn("label", F.col("claim.label")).drop("claim")
-    rows = rows.withColumn("norm", X.normalize_name(F.col("prop")))
-
-    if vocab is None:
-        vocab = vocabulary(rows.filter(F.col("prop").isNotNull()).select("prop"), opts)
+def resolve_claims(feats: DataFrame, vocab: DataFrame, opts: ScoreOptions) -> DataFrame:
+    """The features with every claim's descriptor for every known task
+    (``by_task``), staged.  The gathering key is unique and a completion's
+    claims are bounded by its text, so no group is hot."""
+    by_name = vocab.filter(F.col("descriptor").isNotNull()).groupBy("norm").agg(
+        F.map_from_entries(F.collect_list(F.struct("task", "descriptor"))).alias("by_task"))
+    claims = feats.select("prompt_id", "gen_idx", F.posexplode("claims").alias("claim_pos", "claim")).select(
+        "prompt_id", "gen_idx", "claim_pos", F.col("claim.prop").alias("prop"), F.col("claim.label").alias("label"),
+        X.normalize_name(F.col("claim.prop")).alias("norm"))
     # a handful of names carry most claims: salt if the vocabulary is too big to broadcast
-    rows = lookup_join(rows, vocab.drop("ratio"), ["norm", "task"], "left", opts.max_broadcast_rows,
-                       salts=HOT_KEY_SALTS, salt_by=["prompt_id", "gen_idx", "claim_pos"], stage=False)
-    ranges = F.broadcast(dims.ranges_df(spark))
-    rows = rows.join(ranges, ["task", "descriptor"], "left")
-    scorable = F.broadcast(dims.scorable_df(spark).withColumn("has_function", F.lit(True)))
-    rows = rows.join(scorable, ["descriptor"], "left")
-
-    # value_from='map': the molecule's descriptor map; 'none': leave NULL for a later join
-    value = (F.try_element_at(F.col("desc"), F.col("descriptor")) if value_from == "map"
-             else F.lit(None).cast("double"))
-    rows = rows.withColumn("value", F.when(F.col("descriptor").isNotNull(), value))
-    in_range = F.when(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(1)).otherwise(F.lit(-1))
-    status = (F.when(F.col("prop").isNull(), F.lit("no_claims"))
-              .when(F.col("smiles").isNull(), F.lit("no_smiles"))
-              .when(~F.coalesce(F.col("valid"), F.lit(False)), F.lit("invalid_molecule"))
-              .when(F.col("task") == dims.UNKNOWN_TASK, F.lit("unknown_task"))
-              .when(F.col("descriptor").isNull(), F.lit("no_match"))
-              .when(F.col("has_function").isNull() | F.col("lo").isNull(), F.lit("no_function_or_range"))
-              .when(F.col("value").isNull(), F.lit("no_value"))
-              .otherwise(F.lit("scored")))
-    rows = rows.withColumn("claim_status", status)
-    scored = F.col("claim_status") == "scored"
-    rows = rows.withColumn("range_label", F.when(scored, in_range))
-    rows = rows.withColumn("agreement", F.when(scored, F.abs(F.col("label") + F.col("range_label")) / F.lit(2.0)))
-    return rows
+    claims = lookup_join(claims, materialize(by_name, "vocabulary-by-name", opts.staging_dir), ["norm"], "left",
+                         opts.max_broadcast_rows, salts=HOT_KEY_SALTS,
+                         salt_by=["prompt_id", "gen_idx", "claim_pos"], stage=False)
+    claim = F.struct("claim_pos", "prop", "label", "norm", F.map_entries("by_task").alias("by_task"))
+    gathered = claims.groupBy("prompt_id", "gen_idx").agg(F.sort_array(F.collect_list(claim)).alias("resolved_claims"))
+    out = feats.drop("claims").join(gathered, ["prompt_id", "gen_idx"], "left")
+    return materialize(out, "resolved-claims", opts.staging_dir)
+
+
+def score_claims(base: DataFrame) -> DataFrame:
+    """R4 inside the row: ``scored_claims``, an array of the claims with resolved
+    descriptor, value, range, agreement and ``claim_status`` (why a claim is
+    not scored; its agreement is NULL then)."""
+    pairs = []
+    for t, d, lo, hi in dims.range_rows():
+        pairs += [F.lit(f"{t}|{d}"), F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))]
+    ranges, functions = F.create_map(*pairs), F.array(*[F.lit(d) for d in dims.scorable_descriptors()])
+
+    def found(c):
+        entry = F.get(F.filter(c["by_task"], lambda e: e["key"] == F.col("task")), 0)
+        return F.struct(c["claim_pos"].alias("claim_pos"), c["prop"].alias("prop"), c["label"].alias("label"),
+                        c["norm"].alias("norm"), entry["value"].alias("descriptor"))
+
+    def ranged(c):
+        r = F.try_element_at(ranges, F.concat(F.col("task"), F.lit("|"), c["descriptor"]))
+        return F.struct(c["claim_pos"].alias("claim_pos"), c["prop"].alias("prop"), c["label"].alias("label"),
+                        c["norm"].alias("norm"), c["descriptor"].alias("descriptor"), r["lo"].alias("lo"), r["hi"].alias("hi"),
+                        F.try_element_at(F.col("desc"), c["descriptor"]).alias("value"))
+
+    def judged(c):
+        status = (F.when(F.col("smiles").isNull(), F.lit("no_smiles"))
+                  .when(~F.coalesce(F.col("valid"), F.lit(False)), F.lit("invalid_molecule"))
+                  .when(F.col("task") == dims.UNKNOWN_TASK, F.lit("unknown_task"))
+                  .when(c["descriptor"].isNull(), F.lit("no_match"))
+                  .when(~F.array_contains(functions, c["descriptor"]) | c["lo"].isNull(), F.lit("no_function_or_range"))
+                  .when(c["value"].isNull(), F.lit("no_value"))
+                  .otherwise(F.lit("scored")))
+        inside = F.when(c["value"].between(c["lo"], c["hi"]), F.lit(1)).otherwise(F.lit(-1))
+        return F.struct(*[c[n].alias(n) for n in ("claim_pos", "prop", "label", "norm", "descriptor", "lo", "hi", "value")],
+                        status.alias("claim_status"), inside.alias("inside"))
+
+    def agreed(c):
+        scored = c["claim_status"] == "scored"
+        return F.struct(*[c[n].alias(n) for n in ("claim_pos", "prop", "label", "norm", "descriptor", "lo", "hi", "value",
+                                                  "claim_status")],
+                        F.when(scored, c["inside"]).alias("range_label"),
+                        F.when(scored, F.abs(c["label"] + c["inside"]) / F.lit(2.0)).alias("agreement"))
+
+    out = F.col("resolved_claims")
+    for step in (found, ranged, judged, agreed):
+        out = F.transform(out, step)
+    return base.withColumn("scored_claims", out).drop("resolved_claims")
+
+
+def claim_detail(base: DataFrame, keep_unclaimed: bool = True) -> DataFrame:
+    """R4 (+P8) in row form: one row per claim; completions without claims keep
+    one row with NULL claim (status ``no_claims``) when ``keep_unclaimed``."""
+    explode = F.explode_outer if keep_unclaimed else F.explode
+    rows = base.select("*", explode("scored_claims").alias("claim")).drop("scored_claims")
+    return (rows.select(*[c for c in rows.columns if c != "claim"], "claim.*")
+            .withColumn("claim_status", F.coalesce("claim_status", F.lit("no_claims"))))
 
 
 # ----- per completion and per prompt -------------------------------------------------
 
-def per_completion(detail: DataFrame, opts: ScoreOptions) -> DataFrame:
-    """R5 + P5 + R2 + R6: one row per completion.
-
-    Every per-completion column is functionally dependent on (prompt_id,
-    gen_idx), so it is carried as a grouping key: the aggregate stays a
-    HashAggregate with partial (map-side) aggregation, and because the input
-    is already hash partitioned on prompt_id it adds no exchange.
-    """
+def per_completion(base: DataFrame, opts: ScoreOptions) -> DataFrame:
+    """R5 + P5 + R2 + R6: one row per completion, computed inside the row."""
     w = opts.weights
-    keyed = detail.select(
-        "prompt_id", "gen_idx", "task", "reward_format", "reward_choices",
-        X.reward_correctness(F.col("extracted"), F.col("answer"), opts.exact).alias("reward_correctness"),
-        F.col("smiles").isNotNull().alias("has_smiles"),
-        F.coalesce(F.col("valid"), F.lit(False)).alias("valid"),
-        "prop", "agreement")
-    agg = keyed.groupBy("prompt_id", "gen_idx", "task", "reward_format", "reward_choices",
-                        "reward_correctness", "has_smiles", "valid").agg(
-        F.count("prop").alias("n_claims"),
-        F.count("agreement").alias("n_scored"),
-        F.avg("agreement").alias("mean_agreement"))
+    claims = F.coalesce(F.col("scored_claims"), F.array())
+    agreed = F.filter(F.transform(claims, lambda c: c["agreement"]), lambda a: a.isNotNull())
+    rows = base.withColumn("n_claims", F.size(claims).cast("long")).withColumn("agreed", agreed)
+    n_scored = F.size("agreed").cast("long")
+    mean = F.aggregate("agreed", F.lit(0.0), lambda a, x: a + x) / F.nullif(n_scored, F.lit(0).cast("long"))
     reason = (F.when(F.col("n_claims") == 0, F.lit("no_claims"))
-              .when(~F.col("has_smiles"), F.lit("no_smiles"))
-              .when(~F.col("valid"), F.lit("invalid_molecule"))
+              .when(F.col("smiles").isNull(), F.lit("no_smiles"))
+              .when(~F.coalesce(F.col("valid"), F.lit(False)), F.lit("invalid_molecule"))
               .when(F.col("task") == dims.UNKNOWN_TASK, F.lit("unknown_task"))
-              .when(F.col("n_scored") == 0, F.lit("none_scorable"))
+              .when(n_scored == 0, F.lit("none_scorable"))
               .otherwise(F.lit("scored")))
-    out = agg.select(
-        "prompt_id", "gen_idx", "task", "reward_format", "reward_correctness", "reward_choices",
-        F.coalesce(F.col("mean_agreement"), F.lit(0.0)).alias("reward_advantage"),
-        reason.alias("skip_reason"), "n_claims", "n_scored")
+    out = rows.select(
+        "prompt_id", "gen_idx", "task", "reward_format",
+        X.reward_correctness(F.col("extracted"), F.col("answer"), opts.exact).alias("reward_correctness"),
+        "reward_choices", F.coalesce(mean, F.lit(0.0)).alias("reward_advantage"),
+        reason.alias("skip_reason"), "n_claims", n_scored.alias("n_scored"))
     total = (F.lit(float(w.get("format", 1.0))) * F.col("reward_format")
              + F.lit(float(w.get("correctness", 1.0))) * F.col("reward_correctness")
              + F.lit(float(w.get("choices", 1.0))) * F.col("reward_choices")
@@ -273,17 +292,16 @@ def group_advantage(scored: DataFrame, reward_col: str = "reward_total", group_c
     group of each prompt.
 
     The group statistics are partial aggregates (map-side combine), joined
-    back on the group key; the statistics side has one row per group, so even
-    a group holding a large share of all rows is never buffered by one task
-    (AQE's skew join splits its partition).  The per-completion table is
-    staged first so the scoring plan runs once for both sides.
+    back on the group key.  Both sides are staged first: the scoring plan runs
+    once, and the join is over two bare shuffles, so AQE's skew join can split
+    a group that holds a large share of all rows.
     """
     if stage:
         scored = materialize(scored, "scored-completions", staging_dir)
     stats = scored.groupBy(group_col).agg(F.avg(reward_col).alias("group_mean"),
                                           F.stddev_samp(reward_col).alias("group_std"),
                                           F.count(F.lit(1)).alias("group_size"))
-    out = scored.join(stats, group_col, "inner")
+    out = scored.join(materialize(stats, "group-statistics", staging_dir), group_col, "inner")
     return out.withColumn("advantage", (F.col(reward_col) - F.col("group_mean"))
                           / (F.coalesce(F.col("group_std"), F.lit(0.0)) + F.lit(eps)))
 
@@ -293,8 +311,7 @@ def score_completions(completions: DataFrame, prompts: DataFrame, molecules: Dat
                       with_group_advantage: bool = True) -> DataFrame:
     """The whole scoring job: rewards R1-R6 per completion, then R7."""
     opts = opts or ScoreOptions()
-    base, vocab = prepare(completions, prompts, molecules, descriptors, opts)
-    scored = per_completion(claim_detail(base, opts, vocab=vocab), opts)
+    scored = per_completion(prepare(completions, prompts, molecules, descriptors, opts), opts)
     return group_advantage(scored, eps=opts.eps, staging_dir=opts.staging_dir) if with_group_advantage else scored
 
 

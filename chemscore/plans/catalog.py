@@ -51,8 +51,7 @@ def scored(spark, sf, opts: R.ScoreOptions | None = None, group: bool = True) ->
 def claim_rows(spark, sf, opts: R.ScoreOptions | None = None, keep_unclaimed: bool = False) -> DataFrame:
     opts = opts or R.ScoreOptions()
     c, p, m, d = scoring_inputs(spark, sf)
-    base, vocab = R.prepare(c, p, m, d, opts)
-    return R.claim_detail(base, opts, keep_unclaimed=keep_unclaimed, vocab=vocab)
+    return R.claim_detail(R.prepare(c, p, m, d, opts), keep_unclaimed=keep_unclaimed)
 
 
 def part_text(spark, sf) -> DataFrame:
@@ -301,8 +300,7 @@ def q_descriptor_join(spark, sf):
     descriptor table (the scorer itself reads the same values from a map)."""
     opts = R.ScoreOptions()
     c, p, m, d = scoring_inputs(spark, sf)
-    base, vocab = R.prepare(c, p, m, d, opts)
-    rows = R.claim_detail(base, opts, keep_unclaimed=False, vocab=vocab, value_from="none")
+    rows = R.claim_detail(R.prepare(c, p, m, d, opts), keep_unclaimed=False)
     rows = rows.filter(F.col("descriptor").isNotNull() & F.col("valid")).drop("value")
     long = R.descriptors_long(d)
     return _claims_out(rows.join(long, ["smiles", "descriptor"], "inner"), "smiles", "descriptor", "value")
@@ -310,9 +308,9 @@ def q_descriptor_join(spark, sf):
 
 @query("fuzzy_top1_join")
 def q_fuzzy_top1_join(spark, sf):
-    from chemscore.operators.resolve import fuzzy_top1
+    from chemscore.operators.resolve import fuzzy_top1, spread_words
     names = R.claim_names(view(spark, sf, "completions"), R.ScoreOptions())
-    words = names.select(X.normalize_name("prop").alias("norm")).distinct()
+    words = spread_words(names.select(X.normalize_name("prop").alias("norm")).distinct(), "norm")
     m = fuzzy_top1(words, "norm", dims.alias_keys(), 0.1, "m")
     return m.select("norm", F.col("m.key").alias("key"), r6(F.col("m.ratio")).alias("ratio"))
 
@@ -325,20 +323,6 @@ def q_match_trace(spark, sf):
                                              r6(F.col("ratio")).alias("ratio"))
 
 
-@query("ratio_udf")
-def q_ratio_udf(spark, sf):
-    """F2: the scalar similarity UDF re-scores each distinct name against its
-    best alias key (it must reproduce the J5 ratio)."""
-    from chemscore.functions.similarity import ratio_udf
-    from chemscore.operators.resolve import fuzzy_top1
-    names = R.claim_names(view(spark, sf, "completions"), R.ScoreOptions())
-    words = names.select(X.normalize_name("prop").alias("norm")).distinct()
-    m = fuzzy_top1(words, "norm", dims.alias_keys(), 0.1, "m")
-    return m.select("norm", F.col("m.key").alias("alias"),
-                    r6(ratio_udf(F.col("m.key"), F.col("norm"))).alias("ratio"),
-                    r6(F.col("m.ratio")).alias("top1_ratio"))
-
-
 # ----- rewards ---------------------------------------------------------------------------
 
 @query("advantage_detail")
@@ -429,7 +413,7 @@ def q_roc_curve(spark, sf):
 @query("youden_threshold")
 def q_youden_threshold(spark, sf):
     from chemscore.operators import metrics as M
-    return M.youden_threshold(eval_input(spark, sf))
+    return M.youden_threshold(eval_input(spark, sf)).select("threshold", F.col("gain").cast("long").alias("gain"))
 
 
 @query("apply_threshold")
