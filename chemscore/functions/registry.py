@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +19,20 @@ from chemscore.functions import text as X
 Reward = Callable[[DataFrame], Column]
 
 
-def builtin_rewards(text_col: str = "completion", answer_col: str = "answer") -> dict[str, Reward]:
-    """The three text rewards; the advantage reward needs joins and lives in
-    ``operators.rewards``."""
+def builtin_rewards() -> dict[str, Reward]:
+    """The four rewards over the columns of ``operators.rewards.per_completion``
+    (the texts are scored there, before any join; the advantage reward needs
+    the joins)."""
+    return {
+        "format": lambda df: F.col("reward_format"),
+        "correctness": lambda df: F.col("reward_correctness"),
+        "choices": lambda df: F.col("reward_choices"),
+        "advantage": lambda df: F.col("reward_advantage"),
+    }
+
+
+def text_rewards(text_col: str = "completion", answer_col: str = "answer") -> dict[str, Reward]:
+    """The three text rewards straight over a frame with the text and the answer."""
     return {
         "format": lambda df: X.reward_format(F.col(text_col)),
         "correctness": lambda df: X.reward_correctness(X.extract_answer(F.col(text_col)), F.col(answer_col)),
@@ -28,6 +40,15 @@ def builtin_rewards(text_col: str = "completion", answer_col: str = "answer") ->
     }
 
 
+def python_reward(column: str, fn: Callable[[object], float]) -> Reward:
+    """A Python function of one column as an Arrow-batched reward."""
+    @F.pandas_udf("double")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(fn).astype("float64")
+
+    return lambda df: run(F.col(column))
+
+
 def apply_rewards(df: DataFrame, rewards: dict[str, Reward], weights: dict[str, float] | None = None,
                   prefix: str = "reward_", total: str = "reward_total") -> DataFrame:
     """Add one column per reward and their weighted sum."""

@@ -648,12 +648,14 @@ def q_model_save_load(spark, sf):
 
 @query("reward_registry")
 def q_reward_registry(spark, sf):
-    """the registered text rewards applied through the reward surface."""
-    from chemscore.functions.registry import apply_rewards, builtin_rewards
-    c, p, _, _ = scoring_inputs(spark, sf)
-    j = c.join(p.select("prompt_id", "answer"), "prompt_id")
-    out = apply_rewards(j, builtin_rewards("completion", "answer"))
+    """all four rewards and a Python one composed through the reward surface,
+    over the scored completions (texts are scored before anything is joined)."""
+    from chemscore.functions.registry import apply_rewards, builtin_rewards, python_reward
+    rewards = builtin_rewards()
+    rewards["answered"] = python_reward("n_claims", lambda n: float(n > 0))
+    out = apply_rewards(scored(spark, sf, group=False).drop("reward_total"), rewards, {"answered": 0.0})
     return out.select("prompt_id", "gen_idx", "reward_format", "reward_correctness", "reward_choices",
+                      r6(F.col("reward_advantage")).alias("reward_advantage"), "reward_answered",
                       r6(F.col("reward_total")).alias("reward_total"))
 
 
@@ -675,13 +677,15 @@ def q_stream_score(spark, sf):
 
 @query("stream_reward_metrics")
 def q_stream_reward_metrics(spark, sf):
-    """ST2: events arrive as files; watermarked one-hour windows in append mode.
-    Windows still open when the input ends are not emitted (append semantics)."""
+    """ST2: events arrive as files; each micro-batch leaves mergeable parts of its
+    one-hour windows, and the merged table holds every window."""
     from chemscore.streaming import scoring as ST
     src = _staging(spark, "events-in")
-    table(spark, sf, "events").select("ts", "value", F.col("event_type").alias("task")).write.parquet(src)
+    table(spark, sf, "events").select("ts", "value", F.col("event_type").alias("task")) \
+        .repartition(4).write.parquet(src)
     sink, ck = _staging(spark, "metrics-out"), _staging(spark, "metrics-ckpt")
-    ST.stream_reward_metrics(spark, src, "ts TIMESTAMP_NTZ, value DOUBLE, task STRING", sink, ck).awaitTermination()
-    out = spark.read.parquet(sink)
+    ST.stream_metric_parts(spark, src, "ts TIMESTAMP_NTZ, value DOUBLE, task STRING", sink, ck,
+                           max_files_per_trigger=2).awaitTermination()
+    out = ST.merged_metrics(spark.read.parquet(sink))
     return out.select("window_start", "window_end", "task", "n", r6(F.col("mean")).alias("mean"),
                       r6(F.col("std")).alias("std"), r6(F.col("min")).alias("min"), r6(F.col("max")).alias("max"))

@@ -296,7 +296,7 @@ oracle("cv_best", EV + _roc("source, lang").replace("USING (lang)", "") + """, a
   CASE WHEN P > 0 AND N > 0 THEN CAST(sum(fp_s * (2 * (tp - tp_s) + tp_s)) AS DOUBLE) / (2.0 * P * N) END AS auc
   FROM k JOIN tot USING (source, lang) GROUP BY source, lang, P, N),
 m AS (SELECT source AS param, avg(auc) AS mean_score FROM a GROUP BY source)
-SELECT arg_min(param, (-round(mean_score, 9), param)) AS param, round(max(mean_score), 6) AS mean_score, count(*) AS n_settings FROM m WHERE mean_score IS NOT NULL""")
+SELECT arg_min(param, (-mean_score, param)) AS param, round(max(mean_score), 6) AS mean_score, count(*) AS n_settings FROM m WHERE mean_score IS NOT NULL""")
 
 _FOLDS = """WITH l AS (SELECT doc_id, CAST(quality AS BIGINT) AS label FROM labels),
 cls AS (SELECT label, min(doc_id) AS first FROM l GROUP BY label),
@@ -354,18 +354,10 @@ oracle("csv_scan", """SELECT l.doc_id, d.n_chars::DOUBLE AS n_chars, len(string_
   len(string_split(d.text, chr(10)))::DOUBLE AS n_lines, CAST(l.quality AS BIGINT) AS label
   FROM labels l JOIN documents d USING (doc_id)""")
 oracle("metrics_sink", ORACLES["roc_curve"])
-oracle("reward_registry", duckdb_ctes("completions", "prompts") + f"""SELECT prompt_id, gen_idx, {R1('completion')} AS reward_format,
-  CASE WHEN contains({ANSWER('completion')}, answer) THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END AS reward_correctness,
-  {R3('completion')} AS reward_choices,
-  round({R1('completion')} + CASE WHEN contains({ANSWER('completion')}, answer) THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END
-        + {R3('completion')}, 6) AS reward_total
-  FROM completions JOIN prompts USING (prompt_id)""")
+oracle("reward_registry", SCORING + """SELECT prompt_id, gen_idx, reward_format, reward_correctness, reward_choices,
+  round(reward_advantage, 6) AS reward_advantage, CASE WHEN skip_reason = 'no_claims' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END
+  AS reward_answered, round(reward_total, 6) AS reward_total FROM sc2""")
 oracle("stream_score", SCORING + """SELECT prompt_id, gen_idx, reward_format, reward_correctness, reward_choices,
   round(reward_advantage, 6) AS reward_advantage, round(reward_total, 6) AS reward_total, skip_reason FROM sc2""")
-# append mode emits the windows the watermark (max event time - 1 hour) has closed
-oracle("stream_reward_metrics", """WITH b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, event_type AS task, value FROM events),
-wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM events)
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_end,
-  task, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
-  round(min(value), 6) AS min, round(max(value), 6) AS max
-FROM b, wm WHERE ws + INTERVAL 1 HOUR <= wm.wm GROUP BY ws, task""")
+# complete: every window of the batch twin
+oracle("stream_reward_metrics", ORACLES["reward_metrics_windowed"])

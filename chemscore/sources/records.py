@@ -8,39 +8,73 @@ VARIANT and rendered by its runtime type.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chemscore.functions.text import assemble_prompt
 
-RECORD_DDL = "instruction STRING, input STRING, output VARIANT"
-RECORDS_DDL = f"array<struct<{RECORD_DDL.replace(' STRING', ':string').replace(' VARIANT', ':variant')}>>"
+# VARIANT tells a key that is absent (SQL NULL) from one that is JSON null
+RECORD_DDL = "instruction VARIANT, input VARIANT, output VARIANT"
+RECORDS_DDL = "array<struct<instruction:variant,input:variant,output:variant>>"
+
+
+def _checked(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(keep, instruction, input, output); a record without one of its keys fails the job."""
+    def present(name: str) -> Column:
+        c = F.col(name)
+        return F.when(c.isNull(), F.raise_error(F.lit(f"record without the key {name!r}"))).otherwise(c)
+
+    text = lambda name: F.variant_get(present(name), "$", "string").alias(name)
+    return df.select(*keep, text("instruction"), text("input"), present("output").alias("output"))
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """S1, file form: each element of the top-level array becomes a row."""
-    return spark.read.schema(RECORD_DDL).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    """S1, file form: each element of the top-level array becomes a row.  One
+    JSON array is one task's work; ``read_json_lines`` is the splittable form.
+    Malformed files and absent keys fail the job."""
+    raw = spark.read.schema(RECORD_DDL).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    return _checked(raw, ())
+
+
+def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
+    """S1 for large inputs: one record a line, so Spark splits files over tasks.
+    Malformed lines and absent keys fail the job."""
+    return _checked(spark.read.schema(RECORD_DDL).option("mode", "FAILFAST").json(path), ())
 
 
 def records_from_column(df: DataFrame, col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """S1, column form: a JSON array held in a string column, one row per element
-    with its position ``idx``."""
-    arr = F.from_json(F.col(col), RECORDS_DDL)
-    return df.select(*keep, F.posexplode(arr).alias("idx", "r")).select(
-        *keep, "idx", "r.instruction", "r.input", "r.output")
+    with its position ``idx``.  A malformed array or an absent key fails the
+    job; a NULL column has no records."""
+    arr = F.from_json(F.col(col), RECORDS_DDL, {"mode": "FAILFAST"})
+    rows = df.select(*keep, F.posexplode(arr).alias("idx", "r")).select(*keep, "idx", "r.*")
+    return _checked(rows, (*keep, "idx"))
+
+
+@F.pandas_udf(T.StringType())
+def _python_str(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else str(json.loads(v)))
 
 
-def answer_to_string(output: Column) -> Column:
+def answer_to_string(output: Column, nested: bool = False) -> Column:
     """``str(output)`` for a VARIANT value: booleans render ``True``/``False``,
-    null renders ``None``, strings as they are, numbers in Spark's text form."""
+    null renders ``None``, strings as they are, numbers in Spark's text form.
+    Lists and objects fail the job, or with ``nested`` are rendered as Python
+    does (through an Arrow UDF, so only where they are expected)."""
     kind = F.schema_of_variant(output)
     as_text = F.try_variant_get(output, "$", "string")
     return (F.when(output.isNull() | (kind == F.lit("VOID")), F.lit("None"))
             .when(kind == F.lit("BOOLEAN"), F.initcap(as_text))
+            .when(kind.rlike("^(ARRAY|OBJECT)"), _python_str(F.to_json(output)) if nested else F.raise_error(
+                F.lit("output is a list or an object; pass nested=True")))
             .otherwise(as_text))
 
 
-def to_samples(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def to_samples(records: DataFrame, keep: tuple[str, ...] = (), nested: bool = False) -> DataFrame:
     """P1 + P2: ``prompt = [{system, instruction}, {user, input}]`` and the answer string."""
     return records.select(*keep, assemble_prompt(F.col("instruction"), F.col("input")).alias("prompt"),
-                          answer_to_string(F.col("output")).alias("answer"))
+                          answer_to_string(F.col("output"), nested).alias("answer"))

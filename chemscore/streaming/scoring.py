@@ -11,9 +11,12 @@ advantage needs whole prompt groups; it is computed per micro-batch only when
 the producer writes complete groups (``complete_groups=True``), as the
 trainer does (all generations of a prompt in one step).
 
-ST2: event-time metrics per reward and task in tumbling windows, with a
-watermark so that finished windows are emitted once in append mode and their
-state is dropped.
+ST2: event-time metrics per reward and task in tumbling windows, in two forms.
+``stream_reward_metrics`` emits finished windows once, in append mode behind a
+watermark, for live views.  ``stream_metric_parts`` writes each micro-batch's
+mergeable window parts, and ``merged_metrics`` puts them together: complete,
+late rows and open windows included, and independent of how files fall into
+micro-batches.
 """
 
 from __future__ import annotations
@@ -88,3 +91,50 @@ def stream_reward_metrics(spark: SparkSession, source_dir: str, schema: str, sin
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def stream_metric_parts(spark: SparkSession, source_dir: str, schema: str, sink_dir: str,
+                        checkpoint_dir: str, ts: str = "ts", value: str = "value", task: str = "task",
+                        window: str = "1 hour", available_now: bool = True,
+                        max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """ST2, complete form: per micro-batch one part (count, mean, sum of squared
+    deviations, min, max) of each window and task that it touches.  A retried
+    batch replaces its own parts; no state is kept between batches."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        w = F.window(F.col(ts).cast("timestamp"), window)
+        parts = batch.groupBy(w.alias("w"), F.col(task).alias("task")).agg(
+            F.count(F.col(value)).alias("n"), F.avg(value).alias("mean"),
+            (F.var_pop(value) * F.count(F.col(value))).alias("m2"), F.min(value).alias("min"), F.max(value).alias("max"))
+        (parts.withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(sink_dir))
+
+    writer = reader.parquet(source_dir).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint_dir)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
+def merged_metrics(parts: DataFrame) -> DataFrame:
+    """The windows' metrics from their parts: a group has one part a micro-batch
+    that touched it; means and squared deviations are merged pairwise."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def merge(a, b):
+        n, gap = a["n"] + b["n"], b["mean"] - a["mean"]
+        return F.when(b["n"] == 0, a).otherwise(F.struct(
+            n.alias("n"), (a["mean"] + gap * b["n"] / n).alias("mean"),
+            (a["m2"] + b["m2"] + gap * gap * a["n"] * b["n"] / n).alias("m2")))
+
+    grouped = parts.groupBy("w", "task").agg(
+        F.sort_array(F.collect_list(F.struct("batch_id", "n", "mean", "m2"))).alias("parts"),
+        F.min("min").alias("min"), F.max("max").alias("max"))
+    all_ = grouped.withColumn("t", F.aggregate("parts", zero, merge))
+    n = F.col("t.n")
+    return all_.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                       F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "task", n.alias("n"),
+                       F.when(n > 0, F.col("t.mean")).alias("mean"),
+                       F.when(n > 1, F.sqrt(F.col("t.m2") / (n - 1))).alias("std"), "min", "max")

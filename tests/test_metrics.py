@@ -101,3 +101,22 @@ def test_grouped_roc_curve_and_threshold(spark):
     assert sorted(pts["b"], reverse=True) == [(float("inf"), 0.0, 0.0), (.7, 1.0, 0.0), (.5, 1.0, 1.0)]
     th = {r.g: r.threshold for r in M.youden_threshold(df, by=["g"]).collect()}
     assert th == {"a": .9, "b": float("inf")}
+
+
+def test_cv_best_tells_close_means_apart(spark):
+    rows = [("p0", 0.90000000001), ("p0", 0.90000000001), ("p1", 0.90000000002), ("p1", 0.90000000002), ("p2", 0.5), ("p3", None)]
+    best = M.cv_best(spark.createDataFrame(rows, "param string, auc double")).first()
+    assert (best.param, best.mean_score, best.n_settings) == ("p1", 0.90000000002, 3)
+    tie = M.cv_best(spark.createDataFrame([("b", 0.7), ("a", 0.7)], "param string, auc double")).first()
+    assert tie.param == "a"
+
+
+def test_youden_gain_of_billions(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    counts = [(2.0, 3_500_000_000, 100), (1.0, 500_000_000, 3_999_999_900)]
+    pts = spark.createDataFrame([(t, tp, fp) for t, tp, fp in counts], "threshold double, tp_s long, fp_s long")
+    cum = spark.createDataFrame([(2.0, 3_500_000_000, 100), (1.0, 4_000_000_000, 4_000_000_000)], "threshold double, tp long, fp long")
+    tot = pts.agg(F.sum("tp_s").alias("P"), F.sum("fp_s").alias("N"))
+    monkeypatch.setattr(M, "_roc_tables", lambda *a: (cum, tot))
+    got = M.youden_threshold(pts).first()
+    assert got.threshold == 2.0 and int(got.gain) == 3_500_000_000 * 4_000_000_000 - 100 * 4_000_000_000

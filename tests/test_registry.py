@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chemscore.functions.registry import apply_rewards, builtin_rewards
+from chemscore.functions.registry import apply_rewards, builtin_rewards, python_reward, text_rewards
 from chemscore.operators import rewards as R
 from chemscore.plans.views import view
 
@@ -18,7 +18,7 @@ def test_registry_with_python_reward(spark):
 
     df = spark.createDataFrame([("<name>a:improve,b:x,c:y</name> <answer>True</answer>", "True"),
                                 ("<answer>no</answer>", "True")], "completion string, answer string")
-    rw = dict(builtin_rewards())
+    rw = dict(text_rewards())
     rw["length"] = lambda d: length_bonus(F.col("completion"))
     out = apply_rewards(df, rw, weights={"length": 0.5}).collect()
     assert [r.reward_format for r in out] == [1.0, -2.0]
@@ -27,6 +27,14 @@ def test_registry_with_python_reward(spark):
     assert [r.reward_total for r in out] == [1.0 + 2.0 + 0.0 + 0.5, -2.0 + 0.0 - 1.5 + 0.0]
 
 
+def test_all_four_rewards_sum_up(spark):
+    frames = (view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide"))
+    scored = R.score_completions(*frames, with_group_advantage=False)
+    rewards = {**builtin_rewards(), "claims": python_reward("n_claims", float)}
+    out = apply_rewards(scored.withColumnRenamed("reward_total", "want"), rewards, {"claims": 0.0})
+    assert out.where("abs(reward_total - want) > 1e-12 or reward_claims <> n_claims").count() == 0
+
+
 def test_array_form_completions_score_the_same(spark):
     c, p, m, d = (view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide"))
     arr = c.select("prompt_id", "gen_idx", F.array(F.struct(F.lit("assistant").alias("role"),

@@ -1,127 +1,127 @@
-"""Scoring job: brute-force restatement on the small fixture + properties."""
+"""Scoring job: hand-made cases, options, skew, properties (the fixture is held against SQL in test_entry)."""
 
-import difflib
 import math
-import re
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from chemscore.operators import rewards as R
 from chemscore.plans import dims
-from chemscore.plans.views import duckdb_ctes, view
-from chemscore.sources.tables import TABLES
+from chemscore.plans.views import view
 
 from conftest import SF001
 
 
-def _duck(sf):
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
-    return con
-
-
-def _close(word, cands, cutoff=0.1):
-    m = difflib.get_close_matches(word, list(cands), n=1, cutoff=cutoff)
-    return m[0] if m else None
-
-
-def _resolve(prop, task):
-    ranges = {d for t, d, _, _ in dims.range_rows() if t == task}
-    if not ranges:
-        return None
-    norm = prop.lower().replace(" ", "").replace("_", "").replace("-", "")
-    aliases = dict(dims.ALIASES)
-    a = _close(norm, aliases)
-    if a and aliases[a] in ranges:
-        return aliases[a]
-    reg = {k: d for k, d, _ in dims.registry_rows()}
-    r = _close(norm, reg)
-    if r and reg[r] in ranges:
-        return reg[r]
-    return _close(norm, sorted(ranges))
-
-
-def _python_scores(sf, greedy=False, negation_aware=False, dotall=False, exact=False):
-    """Plain-Python statement of the four rewards, row by row (small data only)."""
-    con = _duck(sf)
-    comp = con.execute(duckdb_ctes("completions") + "SELECT prompt_id, gen_idx, completion FROM completions").fetchall()
-    prm = {r[0]: r[1:] for r in con.execute(duckdb_ctes("prompts") + "SELECT * FROM prompts").fetchall()}
-    mol = {r[0]: r[1] for r in con.execute(duckdb_ctes("molecules") + "SELECT smiles, valid FROM molecules").fetchall()}
-    cols = [d[0] for d in con.execute(duckdb_ctes("descriptors_wide") + "SELECT * FROM descriptors_wide LIMIT 0").description]
-    desc = {r[0]: dict(zip(cols[1:], r[1:])) for r in
-            con.execute(duckdb_ctes("descriptors_wide") + "SELECT * FROM descriptors_wide").fetchall()}
-    rng = {(t, d): (lo, hi) for t, d, lo, hi in dims.range_rows()}
-    fn = set(dims.registry_keys())
-    out = {}
-    for pid, gid, text in comp:
-        system, user, answer = prm[pid]
-        fmt = 1.0 if re.search(r"<name>.*?</name>\s*<answer>.*?</answer>", text, re.S) else -2.0
-        m = re.search(r"<answer>(.*)</answer>" if greedy else r"<answer>(.*?)</answer>", text, re.S)
-        ext = m.group(1).strip() if m else ""
-        cor = 2.0 if (answer == ext if exact else answer in ext) else 0.0
-        m = re.search(r"<name>(.*?)</name>", text, re.S if dotall else 0)
-        num = -1.5 if not m else (0.0 if 3 <= len(m.group(1).split(",")) <= 10 else -1.0)
-        claims = []
-        m = re.search(r"<name>(.*?)</name>", text, re.S)
-        if m:
-            for item in [x.strip() for x in m.group(1).strip().split(",") if x.strip()]:
-                parts = item.split(":")
-                if len(parts) == 2:
-                    st = parts[1].strip().lower()
-                    if negation_aware:
-                        lab = -1 if "not improve" in st else 1 if "improve" in st else -1
-                    else:
-                        lab = 1 if "improve" in st else -1
-                    claims.append((parts[0].strip(), lab))
-        s = system.lower()
-        task = "BBBP" if "bbbp" in s else "BACE" if "bace" in s else "Clintox" if "toxic" in s else "UNKNOWN_TASK"
-        smiles = user.strip().split()[-1] if user and user.strip() else None
-        adv = 0.0
-        if claims and smiles and mol.get(smiles):
-            tot, cnt = 0.0, 0
-            for prop, lab in claims:
-                d = _resolve(prop, task)
-                if not d or d not in fn or (task, d) not in rng:
-                    continue
-                v = desc.get(smiles, {}).get(d)
-                if v is None:
-                    continue
-                lo, hi = rng[(task, d)]
-                rl = 1 if lo <= v <= hi else -1
-                tot += abs(lab + rl) / 2
-                cnt += 1
-            adv = tot / cnt if cnt else 0.0
-        out[(pid, gid)] = (fmt, cor, num, adv)
-    return out
+# A hand-made case: three molecules, one prompt per task, expected rewards worked out by hand from the
+# range table (BBBP: MolWt, MolLogP and TPSA have ranges; a claim agrees if "improve" meets a value in range).
+PROMPTS = [(1, "Task: BBBP", "what about M1", "True"), (2, "Task: BBBP", "what about M2", "True"),
+           (3, "Task: BBBP", "what about M3", "False"), (4, "some chemistry", "what about M1", "True"),
+           (5, "Task: BBBP", "  ", "True")]
+MOLECULES = [("M1", True), ("M2", True), ("M3", False)]
 
 
-@pytest.fixture(scope="module")
-def scored_small(spark):
-    c, p, m, d = (view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide"))
-    return R.score_completions(c, p, m, d).collect()
+def _in_and_out(descriptor):
+    lo, hi = next((lo, hi) for t, d, lo, hi in dims.range_rows() if (t, d) == ("BBBP", descriptor))
+    return float(lo), float(hi) + 1.0
 
 
-def test_matches_python_restatement(scored_small):
-    py = _python_scores(SF001)
-    assert len(py) == len(scored_small)
-    for r in scored_small:
-        f, c, n, a = py[(r.prompt_id, r.gen_idx)]
-        assert (r.reward_format, r.reward_correctness, r.reward_choices) == (f, c, n)
-        assert math.isclose(r.reward_advantage, a, abs_tol=1e-12), (r.prompt_id, r.gen_idx)
+BLOCK = "<name>{}</name><answer>{}</answer>"
+# prompt, text, (format, correctness, choices, advantage), why
+CASES = [
+    (1, BLOCK.format("MolWt: improve, MolLogP: improve, TPSA: improve", "True"), (1.0, 2.0, 0.0, 1.0), "scored"),
+    (1, BLOCK.format("MolWt: improve, MolLogP: worse, TPSA: worse", "False"), (1.0, 0.0, 0.0, 1 / 3), "scored"),
+    (2, BLOCK.format("MolWt: improve, MolLogP: improve, TPSA: worse", "it is True"), (1.0, 2.0, 0.0, 1 / 3), "scored"),
+    (2, BLOCK.format("MolWt: worse, MolLogP: worse", "True") + " <answer>x</answer>", (1.0, 2.0, -1.0, 1.0), "scored"),
+    (2, "<name>MolWt: not improve</name> so <answer>True</answer>", (-2.0, 2.0, -1.0, 0.0), "scored"),
+    (3, BLOCK.format("MolWt: improve", "False"), (1.0, 2.0, -1.0, 0.0), "invalid_molecule"),
+    (4, BLOCK.format("MolWt: improve", "True"), (1.0, 2.0, -1.0, 0.0), "unknown_task"),
+    (5, BLOCK.format("MolWt: improve", "True"), (1.0, 2.0, -1.0, 0.0), "no_smiles"),
+    (1, "<answer>True</answer>", (-2.0, 2.0, -1.5, 0.0), "no_claims"),
+    (1, "", (-2.0, 0.0, -1.5, 0.0), "no_claims"),
+]
 
 
-def test_options_match_python_restatement(spark):
-    c, p, m, d = (view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide"))
+def _case_frames(spark):
+    good, bad = zip(*(_in_and_out(d) for d in ("MolWt", "MolLogP", "TPSA")))
+    # M1 is in range everywhere; M2 is out of range but for TPSA, which it lacks in range too
+    return (spark.createDataFrame([(p, i, t) for i, (p, t, _, _) in enumerate(CASES)], "prompt_id long, gen_idx long, completion string"),
+            spark.createDataFrame(PROMPTS, "prompt_id long, system_content string, user_content string, answer string"),
+            spark.createDataFrame(MOLECULES, "smiles string, valid boolean"),
+            spark.createDataFrame([("M1", *good), ("M2", *bad), ("M3", *good)],
+                                  "smiles string, MolWt double, MolLogP double, TPSA double"))
+
+
+def _check(rows, want):
+    assert len(rows) == len(CASES)
+    for r in rows:
+        f, c, n, a, why = want(r.gen_idx)
+        assert (r.reward_format, r.reward_correctness, r.reward_choices, r.skip_reason) == (f, c, n, why), r
+        assert math.isclose(r.reward_advantage, a, abs_tol=1e-12), r
+        assert math.isclose(r.reward_total, f + c + n + a, abs_tol=1e-12), r
+
+
+def test_hand_made_cases(spark):
+    rows = R.score_completions(*_case_frames(spark), with_group_advantage=False).collect()
+    _check(rows, lambda i: (*CASES[i][2], CASES[i][3]))
+
+
+def test_options_on_hand_made_cases(spark):
     opts = R.ScoreOptions(greedy=True, negation_aware=True, dotall=True, exact=True)
-    got = R.score_completions(c, p, m, d, opts, with_group_advantage=False).collect()
-    py = _python_scores(SF001, greedy=True, negation_aware=True, dotall=True, exact=True)
-    for r in got:
-        f, co, n, a = py[(r.prompt_id, r.gen_idx)]
-        assert (r.reward_format, r.reward_correctness, r.reward_choices) == (f, co, n)
-        assert math.isclose(r.reward_advantage, a, abs_tol=1e-12), (r.prompt_id, r.gen_idx)
+    rows = R.score_completions(*_case_frames(spark), opts, with_group_advantage=False).collect()
+    changed = {2: (1.0, 0.0, 0.0, 1 / 3, "scored"),            # exact: "it is True" is not "True"
+               3: (1.0, 0.0, -1.0, 1.0, "scored"),             # greedy: the answer runs to the last tag
+               4: (-2.0, 2.0, -1.0, 1.0, "scored")}            # "not improve" is a claim of no improvement
+    _check(rows, lambda i: changed.get(i, (*CASES[i][2], CASES[i][3])))
+
+
+def test_task_override(spark):
+    rows = R.score_completions(*_case_frames(spark), R.ScoreOptions(task_name="BBBP"), with_group_advantage=False).collect()
+    _check(rows, lambda i: (1.0, 2.0, -1.0, 1.0, "scored") if i == 6 else (*CASES[i][2], CASES[i][3]))
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_prompt_is_split(spark):
+    """One prompt holds a third of all completions: both joins on prompt_id split it."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    _, p, m, d = _case_frames(spark)
+    many = spark.range(30_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") + 10).cast("long").alias("prompt_id"),
+        F.col("id").alias("gen_idx"),
+        F.concat(F.lit("<name>MolWt: improve, n"), F.col("id").cast("string"), F.lit(": worse</name><answer>"),
+                 F.sha2(F.col("id").cast("string"), 256), F.lit("</answer>")).alias("completion"))
+    prompts = p.unionByName(spark.range(10, 30_010).select(
+        F.col("id").alias("prompt_id"), F.lit("Task: BBBP").alias("system_content"), F.lit("q M1").alias("user_content"),
+        F.lit("True").alias("answer")))
+    # names are resolved by distinct name: keep the similarity work of this test small
+    many = many.withColumn("completion", F.regexp_replace("completion", "n[0-9]+:", "TPSA:"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        base = R.prepare(many, prompts, m, d, R.ScoreOptions())
+        scored = R.per_completion(base, R.ScoreOptions())
+        assert "skew=true" in _final_plan(scored)
+        out = R.group_advantage(scored)
+        assert "skew=true" in _final_plan(out)
+        got = out.agg(F.count("*").alias("n"), F.sum("advantage").alias("s")).first()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got.n == 30_000 and abs(got.s) < 1e-6
+
+
+@pytest.fixture(scope="module")
+def scored_small(spark):
+    c, p, m, d = (view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide"))
+    return R.score_completions(c, p, m, d).collect()
 
 
 def test_properties(scored_small):
