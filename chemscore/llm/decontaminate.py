@@ -26,7 +26,7 @@ _PLACE_BITS = 16
 def words(text: Column) -> Column:
     """Words after lower-casing A-Z: runs of a-z, 0-9 and non-ASCII characters."""
     found = F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    return F.filter(found, lambda w: w != "")
+    return F.array_remove(found, "")
 
 
 def _blocks(df: DataFrame, block: int, span: int) -> DataFrame:
