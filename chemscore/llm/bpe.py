@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.bytebpe import KEEP_CHARS, CachedCoder, PreTokens
+from chemscore.llm.bytebpe import KEEP_CHARS, CachedCoder, PreTokens, byte_alphabet
 from chemscore.llm.common import pylists, record_batch, text_slices
 
 _NONE = np.int64(1) << 62
@@ -28,19 +28,6 @@ _CELLS = 1 << 21
 _KNOWN = 400_000
 
 
-def byte_alphabet() -> list[str]:
-    """The character that stands for each byte in byte-level BPE files:
-    printable Latin-1 stands for itself, the others follow from U+0100."""
-    out, extra = [], 0
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
-            out.append(chr(b))
-        else:
-            out.append(chr(256 + extra))
-            extra += 1
-    return out
-
-
 class TreeBPE:
     """Encoder and decoder for one byte-level BPE file."""
 
@@ -132,9 +119,9 @@ class TreeBPE:
                     out[i] = code
         return out
 
-    def code(self, strings: list[str]) -> list[bytes]:
-        """Ids of each string: its pre-tokens' ids in a row."""
-        cut = [self.pre.exact(s) for s in strings]
+    def code(self, runs: list[str], lead: str) -> list[bytes]:
+        """Ids of each run after ``lead``: its pre-tokens' ids in a row."""
+        cut = [self.pre.pieces(r, lead) for r in runs]
         if len(self.known) > _KNOWN:
             self.known = {}
         new = {p for pieces in cut for p in pieces}.difference(self.known)

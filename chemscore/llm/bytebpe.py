@@ -25,6 +25,9 @@ import regex
 #: Fixed value: the pre-token pattern of byte-level BPE files with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ODD = re.compile(r"\s \s")
+#: White space but the space and the line feed.
+_RARE_SPACE = tuple(chr(c) for c in range(0x3001) if c not in (0x0A, 0x20) and re.match(r"\s", chr(c)))
+_MARKS = frozenset(",.;:!?")
 #: Runs longer than this are encoded but not kept in a worker's cache.
 KEEP_CHARS = 64
 
@@ -78,13 +81,25 @@ class PreTokens:
 
     def exact(self, segment: str) -> list[str]:
         """All pre-tokens of a segment."""
-        if not segment.isascii() and _newer().search(segment):
+        if not _plain_latin(segment) and _newer().search(segment):
             return [segment[a:b] for _, (a, b) in self._library.pre_tokenizer.pre_tokenize_str(segment)]
         return self._pattern.findall(segment)
 
+    def pieces(self, run: str, lead: str) -> list[str]:
+        """All pre-tokens of ``lead + run``; a run that a space leads has no
+        character that needs the library (see ``runs``), so plain words, and
+        words with one mark after them, need no pattern."""
+        if lead:
+            if run.isalpha():
+                return [lead + run]
+            if run[-1:] in _MARKS and run[:-1].isalpha():
+                return [lead + run[:-1], run[-1]]
+        return self.exact(lead + run)
+
     def runs(self, segment: str) -> tuple[list[str], list[str]]:
         """(runs as they stand, runs that a space goes before): together the segment."""
-        if _ODD.search(segment) or not segment.isascii() and _newer().search(segment):
+        odd = "  " in segment or "\n " in segment or any(c in segment for c in _RARE_SPACE)
+        if odd and _ODD.search(segment) or not _plain_latin(segment) and _newer().search(segment):
             return self.exact(segment), []
         first, *rest = segment.split(" ")
         return [first] if first else [], rest
@@ -93,8 +108,8 @@ class PreTokens:
 class CachedCoder:
     """Codes whole texts run by run through a bounded worker cache.
 
-    ``code(strings)`` gives each string's code (bytes of ids, or a count);
-    ``added(id)`` the code of an added token; ``join`` sums up a list of codes.
+    ``code(runs, lead)`` gives the code of each run after ``lead`` (a space, or
+    nothing): bytes of ids, or a count; ``added(id)`` the code of an added token; ``join`` sums up a list of codes.
     ``frequent`` holds codes of frequent space-led runs, which are never
     evicted.  Other codes live in two generations: when the young one holds
     ``limit`` codes it becomes the old one, and an old code that is met again
@@ -102,7 +117,7 @@ class CachedCoder:
     """
 
     def __init__(self, pre: PreTokens, code: Callable, added: Callable, join: Callable,
-                 limit: int = 300_000, frequent: dict | None = None):
+                 limit: int = 900_000, frequent: dict | None = None):
         self.pre, self.code, self.added, self.join, self.limit = pre, code, added, join, limit
         self.frequent = frequent or {}
         self.plain, self.spaced = {}, dict(self.frequent)
@@ -117,7 +132,7 @@ class CachedCoder:
         missing = list(missing)
         if missing:
             self.misses += len(missing)
-            cache.update(zip(missing, self.code([lead + k for k in missing]), strict=True))
+            cache.update(zip(missing, self.code(missing, lead), strict=True))
         return [k for k in missing if len(k) > KEEP_CHARS]
 
     def texts(self, texts: list[str]) -> list:
@@ -153,3 +168,55 @@ class CachedCoder:
         for k in long_spaced:
             del self.spaced[k]
         return out
+
+
+class LibraryCodes(dict):
+    """Codes of pre-tokens by the tokenizers library's model, kept in a bounded
+    cache; ``code`` gives those of whole runs."""
+
+    def __init__(self, path: str, make: Callable, join: Callable, limit: int = 300_000):
+        super().__init__()
+        self.pre, self.model, self.make, self.join, self.limit = PreTokens(path), library(path).model, make, join, limit
+        alphabet = byte_alphabet()
+        self.to_file, self.space = str.maketrans(dict(enumerate(alphabet))), alphabet[32]
+
+    def __missing__(self, piece: str):
+        word = piece[1:] if piece[0] == " " else piece
+        if word.isascii() and word.isalpha():
+            spelled = self.space + word if len(word) < len(piece) else word
+        else:
+            spelled = piece.encode().decode("latin-1").translate(self.to_file)
+        code = self.make([t.id for t in self.model.tokenize(spelled)])
+        if len(piece) <= KEEP_CHARS:
+            self[piece] = code
+        return code
+
+    def code(self, runs: list[str], lead: str) -> list:
+        if len(self) > self.limit:
+            self.clear()
+        get, cut, join = self.__getitem__, self.pre.pieces, self.join
+        return [get(lead + r) if lead and r.isalpha() else join(map(get, cut(r, lead))) for r in runs]
+
+
+def _plain_latin(text: str) -> bool:
+    """All characters are Latin-1: old ones, whose classes no version disputes."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def byte_alphabet() -> list[str]:
+    """The character that stands for each byte in byte-level BPE files:
+    printable Latin-1 stands for itself, the others follow from U+0100."""
+    out, extra = [], 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out.append(chr(b))
+        else:
+            out.append(chr(256 + extra))
+            extra += 1
+    return out

@@ -10,13 +10,14 @@ speed and never a result.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.bytebpe import KEEP_CHARS, CachedCoder, PreTokens, library
+from chemscore.llm.bytebpe import KEEP_CHARS, CachedCoder, LibraryCodes, PreTokens, library
 from chemscore.llm.common import pylists, record_batch, text_slices
 
 #: The frequent table is fitted on about this many rows, chosen by a hash of doc_id.
@@ -49,6 +50,18 @@ def frequent_runs(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS,
     return {r.run: r.tokens for r in found.orderBy(F.desc("n"), "run").limit(table_rows).collect()}
 
 
+_coders: dict[tuple[str, str], CachedCoder] = {}
+
+
+def _worker(path: str, name: str, table) -> CachedCoder:
+    """The worker's coder for one broadcast table; the one before it goes."""
+    if (path, name) not in _coders:
+        _coders.clear()
+        codes = LibraryCodes(path, len, sum)
+        _coders[path, name] = CachedCoder(codes.pre, codes.code, lambda _: 1, sum, frequent=table.value)
+    return _coders[path, name]
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, sample_rows: int = SAMPLE_ROWS,
                  table_rows: int = TABLE_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row.
@@ -58,17 +71,13 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, sample_rows: int
     """
     docs = docs.select("doc_id", "text")
     table = docs.sparkSession.sparkContext.broadcast(frequent_runs(docs, path, sample_rows, table_rows))
+    name = uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()),
                         ("over_limit", pa.bool_())])
 
     def count(batches):
-        coder = None
+        coder = _worker(path, name, table)
         for batch in batches:
-            if coder is None:
-                tok = library(path)
-                coder = CachedCoder(
-                    PreTokens(path), lambda s: [len(e.ids) for e in tok.encode_batch_fast(s, add_special_tokens=False)],
-                    lambda _: 1, sum, frequent=table.value)
             ids, texts = pylists(batch, "doc_id", "text")
             for start, part in text_slices(texts):
                 n = coder.texts(part)

@@ -22,6 +22,8 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chemscore.llm.bytebpe import CachedCoder, PreTokens, library
+from chemscore.llm.bytebpe import CachedCoder, LibraryCodes
 from chemscore.llm.common import pylists, record_batch, text_slices
 from chemscore.session import ensure_checkpoint_dir
 
@@ -46,7 +48,9 @@ _BLOCK = struct.Struct("<III")
 
 def frequencies(ids: np.ndarray, bits: int = SCALE_BITS) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, frequencies): every symbol that occurs gets 1 or more of 2^bits."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     total = 1 << bits
     if len(symbols) > total:
         raise ValueError(f"{len(symbols)} symbols do not fit a table of 2^{bits}")
@@ -77,7 +81,9 @@ def pack(ids: np.ndarray) -> bytes:
 def _pack_blocks(ids: np.ndarray, symbols: np.ndarray, freq: np.ndarray, start: np.ndarray) -> list[bytes]:
     per_block = LANES * STEPS
     blocks = -(-len(ids) // per_block)
-    at = np.searchsorted(symbols, ids).astype(np.uint32)
+    place = np.zeros(int(symbols[-1]) + 1, dtype=np.uint32)
+    place[symbols] = np.arange(len(symbols), dtype=np.uint32)
+    at = place[ids]
     fill = np.argmax(freq)                                  # the last block is filled up with a cheap symbol
     at = np.concatenate([at, np.full(blocks * per_block - len(ids), fill, dtype=np.uint32)])
     at = at.reshape(blocks, STEPS, LANES)
@@ -176,6 +182,12 @@ _FILE_ARROW = pa.schema([
     ("lengths", pa.list_(pa.int64())), ("data", pa.binary())])
 
 
+@lru_cache(maxsize=2)
+def _worker(path: str) -> CachedCoder:
+    codes = LibraryCodes(path, lambda ids: array("I", ids).tobytes(), b"".join)
+    return CachedCoder(codes.pre, codes.code, lambda i: i.to_bytes(4, "little"), b"".join)
+
+
 def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) -> None:
     """Encode every whole text with the tokenizers library and write the file set.
 
@@ -188,11 +200,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches):
-        tok = library(path)
-        coder = CachedCoder(
-            PreTokens(path),
-            lambda s: [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(s, add_special_tokens=False)],
-            lambda i: i.to_bytes(4, "little"), b"".join)
+        coder = _worker(path)
         part, before = TaskContext.get().partitionId(), 0
         keys, lengths, held, n = [], [], [], 0
 
