@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from chemscore.operators import folds as FO
 from chemscore.operators import metrics as M
+from chemscore.session import materialize
 
 SEED = 196          # random_state of the forest and of SMOTE
 TREE_SEED = 42      # random_state of the balanced tree
@@ -44,8 +45,8 @@ REFERENCE_GRIDS = {
                 "min_samples_split": [2, 4], "min_samples_leaf": [1, 2]},
 }
 
-# a small grid for routine runs; the reference grids above are an offline job
-SMALL_GRID = {"n_estimators": [20, 40], "max_depth": [4, 8], "min_samples_leaf": [1]}
+# one setting of the grids (their first), for single fits
+GRID_SETTING = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 1}
 
 
 @dataclass
@@ -83,8 +84,9 @@ def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
 
 
-def forest(seed: int = SEED, max_bins: int = 64) -> RandomForestClassifier:
-    return RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed,
+def forest(seed: int = SEED, max_bins: int = 64, setting: dict | None = None) -> RandomForestClassifier:
+    return RandomForestClassifier(**(setting or {}),
+                                  featuresCol="features", labelCol="label", seed=seed,
                                   featureSubsetStrategy="sqrt", impurity="gini", bootstrap=True,
                                   maxBins=max_bins)
 
@@ -95,7 +97,7 @@ def positive_probability(pred: DataFrame, out: str = "prob") -> DataFrame:
 
 
 def grid_search_cv(train: DataFrame, features: Sequence[str], grid: dict, fold_col: str = "fold",
-                   parallelism: int = 4, seed: int = SEED, k: int = 5) -> GridResult:
+                   parallelism: int = 8, seed: int = SEED, k: int = 5) -> GridResult:
     """M3: k-fold grid search on ``fold_col``, exact AUC, refit of the best on all rows."""
     rf = forest(seed)
     pipe = Pipeline(stages=[assembler(features), rf])
@@ -163,24 +165,47 @@ def balanced_tree(train: DataFrame, features: Sequence[str], max_depth: int = 4,
     return Pipeline(stages=[assembler(features), tree]).fit(weighted)
 
 
-def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict | None = None,
-                   split_col: str = "split", k: int = 5, parallelism: int = 4,
-                   threshold_on: str = "valid") -> tuple[DataFrame, GridResult]:
+@dataclass
+class FlowResult:
+    metrics: DataFrame        # (split, metric, value)
+    grid: GridResult
+    roc: DataFrame            # test split: threshold, tp, fp, tpr, fpr
+    importances: DataFrame    # feature, importance, rank
+    scored: DataFrame         # all rows with split, label, prob (staged)
+
+
+def balance(train: DataFrame, features: Sequence[str], label: str, id_col: str, k: int = 5,
+            seed: int = SEED) -> DataFrame:
+    """The oversampled training rows: all rows and SMOTE's synthetic ones, with
+    ids below all real ones so that folds come out the same in every run."""
+    from chemscore.operators.smote import smote
+    new = smote(train.withColumn(label, F.col(label).cast("long")), features, label, id_col, k, seed)
+    low = train.agg(F.min(id_col)).first()[0]
+    new = new.select((F.lit(int(low) - 1) - F.col("i")).alias(id_col), *features, F.col(label).cast("double").alias(label))
+    return train.select(id_col, *features, label).unionByName(new)
+
+
+def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict,
+                   split_col: str = "split", k: int = 5, parallelism: int = 8,
+                   threshold_on: str = "valid", id_col: str = "doc_id", oversample: bool = False) -> FlowResult:
     """M6: grid-search on train+valid (quirk Q13: validation rows are in the
     union), tune the Youden threshold on the validation split, report
-    accuracy/AUC on validation (at argmax) and test (at the tuned threshold).
+    accuracy/AUC on validation (at argmax) and test (at the tuned threshold),
+    the test split's ROC points and the importances.
 
+    ``oversample`` balances the rows the grid search fits on (SMOTE).
     ``threshold_on='oof'`` removes the leak: the threshold is tuned on
     out-of-fold probabilities (each fold predicted by the best setting fitted
-    on the other folds; k distributed fits).
-
-    Returns a metrics table ``(split, metric, value)`` and the grid result.
+    on the other folds; k distributed fits).  Folds and scores are staged, so
+    no fit recomputes them.
     """
-    grid = grid or SMALL_GRID
     tv = data.filter(F.col(split_col).isin("train", "valid"))
-    tv = FO.stratified_folds(tv, "label", "doc_id", k, out="fold")
+    if oversample:
+        tv = balance(tv, features, "label", id_col)
+    tv = materialize(FO.stratified_folds(tv, "label", id_col, k, out="fold"), "learning-folds")
     res = grid_search_cv(tv, features, grid, "fold", parallelism, k=k)
-    scored = positive_probability(res.model.transform(data))
+    scored = materialize(positive_probability(res.model.transform(data))
+                         .select(id_col, split_col, "label", "prob", "prediction"), "learning-scores")
     valid = scored.filter(F.col(split_col) == ("valid" if threshold_on == "oof" else threshold_on))
     test = scored.filter(F.col(split_col) == "test")
     if threshold_on == "oof":
@@ -191,18 +216,11 @@ def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict | None =
     v_auc = M.roc_auc(valid, "prob", "label")
     t_acc = M.accuracy(M.apply_threshold(test, t, "prob"), "pred", "label")
     t_auc = M.roc_auc(test, "prob", "label")
-    spark = data.sparkSession
-    best_cv = res.table.agg(F.max("mean_auc").alias("v"))
-    parts = [
-        best_cv.select(F.lit("cv").alias("split"), F.lit("best_auc").alias("metric"), F.col("v").alias("value")),
-        v_acc.select(F.lit("valid").alias("split"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-        v_auc.select(F.lit("valid").alias("split"), F.lit("auc").alias("metric"), F.col("auc").alias("value")),
-        spark.range(1).select(F.lit("valid").alias("split"), F.lit("threshold").alias("metric"),
-                              F.lit(float(t)).alias("value")),
-        t_acc.select(F.lit("test").alias("split"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
-        t_auc.select(F.lit("test").alias("split"), F.lit("auc").alias("metric"), F.col("auc").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out, res
+    row = lambda df, split, metric, value: df.select(
+        F.lit(split).alias("split"), F.lit(metric).alias("metric"), value.alias("value"))
+    out = row(res.table.agg(F.max("mean_auc").alias("v")), "cv", "best_auc", F.col("v"))
+    for part in (row(v_acc, "valid", "accuracy", F.col("accuracy")), row(v_auc, "valid", "auc", F.col("auc")),
+                 row(data.sparkSession.range(1), "valid", "threshold", F.lit(float(t))),
+                 row(t_acc, "test", "accuracy", F.col("accuracy")), row(t_auc, "test", "auc", F.col("auc"))):
+        out = out.unionByName(part)
+    return FlowResult(out, res, M.roc_curve(test, "prob", "label"), feature_importances(res.model, features), scored)

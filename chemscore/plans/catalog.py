@@ -524,53 +524,106 @@ def learning_input(spark, sf) -> DataFrame:
     return materialize(data, "learning-input")
 
 
+# Fitted values depend on the engine's random draws, so these queries return what must hold for any right
+# fit: row counts, fold sizes and settings exactly, and checks recomputed from the staged scores.
+
+def _fit(spark, sf):
+    """(data, forest of a grid setting fitted on train and validation rows)."""
+    from pyspark.ml import Pipeline
+
+    from chemscore.operators import ml
+    data = learning_input(spark, sf)
+    rf = ml.forest(setting=ml.GRID_SETTING)
+    return data, Pipeline(stages=[ml.assembler(FEATURES), rf]).fit(data.filter(F.col("split") != "test"))
+
+
+def folded(spark, sf) -> DataFrame:
+    """Train and validation rows with their folds, staged: no fit recomputes them."""
+    from chemscore.operators import folds as FO
+    from chemscore.session import materialize
+    data = learning_input(spark, sf).filter(F.col("split") != "test")
+    return materialize(FO.stratified_folds(data, "label", "doc_id", 5, out="fold"), "learning-folds")
+
+
 @query("rf_fit_score")
 def q_rf_fit_score(spark, sf):
     from chemscore.operators import ml
-    data = learning_input(spark, sf)
-    rf = ml.forest().setNumTrees(20).setMaxDepth(8)
-    from pyspark.ml import Pipeline
-    model = Pipeline(stages=[ml.assembler(FEATURES), rf]).fit(data.filter(F.col("split") != "test"))
+    data, model = _fit(spark, sf)
     out = ml.positive_probability(model.transform(data))
-    return out.select("doc_id", "split", F.col("label").cast("long").alias("label"), r6(F.col("prob")).alias("prob"),
-                      F.col("prediction").cast("long").alias("pred"))
+    return out.select("doc_id", "split", F.col("label").cast("long").alias("label"),
+                      F.col("prob").between(0.0, 1.0).alias("prob_in_range"),
+                      ((F.col("prob") > 0.5) == (F.col("prediction") == 1.0)).alias("pred_follows_prob"))
 
 
 @query("grid_search_cv")
 def q_grid_search_cv(spark, sf):
-    from chemscore.operators import folds as FO
+    """All settings of the reference grid, five folds each."""
     from chemscore.operators import ml
-    data = learning_input(spark, sf).filter(F.col("split") != "test")
-    tv = FO.stratified_folds(data, "label", "doc_id", 5, out="fold")
-    res = ml.grid_search_cv(tv, FEATURES, ml.SMALL_GRID, "fold")
+    tv = folded(spark, sf)
+    res = ml.grid_search_cv(tv, FEATURES, ml.REFERENCE_GRIDS["bbbp"], "fold")
+    size = tv.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("label").cast("long")).alias("n_pos"),
+                  F.count_distinct("fold").alias("n_folds")).first()
+    best = res.table.agg(F.max("mean_auc")).first()[0]
+    chosen = F.lit(True)
+    for k, v in res.best_params.items():
+        chosen = chosen & (F.col(k) == v)
     return res.table.select("param_id", "numTrees", "maxDepth", "minInstancesPerNode",
-                            r6(F.col("mean_auc")).alias("mean_auc"))
+                            *[F.lit(size[c]).cast("long").alias(c) for c in ("n_folds", "n_rows", "n_pos")],
+                            F.col("mean_auc").between(0.0, 1.0).alias("auc_in_range"),
+                            (~chosen | (F.col("mean_auc") == best)).alias("winner_is_best"))
 
 
 @query("importance_rank")
 def q_importance_rank(spark, sf):
-    from chemscore.operators import folds as FO
     from chemscore.operators import ml
-    data = learning_input(spark, sf).filter(F.col("split") != "test")
-    tv = FO.stratified_folds(data, "label", "doc_id", 5, out="fold")
-    res = ml.grid_search_cv(tv, FEATURES, ml.SMALL_GRID, "fold")
-    return ml.feature_importances(res.model, FEATURES)
+    _, model = _fit(spark, sf)
+    imp = ml.feature_importances(model, FEATURES)
+    pairs = F.sort_array(F.collect_list(F.struct("rank", "importance")))
+    falls = F.forall(F.sequence(F.lit(1), F.size("pairs") - 1),
+                     lambda i: F.get("pairs", i)["importance"] <= F.get("pairs", i - 1)["importance"])
+    return imp.agg(F.sort_array(F.collect_list("feature")).alias("f"), r6(F.sum("importance")).alias("total"),
+                   pairs.alias("pairs")).select(F.array_join("f", ",").alias("features"), "total",
+                                                falls.alias("falls_with_rank"))
 
 
 @query("balanced_tree")
 def q_balanced_tree(spark, sf):
+    """M5; a tree of depth 4 has at most 16 leaves, so at most 16 probabilities."""
     from chemscore.operators import ml
+    from chemscore.session import materialize
     data = learning_input(spark, sf)
     model = ml.balanced_tree(data.filter(F.col("split") != "test"), FEATURES)
-    out = ml.positive_probability(model.transform(data))
-    return out.select("doc_id", "split", r6(F.col("prob")).alias("prob"), F.col("prediction").cast("long").alias("pred"))
+    out = materialize(ml.positive_probability(model.transform(data)).select("split", "prob", "prediction"), "tree-scores")
+    few = out.select("prob").distinct().count() <= 16
+    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("prob").between(0.0, 1.0)).alias("prob_in_range")) \
+        .withColumn("leaves_within_depth", F.lit(few))
 
 
 @query("tune_and_apply")
 def q_tune_and_apply(spark, sf):
+    """The whole flow over the reference grid; every metric is recomputed here
+    from the staged scores without the library's metric operators."""
     from chemscore.operators import ml
-    metrics, _ = ml.tune_and_apply(learning_input(spark, sf), FEATURES)
-    return metrics.select("split", "metric", r6(F.col("value")).alias("value"))
+    flow = ml.tune_and_apply(learning_input(spark, sf), FEATURES, ml.REFERENCE_GRIDS["bbbp"])
+    got = {(r.split, r.metric): r.value for r in flow.metrics.collect()}
+    t = got[("valid", "threshold")]
+    s = flow.scored.withColumn("y", F.col("label").cast("long"))
+    again = {(r.split, m): r[m] for r in s.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg((F.when(F.col("split") == "test", F.col("prob") >= t).otherwise(F.col("prediction") == 1.0).cast("long")
+               == F.col("y")).cast("double")).alias("accuracy")).collect() for m in ("n", "accuracy")}
+    rank = s.groupBy("split", "prob").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    from pyspark.sql.window import Window
+    below = F.coalesce(F.sum("q").over(Window.partitionBy("split").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    auc = {r.split: r.auc for r in rank.withColumn("less", below).groupBy("split").agg(
+        (F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)) / F.sum("p") / F.sum("q")).alias("auc")).collect()}
+    same = lambda a, b: a is not None and b is not None and abs(a - b) < 1e-9
+    rows = [(x, m, again[(x, "n")], same(got[(x, m)], again[(x, m)] if m == "accuracy" else auc[x]))
+            for x in ("valid", "test") for m in ("accuracy", "auc")]
+    curve = flow.roc.agg(F.count(F.lit(1)).alias("n"), F.max("tp").alias("tp"), F.max("fp").alias("fp")).first()
+    rows.append(("test", "roc_ends_at_all_rows", again[("test", "n")], curve.tp + curve.fp == again[("test", "n")]))
+    rows.append(("cv", "best_auc_in_range", again[("valid", "n")], 0.0 <= got[("cv", "best_auc")] <= 1.0))
+    return spark.createDataFrame(rows, "split string, metric string, n long, holds boolean")
 
 
 # ----- streaming batch twin (ST2) ------------------------------------------------------------
@@ -633,17 +686,14 @@ def q_metrics_sink(spark, sf):
 @query("model_save_load")
 def q_model_save_load(spark, sf):
     """S3: a fitted forest saved as a PipelineModel directory, loaded, and used to score."""
-    from pyspark.ml import Pipeline
-
     from chemscore.operators import ml
     from chemscore.sources import files
-    data = learning_input(spark, sf)
-    model = Pipeline(stages=[ml.assembler(FEATURES), ml.forest().setNumTrees(10).setMaxDepth(5)]) \
-        .fit(data.filter(F.col("split") != "test"))
+    data, model = _fit(spark, sf)
     path = _staging(spark, "model")
     files.save_model(model, path)
-    out = ml.positive_probability(files.load_model(path).transform(data))
-    return out.select("doc_id", "split", r6(F.col("prob")).alias("prob"), F.col("prediction").cast("long").alias("pred"))
+    before = ml.positive_probability(model.transform(data)).select("doc_id", "split", F.col("prob").alias("p0"))
+    after = ml.positive_probability(files.load_model(path).transform(data)).select("doc_id", "prob")
+    return before.join(after, "doc_id").select("doc_id", "split", (F.col("p0") == F.col("prob")).alias("same_after_load"))
 
 
 @query("reward_registry")

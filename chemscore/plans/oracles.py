@@ -75,6 +75,20 @@ FROZEN_VOCAB = [
     ("solubility", "MolWt", "rdkit", "molecularweight"),
 ]
 
+# the same names: best alias key with its similarity, and the similarity of the key that resolved it
+FROZEN_RATIOS = [
+    ('logp', 'logp', 1.0, 1.0),
+    ('mw', 'mw', 1.0, 1.0),
+    ('polarsurfacearea', 'polarsurfacearea', 1.0, 1.0),
+    ('hbd', 'hbd', 1.0, 1.0),
+    ('hba', 'hba', 1.0, 1.0),
+    ('charge', 'hba', 0.444444, 0.444444),
+    ('ringcount', 'ringcount', 1.0, 1.0),
+    ('balaban', 'balaban', 1.0, 1.0),
+    ('???', None, None, None),
+    ('solubility', 'polarizability', 0.666667, 0.48),
+]
+
 
 def _vals(rows, cols):
     def lit(v):
@@ -361,3 +375,31 @@ oracle("stream_score", SCORING + """SELECT prompt_id, gen_idx, reward_format, re
   round(reward_advantage, 6) AS reward_advantage, round(reward_total, 6) AS reward_total, skip_reason FROM sc2""")
 # complete: every window of the batch twin
 oracle("stream_reward_metrics", ORACLES["reward_metrics_windowed"])
+
+# ----- similarity of the frozen names ----------------------------------------------------------------------
+_RATIOS = f"fr AS (SELECT norm, key, CAST(ratio AS DOUBLE) AS ratio, CAST(used AS DOUBLE) AS used FROM {_vals(FROZEN_RATIOS, ['norm', 'key', 'ratio', 'used'])})"
+oracle("fuzzy_top1_join", SCORING.rstrip() + f""", {_RATIOS}
+SELECT norm, key, ratio FROM fr WHERE norm IN (SELECT norm FROM cl2)""")
+oracle("match_trace", SCORING.rstrip() + f""", {_RATIOS}
+SELECT n.name, n.norm, vt.task, vt.descriptor, vt.stage, vt.matched_key, fr.used AS ratio
+FROM (SELECT DISTINCT prop AS name, norm FROM cl2) n JOIN vt USING (norm) JOIN fr USING (norm)""")
+
+# ----- learning: what any right fit must return ------------------------------------------------------------
+_LEARN = _FOLDS + """, li AS (SELECT fo.doc_id, fo.label, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split
+  FROM fo JOIN documents USING (doc_id))
+"""
+oracle("rf_fit_score", _LEARN + "SELECT doc_id, split, label, TRUE AS prob_in_range, TRUE AS pred_follows_prob FROM li")
+oracle("model_save_load", _LEARN + "SELECT doc_id, split, TRUE AS same_after_load FROM li")
+oracle("balanced_tree", _LEARN + """SELECT split, count(*) AS n, TRUE AS prob_in_range, TRUE AS leaves_within_depth
+  FROM li GROUP BY split""")
+oracle("importance_rank", "SELECT 'n_chars,n_lines,n_words' AS features, 1.0::DOUBLE AS total, TRUE AS falls_with_rank")
+oracle("grid_search_cv", _LEARN + """, g AS (
+  SELECT n, d, l FROM (VALUES (100), (120), (140), (160), (180), (200)) AS a(n),
+    (VALUES (10), (12), (14), (16), (18), (20)) AS b(d), (VALUES (1), (2)) AS c(l)),
+s2 AS (SELECT count(*) AS n_rows, sum(label) AS n_pos FROM li WHERE split <> 'test')
+SELECT row_number() OVER (ORDER BY n, d, l) - 1 AS param_id, n AS "numTrees", d AS "maxDepth", l AS "minInstancesPerNode",
+  5 AS n_folds, n_rows, CAST(n_pos AS BIGINT) AS n_pos, TRUE AS auc_in_range, TRUE AS winner_is_best FROM g, s2""")
+oracle("tune_and_apply", _LEARN + """, c AS (SELECT split, count(*) AS n FROM li GROUP BY split)
+SELECT split, metric, n, TRUE AS holds FROM c, (VALUES ('accuracy'), ('auc')) AS m(metric) WHERE split <> 'train'
+UNION ALL SELECT 'test', 'roc_ends_at_all_rows', n, TRUE FROM c WHERE split = 'test'
+UNION ALL SELECT 'cv', 'best_auc_in_range', n, TRUE FROM c WHERE split = 'valid'""")

@@ -92,8 +92,12 @@ def test_tune_and_apply_oof(spark):
                      rnd.gauss(2.0 if y else 0.0, 1.0), rnd.gauss(0, 1)))
     df = spark.createDataFrame(rows, "doc_id long, label double, split string, a double, b double")
     grid = {"n_estimators": [10], "max_depth": [3], "min_samples_leaf": [1]}
-    for mode in ("oof",):
-        metrics, res = ml.tune_and_apply(df, ["a", "b"], grid, k=3, threshold_on=mode)
-        got = {(r.split, r.metric): r.value for r in metrics.collect()}
+    for mode, more in (("oof", False), ("valid", True)):
+        flow = ml.tune_and_apply(df, ["a", "b"], grid, k=3, threshold_on=mode, oversample=more)
+        got = {(r.split, r.metric): r.value for r in flow.metrics.collect()}
         assert 0.5 < got[("test", "auc")] <= 1.0
         assert ("valid", "threshold") in got
+        assert flow.roc.count() > 2 and flow.importances.count() == 2
+    tv = df.filter("split <> 'test'")
+    both = ml.balance(tv, ["a", "b"], "label", "doc_id").groupBy("label").count().collect()
+    assert len({r["count"] for r in both}) == 1 and both[0]["count"] > tv.count() // 2
