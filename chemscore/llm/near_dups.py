@@ -12,8 +12,9 @@ match threshold are confirmed on the full shingle sets.
 Candidates are met in two rounds.  First each class meets one class only, the
 smallest id of a posting list it shares most collisions with.  What is linked
 then is one component, and the second round meets all remaining pairs across
-components; so a group of thousands of near copies is joined without writing
-out its pairs.
+components: as rows for short posting lists, in blocks of signatures for long
+ones, from which only links leave.  So a group of thousands of near copies is
+joined without writing out its pairs.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> frozenset:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -188,29 +189,48 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _across(post: DataFrame, nodes: DataFrame, labels: DataFrame, matches: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a posting list."""
+def _across(post: DataFrame, labels: DataFrame, long_rows: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """What may still link different components: pairs (a, b) that share a short
+    posting list, and for long lists their members in groups (rep, component,
+    grp), where lists with a common member are one group (null if none is long)."""
+    long_rows = long_rows or LIST_ROWS
     named = stage(post.join(small(labels).select(F.col("node").alias("rep"), "component"), "rep", "left")
                   .select("key", "rep", F.coalesce("component", "rep").alias("component")), "minhash-named")
-    lists = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    lists = (lists.groupBy("key").agg(F.count("*").alias("components"), F.sum("n").alias("size"),
-                                      F.max_by("component", "n").alias("main"), F.max("n").alias("most"))
-             .where("components > 1"))
-    lists = stage(lists, "minhash-lists")
-    rows = named.join(small(lists), "key")
-    short = rows.where(F.col("size") <= LIST_ROWS).select("key", "rep", "component")
-    a = short.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    b = short.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    out = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
-    if lists.where(F.col("size") > LIST_ROWS).limit(1).count():
-        out = out.unionByName(_in_blocks(rows.where(F.col("size") > LIST_ROWS), nodes, matches))
-    return stage(out.distinct(), "minhash-across")
-
-
-def _in_blocks(rows: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
-    """Pairs of long lists: members outside the list's largest component against
-    all members, in blocks of signatures; only pairs with enough collisions leave."""
-    rows = rows.join(nodes.select("rep", "signature"), "rep")
+    lists = (named.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub"),
+                                      F.min("component").alias("low"), F.max("component").alias("high"))
+             .where("low < high").select("key", "size", "hub"))
+    rows = stage(named.join(small(stage(lists, "minhash-lists")), "key"), "minhash-mixed")
+    long = rows.where(F.col("size") > long_rows)
+    groups = None
+    if long.limit(1).count():
+        of = components(long.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")))
+        of = stage(of.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "minhash-groups")
+        groups = stage(long.select("rep", "component").distinct().join(small(of), "rep"), "minhash-grouped")
+        short = rows.where(F.col("size") <= long_rows).join(small(of), "rep", "left")
+    else:
+        short = rows.withColumn("grp", F.lit(None).cast("long"))
+    side = lambda c: short.select("key", F.col("rep").alias(c), F.col("component").alias(f"c{c}"),
+                                  F.col("grp").alias(f"g{c}"))
+    pairs = side("a").join(side("b"), "key").where(
+        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~F.coalesce(F.col("ga") == F.col("gb"), F.lit(False)))
+    return stage(pairs.select("a", "b").distinct(), "minhash-across"), groups
+
+
+def _meet_groups(groups: DataFrame, nodes: DataFrame, docs: DataFrame, matches: int, n: int, percent: int) -> DataFrame:
+    """Links (a, b) inside groups of long lists: members outside the group's
+    largest component against all members, in blocks of at most about
+    BLOCK_ROWS by BLOCK_ROWS rows.  Signatures are compared first; pairs above
+    the match threshold are confirmed on the shingle sets, those with most
+    collisions first, until a member has a link to each other component of the
+    block.  Only links leave a block."""
+    sizes = groups.groupBy("grp", "component").agg(F.count("*").alias("n"))
+    sizes = stage(sizes.groupBy("grp").agg(F.sum("n").alias("size"), F.max("n").alias("most"),
+                                           F.max_by("component", F.struct("n", "component")).alias("main"))
+                  .where("size > most"), "minhash-group-sizes")
+    rows = groups.join(small(sizes), "grp")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(
+        small(stage(rows.select("rep").distinct(), "minhash-group-ids")), "rep", "left_semi")
+    rows = stage(rows.join(nodes.select("rep", "signature"), "rep").join(texts, "rep"), "minhash-group-rows")
     n_left = F.ceil((F.col("size") - F.col("most")) / BLOCK_ROWS).cast("int")
     n_right = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     spot = F.xxhash64("rep")
@@ -218,22 +238,30 @@ def _in_blocks(rows: DataFrame, nodes: DataFrame, matches: int) -> DataFrame:
             .withColumn("j", F.explode(F.sequence(F.lit(0), n_right - 1))).withColumn("side", F.lit(0)))
     right = (rows.withColumn("j", F.pmod(spot, n_right).cast("int"))
              .withColumn("i", F.explode(F.sequence(F.lit(0), n_left - 1))).withColumn("side", F.lit(1)))
-    columns = ["key", "i", "j", "side", "rep", "component", "signature"]
+    columns = ["grp", "i", "j", "side", "rep", "component", "signature", "text"]
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         l, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        if l.empty or r.empty:
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        sr, out = np.stack(r["signature"].to_list()), []
-        rep, comp = r["rep"].to_numpy(), r["component"].to_numpy()
-        for one, c, s in zip(l["rep"], l["component"], l["signature"], strict=True):
-            hit = rep[((sr == np.asarray(s)).sum(axis=1) >= matches) & (comp != c)]
-            out.append(np.stack([np.minimum(hit, one), np.maximum(hit, one)], axis=1))
-        found = np.concatenate(out)
-        return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
-
-    return (left.select(columns).unionByName(right.select(columns)).groupBy("key", "i", "j")
-            .applyInPandas(meet, "a long, b long"))
+        out = []
+        if not l.empty and not r.empty:
+            signs, rep, comp = np.stack(r["signature"].to_list()), r["rep"].to_numpy(), r["component"].to_numpy()
+            sets = [shingle_set(t, n) for t in r["text"]]
+            for one, c, s, t in zip(l["rep"], l["component"], l["signature"], l["text"], strict=True):
+                equal = (signs == np.asarray(s)).sum(axis=1)
+                near = np.flatnonzero((equal >= matches) & (comp != c))
+                if not len(near):
+                    continue
+                mine, linked = shingle_set(t, n), set()
+                for k in near[np.argsort(-equal[near], kind="stable")]:
+                    if comp[k] not in linked:
+                        common = len(mine & sets[k])
+                        if 100 * common >= percent * (len(mine) + len(sets[k]) - common):
+                            linked.add(comp[k])
+                            out.append((min(one, rep[k]), max(one, rep[k])))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return stage(left.select(columns).unionByName(right.select(columns)).groupBy("grp", "i", "j")
+                 .applyInPandas(meet, "a long, b long").distinct(), "minhash-links")
 
 
 def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT,
@@ -263,9 +291,15 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
     first = confirm(stage(_collisions(stage(stars, "minhash-stars"), nodes, matches, percent), "minhash-pairs"),
                     docs, n, percent)
     labels = components(first)
-    rest = stage(_collisions(_across(post, nodes, labels, matches), nodes, matches, percent), "minhash-pairs")
+    pairs, groups = _across(post, labels)
+    rest = stage(_collisions(pairs, nodes, matches, percent), "minhash-pairs")
+    links = first
     if rest.limit(1).count():
-        labels = components(first.unionByName(confirm(rest, docs, n, percent)))
+        links = links.unionByName(confirm(rest, docs, n, percent))
+    if groups is not None:
+        links = links.unionByName(_meet_groups(groups, nodes, docs, matches, n, percent))
+    if links is not first:
+        labels = components(links)
 
     classes = stage(nodes.select("cls", "rep").join(small(labels).select(F.col("node").alias("rep"), "component"),
                                                     "rep", "left")

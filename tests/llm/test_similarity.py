@@ -80,7 +80,7 @@ def test_near_duplicates(frame, near_rows):
 def test_near_duplicates_long_lists_and_shuffles(frame, near_rows, monkeypatch):
     monkeypatch.setattr(near_dups, "LIST_ROWS", 3)
     monkeypatch.setattr(near_dups, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(near_dups, "small", lambda df, rows=0: df)
+    monkeypatch.setattr(near_dups, "small", lambda df, rows=0: df)  # shuffles in place of broadcasts
     got = near_dups.near_duplicates(frame(near_rows)).drop("class_id")
     assert lines(got) == sorted(brute.near_duplicates(near_rows), key=str)
 
