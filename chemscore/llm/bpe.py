@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemscore.llm.bytebpe import KEEP_CHARS, CachedCoder, PreTokens, byte_alphabet
-from chemscore.llm.common import pylists, record_batch, text_slices
+from chemscore.llm.common import pylists, record_batch, shipped, text_slices
 
 _NONE = np.int64(1) << 62
 #: Tree cells worked on together (bounds a worker's memory).
@@ -165,7 +165,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for start, part in text_slices(texts):
                 yield record_batch(schema, (keys[start:start + len(part)], coder.texts(part)))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return shipped(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -178,7 +178,7 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
             keys, ids = pylists(batch, "doc_id", "ids")
             yield record_batch(schema, (keys, [tree.decode(x or b"") for x in ids]))
 
-    return tokens.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
+    return shipped(tokens).select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -198,5 +198,5 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                     [hashlib.sha256(x).hexdigest() for x in ids],
                     [hashlib.sha256(tree.decode(x).encode()).hexdigest() for x in ids]))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return shipped(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

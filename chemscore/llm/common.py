@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chemscore._ship import ship_package
 from chemscore.session import materialize
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -38,6 +39,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """``df``, once the executors have this package (for functions that run there)."""
+    ship_package(df.sparkSession)
+    return df
+
+
 def pylists(batch: pa.RecordBatch, *columns: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
 

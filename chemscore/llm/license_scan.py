@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import pylists, record_batch, text_slices
+from chemscore.llm.common import pylists, record_batch, shipped, text_slices
 
 #: Phrases whose every place counts, with their labels.
 BASE_PHRASES = {
@@ -151,7 +151,7 @@ def scan(docs: DataFrame, rare_words: int = RARE_WORDS, min_share: float = MIN_S
     Repeated rows and null ids stay; other columns are ignored; an empty table
     gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = shipped(docs).select(F.col("doc_id").cast("long"), "text")
     n_docs, df = document_frequencies(docs)
     schema = pa.schema([
         ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()),

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import pylists, record_batch, small, stage, text_slices
+from chemscore.llm.common import pylists, record_batch, shipped, small, stage, text_slices
 
 SHINGLE_WORDS = 5
 #: Percent of the union that the intersection must reach.
@@ -276,7 +276,7 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
     a row (kept, if their id is the component's).  Other columns are ignored;
     an empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = stage(signatures(docs, n, coordinates), "minhash-signatures")
     nodes = stage(base.where("cls is not null and doc_id is not null").groupBy("cls")
                   .agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("m"))

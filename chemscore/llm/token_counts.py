@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemscore.llm.bytebpe import KEEP_CHARS, CachedCoder, LibraryCodes, PreTokens, library
-from chemscore.llm.common import pylists, record_batch, text_slices
+from chemscore.llm.common import pylists, record_batch, shipped, text_slices
 
 #: The frequent table is fitted on about this many rows, chosen by a hash of doc_id.
 SAMPLE_ROWS = 2_000
@@ -69,7 +69,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, sample_rows: int
     Null texts are empty: 0 bytes, 0 tokens.  Repeated rows each get their own
     row; null ids stay; other columns are ignored; an empty table gives none.
     """
-    docs = docs.select("doc_id", "text")
+    docs = shipped(docs).select("doc_id", "text")
     table = docs.sparkSession.sparkContext.broadcast(frequent_runs(docs, path, sample_rows, table_rows))
     name = uuid.uuid4().hex
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()),

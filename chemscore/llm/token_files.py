@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chemscore.llm.bytebpe import CachedCoder, LibraryCodes
-from chemscore.llm.common import pylists, record_batch, text_slices
+from chemscore.llm.common import pylists, record_batch, shipped, text_slices
 from chemscore.session import ensure_checkpoint_dir
 
 MAGIC, VERSION = b"RANS", 1
@@ -224,7 +224,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
         if keys:
             yield row()
 
-    (docs.select(F.col("doc_id").cast("long"), "text")
+    (shipped(docs).select(F.col("doc_id").cast("long"), "text")
      .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
      .mapInArrow(run, _FILE)
      .write.mode("error").parquet(folder))
@@ -236,7 +236,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     Only one number per written partition (its ids) reaches the driver.
     """
-    files = spark.read.schema(_FILE).parquet(folder)
+    files = shipped(spark.read.schema(_FILE).parquet(folder))
     offsets, total = {}, 0
     for r in files.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect():
         offsets[r.part] = total

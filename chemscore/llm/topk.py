@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import record_batch, stage
+from chemscore.llm.common import record_batch, shipped, stage
 
 SCALE = 256
 #: Components beyond this (after scaling) count as not finite, so that scores fit a long.
@@ -166,7 +166,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, chunk_queries: int
     """
     x = F.col("embedding")
     usable = x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & (F.abs(c.cast("double")) <= LARGEST / SCALE))
-    candidates = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding"))
+    candidates = shipped(vectors).select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding"))
     queries = stage(queries.select(F.col("vec_id").cast("long").alias("vec_id"), x.cast("array<float>").alias("embedding"))
                     .where(usable & F.col("vec_id").isNotNull()).distinct(), "topk-queries")
     n = queries.count()

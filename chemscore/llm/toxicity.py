@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import pylists, record_batch, text_slices
+from chemscore.llm.common import pylists, record_batch, shipped, stage, text_slices
 
 #: Look-alike letters, and signs written for letters.
 HOMOGLYPHS = {
@@ -38,7 +38,11 @@ EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "recycle tr
 FIT_ROWS = 50_000
 LEXICON = 4_000
 MIN_DOCS = 5
-PREFIXES = (4, 5, 6)
+#: Share of the toxic training texts that an entry must be in.
+MIN_SHARE = 0.01
+#: Least log-odds of an entry (e^3: twenty times likelier in toxic texts).
+MIN_WEIGHT = 3.0
+PREFIXES = (4, 5, 6, 7, 8)
 #: Words of a text that count as one when a sum is normalised.
 LENGTH_POWER = 0.25
 
@@ -137,7 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
     n = labels.count()
     if n > fit_rows:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(fit_rows / n * 1_000_000))
-    rows = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+    # copies of a text teach once, or a copied text's rare words would look like a habit
+    rows = stage(shipped(docs).select("doc_id", "text").join(labels, "doc_id").where("text is not null")
+                 .groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-texts")
     schema = pa.schema([("toxic", pa.int32()), ("entry", pa.string()), ("n", pa.int64())])
 
     def count(batches):
@@ -169,8 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
     if sums is None or not sums.pos or not sums.neg:
         return Lexicon({}, (1.0, 1e3))
     weigh = lambda r: math.log((r.pos + 0.5) / (sums.pos + 1)) - math.log((r.neg + 0.5) / (sums.neg + 1))
-    found = [(weigh(r), r) for r in top if r.entry]
-    found = sorted(((w, r) for w, r in found if w > 1.5), key=lambda x: (-x[0] * x[1].pos, x[1].entry))[:LEXICON]
+    found = [(weigh(r), r) for r in top if r.entry and r.pos >= MIN_SHARE * sums.pos]
+    found = sorted(((w, r) for w, r in found if w >= MIN_WEIGHT), key=lambda x: (-x[0] * x[1].pos, x[1].entry))[:LEXICON]
     lexicon = Lexicon({r.entry: w for w, r in found})
     return Lexicon(lexicon.weights, _curve(rows, lexicon))
 
@@ -224,7 +230,7 @@ def score(docs: DataFrame, lexicon: Lexicon, folds: int = 5) -> DataFrame:
                 s = [lex.score(t) for t in part]
                 yield record_batch(schema, (keys, [held_out(k, folds) for k in keys], s, [int(x >= 0.5) for x in s]))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return shipped(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, held_out boolean, score double, predicted int")
 
 
@@ -239,4 +245,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             texts = batch.column(place).to_pylist()
             yield batch.filter(pa.array([lex.score(t or "") < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return shipped(docs).mapInArrow(run, docs.schema)
