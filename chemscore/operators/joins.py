@@ -9,24 +9,30 @@ from pyspark.sql import functions as F
 
 from chemscore.session import materialize
 
-# Rows a lookup side may have before we stop broadcasting it.  Each side we
-# broadcast is narrow (a few short columns), so 2M rows stays well under the
-# default 8 GB broadcast limit and far under executor memory.
+# Rows and bytes (of its rows as JSON, an upper guide to their size in memory)
+# that a lookup side may have before we stop broadcasting it.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+DEFAULT_BROADCAST_BYTES = 64 << 20
 HOT_KEY_SALTS = 32
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """(rows, bytes of the rows as JSON) of a staged table, in one pass over it."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
+    return row["n"], row["b"] or 0
+
+
 def lookup_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner",
                 max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-                salts: int = 0, dim_rows: int | None = None,
-                salt_by: Sequence[str] | None = None, stage: bool = True) -> DataFrame:
+                salts: int = 0, salt_by: Sequence[str] | None = None, stage: bool = True) -> DataFrame:
     """N:1 join of a large table to a lookup table whose size is data dependent.
 
     The lookup side is staged once (``stage``; callers holding an already
-    written table pass ``stage=False``) so that counting it is a metadata read
-    and the join does not recompute it; when it fits under
-    ``max_broadcast_rows`` it is broadcast and the large side is not shuffled
-    at all.  Beyond that:
+    written table pass ``stage=False``), so that measuring it and the join do
+    not recompute it; when it fits under ``max_broadcast_rows`` and
+    ``DEFAULT_BROADCAST_BYTES`` it is broadcast and the large side is not
+    shuffled at all.  Beyond that:
 
     * ``salts > 1`` (callers that know some keys are hot, e.g. a few claimed
       property names carry most claims): a shuffle join on salted keys.  Each
@@ -41,10 +47,10 @@ def lookup_join(big: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "i
     """
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"lookup_join supports inner/left/semi/anti, not {how!r}")
-    if dim_rows is None and stage:
+    if stage:
         dim = materialize(dim, "lookup")
-    n = dim.count() if dim_rows is None else dim_rows
-    if n <= max_broadcast_rows:
+    rows, size = measured(dim)
+    if rows <= max_broadcast_rows and size <= DEFAULT_BROADCAST_BYTES:
         return big.join(F.broadcast(dim), list(on), how)
     if salts <= 1:
         return big.join(dim, list(on), how)

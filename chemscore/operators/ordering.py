@@ -24,6 +24,10 @@ from chemscore.operators.joins import lookup_join
 from chemscore.session import materialize
 
 BUCKET = "_bucket"
+# Buckets at most: each is one window task, and the quantile sketch that places
+# the cuts is merged towards the driver, so its size must not follow the cluster's
+# shuffle partitions.
+MAX_BUCKETS = 2048
 
 
 def quantile_buckets(df: DataFrame, order_col: str, buckets: int | None = None,
@@ -31,7 +35,7 @@ def quantile_buckets(df: DataFrame, order_col: str, buckets: int | None = None,
     """Adds ``_bucket`` (0-based, ascending in ``order_col``).  NULL order values
     are not allowed."""
     spark = df.sparkSession
-    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets or max(1, min(MAX_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     tmp = "_order_d"
     d = df.withColumn(tmp, F.col(order_col).cast("double"))
     cuts: list[float] = []

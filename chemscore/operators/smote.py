@@ -135,7 +135,8 @@ def exact_knn(points: DataFrame, features: Sequence[str], id_col: str = "id", k:
 def smote(df: DataFrame, features: Sequence[str], label: str = "label", id_col: str = "doc_id",
           k: int = 5, seed: int = 196) -> DataFrame:
     """Synthetic minority rows ``(i, base_id, nn_id, gap, <features>, label)``."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # three labels are enough to see that there are not two
+    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(3).collect()}
     if len(counts) != 2:
         raise ValueError("SMOTE here balances a binary label")
     (minority, n_min), (_, n_maj) = sorted(counts.items(), key=lambda kv: (kv[1], kv[0]))

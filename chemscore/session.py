@@ -92,6 +92,29 @@ def checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def _application(spark) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - a Spark Connect session has no SparkContext handle
+        return ""
+
+
+# staged tables of this process, by session application
+_STAGED: dict[str, list[str]] = {}
+
+
+def drop_staged(spark) -> int:
+    """Delete the tables that ``materialize`` has written for this application,
+    and forget them; returns how many.  For the end of a job, when nothing that
+    it returned is still to be read."""
+    paths = _STAGED.pop(_application(spark), [])
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    return len(paths)
+
+
 def materialize(df, label: str = "table", staging_dir: str | None = None):
     """Write ``df`` once as parquet under the checkpoint folder and read it back.
 
@@ -111,6 +134,7 @@ def materialize(df, label: str = "table", staging_dir: str | None = None):
     else:
         base = ensure_checkpoint_dir(spark).rstrip("/")
         path = f"{base}/chemscore-{label}-{uuid.uuid4().hex}"
+        _STAGED.setdefault(_application(spark), []).append(path)
         df.write.mode("error").parquet(path)
     # the schema is known: no footer-reading inference job on read-back
     return spark.read.schema(df.schema).parquet(path)

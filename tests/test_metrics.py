@@ -120,3 +120,26 @@ def test_youden_gain_of_billions(spark, monkeypatch):
     monkeypatch.setattr(M, "_roc_tables", lambda *a: (cum, tot))
     got = M.youden_threshold(pts).first()
     assert got.threshold == 2.0 and int(got.gain) == 3_500_000_000 * 4_000_000_000 - 100 * 4_000_000_000
+
+
+def test_staged_tables_can_be_dropped(spark):
+    import os
+
+    from chemscore import session
+    df = session.materialize(spark.range(5), "drop-me")
+    path = df.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    path = "/" + path.lstrip("/")
+    assert df.count() == 5 and os.path.isdir(path)
+    assert session.drop_staged(spark) >= 1 and not os.path.isdir(path) and session.drop_staged(spark) == 0
+
+
+def test_lookup_join_measures_bytes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from chemscore.operators import joins
+    big = spark.range(100).select((F.col("id") % 3).alias("k"))
+    dim = spark.range(3).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("v"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(joins.lookup_join(big, dim, ["k"]))
+    monkeypatch.setattr(joins, "DEFAULT_BROADCAST_BYTES", 2000)
+    assert "strategy=broadcast" not in plan(joins.lookup_join(big, dim, ["k"]))
