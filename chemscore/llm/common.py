@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chemscore._ship import ship_package
+from chemscore.operators.joins import DEFAULT_BROADCAST_BYTES, measured
 from chemscore.session import materialize
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -35,8 +36,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A staged table with the broadcast hint if it is proven small, as it is otherwise."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """A staged table with the broadcast hint if its rows and bytes are proven
+    few, as it is otherwise (then the join is a shuffle)."""
+    if df.count() > rows or measured(df)[1] > DEFAULT_BROADCAST_BYTES:
+        return df
+    return F.broadcast(df)
 
 
 def shipped(df: DataFrame) -> DataFrame:

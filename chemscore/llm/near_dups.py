@@ -100,23 +100,23 @@ class Signer:
 
 
 def signatures(docs: DataFrame, n: int = SHINGLE_WORDS, coordinates: int = COORDINATES) -> DataFrame:
-    """doc_id, n_shingles, cls (128-bit key of the set, null if it is empty), signature."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()),
+    """doc_id, text_key (a hash), n_shingles, cls (128-bit key of the set, null if it is empty), signature."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()),
                         ("signature", pa.list_(pa.int32()))])
 
     def run(batches):
         signer = Signer(n, coordinates)
         for batch in batches:
-            ids, texts = pylists(batch, "doc_id", "text")
+            ids, keys, texts = pylists(batch, "doc_id", "text_key", "text")
             for start, part in text_slices(texts):
                 sets = [signer.shingles(t) for t in part]
                 yield record_batch(schema, (
-                    ids[start:start + len(part)], [len(s) for s in sets],
+                    ids[start:start + len(part)], keys[start:start + len(part)], [len(s) for s in sets],
                     [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                     [signer.sign(s) if len(s) else None for s in sets]))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, cls binary, signature array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, cls binary, signature array<int>")
 
 
 def prefix_postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
                     coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (the smallest
     doc_id reachable over links), kept (doc_id = component_id), class_id (the
-    smallest doc_id with the same set; null for an empty set).
+    smallest doc_id with the same set; null for an empty set), text_key
+    (xxhash64 of the text, which tells rows with one id apart).
 
     Null, empty and blank texts have empty sets: they are linked with nothing
     and kept.  Rows without an id take no part: their component is null and
@@ -305,8 +306,8 @@ def near_duplicates(docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERC
                                                     "rep", "left")
                     .select(F.col("cls").alias("of"), F.col("rep").alias("class_id"),
                             F.coalesce("component", "rep").alias("component")), "minhash-components")
-    out = (base.select("doc_id", "n_shingles", "cls")
+    out = (base.select("doc_id", "text_key", "n_shingles", "cls")
            .join(small(classes), F.col("cls") == F.col("of"), "left"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "class_id")
+                      F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "class_id", "text_key")

@@ -21,7 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """Rows of docs whose (doc_id, text) is not among the rejected (doc_id, text_key)."""
-    r = small(stage(rejected.distinct(), "pipeline-rejected")).select(
+    r = small(stage(rejected.select("doc_id", "text_key").distinct(), "pipeline-rejected")).select(
         F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
     return docs.select(*COLUMNS).join(
         r, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
@@ -35,17 +35,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: the one with the smallest doc_id
-    (of repeated rows of it, one)."""
-    judged = near_dups.near_duplicates(docs)
-    gone = stage(judged.where("not kept").select(F.col("doc_id").alias("__doc")).distinct(), "pipeline-copies")
-    kept = docs.select(*COLUMNS).join(small(gone), F.col("doc_id") == F.col("__doc"), "left_anti")
-    repeated = stage(judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-                     .select(F.col("doc_id").alias("__doc")), "pipeline-repeated")
+    (of rows with its id and text, one)."""
+    judged = near_dups.near_duplicates(docs).select("doc_id", "text_key", "kept")
+    kept = _without(docs, judged.where("not kept"))
+    repeated = stage(judged.where("kept and doc_id is not null").groupBy("doc_id", "text_key").count()
+                     .where("count > 1").select("doc_id", "text_key"), "pipeline-repeated")
     if not repeated.limit(1).count():
         return kept
-    once = (kept.join(small(repeated), F.col("doc_id") == F.col("__doc"), "left_semi")
-            .groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*"))
-    return kept.join(small(repeated), F.col("doc_id") == F.col("__doc"), "left_anti").unionByName(once)
+    r = small(repeated).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"))
+    same = (F.col("doc_id") == F.col("__doc")) & (F.xxhash64("text") == F.col("__key"))
+    once = (kept.join(r, same, "left_semi").groupBy("doc_id", "text")
+            .agg(F.min(F.struct(*COLUMNS[2:])).alias("row")).select("doc_id", "text", "row.*"))
+    return kept.join(r, same, "left_anti").unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
