@@ -59,6 +59,10 @@ def _nearest_vectors(queries: DataFrame, vectors: DataFrame, feats: list[str], g
         cand = cand.select(F.col("q.vid").alias("q_vid"), F.col("q.need").alias("need"),
                            F.col("d.vid").alias("c_vid"), F.col("d.weight").alias("weight"),
                            _dist2(feats, "q", "d").alias("dist2"))
+        if not last:
+            # what is farther than h cannot settle a query at this level: gone before any sort, which
+            # matters with more features than grid coordinates (most of a block is far away then)
+            cand = cand.filter(F.col("dist2") <= F.lit(h * h))
         # cumulative weight in (distance, id) order; the covering distance is the
         # distance at which the weights first reach ``need``
         w = Window.partitionBy("q_vid").orderBy("dist2", "c_vid").rowsBetween(Window.unboundedPreceding, 0)
