@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import pylists, record_batch, shipped, stage, text_slices
+from chemscore.llm.common import pylists, record_batch, shipped, small, stage, text_slices
 
 #: Look-alike letters, and signs written for letters.
 HOMOGLYPHS = {
@@ -141,9 +141,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
     n = labels.count()
     if n > fit_rows:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(fit_rows / n * 1_000_000))
-    # copies of a text teach once, or a copied text's rare words would look like a habit
-    rows = stage(shipped(docs).select("doc_id", "text").join(labels, "doc_id").where("text is not null")
-                 .groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-texts")
+    # Copies of a text teach once, or a copied text's rare words would look like a habit.  Only keys are
+    # gathered for it; the texts themselves are read where they lie and never shuffled.
+    labels = stage(labels, "toxicity-labels")
+    text_key = F.xxhash64("text")
+    docs = shipped(docs).select("doc_id", "text").where("text is not null")
+    keys = stage(docs.select("doc_id", text_key.alias("key")).join(small(labels), "doc_id").groupBy("key")
+                 .agg(F.min("doc_id").alias("teacher"), F.max("toxic").alias("toxic")), "toxicity-keys")
+    rows = (docs.join(small(keys), (F.col("doc_id") == F.col("teacher")) & (text_key == F.col("key")))
+            .select("text", "toxic"))
     schema = pa.schema([("toxic", pa.int32()), ("entry", pa.string()), ("n", pa.int64())])
 
     def count(batches):
