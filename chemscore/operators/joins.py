@@ -4,21 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chemscore.session import materialize
 
-# Rows and bytes (of its rows as JSON, an upper guide to their size in memory)
-# that a lookup side may have before we stop broadcasting it.
+# Rows and bytes that a lookup side may have before we stop broadcasting it.
 DEFAULT_BROADCAST_ROWS = 2_000_000
 DEFAULT_BROADCAST_BYTES = 64 << 20
 HOT_KEY_SALTS = 32
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes that a value of this column takes, as an upper guide."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(c)
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.DateType, T.TimestampType)):
+        size = 8 * F.size(c)
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        size = F.octet_length(F.to_json(F.struct(c)))
+    else:
+        size = F.lit(0)
+    return 16 + F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")
+
+
 def measured(df: DataFrame) -> tuple[int, int]:
-    """(rows, bytes of the rows as JSON) of a staged table, in one pass over it."""
-    size = F.octet_length(F.to_json(F.struct(*df.columns))).cast("long")
+    """(rows, bytes) of a staged table, in one pass over it."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        size = size + _width(field)
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     return row["n"], row["b"] or 0
 
