@@ -38,9 +38,8 @@ def ascii_lower(text: Column) -> Column:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table with the broadcast hint if its rows and bytes are proven
     few, as it is otherwise (then the join is a shuffle)."""
-    if df.count() > rows or measured(df)[1] > DEFAULT_BROADCAST_BYTES:
-        return df
-    return F.broadcast(df)
+    n, size = measured(df)
+    return F.broadcast(df) if n <= rows and size <= DEFAULT_BROADCAST_BYTES else df
 
 
 def shipped(df: DataFrame) -> DataFrame:
