@@ -46,7 +46,8 @@ def frequent_runs(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS,
         coded = library(path).encode_batch_fast([" " + r for r, _ in runs], add_special_tokens=False)
         yield record_batch(schema, ([r for r, _ in runs], [k for _, k in runs], [len(e.ids) for e in coded]))
 
-    found = sample.select("text").coalesce(1).mapInArrow(top, "run string, n long, tokens long")
+    # all tasks scan and choose; only the chosen rows (about sample_rows) meet in one
+    found = sample.select("text").repartition(1).mapInArrow(top, "run string, n long, tokens long")
     return {r.run: r.tokens for r in found.orderBy(F.desc("n"), "run").limit(table_rows).collect()}
 
 
