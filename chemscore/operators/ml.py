@@ -187,7 +187,8 @@ def balance(train: DataFrame, features: Sequence[str], label: str, id_col: str,
 
 def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict,
                    split_col: str = "split", k: int = 5, parallelism: int = 8,
-                   threshold_on: str = "valid", id_col: str = "doc_id", oversample: bool = False) -> FlowResult:
+                   threshold_on: str = "valid", id_col: str = "doc_id", oversample: bool = False,
+                   searched: GridResult | None = None) -> FlowResult:
     """M6: grid-search on train+valid (quirk Q13: validation rows are in the
     union), tune the Youden threshold on the validation split, report
     accuracy/AUC on validation (at argmax) and test (at the tuned threshold),
@@ -197,13 +198,14 @@ def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict,
     ``threshold_on='oof'`` removes the leak: the threshold is tuned on
     out-of-fold probabilities (each fold predicted by the best setting fitted
     on the other folds; k distributed fits).  Folds and scores are staged, so
-    no fit recomputes them.
+    no fit recomputes them.  ``searched`` passes in a grid search already done
+    on these folds.
     """
     tv = data.filter(F.col(split_col).isin("train", "valid"))
     if oversample:
         tv = balance(tv, features, "label", id_col)
     tv = materialize(FO.stratified_folds(tv, "label", id_col, k, out="fold"), "learning-folds")
-    res = grid_search_cv(tv, features, grid, "fold", parallelism, k=k)
+    res = searched or grid_search_cv(tv, features, grid, "fold", parallelism, k=k)
     scored = materialize(positive_probability(res.model.transform(data))
                          .select(id_col, split_col, "label", "prob", "prediction"), "learning-scores")
     valid = scored.filter(F.col(split_col) == ("valid" if threshold_on == "oof" else threshold_on))
