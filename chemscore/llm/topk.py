@@ -72,6 +72,7 @@ class _Chunk:
         norm = np.array([np.abs(v).sum() for v in vectors])
         top = norm.astype(object) * LARGEST + 1               # no score is beyond |q|_1 times the largest component
         self.low = np.array([-int(t) for t in top], dtype=np.int64)
+        self.last = np.array([int(t) for t in top], dtype=np.int64)  # the range's highest score; higher ones are in above
         self.width = np.array([-(-2 * int(t) // bins) for t in top], dtype=np.int64)
         self.above = np.zeros(len(rows), dtype=np.int64)
         self.done = np.zeros(len(rows), dtype=bool)
@@ -94,7 +95,7 @@ def _histogram(chunk: _Chunk, k: int):
         counts = np.zeros((len(chunk.ids), chunk.bins), dtype=np.int64)
         for _, _, at, scores, own in chunk.blocks(batches):
             bins = (scores - chunk.low[at]) // chunk.width[at]
-            use = (bins >= 0) & (bins < chunk.bins) & ~own & ~chunk.done[at]
+            use = (scores >= chunk.low[at]) & (scores <= chunk.last[at]) & (bins < chunk.bins) & ~own & ~chunk.done[at]
             places = (at * chunk.bins + np.where(use, bins, 0))[use]
             counts += np.bincount(places, minlength=counts.size).reshape(counts.shape)
         # No bin under a task's own k-th score can hold the k-th score of all.
@@ -142,6 +143,7 @@ def _refine(candidates: DataFrame, chunk: _Chunk, k: int) -> None:
                 chunk.done[q] = True
                 continue
             chunk.low[q] += hit.bin * chunk.width[q]
+            chunk.last[q] = min(chunk.last[q], chunk.low[q] + chunk.width[q] - 1)
             chunk.above[q] += hit.cum - hit.n
             chunk.done[q] = chunk.width[q] == 1 or hit.cum <= need + k
             chunk.width[q] = -(-chunk.width[q] // chunk.bins)

@@ -44,6 +44,23 @@ def test_top_k_large_scores_are_exact(spark):
     assert lines(topk.top_k(df, df.where("vec_id = 0"), 3)) == sorted(top_k_brute(rows, {0}, 3), key=str)
 
 
+def test_top_k_of_clustered_vectors_is_whole(spark):
+    r = np.random.default_rng(12)
+    v = (r.normal(size=(25, 8))[r.integers(0, 25, 10_000)] + r.normal(scale=0.03, size=(10_000, 8))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(8)
+    found = {}
+    for q, _, i, s in sorted(map(tuple, topk.top_k(df, df, 5).collect())):
+        found.setdefault(q, []).append((i, s))
+    e = np.floor(256 * v.astype(np.float64))
+    wrong = 0
+    for q in range(len(v)):
+        scores = (e @ e[q]).astype(np.int64)
+        scores[q] = -2 ** 62
+        best = np.lexsort((np.arange(len(v)), -scores))[:5]
+        wrong += found.get(q) != [(int(i), int(scores[i])) for i in best]
+    assert wrong == 0
+
+
 def copies(r, n_words, n, edits):
     base = [f"w{r.randrange(5000)}" for _ in range(n_words)]
     out = [" ".join(base)]
