@@ -5,7 +5,8 @@ The index holds, for each licence template, the places of its rarest words
 postings are intersected by relative position (place in the file minus place
 in the template), and each surviving place is verified: the template's key
 phrase must stand there word for word, and the share of template words that
-stand in their places is the score.
+stand before and after it in their order, with at most SLACK other words
+between them on each side, is the score.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ BASE_PHRASES = {
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge",
      "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
-     "documentation files to deal in the software without restriction"),
+     "documentation files the software to deal in the software without restriction"),
     ("apache", "licensed under the apache license",
-     "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
+     "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
+     "the license"),
     ("gpl", "gnu general public license",
      "you can redistribute it and or modify it under the terms of the gnu general public license as published by "
      "the free software foundation"),
@@ -52,9 +54,13 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc", "licensed under cc by nc 4 0"),
     ("cc-by", "creative commons attribution", "licensed under a creative commons attribution 4 0 international license"),
 )
-#: Rare words of a template that are posted, and the least share of words in place.
+#: Words that make the key phrase before them another licence's.
+OTHERS = {"creative commons attribution": ("noncommercial", "non", "sharealike", "share", "noderivatives", "noderivs", "no")}
+#: Rare words of a template that are posted, and the least share of words in order.
 RARE_WORDS = 4
 MIN_SHARE = 0.75
+#: Other words that may stand between a template's words on each side of its key phrase.
+SLACK = 8
 
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _FOLD = bytes(_WORD_BYTES[b] + 32 if 65 <= b <= 90 else _WORD_BYTES[b] for b in range(256))
@@ -71,6 +77,24 @@ def _patterns() -> list[tuple[str, list[bytes], list[bytes], bool]]:
     return out + [(label, words(t), words(k), False) for label, k, t in TEMPLATES]
 
 
+def _masks(ws: list[bytes]) -> tuple[int, dict[bytes, int]]:
+    """(words, places of each word as bits) of one side of a template."""
+    masks: dict[bytes, int] = defaultdict(int)
+    for i, w in enumerate(ws):
+        masks[w] |= 1 << i
+    return len(ws), dict(masks)
+
+
+def _in_order(side: tuple[int, dict[bytes, int]], window: list[bytes]) -> int:
+    """Longest common subsequence of a template's side and a window, by bits."""
+    n, masks = side
+    v = full = (1 << n) - 1
+    for w in window:
+        u = v & masks.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
+
+
 def document_frequencies(docs: DataFrame) -> tuple[int, dict[bytes, int]]:
     """(documents, documents that hold each licence word), over all documents.
 
@@ -102,10 +126,12 @@ class LicenseIndex:
         self.patterns, self.min_share = _patterns(), min_share
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         idf = lambda w: math.log((n_docs + 1) / (df.get(w, 0) + 1))
-        self.key_at = []
+        self.key_at, self.sides = [], []
+        self.others = {tuple(words(k)): frozenset(w.encode() for w in ws) for k, ws in OTHERS.items()}
         for p, (_, ws, key, base) in enumerate(self.patterns):
             place = next(i for i in range(len(ws)) if ws[i:i + len(key)] == key)
             self.key_at.append(place)
+            self.sides.append((_masks(ws[:place]), _masks(ws[place + len(key):])))
             # The key phrase's rarest word stands at every place that verifies,
             # so it alone finds them all; rarer words beside it only confirm.
             rarest = max(range(place, place + len(key)), key=lambda i: (idf(ws[i]), -i))
@@ -114,6 +140,17 @@ class LicenseIndex:
                 self.postings[ws[i]].append((p, i))
         self.words = frozenset(self.postings)
 
+    def _share(self, p: int, ws: list[bytes], k: int) -> float:
+        """Share of the template's words that stand in order around its key phrase at ``k``."""
+        _, pattern, key, _ = self.patterns[p]
+        before, after = self.sides[p]
+        end = k + len(key)
+        if ws[end:end + 1] and ws[end] in self.others.get(tuple(key), ()):
+            return 0.0
+        found = (_in_order(before, ws[max(0, k - before[0] - SLACK):k]) if before[0] else 0) + \
+            (_in_order(after, ws[end:end + after[0] + SLACK]) if after[0] else 0)
+        return (len(key) + found) / len(pattern)
+
     def scan(self, text: str) -> tuple[int, list[int], set[str], set[str], float]:
         """(words, starts of base places, base labels, all labels, score)."""
         ws = words(text)
@@ -125,12 +162,11 @@ class LicenseIndex:
                     for p, i in self.postings[w]:
                         votes[p, at - i] += 1
             for p, at in votes:
-                label, pattern, key, is_base = self.patterns[p]
+                label, _, key, is_base = self.patterns[p]
                 k = at + self.key_at[p]
                 if k < 0 or ws[k:k + len(key)] != key:
                     continue
-                first = max(0, -at)                          # words of the template before the text's start
-                share = sum(a == b for a, b in zip(ws[at + first:], pattern[first:], strict=False)) / len(pattern)
+                share = self._share(p, ws, k)
                 if is_base:
                     starts.append(at)
                     base.add(label)
@@ -144,7 +180,7 @@ class LicenseIndex:
 def scan(docs: DataFrame, rare_words: int = RARE_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
     """One row per document row: doc_id, n_words, n_base, first_word,
     last_word, base_labels, labels (distinct, sorted, comma-joined) and score,
-    the largest share of a phrase's or template's words in place (0 to 1).
+    the largest share of a phrase's or template's words in order (0 to 1).
 
     Null and empty texts
     have 0 words, null first and last word, empty labels and score 0.

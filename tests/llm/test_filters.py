@@ -91,6 +91,47 @@ def test_license_base_against_brute_force(frame):
     assert by[0].score == 0 and license_scan.scan(frame([])).count() == 0
 
 
+VERBATIM = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+        associated documentation files (the "Software"), to deal in the Software without restriction, including""",
+    "apache": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at""",
+    "lgpl": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License""",
+    "bsd": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met:""",
+    "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL",
+    "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+        hereby granted, provided that""",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+}
+
+
+def test_license_templates_stand_in_the_verbatim_texts(frame):
+    docs = [(i, f"x y {t} z") for i, t in enumerate(VERBATIM.values())]
+    got = {r.doc_id: r for r in license_scan.scan(frame(docs)).collect()}
+    for i, label in enumerate(VERBATIM):
+        assert label in got[i].labels.split(",") and got[i].score == 1, label
+        ws = license_scan.words(VERBATIM[label])
+        for t in (license_scan.words(t) for known, _, t in license_scan.TEMPLATES if known == label):
+            assert any(ws[k:k + len(t)] == t for k in range(len(ws))), label
+
+
+def test_license_with_a_word_more_or_less():
+    index = license_scan.LicenseIndex(1, {})
+    for label, key, template in license_scan.TEMPLATES:
+        t, k = template.split(), key.split()
+        at = next(i for i in range(len(t)) if t[i:i + len(k)] == k)
+        for i in range(len(t) + 1):
+            if not at < i < at + len(k):
+                assert label in index.scan(" ".join([*t[:i], "qq", *t[i:]]))[3], (template, i)
+            if i < len(t) and not at <= i < at + len(k):
+                assert label in index.scan(" ".join([*t[:i], *t[i + 1:]]))[3], (template, i)
+        assert index.scan(" ".join(["qq", *k, "qq"]))[3] <= {label, "apache", "gpl"}
+    assert index.scan("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License")[3] == set()
+
+
 SECRETS = [
     None, "", "password=hunter2hunter2", "password=short token=abcdefgh", "secret=token: abcdefghij",
     "PassWd : \"ABCDEFGH\" api_key=12345678 apikey='1234567' API-KEY=12345678", "AKIA" + "B" * 12, "AKIA" + "B" * 11,
