@@ -3,7 +3,10 @@
 The index holds, for each licence template, the places of its rarest words
 (highest IDF over all documents).  A file's licence words are looked up, the
 postings are intersected by relative position (place in the file minus place
-in the template), and each surviving place is verified: the template's key
+in the template, which may differ by the words between): the key phrase's
+rarest word must be met by RARE_WORDS - 1 further posted words.  So many words
+are posted that no place with MIN_SHARE of its words is lost by that.  Each
+surviving place is verified: the template's key
 phrase must stand there word for word, and the share of template words that
 stand before and after it in their order, with at most SLACK other words
 between them on each side, is the score.
@@ -126,20 +129,48 @@ class LicenseIndex:
         self.patterns, self.min_share = _patterns(), min_share
         self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         idf = lambda w: math.log((n_docs + 1) / (df.get(w, 0) + 1))
-        self.key_at, self.sides = [], []
+        self.key_at, self.sides, self.rarest, self.near, self.least = [], [], [], [], []
         self.others = {tuple(words(k)): frozenset(w.encode() for w in ws) for k, ws in OTHERS.items()}
         for p, (_, ws, key, base) in enumerate(self.patterns):
             place = next(i for i in range(len(ws)) if ws[i:i + len(key)] == key)
             self.key_at.append(place)
             self.sides.append((_masks(ws[:place]), _masks(ws[place + len(key):])))
-            # The key phrase's rarest word stands at every place that verifies,
-            # so it alone finds them all; rarer words beside it only confirm.
+            # The key phrase's rarest word stands at every place that verifies.  A template may lack
+            # ``missing`` of its words there, so of that many more posted words the rare_words are met.
             rarest = max(range(place, place + len(key)), key=lambda i: (idf(ws[i]), -i))
             others = sorted((i for i in range(len(ws)) if i != rarest), key=lambda i: (-idf(ws[i]), i))
-            for i in [rarest, *([] if base else others[:rare_words - 1])]:
+            missing = next(m for m in range(len(ws), -1, -1) if not m or (len(ws) - m) / len(ws) >= min_share)
+            posted = [rarest, *([] if base else others[:rare_words + missing - 1])]
+            for i in posted:
                 self.postings[ws[i]].append((p, i))
+            self.rarest.append(rarest)
+            self.near.append(SLACK + len(ws))                # farthest apart of two words' relative positions
+            self.least.append(max(1, len(posted) - missing))
+        self.key_words = frozenset(ws[i] for (_, ws, _, _), i in zip(self.patterns, self.rarest, strict=True))
         self.words = frozenset(self.postings)
 
+    def places(self, ws: list[bytes]):
+        """(pattern, place of its start) where its key word is met by enough of its other posted words."""
+        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for at, w in enumerate(ws):
+            if w in self.words:
+                for p, i in self.postings[w]:
+                    found[p].append((at - i, i))
+        for p, votes in found.items():
+            starts = [at for at, i in votes if i == self.rarest[p]]
+            if self.least[p] > 1 and starts:
+                votes.sort()
+            low = high = 0
+            for at in starts:
+                if self.least[p] > 1:
+                    while votes[low][0] < at - self.near[p]:
+                        low += 1
+                    while high < len(votes) and votes[high][0] <= at + self.near[p]:
+                        high += 1
+                    if len({i for _, i in votes[low:high]}) < self.least[p]:
+                        continue
+                yield p, at
+
     def _share(self, p: int, ws: list[bytes], k: int) -> float:
         """Share of the template's words that stand in order around its key phrase at ``k``."""
         _, pattern, key, _ = self.patterns[p]
@@ -155,13 +186,8 @@ class LicenseIndex:
         """(words, starts of base places, base labels, all labels, score)."""
         ws = words(text)
         starts, base, labels, score = [], set(), set(), 0.0
-        if not self.words.isdisjoint(ws):
-            votes: dict[tuple[int, int], int] = defaultdict(int)
-            for at, w in enumerate(ws):
-                if w in self.words:
-                    for p, i in self.postings[w]:
-                        votes[p, at - i] += 1
-            for p, at in votes:
+        if not self.key_words.isdisjoint(ws):
+            for p, at in self.places(ws):
                 label, _, key, is_base = self.patterns[p]
                 k = at + self.key_at[p]
                 if k < 0 or ws[k:k + len(key)] != key:

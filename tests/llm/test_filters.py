@@ -132,6 +132,27 @@ def test_license_with_a_word_more_or_less():
     assert index.scan("Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License")[3] == set()
 
 
+def test_license_postings_are_intersected_without_loss():
+    index = license_scan.LicenseIndex(1, {})
+    grant = license_scan.words(VERBATIM["bsd"])
+    assert [p for p, _ in index.places(grant)] == [p for p, x in enumerate(index.patterns) if x[0] == "bsd"]
+    assert list(index.places(license_scan.words("use binary forms of it"))) == []      # few words meet the key word
+    everywhere = license_scan.LicenseIndex(1, {})
+    everywhere.least = [1] * len(everywhere.least)
+    r = random.Random(8)
+    for _ in range(3000):
+        text = []
+        for label, key, template in r.sample(license_scan.TEMPLATES, 2):
+            t, k = template.split(), key.split()
+            at = next(i for i in range(len(t)) if t[i:i + len(k)] == k)
+            lost = r.sample([i for i in range(len(t)) if not at <= i < at + len(k)], min(r.randint(0, 8), len(t) - len(k)))
+            for i, w in enumerate(t):
+                if not at < i < at + len(k):
+                    text += ["qq"] * r.choice([0, 0, 0, 0, 1, 3])
+                text += [] if i in lost else [w]
+        assert index.scan(" ".join(text)) == everywhere.scan(" ".join(text))
+
+
 SECRETS = [
     None, "", "password=hunter2hunter2", "password=short token=abcdefgh", "secret=token: abcdefghij",
     "PassWd : \"ABCDEFGH\" api_key=12345678 apikey='1234567' API-KEY=12345678", "AKIA" + "B" * 12, "AKIA" + "B" * 11,
