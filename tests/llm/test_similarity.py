@@ -44,6 +44,21 @@ def test_top_k_large_scores_are_exact(spark):
     assert lines(topk.top_k(df, df.where("vec_id = 0"), 3)) == sorted(top_k_brute(rows, {0}, 3), key=str)
 
 
+def test_top_k_takes_all_finite_vectors(spark):
+    rows = [(i, [1.0 + i / 2 ** 40, -0.5, 2.0 ** -20 * i]) for i in range(20)]               # doubles that no float holds
+    rows += [(50 + i, [float(2 ** 30 + i), 3.0 - i, -1e6 * i]) for i in range(8)] + [(60, [-4e6, 5e8, 1.0]), (61, [1e300, 0.0, 0.0]),
+             (62, [0.0, 1e-300, 1e17]), (63, [0.0, float("inf"), 0.0]), (64, [1.7e308, -1.7e308, 0.0]), (65, [-5e9, 5e9, 5e9])]
+    exact = [(i, [int(x * 256 // 1) if abs(x) < 1e15 else 256 * int(x) for x in v]) for i, v in rows if i != 63]
+    want = []
+    for q, v in exact:
+        scores = [(-sum(a * b for a, b in zip(v, w, strict=True)), j) for j, w in exact if j != q]
+        scores = sorted(s for s in scores if -2 ** 63 <= -s[0] < 2 ** 63)
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scores[:4])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, topk.top_k(df, df, 4).collect())) == sorted(want)
+    assert sorted(map(tuple, topk.top_k(df, df, 4, 20, 64).collect())) == sorted(want)
+
+
 def test_top_k_of_clustered_vectors_is_whole(spark):
     r = np.random.default_rng(12)
     v = (r.normal(size=(25, 8))[r.integers(0, 25, 10_000)] + r.normal(scale=0.03, size=(10_000, 8))).astype(np.float32)
