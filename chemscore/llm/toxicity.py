@@ -38,8 +38,10 @@ EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "recycle tr
 FIT_ROWS = 50_000
 LEXICON = 4_000
 MIN_DOCS = 5
-#: Share of the toxic training texts that an entry must be in.
+#: An entry in this share of the toxic training texts needs the least log-odds; one in
+#: fewer needs as much of the lower bound, this many standard errors below its log-odds.
 MIN_SHARE = 0.01
+ERRORS = 1.645
 #: Least log-odds of an entry (e^3: twenty times likelier in toxic texts).
 MIN_WEIGHT = 3.0
 PREFIXES = (4, 5, 6, 7, 8)
@@ -181,8 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
     if sums is None or not sums.pos or not sums.neg:
         return Lexicon({}, (1.0, 1e3))
     weigh = lambda r: math.log((r.pos + 0.5) / (sums.pos + 1)) - math.log((r.neg + 0.5) / (sums.neg + 1))
-    found = [(weigh(r), r) for r in top if r.entry and r.pos >= MIN_SHARE * sums.pos]
-    found = sorted(((w, r) for w, r in found if w >= MIN_WEIGHT), key=lambda x: (-x[0] * x[1].pos, x[1].entry))[:LEXICON]
+    error = lambda r: 0.0 if r.pos >= MIN_SHARE * sums.pos else math.sqrt(1 / (r.pos + 0.5) + 1 / (r.neg + 0.5))
+    found = [(weigh(r), r) for r in top if r.entry]
+    found = [(w, r) for w, r in found if w - ERRORS * error(r) >= MIN_WEIGHT]
+    found = sorted(found, key=lambda x: (-x[0] * x[1].pos, x[1].entry))[:LEXICON]
     lexicon = Lexicon({r.entry: w for w, r in found})
     return Lexicon(lexicon.weights, _curve(rows, lexicon))
 

@@ -239,3 +239,15 @@ def test_held_out_rows_teach_nothing(spark, frame):
     flipped = [(i, 1 - t) if brute.held_out(i) else (i, t) for i, t in labels]
     fits = [toxicity.fit(frame(rows), spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, flipped)]
     assert fits[0].weights == fits[1].weights and fits[0].curve == fits[1].curve
+
+
+def test_toxicity_learns_a_wide_vocabulary(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    plain, insults = [word() for _ in range(400)], [word() for _ in range(150)]
+    docs = [(i, " ".join([r.choice(plain) for _ in range(6)] + [insults[i % 150]] * (i < 12_000))) for i in range(36_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    labels = spark.createDataFrame([(i, int(i < 12_000)) for i, _ in docs], "doc_id long, toxic int")
+    held = toxicity.score(df, toxicity.fit(df, labels)).where("held_out")
+    found = {(r.toxic, r.predicted): r["count"] for r in held.join(labels, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert found[1, 1] >= 2000 and found.get((1, 0), 0) <= 20 and found.get((0, 1), 0) <= 20, found
