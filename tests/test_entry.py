@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from chemscore.sources.tables import TABLES
 
-from conftest import SF001
+from fixtures_core import SF001
 
 FAST_KEYS = ["extract_answer", "parse_claims", "reward_format", "reward_choice_count", "extract_smiles",
              "roc_auc", "roc_curve", "stratified_folds", "reward_total", "json_array_records", "cast_label"]

@@ -6,7 +6,7 @@ from chemscore.functions.registry import apply_rewards, builtin_rewards, python_
 from chemscore.operators import rewards as R
 from chemscore.plans.views import view
 
-from conftest import SF001
+from fixtures_core import SF001
 
 
 def test_registry_with_python_reward(spark):

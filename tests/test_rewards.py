@@ -9,7 +9,7 @@ from chemscore.operators import rewards as R
 from chemscore.plans import dims
 from chemscore.plans.views import view
 
-from conftest import SF001
+from fixtures_core import SF001
 
 
 # A hand-made case: three molecules, one prompt per task, expected rewards worked out by hand from the

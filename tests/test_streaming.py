@@ -8,7 +8,7 @@ from chemscore.operators import rewards as R
 from chemscore.plans.views import view
 from chemscore.streaming import scoring as ST
 
-from conftest import SF001
+from fixtures_core import SF001
 
 
 def test_stream_score_equals_batch(spark, scratch):
