@@ -6,6 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import public_tokenizers  # noqa: E402
+from helpers import CLASHES  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,9 +14,6 @@ def bpe_file():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-CLASHES = ("rep", "cls", "key", "words", "text_key", "n", "a", "b", "component", "rank", "score", "signature", "low")
-
-
 @pytest.fixture(scope="session")
 def frame(spark):
     """(doc_id, text) rows with further columns whose names the operators use inside."""
@@ -23,7 +21,3 @@ def frame(spark):
         types = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES)
         return spark.createDataFrame([(*r, *CLASHES) for r in rows], types)
     return make
-
-
-def lines(df):
-    return sorted(map(tuple, df.collect()), key=str)

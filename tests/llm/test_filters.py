@@ -5,7 +5,7 @@ import random
 import brute
 from chemscore.llm import decontaminate, license_scan, secret_scan, toxicity, url_filter
 
-from conftest import lines
+from helpers import lines
 
 WORDS = ["a", "b", "c", "Dog", "é", "x1"]
 

@@ -8,7 +8,7 @@ import pytest
 import brute
 from chemscore.llm import near_dups, topk
 
-from conftest import lines
+from helpers import lines
 
 
 def top_k_brute(rows, queries, k):

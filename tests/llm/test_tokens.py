@@ -9,7 +9,7 @@ import pytest
 
 from chemscore.llm import bpe, bytebpe, token_counts, token_files
 
-from conftest import lines
+from helpers import lines
 
 
 def hostile():
