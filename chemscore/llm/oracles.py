@@ -91,9 +91,36 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(compon
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
+# crc32 of the id's digits, bit by bit (polynomial 0xEDB88320).
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(CAST(conv_id AS VARCHAR), '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP11 = f"""
+WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS r, coalesce("text", '') AS x
+           FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, CAST({_CRC32} % 9 AS BIGINT) AS h,
+             list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, sha256(concat(strlen(r), ':', r, x))) AS turns
+      FROM t GROUP BY conv_id),
+c AS (SELECT o.conv_id, list_concat(coalesce(f.turns, [])[1:o.h], o.turns[o.h + 1:]) AS s
+      FROM o LEFT JOIN o f ON f.conv_id = o.conv_id - o.conv_id % 5),
+m AS (SELECT conv_id, s[1:d] AS p, d = len(s) AS whole FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM c)),
+n AS (SELECT p, CAST(len(p) AS BIGINT) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE whole) AS ends FROM m GROUP BY p),
+k AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+o2 AS (SELECT n.p, depth, coalesce(n_children, 0) AS n_children,
+              CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(n.p[depth].x) END AS saved FROM n LEFT JOIN k ON n.p = k.p),
+a AS (SELECT p[1:d] AS p, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+      FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM o2) GROUP BY ALL)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children,
+       CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM n JOIN a ON n.p = a.p LEFT JOIN k ON n.p = k.p LEFT JOIN n u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]
+"""
+
 ORACLES = {
     "op1_decontaminate": OP1,
     "op3_top_k": OP3,
     "op7_secret_scan": _op7(),
     "op9_near_duplicates": OP9,
+    "op11_prefix_trie": OP11,
 }

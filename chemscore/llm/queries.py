@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chemscore.llm import (
-    bpe, decontaminate, license_scan, near_dups, secret_scan, token_counts, token_files, topk, toxicity, url_filter,
+    bpe, decontaminate, license_scan, near_dups, prefix_trie, secret_scan, token_counts, token_files, topk, toxicity, url_filter,
 )
 from chemscore.llm.common import table
 from chemscore.llm.oracles import ORACLES  # noqa: F401 - read by __spark_entry__.py
@@ -63,7 +63,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path(BPE_FILE))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_url_filter, op3_top_k, op4_token_counts, op5_license_scan, op6_token_files,
-    op7_secret_scan, op8_toxicity, op9_near_duplicates, op10_bpe,
+    op7_secret_scan, op8_toxicity, op9_near_duplicates, op10_bpe, op11_prefix_trie,
 )}
