@@ -117,10 +117,29 @@ SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce
 FROM n JOIN a ON n.p = a.p LEFT JOIN k ON n.p = k.p LEFT JOIN n u ON n.depth > 0 AND u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]
 """
 
+_TERMS = rf"[x FOR x IN regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') IF x <> '']"
+
+OP12 = f"""
+WITH d AS (SELECT rid, doc_id, CAST(len(t) AS BIGINT) AS n, t
+           FROM (SELECT row_number() OVER () AS rid, CAST(doc_id AS BIGINT) AS doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0),
+c AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM d),
+f AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c),
+m AS (SELECT rid, doc_id, 75 + (25 * n * n_docs) // n_terms AS m FROM d, c),
+b AS (SELECT row_number() OVER () AS q, * FROM (SELECT DISTINCT CAST(item_id AS BIGINT) AS item_id, "text" FROM benchmark)),
+q AS (SELECT q, item_id, term, count(*) AS times FROM (SELECT q, item_id, unnest({_TERMS}) AS term FROM b) GROUP BY ALL),
+s AS (SELECT q, item_id, m.rid, m.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN m ON m.rid = f.rid GROUP BY ALL)
+SELECT item_id, CAST(r AS INTEGER) AS "rank", doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS r FROM s WHERE score > 0) WHERE r <= 20
+"""
+
 ORACLES = {
     "op1_decontaminate": OP1,
     "op3_top_k": OP3,
     "op7_secret_scan": _op7(),
     "op9_near_duplicates": OP9,
     "op11_prefix_trie": OP11,
+    "op12_lexical_search": OP12,
 }

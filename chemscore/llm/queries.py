@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chemscore.llm import (
-    bpe, decontaminate, license_scan, near_dups, prefix_trie, secret_scan, token_counts, token_files, topk, toxicity, url_filter,
+    bpe, decontaminate, lexical_search, license_scan, near_dups, prefix_trie, secret_scan, token_counts, token_files,
+    topk, toxicity, url_filter,
 )
 from chemscore.llm.common import table
 from chemscore.llm.oracles import ORACLES  # noqa: F401 - read by __spark_entry__.py
@@ -67,7 +68,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"), k=20)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_url_filter, op3_top_k, op4_token_counts, op5_license_scan, op6_token_files,
-    op7_secret_scan, op8_toxicity, op9_near_duplicates, op10_bpe, op11_prefix_trie,
+    op7_secret_scan, op8_toxicity, op9_near_duplicates, op10_bpe, op11_prefix_trie, op12_lexical_search,
 )}
