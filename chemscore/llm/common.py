@@ -35,6 +35,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def hash_share(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash falls into this share of all its values."""
+    return hashed < F.lit(max(-(1 << 63), min((1 << 63) - 1, int(share * 2.0 ** 64) - (1 << 63))))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A staged table with the broadcast hint if its rows and bytes are proven
     few, as it is otherwise (then the join is a shuffle)."""

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from chemscore.llm import (
-    bpe, decontaminate, lexical_search, license_scan, near_dups, prefix_trie, secret_scan, token_counts, token_files,
-    topk, toxicity, url_filter,
+    bpe, decontaminate, lexical_search, license_scan, near_dups, prefix_trie, quality, secret_scan, token_counts,
+    token_files, topk, toxicity, url_filter,
 )
 from chemscore.llm.common import table
 from chemscore.llm.oracles import ORACLES  # noqa: F401 - read by __spark_entry__.py
@@ -72,7 +72,13 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark", "item_id", "text"), k=20)
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontaminate, op2_url_filter, op3_top_k, op4_token_counts, op5_license_scan, op6_token_files,
     op7_secret_scan, op8_toxicity, op9_near_duplicates, op10_bpe, op11_prefix_trie, op12_lexical_search,
+    op13_quality,
 )}
