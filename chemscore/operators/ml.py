@@ -1,39 +1,47 @@
-"""Learning operators (M1-M3, M5, M6, E8) on Spark ML.
-
-Mapping of the reference's random forest: ``n_estimators -> numTrees``,
-``max_depth -> maxDepth``, ``min_samples_leaf -> minInstancesPerNode``, gini,
-bootstrap, sqrt feature subsets (``featureSubsetStrategy='sqrt'``).
-``min_samples_split`` has no Spark counterpart, so grids collapse over it.
-Spark bins continuous features (``maxBins``), so trees are not bit-identical
-to scikit-learn's: compare metrics with a tolerance, never trees.
-
-Grid search is ``CrossValidator`` over an explicit ``fold`` column (the
-stratified folds of ``operators.folds``), scored by exact ROC AUC
-(``BinaryClassificationEvaluator(numBins=0)``); ties go to the first setting
-in grid order, as with ``GridSearchCV``.
+"""Learning operators.
+
+Two learners share one form, the node table of ``operators.trees``:
+
+* ``exact_forest`` and ``balanced_tree`` grow trees over every distinct value,
+  as scikit-learn does (gini, ``max_features='sqrt'``, bootstrap by Poisson
+  draws from md5, so that a fit is the same on any cluster);
+* the grid search and its refit use Spark ML's random forest, which bins
+  continuous features (``maxBins``): ``n_estimators -> numTrees``,
+  ``max_depth -> maxDepth``, ``min_samples_leaf -> minInstancesPerNode``.
+  ``min_samples_split`` has no Spark counterpart, so grids collapse over it.
+
+Grid search fits one forest per leaf size and fold, with the grid's most trees
+and greatest depth, and scores all its settings by cutting that forest: the
+first n of independent trees are a forest of n trees, and a greedily grown tree
+cut at depth d is the tree grown to depth d.  Folds are the explicit ``fold``
+column (``operators.folds``), scored by exact ROC AUC; ties go to the first
+setting in grid order, as with ``GridSearchCV``.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chemscore.operators import folds as FO
 from chemscore.operators import metrics as M
+from chemscore.operators import trees as T
 from chemscore.session import materialize
 
 SEED = 196          # random_state of the forest and of SMOTE
-TREE_SEED = 42      # random_state of the balanced tree
 
 # scikit-learn grids of the three classifier scripts (fixed values)
 REFERENCE_GRIDS = {
@@ -52,8 +60,9 @@ GRID_SETTING = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 1}
 @dataclass
 class GridResult:
     model: PipelineModel
-    table: DataFrame          # one row per setting: params, mean AUC, rank
+    table: DataFrame          # one row per setting: params, mean AUC
     best_params: dict
+    folds: DataFrame          # param_id, fold, auc
 
 
 def spark_grid(grid: dict) -> list[dict]:
@@ -96,35 +105,64 @@ def positive_probability(pred: DataFrame, out: str = "prob") -> DataFrame:
     return pred.withColumn(out, vector_to_array(F.col("probability")).getItem(1))
 
 
+def exact_forest(train: DataFrame, features: Sequence[str], id_col: str, setting: dict | None = None,
+                 seed: int = SEED) -> DataFrame:
+    """M1: the node table of a forest over every distinct value: Poisson bootstrap
+    and, per node, the first int(sqrt(features)) of its features in drawn order
+    that can split it."""
+    s = setting or GRID_SETTING
+    rows = T.bootstrap(train.select(id_col, "label", *features), s["numTrees"], id_col, seed)
+    return T.grow(rows, features, s["maxDepth"], min_leaf=s["minInstancesPerNode"],
+                  per_node=max(1, int(math.sqrt(len(features)))), seed=seed)
+
+
+def fold_forests(train: DataFrame, features: Sequence[str], leaves: Sequence[int], trees: int, depth: int, fold_col: str,
+                 k: int, parallelism: int, seed: int = SEED) -> DataFrame:
+    """Node tables of the forests fitted outside each fold, named ``leaf:fold``, staged."""
+    pipe = assembler(features)
+
+    def one(leaf: int, fold: int) -> DataFrame:
+        rf = forest(seed, setting={"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": leaf})
+        model = Pipeline(stages=[pipe, rf]).fit(train.filter(F.col(fold_col) != fold))
+        return T.ml_nodes(train.sparkSession, model.stages[-1]).withColumn("forest", F.lit(f"{leaf}:{fold}"))
+
+    jobs = [(leaf, fold) for leaf in leaves for fold in range(k)]
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        tables = pool.starmap(inheritable_thread_target(train.sparkSession)(one), jobs)
+    return materialize(reduce(DataFrame.unionByName, tables), "grid-nodes")
+
+
+def setting_scores(train: DataFrame, nodes: DataFrame, features: Sequence[str], settings: list[dict], fold_col: str = "fold",
+                   id_col: str = "doc_id", limit: int = T.NODES_AT_ONCE) -> DataFrame:
+    """(id, fold, label, param_id, prob): every row under every setting, by the forests that have not seen its fold."""
+    counts, depths, leaves = (sorted({s[n] for s in settings}) for n in ("numTrees", "maxDepth", "minInstancesPerNode"))
+    place = {(s["maxDepth"], s["numTrees"], s["minInstancesPerNode"]): i for i, s in enumerate(settings)}
+    mine = F.array(*[F.concat(F.lit(f"{leaf}:"), F.col(fold_col).cast("string")) for leaf in leaves])
+    sums = T.cut_sums(train, nodes, features, counts, depths, [id_col, fold_col, "label"], mine, limit)
+    # Of each leaf size the settings' places in the grid, in the order of the sums.
+    ids = F.create_map(*[x for leaf in leaves for x in (
+        F.lit(str(leaf)), F.array(*[F.lit(place[d, c, leaf]) for d in depths for c in counts]))])
+    cells = F.arrays_zip(F.element_at(ids, F.substring_index("forest", ":", 1)).alias("param_id"), F.col("sums").alias("s"),
+                         F.array(*[F.lit(c) for _ in depths for c in counts]).alias("n"))
+    return sums.select(id_col, fold_col, "label", F.explode(cells).alias("c")).select(
+        id_col, fold_col, "label", F.col("c.param_id").cast("long").alias("param_id"), (F.col("c.s") / F.col("c.n")).alias("prob"))
+
+
 def grid_search_cv(train: DataFrame, features: Sequence[str], grid: dict, fold_col: str = "fold",
-                   parallelism: int = 8, seed: int = SEED, k: int = 5) -> GridResult:
+                   parallelism: int = 8, seed: int = SEED, k: int = 5, id_col: str = "doc_id") -> GridResult:
     """M3: k-fold grid search on ``fold_col``, exact AUC, refit of the best on all rows."""
-    rf = forest(seed)
-    pipe = Pipeline(stages=[assembler(features), rf])
     settings = spark_grid(grid)
-    builder = ParamGridBuilder()
-    builder.addGrid(rf.numTrees, sorted({s["numTrees"] for s in settings}))
-    builder.addGrid(rf.maxDepth, sorted({s["maxDepth"] for s in settings}))
-    builder.addGrid(rf.minInstancesPerNode, sorted({s["minInstancesPerNode"] for s in settings}))
-    maps = builder.build()
-    # keep scikit-learn's grid order so ties resolve the same way
-    order = {tuple(sorted(s.items())): i for i, s in enumerate(settings)}
-    maps = sorted((m for m in maps if _key(m, rf) in order), key=lambda m: order[_key(m, rf)])
-    ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction",
-                                       metricName="areaUnderROC", numBins=0)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol=fold_col, numFolds=k,
-                        parallelism=parallelism, seed=seed)
-    cvm = cv.fit(train)
-    spark = train.sparkSession
-    rows = []
-    for i, (m, score) in enumerate(zip(maps, cvm.avgMetrics)):
-        d = dict(_key(m, rf))
-        rows.append((i, d["numTrees"], d["maxDepth"], d["minInstancesPerNode"], float(score)))
-    table = spark.createDataFrame(rows, "param_id long, numTrees int, maxDepth int, "
-                                        "minInstancesPerNode int, mean_auc double")
-    best_i = max(range(len(rows)), key=lambda i: (rows[i][4], -i))
-    best = dict(zip(["numTrees", "maxDepth", "minInstancesPerNode"], rows[best_i][1:4]))
-    return GridResult(cvm.bestModel, table, best)
+    nodes = fold_forests(train, features, sorted({s["minInstancesPerNode"] for s in settings}),
+                         max(s["numTrees"] for s in settings), max(s["maxDepth"] for s in settings), fold_col, k, parallelism, seed)
+    scores = materialize(setting_scores(train, nodes, features, settings, fold_col, id_col)
+                         .withColumn("label", F.col("label").cast("int")), "grid-scores")
+    folds = materialize(M.roc_auc(scores, "prob", "label", ["param_id", fold_col]), "grid-fold-scores")
+    means = folds.groupBy("param_id").agg(F.avg(F.col("auc").cast("decimal(28,18)")).cast("double").alias("mean_auc"))
+    table = materialize(param_grid_table(train.sparkSession, grid).join(means, "param_id", "left"), "grid-table")
+    best_i = M.cv_best(folds, "param_id").first()["param_id"]
+    best = settings[int(best_i)] if best_i is not None else settings[0]
+    model = Pipeline(stages=[assembler(features), forest(seed, setting=best)]).fit(train)
+    return GridResult(model, table, dict(best), folds)
 
 
 def out_of_fold(data: DataFrame, features: Sequence[str], params: dict, k: int = 5,
@@ -142,27 +180,23 @@ def out_of_fold(data: DataFrame, features: Sequence[str], params: dict, k: int =
     return out
 
 
-def _key(m, rf) -> tuple:
-    return tuple(sorted({"numTrees": m[rf.numTrees], "maxDepth": m[rf.maxDepth],
-                         "minInstancesPerNode": m[rf.minInstancesPerNode]}.items()))
-
-
-def feature_importances(model: PipelineModel, features: Sequence[str]) -> DataFrame:
-    """(feature, importance, rank) from the fitted forest, descending."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    spark = SparkSession.getActiveSession()
-    rows = sorted(zip(features, imp), key=lambda x: -x[1])
-    return spark.createDataFrame([(f, float(v), i + 1) for i, (f, v) in enumerate(rows)],
-                                 "feature string, importance double, rank int")
+def feature_importances(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, importance, rank) of a node table, descending; a feature that splits nothing has 0."""
+    names = nodes.sparkSession.createDataFrame(list(enumerate(features)), "at int, name string")
+    imp = T.importances(nodes).withColumnRenamed("feature", "at")
+    return (names.join(imp, "at", "left").select(F.col("name").alias("feature"), F.coalesce("importance", F.lit(0.0)).alias("importance"),
+                                                 "at")
+            .withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("importance").desc(), "at")))  # a row a feature
+            .drop("at"))
 
 
-def balanced_tree(train: DataFrame, features: Sequence[str], max_depth: int = 4,
-                  seed: int = TREE_SEED) -> PipelineModel:
-    """M5: depth-4 decision tree with ``class_weight='balanced'`` weights."""
-    weighted = FO.balanced_weights(train, "label", "weight")
-    tree = DecisionTreeClassifier(featuresCol="features", labelCol="label", weightCol="weight",
-                                  maxDepth=max_depth, seed=seed)
-    return Pipeline(stages=[assembler(features), tree]).fit(weighted)
+def balanced_tree(train: DataFrame, features: Sequence[str], max_depth: int = 4) -> DataFrame:
+    """M5: the node table of the decision tree with ``class_weight='balanced'``:
+    weights n / (k * n_c) in proportion, as integers."""
+    c = train.agg(F.sum(F.col("label").cast("long")).alias("p"), F.count("label").alias("n")).first()
+    pos, neg = c.p or 0, c.n - (c.p or 0)
+    shared = math.gcd(pos, neg) or 1
+    return T.grow(train, features, max_depth, weights=(pos // shared or 1, neg // shared or 1))
 
 
 @dataclass
@@ -187,8 +221,7 @@ def balance(train: DataFrame, features: Sequence[str], label: str, id_col: str,
 
 def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict,
                    split_col: str = "split", k: int = 5, parallelism: int = 8,
-                   threshold_on: str = "valid", id_col: str = "doc_id", oversample: bool = False,
-                   searched: GridResult | None = None) -> FlowResult:
+                   threshold_on: str = "valid", id_col: str = "doc_id", oversample: bool = False) -> FlowResult:
     """M6: grid-search on train+valid (quirk Q13: validation rows are in the
     union), tune the Youden threshold on the validation split, report
     accuracy/AUC on validation (at argmax) and test (at the tuned threshold),
@@ -198,14 +231,13 @@ def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict,
     ``threshold_on='oof'`` removes the leak: the threshold is tuned on
     out-of-fold probabilities (each fold predicted by the best setting fitted
     on the other folds; k distributed fits).  Folds and scores are staged, so
-    no fit recomputes them.  ``searched`` passes in a grid search already done
-    on these folds.
+    no fit recomputes them.
     """
     tv = data.filter(F.col(split_col).isin("train", "valid"))
     if oversample:
         tv = balance(tv, features, "label", id_col)
     tv = materialize(FO.stratified_folds(tv, "label", id_col, k, out="fold"), "learning-folds")
-    res = searched or grid_search_cv(tv, features, grid, "fold", parallelism, k=k)
+    res = grid_search_cv(tv, features, grid, "fold", parallelism, k=k, id_col=id_col)
     scored = materialize(positive_probability(res.model.transform(data))
                          .select(id_col, split_col, "label", "prob", "prediction"), "learning-scores")
     valid = scored.filter(F.col(split_col) == ("valid" if threshold_on == "oof" else threshold_on))
@@ -225,4 +257,5 @@ def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict,
                  row(data.sparkSession.range(1), "valid", "threshold", F.lit(float(t))),
                  row(t_acc, "test", "accuracy", F.col("accuracy")), row(t_auc, "test", "auc", F.col("auc"))):
         out = out.unionByName(part)
-    return FlowResult(out, res, M.roc_curve(test, "prob", "label"), feature_importances(res.model, features), scored)
+    return FlowResult(out, res, M.roc_curve(test, "prob", "label"), feature_importances(
+        materialize(T.ml_nodes(data.sparkSession, res.model.stages[-1]), "flow-nodes"), features), scored)

@@ -524,11 +524,11 @@ def learning_input(spark, sf) -> DataFrame:
     return materialize(data, "learning-input")
 
 
-# Fitted values depend on the engine's random draws, so these queries return what must hold for any right
-# fit: row counts, fold sizes and settings exactly, and checks recomputed from the staged scores.
+# The exact learners draw from md5, so their trees, probabilities and importances have SQL oracles.  Values
+# of the grid search depend on Spark ML's draws: its queries return what must hold for any right search.
 
 def _fit(spark, sf):
-    """(data, forest of a grid setting fitted on train and validation rows)."""
+    """(data, Spark ML forest of a grid setting fitted on train and validation rows)."""
     from pyspark.ml import Pipeline
 
     from chemscore.operators import ml
@@ -545,36 +545,25 @@ def folded(spark, sf) -> DataFrame:
     return materialize(FO.stratified_folds(data, "label", "doc_id", 5, out="fold"), "learning-folds")
 
 
-_SEARCHED: dict = {}
-
-
-def searched(spark, sf):
-    """(sizes of the folded rows, the reference grid's search on them): hundreds
-    of fits, done once per session and folder for the two queries that need it."""
-    from chemscore.operators import ml
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _SEARCHED:
-        tv = folded(spark, sf)
-        size = tv.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("label").cast("long")).alias("n_pos"),
-                      F.count_distinct("fold").alias("n_folds")).first()
-        _SEARCHED[key] = size, ml.grid_search_cv(tv, FEATURES, ml.REFERENCE_GRIDS["bbbp"], "fold")
-    return _SEARCHED[key]
-
-
 @query("rf_fit_score")
 def q_rf_fit_score(spark, sf):
-    from chemscore.operators import ml
-    data, model = _fit(spark, sf)
-    out = ml.positive_probability(model.transform(data))
-    return out.select("doc_id", "split", F.col("label").cast("long").alias("label"),
-                      F.col("prob").between(0.0, 1.0).alias("prob_in_range"),
-                      ((F.col("prob") > 0.5) == (F.col("prediction") == 1.0)).alias("pred_follows_prob"))
+    """M1: the exact forest of a grid setting, fitted on train and validation rows, scores every row."""
+    from chemscore.operators import ml, trees
+    from chemscore.session import materialize
+    data = learning_input(spark, sf)
+    nodes = materialize(ml.exact_forest(data.filter(F.col("split") != "test"), FEATURES, "doc_id"), "forest-nodes")
+    out = trees.score(data, nodes, FEATURES, ["doc_id", "split", "label"])
+    return out.select("doc_id", "split", F.col("label").cast("long").alias("label"), r6(F.col("prob")).alias("prob"))
 
 
 @query("grid_search_cv")
 def q_grid_search_cv(spark, sf):
     """All settings of the reference grid, five folds each."""
-    size, res = searched(spark, sf)
+    from chemscore.operators import ml
+    tv = folded(spark, sf)
+    size = tv.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("label").cast("long")).alias("n_pos"),
+                  F.count_distinct("fold").alias("n_folds")).first()
+    res = ml.grid_search_cv(tv, FEATURES, ml.REFERENCE_GRIDS["bbbp"], "fold")
     best = res.table.agg(F.max("mean_auc")).first()[0]
     chosen = F.lit(True)
     for k, v in res.best_params.items():
@@ -587,28 +576,22 @@ def q_grid_search_cv(spark, sf):
 
 @query("importance_rank")
 def q_importance_rank(spark, sf):
+    """Importances of the exact forest, recomputed from its nodes' gains."""
     from chemscore.operators import ml
-    _, model = _fit(spark, sf)
-    imp = ml.feature_importances(model, FEATURES)
-    pairs = F.sort_array(F.collect_list(F.struct("rank", "importance")))
-    falls = F.forall(F.sequence(F.lit(1), F.size("pairs") - 1),
-                     lambda i: F.get("pairs", i)["importance"] <= F.get("pairs", i - 1)["importance"])
-    return imp.agg(F.sort_array(F.collect_list("feature")).alias("f"), r6(F.sum("importance")).alias("total"),
-                   pairs.alias("pairs")).select(F.array_join("f", ",").alias("features"), "total",
-                                                falls.alias("falls_with_rank"))
+    from chemscore.session import materialize
+    data = learning_input(spark, sf).filter(F.col("split") != "test")
+    nodes = materialize(ml.exact_forest(data, FEATURES, "doc_id"), "forest-nodes")
+    return ml.feature_importances(nodes, FEATURES).select("feature", r6(F.col("importance")).alias("importance"), "rank")
 
 
 @query("balanced_tree")
 def q_balanced_tree(spark, sf):
-    """M5; a tree of depth 4 has at most 16 leaves, so at most 16 probabilities."""
+    """M5: the whole node table of the depth-4 tree, with the rows of each node per class."""
     from chemscore.operators import ml
-    from chemscore.session import materialize
-    data = learning_input(spark, sf)
-    model = ml.balanced_tree(data.filter(F.col("split") != "test"), FEATURES)
-    out = materialize(ml.positive_probability(model.transform(data)).select("split", "prob", "prediction"), "tree-scores")
-    few = out.select("prob").distinct().count() <= 16
-    return out.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("prob").between(0.0, 1.0)).alias("prob_in_range")) \
-        .withColumn("leaves_within_depth", F.lit(few))
+    nodes = ml.balanced_tree(learning_input(spark, sf).filter(F.col("split") != "test"), FEATURES)
+    names = F.array(*[F.lit(f) for f in FEATURES])
+    return nodes.select("node", F.col("depth").cast("int").alias("depth"), "c0", "c1", F.get(names, "feature").alias("feature"),
+                        r6(F.col("threshold")).alias("threshold"), r6(F.col("gain")).alias("gain"), r6(F.col("prob")).alias("prob"))
 
 
 @query("tune_and_apply")
@@ -616,8 +599,8 @@ def q_tune_and_apply(spark, sf):
     """The whole flow over the reference grid; every metric is recomputed here
     from the staged scores without the library's metric operators."""
     from chemscore.operators import ml
-    flow = ml.tune_and_apply(learning_input(spark, sf), FEATURES, ml.REFERENCE_GRIDS["bbbp"],
-                             searched=searched(spark, sf)[1])
+    from chemscore.operators.ordering import running_totals
+    flow = ml.tune_and_apply(learning_input(spark, sf), FEATURES, ml.REFERENCE_GRIDS["bbbp"])
     got = {(r.split, r.metric): r.value for r in flow.metrics.collect()}
     t = got[("valid", "threshold")]
     s = flow.scored.withColumn("y", F.col("label").cast("long"))
@@ -626,10 +609,9 @@ def q_tune_and_apply(spark, sf):
         F.avg((F.when(F.col("split") == "test", F.col("prob") >= t).otherwise(F.col("prediction") == 1.0).cast("long")
                == F.col("y")).cast("double")).alias("accuracy")).collect() for m in ("n", "accuracy")}
     rank = s.groupBy("split", "prob").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    from pyspark.sql.window import Window
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("split").orderBy("prob").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    auc = {r.split: r.auc for r in rank.withColumn("less", below).groupBy("split").agg(
-        (F.sum(F.col("p") * (F.col("less") + F.col("q") / 2)) / F.sum("p") / F.sum("q")).alias("auc")).collect()}
+    less = F.col("cum_q") - F.col("q")
+    auc = {r.split: r.auc for r in running_totals(rank, ["split"], "prob", ["q"]).groupBy("split").agg(
+        (F.sum(F.col("p") * (less + F.col("q") / 2)) / F.sum("p") / F.sum("q")).alias("auc")).collect()}
     same = lambda a, b: a is not None and b is not None and abs(a - b) < 1e-9
     rows = [(x, m, again[(x, "n")], same(got[(x, m)], again[(x, m)] if m == "accuracy" else auc[x]))
             for x in ("valid", "test") for m in ("accuracy", "auc")]

@@ -9,6 +9,7 @@ vocabulary of the fixture's ten property names (FIXTURES section 5/9).
 
 from __future__ import annotations
 
+from chemscore.operators.trees import poisson_cuts
 from chemscore.plans import dims
 from chemscore.plans.views import duckdb_ctes
 
@@ -388,11 +389,77 @@ FROM (SELECT DISTINCT prop AS name, norm FROM cl2) n JOIN vt USING (norm) JOIN f
 _LEARN = _FOLDS + """, li AS (SELECT fo.doc_id, fo.label, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS split
   FROM fo JOIN documents USING (doc_id))
 """
-oracle("rf_fit_score", _LEARN + "SELECT doc_id, split, label, TRUE AS prob_in_range, TRUE AS pred_follows_prob FROM li")
+# Rows of the learners: features as a list; the exact learners fit on train and validation rows.
+_ROWS = _LEARN + """, ft AS MATERIALIZED (SELECT li.doc_id, CAST(li.label AS BIGINT) AS label, split, [d.n_chars::DOUBLE,
+    len(string_split(d.text, ' '))::DOUBLE, len(string_split(d.text, chr(10)))::DOUBLE] AS x FROM li JOIN documents d USING (doc_id))
+"""
+
+
+def _draw(*parts: str) -> str:
+    return f"('0x' || substr(md5({" || ':' || ".join(parts)}), 1, 8))::BIGINT"
+
+
+def _grow(depth: int, n_features: int, weights: tuple[str, str], per_node: int = 0, seed: int = 0, min_leaf: int = 1) -> str:
+    """Level-wise growth over g0(tree, node, c0, c1, x): nodes of level i are n<i>."""
+    out = []
+    side = lambda a, b: (f"(CASE WHEN {a} * {weights[0]} + {b} * {weights[1]} > 0 THEN ({a} * {weights[0]})::DOUBLE * ({b} * {weights[1]})"
+                         f"::DOUBLE / ({a} * {weights[0]} + {b} * {weights[1]})::DOUBLE ELSE 0.0::DOUBLE END)")
+    prob = f"(c1 * {weights[1]})::DOUBLE / (c0 * {weights[0]} + c1 * {weights[1]})::DOUBLE"
+    for i in range(depth + 1):
+        out.append(f"t{i} AS MATERIALIZED (SELECT tree, node, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1 FROM g{i} GROUP BY tree, node)")
+        if i == depth:
+            out.append(f"n{i} AS (SELECT tree, node, {i} AS depth, c0, c1, NULL::INTEGER AS feature, NULL::DOUBLE AS threshold, "
+                       f"NULL::DOUBLE AS gain, {prob} AS prob FROM t{i})")
+            break
+        out.append(f"""v{i} AS (SELECT tree, node, feature, value, sum(c0)::BIGINT AS c0, sum(c1)::BIGINT AS c1
+  FROM (SELECT tree, node, c0, c1, unnest(range(0, {n_features})) AS feature, unnest(x) AS value FROM g{i}) GROUP BY ALL),
+p{i} AS (SELECT tree, node, feature, value, sum(c0) OVER r::BIGINT AS l0, sum(c1) OVER r::BIGINT AS l1, sum(c0) OVER k::BIGINT AS n0,
+    sum(c1) OVER k::BIGINT AS n1, lead(value) OVER o AS nxt FROM v{i}
+  WINDOW k AS (PARTITION BY tree, node, feature), o AS (PARTITION BY tree, node, feature ORDER BY value),
+    r AS (PARTITION BY tree, node, feature ORDER BY value ROWS UNBOUNDED PRECEDING)),
+s{i} AS (SELECT *, {side('l0', 'l1')} + {side('(n0 - l0)', '(n1 - l1)')} AS rest FROM p{i}
+  WHERE nxt IS NOT NULL AND n0 > 0 AND n1 > 0 AND l0 + l1 >= {min_leaf} AND n0 + n1 - l0 - l1 >= {min_leaf}),
+f{i} AS (SELECT * FROM s{i} QUALIFY row_number() OVER (PARTITION BY tree, node, feature ORDER BY rest, value) = 1),
+d{i} AS (SELECT * FROM f{i} {f"QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY {_draw(f"'{seed}'", 'tree', 'node', 'feature')}, feature) <= {per_node}" if per_node else ""}),
+b{i} AS MATERIALIZED (SELECT tree, node, feature::INTEGER AS feature,
+    CASE WHEN (value + nxt) / 2 < nxt THEN (value + nxt) / 2 ELSE value END AS threshold, {side('n0', 'n1')} - rest AS gain
+  FROM d{i} QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY rest, feature) = 1),
+n{i} AS (SELECT tree, node, {i} AS depth, c0, c1, feature, threshold, gain, {prob} AS prob FROM t{i} LEFT JOIN b{i} USING (tree, node)),
+g{i + 1} AS MATERIALIZED (SELECT tree, node * 2 + CASE WHEN x[feature + 1] > threshold THEN 1 ELSE 0 END AS node, c0, c1, x
+  FROM g{i} JOIN b{i} USING (tree, node))""")
+    return ",\n".join(out)
+
+
+_FOREST = dict(trees=100, depth=10)
+_TIMES = " + ".join(f"CASE WHEN u >= {c} THEN 1 ELSE 0 END" for c in poisson_cuts())
+_FOREST_NODES = _ROWS + f""", u0 AS (SELECT doc_id, label, x, tree, {_draw("'196'", 'tree', 'doc_id')} AS u
+  FROM ft, range(0, {_FOREST['trees']}) AS r(tree) WHERE split <> 'test'),
+u1 AS (SELECT *, {_TIMES} AS times FROM u0),
+g0 AS MATERIALIZED (SELECT tree, 1::BIGINT AS node, times * (1 - label) AS c0, times * label AS c1, x FROM u1 WHERE times > 0),
+""" + _grow(_FOREST["depth"], 3, ("1", "1"), per_node=1, seed=196)
+_ALL_NODES = " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(_FOREST["depth"] + 1))
+# every row walks down every tree, level by level
+_WALK = ", w0 AS (SELECT doc_id, x, tree, 1::BIGINT AS node FROM ft, range(0, {t}) AS r(tree))".format(t=_FOREST["trees"]) + "".join(
+    f""", w{i + 1} AS MATERIALIZED (SELECT doc_id, x, tree, CASE WHEN b{i}.feature IS NULL THEN node
+    WHEN x[b{i}.feature + 1] > b{i}.threshold THEN node * 2 + 1 ELSE node * 2 END AS node FROM w{i} LEFT JOIN b{i} USING (tree, node))"""
+    for i in range(_FOREST["depth"]))
+oracle("rf_fit_score", _FOREST_NODES + _WALK + f""", an AS ({_ALL_NODES})
+SELECT ft.doc_id, ft.split, ft.label, round(avg(an.prob), 6) AS prob
+FROM w{_FOREST['depth']} w JOIN an USING (tree, node) JOIN ft ON ft.doc_id = w.doc_id GROUP BY ALL""")
+oracle("importance_rank", _FOREST_NODES + f""", an AS ({_ALL_NODES}),
+pt AS (SELECT tree, feature, sum(gain) AS g FROM an WHERE feature IS NOT NULL GROUP BY tree, feature),
+tt AS (SELECT tree, sum(g) AS t FROM pt GROUP BY tree HAVING sum(g) > 0),
+sh AS (SELECT feature, sum(g / t) AS s FROM pt JOIN tt USING (tree) GROUP BY feature),
+im AS (SELECT i, ['n_chars', 'n_words', 'n_lines'][i + 1] AS feature, coalesce(s / (SELECT sum(s) FROM sh), 0.0) AS importance
+  FROM range(0, 3) AS r(i) LEFT JOIN sh ON sh.feature = i)
+SELECT feature, round(importance, 6) AS importance, CAST(row_number() OVER (ORDER BY importance DESC, i) AS INTEGER) AS rank FROM im""")
 oracle("model_save_load", _LEARN + "SELECT doc_id, split, TRUE AS same_after_load FROM li")
-oracle("balanced_tree", _LEARN + """SELECT split, count(*) AS n, TRUE AS prob_in_range, TRUE AS leaves_within_depth
-  FROM li GROUP BY split""")
-oracle("importance_rank", "SELECT 'n_chars,n_lines,n_words' AS features, 1.0::DOUBLE AS total, TRUE AS falls_with_rank")
+oracle("balanced_tree", _ROWS + """, cw AS (SELECT sum(label)::BIGINT // gcd(sum(label)::BIGINT, count(*) - sum(label)::BIGINT) AS a0,
+    (count(*) - sum(label)::BIGINT) // gcd(sum(label)::BIGINT, count(*) - sum(label)::BIGINT) AS a1 FROM ft WHERE split <> 'test'),
+g0 AS MATERIALIZED (SELECT 0 AS tree, 1::BIGINT AS node, 1 - label AS c0, label AS c1, x FROM ft WHERE split <> 'test'),
+""" + _grow(4, 3, ("(SELECT a0 FROM cw)", "(SELECT a1 FROM cw)")) + """
+SELECT node, depth, c0, c1, ['n_chars', 'n_words', 'n_lines'][feature + 1] AS feature, round(threshold, 6) AS threshold,
+  round(gain, 6) AS gain, round(prob, 6) AS prob FROM (""" + " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(5)) + ")")
 oracle("grid_search_cv", _LEARN + """, g AS (
   SELECT n, d, l FROM (VALUES (100), (120), (140), (160), (180), (200)) AS a(n),
     (VALUES (10), (12), (14), (16), (18), (20)) AS b(d), (VALUES (1), (2)) AS c(l)),

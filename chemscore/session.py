@@ -115,6 +115,13 @@ def drop_staged(spark) -> int:
     return len(paths)
 
 
+def staged_path(spark, label: str) -> str:
+    """A new path under the checkpoint folder that ``drop_staged`` deletes."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/chemscore-{label}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(_application(spark), []).append(path)
+    return path
+
+
 def materialize(df, label: str = "table", staging_dir: str | None = None):
     """Write ``df`` once as parquet under the checkpoint folder and read it back.
 
@@ -132,9 +139,7 @@ def materialize(df, label: str = "table", staging_dir: str | None = None):
         path = f"{staging_dir.rstrip('/')}/{label}"
         df.write.mode("overwrite").parquet(path)
     else:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        path = f"{base}/chemscore-{label}-{uuid.uuid4().hex}"
-        _STAGED.setdefault(_application(spark), []).append(path)
+        path = staged_path(spark, label)
         df.write.mode("error").parquet(path)
     # the schema is known: no footer-reading inference job on read-back
     return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from chemscore.operators import ml
+from chemscore.operators import ml, trees
 from chemscore.sources import files, records
 
 
@@ -44,7 +44,7 @@ def test_model_save_load_and_metric_sink(spark, scratch):
     p1 = [r.probability for r in model.transform(df).collect()]
     p2 = [r.probability for r in again.transform(df).collect()]
     assert p1 == p2
-    imp = ml.feature_importances(model, ["a", "b"])
+    imp = ml.feature_importances(trees.ml_nodes(spark, model.stages[-1]), ["a", "b"])
     out = os.path.join(scratch, "importances")
     files.write_metrics(imp, out)
     assert spark.read.parquet(out).count() == 2
