@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemscore.llm.bytebpe import KEEP_CHARS, CachedCoder, PreTokens, byte_alphabet
-from chemscore.llm.common import pylists, record_batch, shipped, text_slices
+from chemscore.llm.common import pylists, record_batch, shipped, sliced
 
 _NONE = np.int64(1) << 62
 #: Tree cells worked on together (bounds a worker's memory).
@@ -160,10 +160,9 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         _, coder = _worker(path)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             keys, texts = pylists(batch, "doc_id", "text")
-            for start, part in text_slices(texts):
-                yield record_batch(schema, (keys[start:start + len(part)], coder.texts(part)))
+            yield record_batch(schema, (keys, coder.texts([t or "" for t in texts])))
 
     return shipped(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 
@@ -189,14 +188,12 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         tree, coder = _worker(path)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             keys, texts = pylists(batch, "doc_id", "text")
-            for start, part in text_slices(texts):
-                ids = coder.texts(part)
-                yield record_batch(schema, (
-                    keys[start:start + len(part)], [len(x) // 4 for x in ids],
-                    [hashlib.sha256(x).hexdigest() for x in ids],
-                    [hashlib.sha256(tree.decode(x).encode()).hexdigest() for x in ids]))
+            ids = coder.texts([t or "" for t in texts])
+            yield record_batch(schema, (
+                keys, [len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids],
+                [hashlib.sha256(tree.decode(x).encode()).hexdigest() for x in ids]))
 
     return shipped(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +73,25 @@ def text_slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[t
         yield start, part
 
 
+def sliced(batches: Iterable[pa.RecordBatch], *columns: str, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices (without copies) whose values in ``columns`` (texts
+    or binaries) have about ``size`` bytes, so that only a slice is ever held as
+    Python objects.  A longer row comes alone."""
+    for batch in batches:
+        total = 0
+        for c in columns:
+            width = pc.binary_length(batch.column(batch.schema.get_field_index(c)))
+            total = total + pc.fill_null(width, 0).to_numpy(zero_copy_only=False).astype("int64")
+        start = held = 0
+        for i, n in enumerate(total.tolist()):
+            if i > start and held + n > size:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import pylists, record_batch, shipped, small, stage, text_slices
+from chemscore.llm.common import SLICE_CHARS, pylists, record_batch, shipped, sliced, small, stage
 
 SHINGLE_WORDS = 5
 #: Percent of the union that the intersection must reach.
@@ -47,14 +47,6 @@ def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def shingle_set(text: str | None, n: int = SHINGLE_WORDS) -> frozenset:
-    """Distinct n-word shingles; fewer words, but not none, are one shingle."""
-    w = words(text or "")
-    if len(w) < n:
-        return frozenset([tuple(w)]) if w else frozenset()
-    return frozenset(zip(*(w[i:] for i in range(n)), strict=False))
-
-
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 250_000:
@@ -74,9 +66,10 @@ class Signer:
 
     def __init__(self, n: int = SHINGLE_WORDS, coordinates: int = COORDINATES):
         self.n, self.hashes = n, _WordHashes()
-        seeds = np.arange(1, 2 * coordinates + 1, dtype=np.uint64)
+        seeds = np.arange(1, 3 * coordinates + 1, dtype=np.uint64)
         self.a = _mix(seeds[:coordinates] * _M) | np.uint64(1)
-        self.b = _mix(seeds[coordinates:] * _M)
+        self.b = _mix(seeds[coordinates:2 * coordinates] * _M)
+        self.own = _mix(seeds[2 * coordinates:] * _M)
 
     def shingles(self, text: str) -> np.ndarray:
         """Sorted distinct 64-bit shingle hashes."""
@@ -91,39 +84,36 @@ class Signer:
         return np.unique(_mix(out))
 
     def sign(self, shingles: np.ndarray) -> np.ndarray:
-        """Per coordinate the least of a multiply-shift hash of all shingles."""
-        low = np.full(len(self.a), 0xFFFFFFFF, dtype=np.uint32)
+        """Per coordinate the least 64-bit linear hash of all shingles, mixed with
+        the coordinate: equal values mean the same coordinate and value."""
+        low = np.full(len(self.a), 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
         for k in range(0, len(shingles), 2048):
-            part = shingles[k:k + 2048, None] * self.a + self.b
-            low = np.minimum(low, (part >> np.uint64(32)).astype(np.uint32).min(axis=0))
-        return low.view(np.int32)
+            low = np.minimum(low, (shingles[k:k + 2048, None] * self.a + self.b).min(axis=0))
+        return _mix(low ^ self.own).view(np.int64)
 
 
 def signatures(docs: DataFrame, n: int = SHINGLE_WORDS, coordinates: int = COORDINATES) -> DataFrame:
     """doc_id, text_key (a hash), n_shingles, cls (128-bit key of the set, null if it is empty), signature."""
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.binary()),
-                        ("signature", pa.list_(pa.int32()))])
+                        ("signature", pa.list_(pa.int64()))])
 
     def run(batches):
         signer = Signer(n, coordinates)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             ids, keys, texts = pylists(batch, "doc_id", "text_key", "text")
-            for start, part in text_slices(texts):
-                sets = [signer.shingles(t) for t in part]
-                yield record_batch(schema, (
-                    ids[start:start + len(part)], keys[start:start + len(part)], [len(s) for s in sets],
-                    [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    [signer.sign(s) if len(s) else None for s in sets]))
+            sets = [signer.shingles(t or "") for t in texts]
+            yield record_batch(schema, (
+                ids, keys, [len(s) for s in sets],
+                [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
+                [signer.sign(s) if len(s) else None for s in sets]))
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(
-        run, "doc_id long, text_key long, n_shingles long, cls binary, signature array<int>")
+        run, "doc_id long, text_key long, n_shingles long, cls binary, signature array<long>")
 
 
 def prefix_postings(nodes: DataFrame, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
     """(rep, key) under each class's rarest coordinate values that others hold too."""
-    key = F.transform("signature", lambda v, i: F.shiftleft(i.cast("long"), 32)
-                      .bitwiseOR(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    every = nodes.select("rep", F.explode(key).alias("key"))
+    every = nodes.select("rep", F.explode("signature").alias("key"))
     shared = stage(every.groupBy("key").count().where("count > 1"), "minhash-counts")
     # Values of one class only are its rarest, so they use up places of its prefix first.
     place = F.lit(coordinates - matches + 1) - (F.lit(coordinates) - F.size("keys"))
@@ -143,27 +133,46 @@ def _collisions(pairs: DataFrame, nodes: DataFrame, matches: int, percent: int)
             .select("a", "b"))
 
 
+def shingle_sets(docs: DataFrame, ids: DataFrame, n: int = SHINGLE_WORDS) -> DataFrame:
+    """(rep, shingles: the sorted 64-bit hashes of all shingles, 8 bytes each) of
+    the documents with these ids, staged."""
+    schema = pa.schema([("rep", pa.int64()), ("shingles", pa.binary())])
+
+    def run(batches):
+        signer = Signer(n, 1)
+        for batch in sliced(batches, "text"):
+            keys, texts = pylists(batch, "doc_id", "text")
+            yield record_batch(schema, (keys, [signer.shingles(t or "").tobytes() for t in texts]))
+
+    return stage(docs.join(small(ids.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi").select("doc_id", "text")
+                 .mapInArrow(run, "rep long, shingles binary"), "minhash-sets")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets overlap enough."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    at = np.searchsorted(b, a)
+    common = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
+    return bool(common) and 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, n: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """Of the staged pairs (a, b) of doc_ids those linked on their full shingle sets."""
-    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "minhash-needed")
-    texts = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-                  .join(small(ids), "doc_id", "left_semi"), "minhash-texts")
-    both = (pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-            .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a"))
+    """Of the staged pairs (a, b) of doc_ids those linked on their full shingle
+    sets.  The sets are compared as 64-bit hashes: two different shingles of a
+    pair look equal once in about 10^13 pairs of thousand-word texts."""
+    ids = stage(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "minhash-needed")
+    sets = shingle_sets(docs, ids, n)
+    both = (pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "b")
+            .join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a"))
 
     def run(batches):
-        last, held = None, frozenset()
-        for batch in batches:
-            keep = []
-            for ta, tb in zip(*pylists(batch, "ta", "tb"), strict=True):
-                if ta != last:
-                    last, held = ta, shingle_set(ta, n)
-                other = shingle_set(tb, n)
-                common = len(held & other)
-                keep.append(bool(common) and 100 * common >= percent * (len(held) + len(other) - common))
+        for batch in sliced(batches, "sa", "sb", size=16 * SLICE_CHARS):
+            keep = [_linked(np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64), percent)
+                    for sa, sb in zip(*pylists(batch, "sa", "sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return stage(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct(), "minhash-links")
+    return stage(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long").distinct(), "minhash-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,9 +237,8 @@ def _meet_groups(groups: DataFrame, nodes: DataFrame, docs: DataFrame, matches:
                                            F.max_by("component", F.struct("n", "component")).alias("main"))
                   .where("size > most"), "minhash-group-sizes")
     rows = groups.join(small(sizes), "grp")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(
-        small(stage(rows.select("rep").distinct(), "minhash-group-ids")), "rep", "left_semi")
-    rows = stage(rows.join(nodes.select("rep", "signature"), "rep").join(texts, "rep"), "minhash-group-rows")
+    sets = shingle_sets(docs, stage(rows.select("rep").distinct(), "minhash-group-ids"), n)
+    rows = stage(rows.join(nodes.select("rep", "signature"), "rep").join(sets, "rep"), "minhash-group-rows")
     n_left = F.ceil((F.col("size") - F.col("most")) / BLOCK_ROWS).cast("int")
     n_right = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     spot = F.xxhash64("rep")
@@ -238,29 +246,29 @@ def _meet_groups(groups: DataFrame, nodes: DataFrame, docs: DataFrame, matches:
             .withColumn("j", F.explode(F.sequence(F.lit(0), n_right - 1))).withColumn("side", F.lit(0)))
     right = (rows.withColumn("j", F.pmod(spot, n_right).cast("int"))
              .withColumn("i", F.explode(F.sequence(F.lit(0), n_left - 1))).withColumn("side", F.lit(1)))
-    columns = ["grp", "i", "j", "side", "rep", "component", "signature", "text"]
+    columns = ["grp", "i", "j", "side", "rep", "component", "signature", "shingles"]
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         l, r = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
         out = []
         if not l.empty and not r.empty:
             signs, rep, comp = np.stack(r["signature"].to_list()), r["rep"].to_numpy(), r["component"].to_numpy()
-            sets = [shingle_set(t, n) for t in r["text"]]
-            for one, c, s, t in zip(l["rep"], l["component"], l["signature"], l["text"], strict=True):
+            sets = [np.frombuffer(s, np.uint64) for s in r["shingles"]]
+            for one, c, s, mine in zip(l["rep"], l["component"], l["signature"], l["shingles"], strict=True):
                 equal = (signs == np.asarray(s)).sum(axis=1)
                 near = np.flatnonzero((equal >= matches) & (comp != c))
                 if not len(near):
                     continue
-                mine, linked = shingle_set(t, n), set()
+                mine, linked = np.frombuffer(mine, np.uint64), set()
                 for k in near[np.argsort(-equal[near], kind="stable")]:
-                    if comp[k] not in linked:
-                        common = len(mine & sets[k])
-                        if 100 * common >= percent * (len(mine) + len(sets[k]) - common):
-                            linked.add(comp[k])
-                            out.append((min(one, rep[k]), max(one, rep[k])))
+                    if comp[k] not in linked and _linked(mine, sets[k], percent):
+                        linked.add(comp[k])
+                        out.append((min(one, rep[k]), max(one, rep[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return stage(left.select(columns).unionByName(right.select(columns)).groupBy("grp", "i", "j")
+    # Dealt over an explicit number of partitions: a block is few bytes but much work, and must not be merged by bytes.
+    deal = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stage(left.select(columns).unionByName(right.select(columns)).repartition(deal, "grp", "i", "j").groupBy("grp", "i", "j")
                  .applyInPandas(meet, "a long, b long").distinct(), "minhash-links")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import pylists, record_batch, shipped, small, stage, text_slices
+from chemscore.llm.common import pylists, record_batch, shipped, sliced, small, stage
 
 #: Look-alike letters, and signs written for letters.
 HOMOGLYPHS = {
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
                 yield record_batch(schema, ([toxic] * len(c), list(c), list(c.values())))
                 c.clear()
 
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts, toxic = pylists(batch, "text", "toxic")
             for text, t in zip(texts, toxic, strict=True):
                 seen[t].update(entries(fold(text or "")))
@@ -198,7 +198,7 @@ def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float]:
 
     def bins(batches):
         seen, lex = Counter(), Lexicon(weights)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts, toxic = pylists(batch, "text", "toxic")
             seen.update((min(int(lex.raw(x or "") * 64), 1 << 20), t) for x, t in zip(texts, toxic, strict=True))
         yield record_batch(schema, ([k[0] for k in seen], [k[1] for k in seen], list(seen.values())))
@@ -233,12 +233,10 @@ def score(docs: DataFrame, lexicon: Lexicon, folds: int = 5) -> DataFrame:
 
     def run(batches):
         lex = Lexicon(weights, curve)
-        for batch in batches:
-            ids, texts = pylists(batch, "doc_id", "text")
-            for start, part in text_slices(texts):
-                keys = ids[start:start + len(part)]
-                s = [lex.score(t) for t in part]
-                yield record_batch(schema, (keys, [held_out(k, folds) for k in keys], s, [int(x >= 0.5) for x in s]))
+        for batch in sliced(batches, "text"):
+            keys, texts = pylists(batch, "doc_id", "text")
+            s = [lex.score(t or "") for t in texts]
+            yield record_batch(schema, (keys, [held_out(k, folds) for k in keys], s, [int(x >= 0.5) for x in s]))
 
     return shipped(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, held_out boolean, score double, predicted int")
@@ -251,7 +249,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches):
         lex = Lexicon(weights, curve)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             texts = batch.column(place).to_pylist()
             yield batch.filter(pa.array([lex.score(t or "") < 0.5 for t in texts], pa.bool_()))
 
