@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemscore.operators.joins import lookup_join
-from chemscore.operators.ordering import running_totals
+from chemscore.operators.ordering import next_values, running_totals
 from chemscore.session import materialize
 
 INF = float("inf")
@@ -63,11 +63,21 @@ def class_totals(df: DataFrame, label: str = "label", by: Sequence[str] = ()) ->
     return df.groupBy(*by).agg(F.sum(y).alias("P"), F.sum(F.lit(1) - y).alias("N"))
 
 
-def roc_curve(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+def roc_curve(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = (),
+              drop_intermediate: bool = False) -> DataFrame:
     """(group, threshold, tp, fp, tpr, fpr) for every distinct score plus the
-    (+inf, 0, 0) start point; tpr/fpr are NULL when a class is absent."""
+    (+inf, 0, 0) start point; tpr/fpr are NULL when a class is absent.
+
+    ``drop_intermediate`` leaves out what lies on a straight line between its
+    neighbours, as scikit-learn does by default: a point but the first and the
+    last stays if the step to the next point differs from the step to it."""
     by = list(by)
     pts, tot = _roc_tables(df, score, label, by)
+    if drop_intermediate:
+        step = ["tp_s", "fp_s"]
+        pts = next_values(materialize(pts, "roc-points"), by, "threshold", step, "_next", descending=True)
+        first = (F.col("tp") == F.col("tp_s")) & (F.col("fp") == F.col("fp_s"))
+        pts = pts.where(first | F.col("_next").isNull() | (F.col("_next") != F.struct(*step)))
     pts = pts.select(*by, "threshold", "tp", "fp")
     if by:
         start = tot.select(*by)

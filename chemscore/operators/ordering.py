@@ -77,3 +77,22 @@ def running_totals(df: DataFrame, by: Sequence[str], order_col: str, sums: Seque
     if row_number:
         out = out.withColumn(row_number, F.row_number().over(w) + F.col("_o_n"))
     return out.drop(BUCKET, "_o_n", *[f"_o_{s}" for s in sums])
+
+
+def next_values(df: DataFrame, by: Sequence[str], order_col: str, columns: Sequence[str], out: str = "next",
+                descending: bool = False, buckets: int | None = None) -> DataFrame:
+    """Add ``out``: a struct of ``columns`` of the row that follows within ``by``
+    along ``order_col`` (whose values differ within ``by``), null at the end.
+
+    A row's follower is in its own bucket, or it is the first row of the next
+    bucket that has any; only those first rows cross the buckets' borders."""
+    by = list(by)
+    bucketed = quantile_buckets(df, order_col, buckets)
+    here, order = F.struct(*columns), F.col(order_col)
+    first = F.max_by(here, order) if descending else F.min_by(here, order)
+    along = Window.partitionBy(*by).orderBy(F.col(BUCKET).desc() if descending else F.col(BUCKET).asc())
+    borders = bucketed.groupBy(*by, BUCKET).agg(first.alias("_first")).select(
+        *by, BUCKET, F.lead("_first").over(along).alias("_beyond"))
+    joined = lookup_join(bucketed, materialize(borders, "bucket-borders"), [*by, BUCKET], "inner", stage=False)
+    inside = Window.partitionBy(*by, BUCKET).orderBy(order.desc() if descending else order.asc())
+    return joined.withColumn(out, F.coalesce(F.lead(here).over(inside), F.col("_beyond"))).drop(BUCKET, "_beyond")

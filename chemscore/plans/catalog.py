@@ -410,6 +410,16 @@ def q_roc_curve(spark, sf):
                                                      r6(F.col("fpr")).alias("fpr"))
 
 
+@query("roc_curve_reduced")
+def q_roc_curve_reduced(spark, sf):
+    """E4 without the points on straight lines, the reference's default."""
+    from chemscore.operators import metrics as M
+    # coarse scores in long runs, so that there are straight lines to drop
+    ev = eval_input(spark, sf).withColumn("score", F.floor(F.col("score") / 50).cast("double") * 50)
+    return M.roc_curve(ev, drop_intermediate=True).select("threshold", "tp", "fp", r6(F.col("tpr")).alias("tpr"),
+                                                          r6(F.col("fpr")).alias("fpr"))
+
+
 @query("youden_threshold")
 def q_youden_threshold(spark, sf):
     from chemscore.operators import metrics as M
@@ -678,6 +688,38 @@ def q_metrics_sink(spark, sf):
     return out.select("threshold", "tp", "fp", r6(F.col("tpr")).alias("tpr"), r6(F.col("fpr")).alias("fpr"))
 
 
+@query("metrics_sink_runs")
+def q_metrics_sink_runs(spark, sf):
+    """S4 with a run key: two runs, then the first one's class counts again; the
+    retry replaces its own partitions only."""
+    from chemscore.sources import files
+    path = _staging(spark, "metric-runs")
+    per = eval_input(spark, sf).groupBy(F.col("label").cast("string").alias("split")).agg(
+        F.count(F.lit(1)).cast("double").alias("rows"), r6(F.avg("score")).alias("mean_score"))
+    rows = per.unpivot("split", ["rows", "mean_score"], "metric", "value")
+    files.commit_metrics(rows.withColumn("value", F.col("value") + 1), path, "a")
+    files.commit_metrics(rows, path, "b")
+    files.commit_metrics(rows.where("metric = 'rows'"), path, "a")
+    return files.read_metrics(spark, path, "value DOUBLE, run STRING, split STRING, metric STRING") \
+        .select("run", "split", "metric", r6(F.col("value")).alias("value"))
+
+
+@query("json_array_split")
+def q_json_array_split(spark, sf):
+    """S1 over files that hold one JSON array each, cut by Spark's byte ranges."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    parts = max(1, d.count() // 2_000)                                       # records of a file
+    record = F.to_json(F.struct(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("instruction"),
+                                F.coalesce("text", F.lit("")).alias("input"), (F.col("quality") == 1).alias("output")))
+    path = _staging(spark, "json-arrays")
+    (d.groupBy(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"))
+     .agg(F.concat(F.lit("["), F.array_join(F.collect_list(record), ",\n"), F.lit("]")).alias("value"))
+     .write.partitionBy("part").text(path))
+    out = S.to_samples(S.read_json_array_split(spark, path).select("instruction", "input", "output"))
+    return out.select(F.get(F.col("prompt"), F.lit(0))["content"].alias("instruction"),
+                      F.md5(F.get(F.col("prompt"), F.lit(1))["content"]).alias("input_md5"), "answer")
+
+
 @query("model_save_load")
 def q_model_save_load(spark, sf):
     """S3: a fitted forest saved as a PipelineModel directory, loaded, and used to score."""

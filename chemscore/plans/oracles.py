@@ -291,6 +291,11 @@ oracle("roc_auc", EV + _roc("") + """SELECT round(CAST(sum(fp_s * (2 * (tp - tp_
   P AS n_pos, N AS n_neg FROM k CROSS JOIN tot GROUP BY P, N""")
 oracle("roc_curve", EV + _roc("") + """SELECT threshold, tp, fp, round(tp / P, 6) AS tpr, round(fp / N, 6) AS fpr FROM k CROSS JOIN tot
   UNION ALL SELECT 'inf'::DOUBLE, 0, 0, 0.0, 0.0""")
+oracle("roc_curve_reduced", EV.replace("n_chars::DOUBLE AS score", "floor(n_chars / 50.0) * 50 AS score") + _roc("") + """,
+nx AS (SELECT *, lead(tp_s) OVER o AS tp_n, lead(fp_s) OVER o AS fp_n, row_number() OVER o AS i FROM k WINDOW o AS (ORDER BY threshold DESC))
+SELECT threshold, tp, fp, round(tp / P, 6) AS tpr, round(fp / N, 6) AS fpr FROM nx CROSS JOIN tot
+WHERE i = 1 OR tp_n IS NULL OR tp_n <> tp_s OR fp_n <> fp_s
+UNION ALL SELECT 'inf'::DOUBLE, 0, 0, 0.0, 0.0""")
 oracle("youden_threshold", EV + _roc("") + _YOUDEN + "SELECT threshold, gain FROM yt")
 oracle("apply_threshold", EV + _roc("") + _PRED + "SELECT doc_id, score, CAST(label AS BIGINT) AS label, pred FROM pr")
 oracle("accuracy", EV + _roc("") + _PRED + """SELECT any_value(threshold) AS threshold,
@@ -369,6 +374,12 @@ oracle("csv_scan", """SELECT l.doc_id, d.n_chars::DOUBLE AS n_chars, len(string_
   len(string_split(d.text, chr(10)))::DOUBLE AS n_lines, CAST(l.quality AS BIGINT) AS label
   FROM labels l JOIN documents d USING (doc_id)""")
 oracle("metrics_sink", ORACLES["roc_curve"])
+oracle("metrics_sink_runs", EV + """, m AS (SELECT CAST(label AS VARCHAR) AS split, count(*)::DOUBLE AS n, round(avg(score), 6) AS s FROM t GROUP BY label),
+r AS (SELECT 'a' AS run, 0 AS rows_more, 1 AS score_more UNION ALL SELECT 'b', 0, 0)
+SELECT run, split, 'rows' AS metric, n + rows_more AS value FROM m, r
+UNION ALL SELECT run, split, 'mean_score', round(s + score_more, 6) FROM m, r""")
+oracle("json_array_split", """SELECT 'doc ' || doc_id AS instruction, md5(coalesce(text, '')) AS input_md5,
+  CASE WHEN quality = 1 THEN 'True' ELSE 'False' END AS answer FROM documents JOIN labels USING (doc_id)""")
 oracle("reward_registry", SCORING + """SELECT prompt_id, gen_idx, reward_format, reward_correctness, reward_choices,
   round(reward_advantage, 6) AS reward_advantage, CASE WHEN skip_reason = 'no_claims' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END
   AS reward_answered, round(reward_total, 6) AS reward_total FROM sc2""")

@@ -46,3 +46,25 @@ def load_model(path: str) -> PipelineModel:
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Printed scores, ROC points and importances become parquet tables."""
     df.write.mode(mode).parquet(path)
+
+
+RUN_KEY = ("run", "split", "metric")
+
+
+def commit_metrics(df: DataFrame, path: str, run: str) -> None:
+    """S4 with a run key: metric rows (split, metric and their values) become the
+    partitions (run, split, metric) of one table.
+
+    A run replaces only its own partitions, and only those it writes; other
+    runs stay.  A retry of the same run writes the same partitions again, so a
+    commit that failed half-way is repaired by repeating it."""
+    missing = set(RUN_KEY[1:]) - set(df.columns)
+    if missing:
+        raise ValueError(f"metric rows need the columns {sorted(missing)}")
+    (df.withColumn("run", F.lit(run)).repartition(*RUN_KEY).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEY).parquet(path))
+
+
+def read_metrics(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The committed rows of all runs; ``schema`` names every column, the run key too."""
+    return spark.read.schema(schema).parquet(path)
