@@ -116,6 +116,37 @@ def resolve_vocabulary(names: DataFrame, name_col: str = "prop",
     return out
 
 
+VOCABULARY = "norm STRING, task STRING, descriptor STRING, stage STRING, matched_key STRING, ratio DOUBLE, version BIGINT"
+
+
+def lasting_vocabulary(names: DataFrame, folder: str, version: int, name_col: str = "prop", cutoff: float = DEFAULT_CUTOFF,
+                       exact_first: bool = False, names_per_task: int = 2000, staging_dir: str | None = None) -> DataFrame:
+    """J6 against a vocabulary that lasts: only names that no earlier version
+    holds are resolved, and they are added as the partition ``version`` of the
+    table in ``folder``.  Returns the rows of the asked names.
+
+    Versions are the numbers of a stream's micro-batches.  A repeated version
+    looks at earlier ones only and replaces its own partition, so a retried
+    batch neither loses nor doubles a name.  Every setting that changes matches
+    has a table of its own under the folder.
+    """
+    spark = names.sparkSession
+    path = f"{folder.rstrip('/')}/cutoff={cutoff}-exact={int(exact_first)}"
+    words = materialize(names.select(normalize_name(F.col(name_col)).alias("norm")).distinct(), "asked-names", staging_dir)
+
+    def table() -> DataFrame:
+        return spark.read.schema(VOCABULARY).parquet(path)
+
+    # the folder exists with its first version
+    spark.createDataFrame([], VOCABULARY).write.mode("append").partitionBy("version").parquet(path)
+    known = table().where(F.col("version") < version).select("norm").distinct()
+    new = words.join(known, "norm", "left_anti")
+    (resolve_vocabulary(new, "norm", cutoff, exact_first, names_per_task, staging_dir)
+     .select("norm", "task", "descriptor", "stage", "matched_key", "ratio", F.lit(version).cast("long").alias("version"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path))
+    return table().where(F.col("version") <= version).join(words, "norm", "left_semi").drop("version")
+
+
 def match_trace(names: DataFrame, name_col: str = "prop", cutoff: float = DEFAULT_CUTOFF) -> DataFrame:
     """Printed name -> normalized -> matched -> stage, one row per distinct
     (name, task), as a table instead of debug prints."""

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from chemscore.functions import text as X
 from chemscore.operators.joins import DEFAULT_BROADCAST_ROWS, HOT_KEY_SALTS, lookup_join
-from chemscore.operators.resolve import DEFAULT_CUTOFF, resolve_vocabulary
+from chemscore.operators.resolve import DEFAULT_CUTOFF, lasting_vocabulary, resolve_vocabulary
 from chemscore.plans import dims
 from chemscore.session import materialize
 
@@ -49,6 +49,8 @@ class ScoreOptions:
     max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
     eps: float = 1e-4
     staging_dir: str | None = None  # overwrite-in-place staging (streams); default: unique tables
+    vocabulary_dir: str | None = None   # a vocabulary that lasts over the micro-batches of a stream
+    vocabulary_version: int = 0         # the micro-batch
 
 
 # ----- inputs -------------------------------------------------------------------
@@ -173,6 +175,9 @@ def prepare(completions: DataFrame, prompts: DataFrame, molecules: DataFrame, de
 def vocabulary(claim_rows: DataFrame, opts: ScoreOptions) -> DataFrame:
     """The (norm, task) -> descriptor table, written once to the checkpoint
     folder so the similarity UDF never re-runs and its size can be checked."""
+    if opts.vocabulary_dir:
+        return materialize(lasting_vocabulary(claim_rows, opts.vocabulary_dir, opts.vocabulary_version, "prop", opts.cutoff,
+                                              opts.exact_first, staging_dir=opts.staging_dir), "vocabulary", opts.staging_dir)
     return materialize(resolve_vocabulary(claim_rows, "prop", opts.cutoff, opts.exact_first,
                                           staging_dir=opts.staging_dir)
                        .select("norm", "task", "descriptor", "stage", "matched_key", "ratio"),

@@ -762,6 +762,25 @@ def q_stream_score(spark, sf):
                       r6(F.col("reward_total")).alias("reward_total"), "skip_reason")
 
 
+@query("stream_group_advantage")
+def q_stream_group_advantage(spark, sf):
+    """R7 in a stream: events as generations, eight to a prompt, dealt over files
+    so that most groups are split over micro-batches."""
+    from chemscore.streaming import scoring as ST
+    ev = table(spark, sf, "events").select(F.floor(F.col("event_id") / 8).cast("long").alias("prompt_id"),
+                                           (F.col("event_id") % 8).alias("gen_idx"), F.col("value").alias("reward_total"),
+                                           F.col("ts").cast("timestamp").alias("ts"))
+    sizes = ev.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("group_size"))
+    src = _staging(spark, "generations-in")
+    ev.join(sizes, "prompt_id").select("prompt_id", "gen_idx", "reward_total", "group_size", "ts") \
+        .repartition(6, F.xxhash64("prompt_id", "gen_idx")).write.parquet(src)
+    sink, ck = _staging(spark, "advantages-out"), _staging(spark, "advantages-ckpt")
+    ST.stream_group_advantage(spark, src, sink, ck, delay="36500 days", max_files_per_trigger=2).awaitTermination()
+    out = spark.read.schema(ST.GROUPED).parquet(sink)
+    return out.select("prompt_id", "gen_idx", r6(F.col("reward_total")).alias("reward_total"), r6(F.col("group_mean")).alias("group_mean"),
+                      "group_size", r6(F.col("advantage")).alias("advantage"), "whole")
+
+
 @query("stream_reward_metrics")
 def q_stream_reward_metrics(spark, sf):
     """ST2: events arrive as files; each micro-batch leaves mergeable parts of its

@@ -385,6 +385,10 @@ oracle("reward_registry", SCORING + """SELECT prompt_id, gen_idx, reward_format,
   AS reward_answered, round(reward_total, 6) AS reward_total FROM sc2""")
 oracle("stream_score", SCORING + """SELECT prompt_id, gen_idx, reward_format, reward_correctness, reward_choices,
   round(reward_advantage, 6) AS reward_advantage, round(reward_total, 6) AS reward_total, skip_reason FROM sc2""")
+oracle("stream_group_advantage", """WITH g AS (SELECT event_id // 8 AS prompt_id, event_id % 8 AS gen_idx, value AS r FROM events),
+s AS (SELECT *, avg(r) OVER w AS m, stddev_samp(r) OVER w AS d, count(*) OVER w AS n FROM g WINDOW w AS (PARTITION BY prompt_id))
+SELECT prompt_id, gen_idx, round(r, 6) AS reward_total, round(m, 6) AS group_mean, n AS group_size,
+  round((r - m) / (coalesce(d, 0) + 0.0001), 6) AS advantage, TRUE AS whole FROM s""")
 # complete: every window of the batch twin
 oracle("stream_reward_metrics", ORACLES["reward_metrics_windowed"])
 

@@ -6,10 +6,15 @@ batch operators (stream-static joins against prompts, molecules and
 descriptors).  The name vocabulary needs the distinct names of the batch, so
 the micro-batch is handed to ``foreachBatch``; the output of batch ``b`` is
 written to its own ``batch_id=b`` partition with dynamic overwrite, so a
-retried batch replaces its earlier attempt (exactly-once output).  The group
-advantage needs whole prompt groups; it is computed per micro-batch only when
-the producer writes complete groups (``complete_groups=True``), as the
-trainer does (all generations of a prompt in one step).
+retried batch replaces its earlier attempt (exactly-once output).  Names are
+resolved once in a stream's life: the vocabulary is a table beside the stream,
+one partition a batch, and a batch resolves only names it does not hold.  The
+group advantage needs whole prompt groups; it is computed per micro-batch when
+the producer writes complete groups (``complete_groups=True``), as the trainer
+does (all generations of a prompt in one step).  ``stream_group_advantage``
+(R7) puts together groups whose generations arrive in different micro-batches:
+keyed state holds a prompt's generations until the group is whole or the
+watermark has passed its last one.
 
 ST2: event-time metrics per reward and task in tumbling windows, in two forms.
 ``stream_reward_metrics`` emits finished windows once, in append mode behind a
@@ -21,9 +26,14 @@ micro-batches.
 
 from __future__ import annotations
 
+import dataclasses
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from chemscore._ship import ship_by_value
 from chemscore.operators import rewards as R
@@ -44,10 +54,8 @@ def stream_score(spark: SparkSession, source_dir: str, prompts: DataFrame, molec
                  available_now: bool = True, max_files_per_trigger: int | None = None) -> StreamingQuery:
     """ST1: score a stream of completion files into a parquet table.
 
-    Per-batch staging tables (features, vocabulary) live in one folder under
-    the stream's checkpoint location and are overwritten by the next batch."""
-    import dataclasses
-
+    Per-batch staging tables live in one folder under the stream's checkpoint
+    location and are overwritten by the next batch; the vocabulary there lasts."""
     opts = dataclasses.replace(opts or R.ScoreOptions(),
                                staging_dir=f"{checkpoint_dir.rstrip('/')}/_staging")
     reader = spark.readStream.schema(COMPLETION_SCHEMA)
@@ -56,7 +64,8 @@ def stream_score(spark: SparkSession, source_dir: str, prompts: DataFrame, molec
     stream = reader.parquet(source_dir)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        out = score_batch(batch, prompts, molecules, descriptors, opts, complete_groups)
+        mine = dataclasses.replace(opts, vocabulary_dir=f"{checkpoint_dir.rstrip('/')}/_vocabulary", vocabulary_version=batch_id)
+        out = score_batch(batch, prompts, molecules, descriptors, mine, complete_groups)
         (out.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(sink_dir))
@@ -66,6 +75,63 @@ def stream_score(spark: SparkSession, source_dir: str, prompts: DataFrame, molec
     return writer.start()
 
 
+GENERATIONS = "prompt_id BIGINT, gen_idx BIGINT, reward_total DOUBLE, group_size BIGINT, ts TIMESTAMP"
+GROUPED = ("prompt_id BIGINT, gen_idx BIGINT, reward_total DOUBLE, group_mean DOUBLE, group_std DOUBLE, group_size BIGINT, "
+           "advantage DOUBLE, whole BOOLEAN")
+_GROUP_STATE = "size BIGINT, last BIGINT, gens ARRAY<BIGINT>, rewards ARRAY<DOUBLE>"
+
+
+def _hold_group(eps: float):
+    """State of one prompt: its generations so far."""
+    def hold(key, parts, state):
+        size, last, gens, rewards = state.get if state.exists else (0, 0, [], [])
+        held = dict(zip(gens, rewards, strict=True))
+        over = state.hasTimedOut
+        if not over:
+            for pdf in parts:
+                for g, r, n, ms in zip(pdf["gen_idx"], pdf["reward_total"], pdf["group_size"], pdf["ms"], strict=True):
+                    held.setdefault(int(g), float(r))          # a generation that comes again changes nothing
+                    size, last = max(size, int(n)), max(last, int(ms))
+        whole = len(held) >= size
+        if not (whole or over):
+            state.update((size, last, sorted(held), [held[g] for g in sorted(held)]))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+            return
+        state.remove()
+        if held:
+            order = sorted(held)
+            r = np.array([held[g] for g in order])
+            std = r.std(ddof=1) if len(r) > 1 else np.nan
+            yield pd.DataFrame({
+                "prompt_id": key[0], "gen_idx": order, "reward_total": r, "group_mean": r.mean(), "group_std": std,
+                "group_size": len(r), "advantage": (r - r.mean()) / ((0.0 if np.isnan(std) else std) + eps), "whole": whole})
+    return hold
+
+
+def stream_group_advantage(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str, eps: float = 1e-4,
+                           delay: str = "1 hour", available_now: bool = True,
+                           max_files_per_trigger: int | None = None) -> StreamingQuery:
+    """R7 over a stream of scored completions (prompt_id, gen_idx, reward_total,
+    group_size: how many generations the prompt gets, ts: when it was scored),
+    whose groups may be split over micro-batches and arrive in any order.
+
+    A group leaves, exactly once, when it is whole; state is bounded by a
+    group's size and dropped then.  Generations may be ``delay`` late; a group
+    that is still incomplete once the watermark has passed its last generation
+    leaves as it is (``whole`` false), for what it lacks could only come too
+    late."""
+    reader = spark.readStream.schema(GENERATIONS)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    rows = reader.parquet(source_dir).withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
+    out = rows.groupBy("prompt_id").applyInPandasWithState(
+        _hold_group(eps), GROUPED, _GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    writer = (out.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
+              .option("checkpointLocation", checkpoint_dir))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
 def windowed_metrics(df: DataFrame, ts: str = "ts", value: str = "value", task: str = "task",
                      window: str = "1 hour") -> DataFrame:
     """Batch twin of ST2 (``reward_metrics_windowed``): per tumbling window and task."""
