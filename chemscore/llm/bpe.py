@@ -23,9 +23,9 @@ from chemscore.llm.common import pylists, record_batch, shipped, sliced
 
 _NONE = np.int64(1) << 62
 #: Tree cells worked on together (bounds a worker's memory).
-_CELLS = 1 << 21
+_CELLS = 1 << 18
 #: Pre-tokens whose ids a worker keeps.
-_KNOWN = 400_000
+_KNOWN = 150_000
 
 
 class TreeBPE:
@@ -134,7 +134,7 @@ class TreeBPE:
                 del known[p]
         return out
 
-    def coder(self, limit: int = 300_000) -> CachedCoder:
+    def coder(self, limit: int = 150_000) -> CachedCoder:
         return CachedCoder(self.pre, self.code, lambda i: i.to_bytes(4, "little"), b"".join, limit)
 
     def decode(self, ids: bytes) -> str:

@@ -90,6 +90,7 @@ def sliced(batches: Iterable[pa.RecordBatch], *columns: str, size: int = SLICE_C
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
+    pa.default_memory_pool().release_unused()                # workers outlive their tasks
 
 
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

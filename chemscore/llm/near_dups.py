@@ -49,7 +49,7 @@ def words(text: str) -> list[bytes]:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h

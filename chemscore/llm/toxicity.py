@@ -45,6 +45,8 @@ ERRORS = 1.645
 #: Least log-odds of an entry (e^3: twenty times likelier in toxic texts).
 MIN_WEIGHT = 3.0
 PREFIXES = (4, 5, 6, 7, 8)
+#: Entries a worker counts before it hands its counts on (bounds its memory).
+COUNTED = 150_000
 #: Words of a text that count as one when a sum is normalised.
 LENGTH_POWER = 0.25
 
@@ -167,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
             for text, t in zip(texts, toxic, strict=True):
                 seen[t].update(entries(fold(text or "")))
                 seen[t][""] += 1
-                if len(seen[t]) > 500_000:
+                if len(seen[t]) > COUNTED:
                     yield from out()
         yield from out()
 
