@@ -17,6 +17,7 @@ import json
 import os
 import re
 import unicodedata
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -180,13 +181,17 @@ class LibraryCodes(dict):
         alphabet = byte_alphabet()
         self.to_file, self.space = str.maketrans(dict(enumerate(alphabet))), alphabet[32]
 
-    def __missing__(self, piece: str):
+    def coded(self, piece: str):
+        """The code of a pre-token, not kept."""
         word = piece[1:] if piece[0] == " " else piece
         if word.isascii() and word.isalpha():
             spelled = self.space + word if len(word) < len(piece) else word
         else:
             spelled = piece.encode().decode("latin-1").translate(self.to_file)
-        code = self.make([t.id for t in self.model.tokenize(spelled)])
+        return self.make([t.id for t in self.model.tokenize(spelled)])
+
+    def __missing__(self, piece: str):
+        code = self.coded(piece)
         if len(piece) <= KEEP_CHARS:
             self[piece] = code
         return code
@@ -198,6 +203,61 @@ class LibraryCodes(dict):
         return [get(lead + r) if lead and r.isalpha() else join(map(get, cut(r, lead))) for r in runs]
 
 
+class RunCodes(dict):
+    """Codes (bytes of ids) of runs, each made when it is first met.
+
+    ``lead`` is what goes before each run (a space, or nothing).  A run of a word
+    and one mark is put together from the word's code.  When ``limit`` codes are
+    held they become the old generation, and an old code that is met again moves
+    to the young one.
+    """
+
+    def __init__(self, pre: PreTokens, pieces: LibraryCodes, lead: str, limit: int):
+        super().__init__()
+        self.pre, self.pieces, self.lead, self.limit, self.old = pre, pieces, lead, limit, {}
+
+    def __missing__(self, run: str) -> bytes:
+        code = self.old.get(run)
+        if code is None:
+            if self.lead:
+                if run.isalpha():
+                    code = self.pieces.coded(" " + run)
+                elif run[-1:] in _MARKS and run[:-1].isalpha():
+                    code = self[run[:-1]] + self.pieces[run[-1]]
+            if code is None:
+                code = b"".join(map(self.pieces.__getitem__, self.pre.exact(self.lead + run)))
+        if len(run) <= KEEP_CHARS:
+            self[run] = code
+        return code
+
+    def age(self) -> None:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+
+class RunCoder:
+    """Ids of whole texts as bytes, run by run through one bounded cache."""
+
+    def __init__(self, path: str, limit: int = 500_000):
+        pieces = LibraryCodes(path, lambda ids: array("I", ids).tobytes(), b"".join)
+        self.pre = pieces.pre
+        self.plain, self.spaced = RunCodes(self.pre, pieces, "", limit // 10), RunCodes(self.pre, pieces, " ", limit)
+
+    def text(self, text: str) -> bytes:
+        at_start, after_space, parts = self.plain.__getitem__, self.spaced.__getitem__, []
+        for i, segment in enumerate(self.pre.segments(text)):
+            if i % 2:
+                parts.append(self.pre.added[segment].to_bytes(4, "little"))
+            elif segment:
+                plain, spaced = self.pre.runs(segment)
+                parts += map(at_start, plain)
+                parts += map(after_space, spaced)
+        self.plain.age()
+        self.spaced.age()
+        return b"".join(parts)
+
+
 def _plain_latin(text: str) -> bool:
     """All characters are Latin-1: old ones, whose classes no version disputes."""
     if text.isascii():

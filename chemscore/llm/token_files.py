@@ -20,9 +20,7 @@ renormalisation: 2^31 <= state < 2^63.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -31,9 +29,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chemscore.llm.bytebpe import CachedCoder, LibraryCodes
-from chemscore.llm.common import pylists, record_batch, shipped, text_slices
-from chemscore.session import ensure_checkpoint_dir
+from chemscore.llm.bytebpe import RunCoder
+from chemscore.llm.common import pylists, record_batch, shipped, sliced
+from chemscore.session import staged_path
 
 MAGIC, VERSION = b"RANS", 1
 LANES, STEPS, CHECKPOINTS = 256, 256, 2
@@ -183,9 +181,8 @@ _FILE_ARROW = pa.schema([
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str) -> CachedCoder:
-    codes = LibraryCodes(path, lambda ids: array("I", ids).tobytes(), b"".join)
-    return CachedCoder(codes.pre, codes.code, lambda i: i.to_bytes(4, "little"), b"".join)
+def _worker(path: str) -> RunCoder:
+    return RunCoder(path)
 
 
 def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) -> None:
@@ -208,19 +205,17 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
             data = pack(np.frombuffer(b"".join(held), "<u4"))
             return record_batch(_FILE_ARROW, ([part], [before], [n], [keys], [lengths], [data]))
 
-        for batch in batches:
-            ids, texts = pylists(batch, "doc_id", "text")
-            for start, texts_part in text_slices(texts):
-                for key, code in zip(ids[start:start + len(texts_part)], coder.texts(texts_part), strict=True):
-                    code += end
-                    if keys and n + len(code) // 4 > SEGMENT_TOKENS:
-                        yield row()
-                        before += n
-                        keys, lengths, held, n = [], [], [], 0
-                    keys.append(key)
-                    lengths.append(len(code) // 4)
-                    held.append(code)
-                    n += len(code) // 4
+        for batch in sliced(batches, "text"):
+            for key, text in zip(*pylists(batch, "doc_id", "text"), strict=True):
+                code = coder.text(text or "") + end
+                if keys and n + len(code) // 4 > SEGMENT_TOKENS:
+                    yield row()
+                    before += n
+                    keys, lengths, held, n = [], [], [], 0
+                keys.append(key)
+                lengths.append(len(code) // 4)
+                held.append(code)
+                n += len(code) // 4
         if keys:
             yield row()
 
@@ -262,6 +257,6 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:
     """Write the documents' ids to a new file set in the shared folder and read it back."""
     spark = docs.sparkSession
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-token-files-{uuid.uuid4().hex}"
+    folder = staged_path(spark, "llm-token-files")
     write(docs, path, folder, end_id)
     return read(spark, folder)

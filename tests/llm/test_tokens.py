@@ -66,6 +66,15 @@ def test_cache_turnover_changes_nothing(wanted, bpe_file):
         assert coder.texts([text]) == [np.array(ids, "<u4").tobytes()]
 
 
+def test_run_coder_with_and_without_room(wanted, rows, bpe_file):
+    for limit in (10, 500_000):
+        coder = bytebpe.RunCoder(bpe_file, limit)
+        texts = [t or "" for _, t in rows]
+        got = [np.frombuffer(coder.text(t), "<u4").tolist() for t in texts + texts]
+        lib = bytebpe.library(bpe_file)
+        assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts] * 2
+
+
 def test_pre_tokens_of_every_letter_agree(bpe_file):
     pre = bytebpe.PreTokens(bpe_file)
     lib = bytebpe.library(bpe_file).pre_tokenizer
