@@ -2,12 +2,9 @@
 
 1. Minority rows get a dense 0-based index along ``id`` (distributed ranks).
 2. Exact k nearest minority neighbours (Euclidean, ties by id, self
-   excluded) without comparing all pairs: rows are put in grid cells of width
-   ``h`` on up to three coordinates; a query row looks only at the 3^m cells
-   around its own (a bounded fan-out, then an equi-join on the cell).  Every
-   row outside that block is more than ``h`` away in one coordinate, so a
-   query whose k-th candidate lies within ``h`` is exact; the others retry
-   with ``2h``.  Once ``h`` spans the whole range the block holds every row.
+   excluded) without comparing all pairs: equal rows are one vector, and
+   distinct vectors meet in the leaves of a sampled partition tree over all
+   features (``operators.partition_tree``).
 3. ``n_new = n_majority - n_minority`` synthetic rows: for draw ``i`` the
    hash ``md5(seed:i)`` picks a (base row, neighbour rank) pair and the gap
    in [0, 1); the row is ``base + gap * (neighbour - base)``.  The hash makes
@@ -16,8 +13,6 @@
 
 from __future__ import annotations
 
-import itertools
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -25,72 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chemscore.operators.ordering import running_totals
+from chemscore.operators.partition_tree import LEAF_ROWS, nearest_vectors
 from chemscore.session import materialize
 
 
-def _dist2(features: Sequence[str], a: str, b: str):
-    expr = None
-    for f in features:
-        term = (F.col(f"{a}.{f}") - F.col(f"{b}.{f}")) * (F.col(f"{a}.{f}") - F.col(f"{b}.{f}"))
-        expr = term if expr is None else expr + term
-    return expr
-
-
-def _nearest_vectors(queries: DataFrame, vectors: DataFrame, feats: list[str], grid: list[str],
-                     span: float, n_vec: int) -> DataFrame:
-    """For each query vector (vid, need, feats) the nearest other distinct vectors
-    (vid, weight, feats) until their weights cover ``need``, ties included:
-    rows (q_vid, c_vid, dist2).  Grid refinement from fine to coarse cells."""
-    m = len(grid)
-    h = span / float(2 ** max(1, math.ceil(math.log2(max(n_vec, 2)))))
-    offsets = [list(o) for o in itertools.product((-1, 0, 1), repeat=m)]
-    pending = queries
-    done: DataFrame | None = None
-    while True:
-        last = h >= span
-        cell = [F.floor(F.col(g) / F.lit(h)).cast("long") for g in grid]
-        data = vectors.select(F.struct("vid", "weight", *feats).alias("d"),
-                              *[c.alias(f"c{i}") for i, c in enumerate(cell)])
-        q = pending.select(F.struct("vid", "need", *feats).alias("q"),
-                           F.explode(F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])).alias("off"),
-                           *[c.alias(f"b{i}") for i, c in enumerate(cell)])
-        q = q.select("q", *[(F.col(f"b{i}") + F.col("off").getItem(i)).alias(f"c{i}") for i in range(m)])
-        cand = q.join(data, [f"c{i}" for i in range(m)], "inner").filter(F.col("q.vid") != F.col("d.vid"))
-        cand = cand.select(F.col("q.vid").alias("q_vid"), F.col("q.need").alias("need"),
-                           F.col("d.vid").alias("c_vid"), F.col("d.weight").alias("weight"),
-                           _dist2(feats, "q", "d").alias("dist2"))
-        if not last:
-            # what is farther than h cannot settle a query at this level: gone before any sort, which
-            # matters with more features than grid coordinates (most of a block is far away then)
-            cand = cand.filter(F.col("dist2") <= F.lit(h * h))
-        # cumulative weight in (distance, id) order; the covering distance is the
-        # distance at which the weights first reach ``need``
-        w = Window.partitionBy("q_vid").orderBy("dist2", "c_vid").rowsBetween(Window.unboundedPreceding, 0)
-        cand = cand.withColumn("cum", F.sum("weight").over(w))
-        cover = cand.filter(F.col("cum") >= F.col("need")).groupBy("q_vid").agg(F.min("dist2").alias("cover2"))
-        if last:
-            # the block holds every vector: keep what covers, or all when too few exist
-            cover_all = cand.groupBy("q_vid").agg(F.max("dist2").alias("max2"))
-            cover = cover_all.join(cover, "q_vid", "left").select(
-                "q_vid", F.coalesce("cover2", "max2").alias("cover2"))
-        else:
-            cover = cover.filter(F.col("cover2") <= F.lit(h * h))
-        res = cand.join(cover, "q_vid", "inner").filter(F.col("dist2") <= F.col("cover2")) \
-            .select("q_vid", "c_vid", "dist2")
-        res = materialize(res, "knn-level")
-        done = res if done is None else done.unionByName(res)
-        if last:
-            break
-        pending = materialize(pending.join(res.select(F.col("q_vid").alias("vid")).distinct(), "vid", "left_anti"),
-                              "knn-pending")
-        if pending.isEmpty():
-            break
-        h *= 2.0
-    return done
-
-
 def exact_knn(points: DataFrame, features: Sequence[str], id_col: str = "id", k: int = 5,
-              max_grid_dims: int = 3) -> DataFrame:
+              leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(id, nn_rank 1..k, nn_id, dist2) for every row of ``points``; neighbours
     ordered by (squared distance, id), the row itself excluded.
 
@@ -98,7 +33,7 @@ def exact_knn(points: DataFrame, features: Sequence[str], id_col: str = "id", k:
     neighbours (distance 0), and they come from the first k+1 members of its
     vector by id, a bounded fan-out even when one vector holds a third of all
     rows.  Only vectors with at most k copies need other vectors; those are
-    found by the grid search over distinct vectors."""
+    found by the partition tree over distinct vectors."""
     feats = list(features)
     pts = points.select(F.col(id_col).alias("id"), *[F.col(f).cast("double").alias(f) for f in feats])
     vectors = pts.groupBy(*feats).agg(F.count(F.lit(1)).alias("mult"), F.min("id").alias("vid"))
@@ -112,17 +47,13 @@ def exact_knn(points: DataFrame, features: Sequence[str], id_col: str = "id", k:
     dup = member.select("id", "vid").join(first, "vid").filter(F.col("nn_id") != F.col("id")) \
         .select("id", "nn_id", F.lit(0.0).alias("dist2"))
 
-    stats = vectors.agg(*[F.min(f).alias(f"lo_{f}") for f in feats],
-                        *[F.max(f).alias(f"hi_{f}") for f in feats], F.count(F.lit(1)).alias("n")).first()
-    ranges = {f: float(stats[f"hi_{f}"] - stats[f"lo_{f}"]) for f in feats}
-    grid = [f for f in sorted(feats, key=lambda f: -ranges[f]) if ranges[f] > 0][:max_grid_dims]
+    n = vectors.count()
     parts = [dup]
-    if grid and stats["n"] > 1:
-        span = max(ranges[f] for f in grid)
+    if n > 1:
         queries = vectors.filter(F.col("mult") <= k).select(
             "vid", (F.lit(k) - (F.col("mult") - F.lit(1))).alias("need"), *feats)
         data = vectors.select("vid", F.least(F.col("mult"), F.lit(k)).alias("weight"), *feats)
-        near = _nearest_vectors(queries, data, feats, grid, span, stats["n"])
+        near = nearest_vectors(queries, data, feats, n, leaf_rows)
         # members of the (small) query vectors x members of their near vectors
         qm = member.filter(F.col("mult") <= k).select("id", F.col("vid").alias("q_vid"))
         other = qm.join(near, "q_vid").join(first.filter(F.col("r") <= k).select(F.col("vid").alias("c_vid"), "nn_id"),
