@@ -90,7 +90,10 @@ def test_hot_prompt_is_split(spark):
             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
             "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
-            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+            # a staged file is a map task of its own, as files beyond a split's size are; packed into one task by
+            # their open cost, the hot rows would be one map output, which cannot be split
+            "spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
     before = {k: spark.conf.get(k, None) for k in conf}
     _, p, m, d = _case_frames(spark)
     many = spark.range(30_000).select(
