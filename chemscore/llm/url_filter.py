@@ -12,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import UPPER, LOWER, small, stage
+from chemscore.llm.common import UPPER, LOWER, hash_share, small, stage
 
 #: Fixed values: (host, path, verdict).
 BASE_RULES = (
@@ -25,6 +25,10 @@ BASE_RULES = (
 FIT_ROWS = 50_000
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.6
+#: Blocked pages a rule must stand on, whatever the share, and how many standard errors its confidence must be
+#: above the share of blocked pages (many rules are tried, so chance must be rare for each).
+MIN_PAGES = 20
+ERRORS = 4.0
 _BLOCK = "=block"
 
 
@@ -70,31 +74,59 @@ def tokens(url: Column) -> Column:
         one("site:", suffix), tag("path:", parts), tag("key:", keys), one("fragment:", fragment)))
 
 
+def lower_bound(share: Column, n: Column, errors: float = ERRORS) -> Column:
+    """Wilson's lower bound of a share seen in n cases."""
+    z2 = errors * errors
+    return (share + z2 / (2 * n) - errors * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def _closed(rows: DataFrame) -> DataFrame:
+    """The rows with one token of each group of tokens that always stand
+    together: their subsets would all be as frequent, 2^n sets for n tokens."""
+    page = F.xxhash64("page_id", "url_key")
+    each = rows.select("page_id", "url_key", "block", page.alias("one"), F.xxhash64(page, F.lit(1)).alias("two"),
+                       F.explode_outer("tokens").alias("token"))
+    same = each.where("token is not null").groupBy("token").agg(
+        F.count("*").alias("n"), F.bit_xor("one").alias("x1"), F.bit_xor("two").alias("x2"))
+    kept = stage(same.groupBy("n", "x1", "x2").agg(F.min("token").alias("token")).select("token"), "url-tokens")
+    named = each.join(small(kept.withColumn("kept", F.lit(True))), "token", "left")
+    return stage(named.groupBy("page_id", "url_key", "block").agg(
+        F.collect_set(F.when(F.col("kept"), F.col("token"))).alias("tokens")), "url-baskets")
+
+
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
          min_confidence: float = MIN_CONFIDENCE, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Rules (rule_id, rarest token, tokens, confidence, support) for blocking.
 
     A page is one to block if a label of its id says quality 0 or toxic 1.
-    A rule is kept if no rule with fewer of its tokens is as confident.
+    A rule is kept if it stands on ``MIN_PAGES`` blocked pages, if the lower
+    bound of its confidence is above the share of blocked pages, and if no rule
+    with fewer of its tokens is as confident.  Where no combination says more
+    than chance, there are no rules.
     """
     labelled = (labels.where("doc_id is not null")
                 .groupBy(F.col("doc_id").alias("page_id"))
                 .agg(F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("block")))
     # repeated page rows teach once
     rows = stage(pages.where("url is not null").select("page_id", "url").distinct().join(labelled, "page_id")
-                 .where("block is not null").select("page_id", "block", tokens(F.col("url")).alias("tokens")),
+                 .where("block is not null").select("page_id", "block", F.xxhash64("url").alias("url_key"),
+                                                    tokens(F.col("url")).alias("tokens")),
                  "url-labelled")
     n = rows.count()
     if n > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(fit_rows / n * 1_000_000))
+        rows = rows.where(hash_share(F.xxhash64("page_id", "url_key"), fit_rows / n))
+    rows = _closed(rows)
+    size = rows.agg(F.count("*").alias("n"), F.sum("block").alias("blocked")).first()
     baskets = rows.select(F.when(F.col("block") == 1, F.concat("tokens", F.array(F.lit(_BLOCK))))
                           .otherwise(F.col("tokens")).alias("items"))
     empty = "rule_id long, rarest string, rule_tokens array<string>, confidence double, support double"
-    if n == 0:
+    if (size.blocked or 0) < MIN_PAGES:
         return rows.sparkSession.createDataFrame([], empty)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    least = max(min_support, MIN_PAGES / size.n)
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
     sets = stage(model.freqItemsets, "url-itemsets")
     found = (model.associationRules.where(F.col("consequent") == F.array(F.lit(_BLOCK)))
+             .where(lower_bound(F.col("confidence"), F.col("support") * size.n / F.col("confidence")) > size.blocked / size.n)
              .select(F.array_sort("antecedent").alias("rule_tokens"), "confidence", "support"))
     rules = stage(found.withColumn("rule_id", F.xxhash64("rule_tokens")), "url-rules")
     # A rule goes if one with all its tokens but one (or more) is as confident: met under each single token.

@@ -69,6 +69,20 @@ def test_mined_rules_fire(spark):
     assert url_filter.mine(pages, labels.limit(0)).count() == 0
 
 
+def test_chance_gives_no_rules_and_common_folders_cost_little(spark):
+    r = random.Random(3)
+    deep = "/".join(f"part{chr(97 + i)}" for i in range(20))               # twenty tokens that always stand together
+    rows = [(i, f"http://s{r.randrange(9)}.example.com/{deep}/{r.choice('abcdefgh')}?{r.choice('xyz')}=1") for i in range(600)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    noise = spark.createDataFrame([(i, int(r.random() < 0.75), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    assert url_filter.mine(pages, noise).count() == 0
+    told = spark.createDataFrame([(i, int("/a?" not in u), 0) for i, u in rows], "doc_id long, quality int, toxic int")
+    kept = [sorted(x.rule_tokens) for x in url_filter.mine(pages, told).collect()]
+    assert kept == [["path:a"]]
+    few = spark.createDataFrame([(i, int(i >= 19), 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    assert url_filter.mine(pages, few).count() == 0                        # 19 blocked pages are too few for any rule
+
+
 LICENSES = [
     None, "", "MIT License", "the mit  license, MIT-License; Apache License. General Public License v3",
     "xmit license mit licenses", "Licensed under the Apache License, Version 2.0. You may not use this file except in "
