@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemscore.llm.bytebpe import KEEP_CHARS, CachedCoder, LibraryCodes, PreTokens, library
-from chemscore.llm.common import pylists, record_batch, shipped, text_slices
+from chemscore.llm.common import hash_share, pylists, record_batch, shipped, text_slices
 
-#: The frequent table is fitted on about this many rows, chosen by a hash of doc_id.
+#: The frequent table is fitted on about this many rows, chosen by a hash of doc_id and text.
 SAMPLE_ROWS = 2_000
 #: Entries of the frequent table (bound of what is broadcast).
 TABLE_ROWS = 32_768
@@ -31,7 +31,8 @@ def frequent_runs(docs: DataFrame, path: str, sample_rows: int = SAMPLE_ROWS,
     """Token counts of the most frequent space-led runs of a bounded sample of rows."""
     n = docs.count()
     share = min(1.0, sample_rows / max(n, 1))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+    # chosen by id and text, and equal rows once: no hot id fills the sample
+    sample = docs.where(hash_share(F.xxhash64("doc_id", "text"), share)).dropDuplicates(["doc_id", "text"])
     schema = pa.schema([("run", pa.string()), ("n", pa.int64()), ("tokens", pa.int64())])
 
     def top(batches):
