@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import pylists, record_batch, shipped, sliced, small, stage
+from chemscore.llm.common import hash_share, pylists, record_batch, shipped, sliced, small, stage
 
 #: Look-alike letters, and signs written for letters.
 HOMOGLYPHS = {
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
               .where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != 0))
     n = labels.count()
     if n > fit_rows:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(fit_rows / n * 1_000_000))
+        labels = labels.where(hash_share(F.xxhash64("doc_id"), fit_rows / n))
     # Copies of a text teach once, or a copied text's rare words would look like a habit.  Only keys are
     # gathered for it; the texts themselves are read where they lie and never shuffled.
     labels = stage(labels, "toxicity-labels")
