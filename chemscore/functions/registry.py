@@ -2,14 +2,15 @@
 
 A reward is ``Callable[[DataFrame], Column]``: given the per-completion
 feature frame it returns a DOUBLE column.  Built-in rewards are Column
-expressions; a Python reward can be an Arrow-batched ``pandas_udf`` wrapped
-the same way.  ``total`` sums the registered rewards with weights (default 1.0).
+expressions; a Python reward is a function of one column (``python_reward``) or
+of prompts, completions and answers (``function_reward``), run on Arrow batches.  ``total`` sums the registered rewards with weights (default 1.0).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,35 @@ def python_reward(column: str, fn: Callable[[object], float]) -> Reward:
     return lambda df: run(F.col(column))
 
 
+def _plain(value: object) -> object:
+    """Arrays and structs of an Arrow batch as lists and dictionaries."""
+    if isinstance(value, (list, tuple, np.ndarray)) and not hasattr(value, "asDict"):
+        return [_plain(v) for v in value]
+    if hasattr(value, "asDict"):
+        value = value.asDict()
+    return {k: _plain(v) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+def function_reward(fn: Callable[..., Sequence[float]], **columns: str) -> Reward:
+    """A trainer's reward function as it is: ``fn`` gets one list per argument,
+    aligned over a batch of completions, and gives one number each, as in
+    ``function_reward(f, prompts="prompt", completions="completion", answer="answer")``.
+
+    Batches are Arrow batches, so ``fn`` must not look beyond its rows; message
+    arrays come as lists of dictionaries.  A result of another length fails the
+    job; a missing number is NULL."""
+    names = list(columns)
+
+    @F.pandas_udf("double")
+    def run(*values: pd.Series) -> pd.Series:
+        got = list(fn(**{n: [_plain(v) for v in s] for n, s in zip(names, values, strict=True)}))
+        if len(got) != len(values[0]):
+            raise ValueError(f"the reward function gave {len(got)} numbers for {len(values[0])} completions")
+        return pd.Series(got, dtype="float64")
+
+    return lambda df: run(*[F.col(c) for c in columns.values()])
+
+
 def apply_rewards(df: DataFrame, rewards: dict[str, Reward], weights: dict[str, float] | None = None,
                   prefix: str = "reward_", total: str = "reward_total") -> DataFrame:
     """Add one column per reward and their weighted sum."""
