@@ -190,19 +190,24 @@ def claim_names(completions: DataFrame, opts: ScoreOptions) -> DataFrame:
     return completions.select(F.explode(claims).alias("c")).select(F.col("c.prop").alias("prop"))
 
 
+def named_claims(claims: DataFrame, vocab: DataFrame, opts: ScoreOptions) -> DataFrame:
+    """Claim rows (norm, prompt_id, gen_idx, claim_pos) with ``by_task``: their name's descriptor for every known task."""
+    by_name = vocab.filter(F.col("descriptor").isNotNull()).groupBy("norm").agg(
+        F.map_from_entries(F.collect_list(F.struct("task", "descriptor"))).alias("by_task"))
+    # a handful of names carry most claims: salt if the vocabulary is too big to broadcast
+    return lookup_join(claims, materialize(by_name, "vocabulary-by-name", opts.staging_dir), ["norm"], "left",
+                       opts.max_broadcast_rows, salts=HOT_KEY_SALTS,
+                       salt_by=["prompt_id", "gen_idx", "claim_pos"], stage=False)
+
+
 def resolve_claims(feats: DataFrame, vocab: DataFrame, opts: ScoreOptions) -> DataFrame:
     """The features with every claim's descriptor for every known task
     (``by_task``), staged.  The gathering key is unique and a completion's
     claims are bounded by its text, so no group is hot."""
-    by_name = vocab.filter(F.col("descriptor").isNotNull()).groupBy("norm").agg(
-        F.map_from_entries(F.collect_list(F.struct("task", "descriptor"))).alias("by_task"))
     claims = feats.select("prompt_id", "gen_idx", F.posexplode("claims").alias("claim_pos", "claim")).select(
         "prompt_id", "gen_idx", "claim_pos", F.col("claim.prop").alias("prop"), F.col("claim.label").alias("label"),
         X.normalize_name(F.col("claim.prop")).alias("norm"))
-    # a handful of names carry most claims: salt if the vocabulary is too big to broadcast
-    claims = lookup_join(claims, materialize(by_name, "vocabulary-by-name", opts.staging_dir), ["norm"], "left",
-                         opts.max_broadcast_rows, salts=HOT_KEY_SALTS,
-                         salt_by=["prompt_id", "gen_idx", "claim_pos"], stage=False)
+    claims = named_claims(claims, vocab, opts)
     claim = F.struct("claim_pos", "prop", "label", "norm", F.map_entries("by_task").alias("by_task"))
     gathered = claims.groupBy("prompt_id", "gen_idx").agg(F.sort_array(F.collect_list(claim)).alias("resolved_claims"))
     out = feats.drop("claims").join(gathered, ["prompt_id", "gen_idx"], "left")
@@ -263,6 +268,26 @@ def claim_detail(base: DataFrame, keep_unclaimed: bool = True) -> DataFrame:
             .withColumn("claim_status", F.coalesce("claim_status", F.lit("no_claims"))))
 
 
+def claim_rows(completions: DataFrame, prompts: DataFrame, molecules: DataFrame, descriptors: DataFrame,
+               opts: ScoreOptions | None = None, keep_unclaimed: bool = True) -> DataFrame:
+    """``claim_detail`` without the per-completion form in between: a claim meets
+    the vocabulary and its prompt once each, as a row, and is never gathered.
+    Text work is done once; nothing above the join on the prompt needs its
+    partitioning, so a hot prompt can be split."""
+    opts = opts or ScoreOptions()
+    feats = materialize(completion_features(completions, opts), "completion-features", opts.staging_dir)
+    explode = F.posexplode_outer if keep_unclaimed else F.posexplode
+    claims = feats.select(*[c for c in feats.columns if c != "claims"], explode("claims").alias("claim_pos", "claim")).select(
+        "*", F.col("claim.prop").alias("prop"), F.col("claim.label").alias("label"),
+        X.normalize_name(F.col("claim.prop")).alias("norm")).drop("claim")
+    vocab = vocabulary(feats.select(F.explode("claims").alias("c")).select(F.col("c.prop").alias("prop")), opts)
+    claims = named_claims(claims, vocab, opts)
+    one = F.struct("claim_pos", "prop", "label", "norm", F.map_entries("by_task").alias("by_task"))
+    rows = claims.withColumn("resolved_claims", F.when(F.col("claim_pos").isNotNull(), F.array(one))).drop(
+        "claim_pos", "prop", "label", "norm", "by_task")
+    return claim_detail(score_claims(aligned(rows, prompts, molecules, descriptors, opts)), keep_unclaimed)
+
+
 # ----- per completion and per prompt -------------------------------------------------
 
 def per_completion(base: DataFrame, opts: ScoreOptions) -> DataFrame:

@@ -51,7 +51,7 @@ def scored(spark, sf, opts: R.ScoreOptions | None = None, group: bool = True) ->
 def claim_rows(spark, sf, opts: R.ScoreOptions | None = None, keep_unclaimed: bool = False) -> DataFrame:
     opts = opts or R.ScoreOptions()
     c, p, m, d = scoring_inputs(spark, sf)
-    return R.claim_detail(R.prepare(c, p, m, d, opts), keep_unclaimed=keep_unclaimed)
+    return R.claim_rows(c, p, m, d, opts, keep_unclaimed)
 
 
 def part_text(spark, sf) -> DataFrame:

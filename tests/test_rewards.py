@@ -177,3 +177,13 @@ def test_long_and_wide_descriptors_score_alike(spark):
     a = R.score_completions(c, p, m, long, with_group_advantage=False).select("prompt_id", "gen_idx", "reward_advantage")
     b = R.score_completions(c, p, m, d, with_group_advantage=False).select("prompt_id", "gen_idx", "reward_advantage")
     assert sorted(a.collect()) == sorted(b.collect())
+
+
+def test_claim_rows_equal_the_gathered_form(spark):
+    frames = [view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide")]
+    for keep in (True, False):
+        want = R.claim_detail(R.prepare(*frames, R.ScoreOptions()), keep)
+        got = R.claim_rows(*frames, keep_unclaimed=keep)
+        assert set(got.columns) == set(want.columns)
+        cols = sorted(c for c in got.columns if c != "desc")
+        assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
