@@ -10,6 +10,10 @@ none needs Python.  Python-vs-Java regex differences are handled explicitly:
   U+0085, U+2028/9, so single-line spans are written ``[^\\n]``.
 * ``regexp_extract`` returns ``''`` on no match; where "absent" differs from
   "empty" we pair it with ``rlike``.
+
+A lazy span ``<tag>(.*?)</tag>`` under DOTALL is the text between the first
+opening tag and the first closing tag after it, so it is cut out by plain search
+(``after``, ``before``); regexes are left for what search cannot decide.
 """
 
 from __future__ import annotations
@@ -23,9 +27,7 @@ PY_WHITESPACE = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 _STRIP_RE = rf"(?U)^{WS}+|{WS}+\z"
 _WS_RUN_RE = rf"(?U){WS}+"
 
-ANSWER_LAZY = r"(?s)<answer>(.*?)</answer>"
 ANSWER_GREEDY = r"(?s)<answer>(.*)</answer>"
-NAME_BLOCK = r"(?s)<name>(.*?)</name>"
 NAME_LINE = r"<name>([^\n]*?)</name>"
 FORMAT_RE = rf"(?sU)<name>.*?</name>{WS}*<answer>.*?</answer>"
 
@@ -41,25 +43,37 @@ def unicode_strip(c) -> Column:
     return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
-def extract_answer(c, greedy: bool = False) -> Column:
+def after(c, tag: str) -> Column:
+    """The text after the first ``tag``; NULL when there is none."""
+    cc = _c(c)
+    return F.when(cc.contains(tag), F.substring(cc, F.locate(tag, cc) + F.lit(len(tag)), F.lit(2**31 - 1)))
+
+
+def before(c, tag: str) -> Column:
+    """The text before the first ``tag``; NULL when there is none."""
+    return F.when(_c(c).contains(tag), F.substring_index(_c(c), tag, 1))
+
+
+def extract_answer(c, greedy: bool = False, rest=None) -> Column:
     """X1 / X1g: body of the first ``<answer>`` up to the first (or, greedy, the
     last) ``</answer>``, across newlines, stripped; ``''`` when absent.
-
-    The ``contains`` guard skips the regex on texts without a closing tag
-    (where a lazy span would rescan the rest of the text from every
-    ``<answer>``: quadratic on hostile input)."""
+    ``rest``: the text after the first ``<answer>``, if it is at hand."""
     cc = _c(c)
-    body = F.regexp_extract(cc, ANSWER_GREEDY if greedy else ANSWER_LAZY, 1)
-    return F.when(cc.contains("</answer>"), unicode_strip(body)).otherwise(F.lit(""))
+    if greedy:
+        body = F.when(cc.contains("</answer>"), F.regexp_extract(cc, ANSWER_GREEDY, 1))
+    else:
+        body = before(after(cc, "<answer>") if rest is None else rest, "</answer>")
+    return F.coalesce(unicode_strip(body), F.lit(""))
 
 
-def has_name_block(c) -> Column:
-    return _c(c).contains("</name>") & _c(c).rlike(NAME_BLOCK)
+def name_block(c) -> Column:
+    """The body of the first ``<name>..</name>`` as it stands; NULL when there is none."""
+    return before(after(c, "<name>"), "</name>")
 
 
 def extract_name_block(c) -> Column:
     """Stripped body of the first ``<name>..</name>``; NULL when there is none."""
-    return F.when(has_name_block(c), unicode_strip(F.regexp_extract(_c(c), NAME_BLOCK, 1)))
+    return unicode_strip(name_block(c))
 
 
 def claim_status(status, negation_aware: bool = False) -> Column:
@@ -88,18 +102,37 @@ def claim_pairs(c) -> Column:
                                                unicode_strip(p.getItem(1)).alias("status")))
 
 
+def _commas(c: Column, sign: str = ",") -> Column:
+    return F.octet_length(c) - F.octet_length(F.replace(c, F.lit(sign), F.lit("")))
+
+
+def raw_claims(block) -> Column:
+    """The comma items of a ``name_block`` with exactly one ``:`` (P6), as they stand."""
+    return F.filter(F.split(F.coalesce(_c(block), F.lit("")), ",", -1), lambda x: _commas(x, ":") == 1)
+
+
+def raw_name(item) -> Column:
+    """The name of a raw claim, as it stands."""
+    return F.substring_index(_c(item), ":", 1)
+
+
+def raw_label(item, negation_aware: bool = False) -> Column:
+    """X4 of a raw claim; white space around a status cannot make or break a word of it."""
+    status = F.lower(F.substring_index(_c(item), ":", -1))
+    improves = status.contains("improve")
+    if negation_aware:
+        improves = improves & ~status.contains("not improve")
+    return F.when(improves, F.lit(1)).otherwise(F.lit(-1))
+
+
 def parse_claims(c, negation_aware: bool = False) -> Column:
     """``ARRAY<STRUCT<prop STRING, label INT>>`` from the name block.
 
-    Items without exactly one ``:`` are dropped (P6); names and statuses are
-    stripped; the label follows X4.
+    Items without exactly one ``:`` are dropped (P6); names are stripped; the
+    label follows X4.
     """
-    parts = F.transform(claim_items(c), lambda x: F.split(x, ":", -1))
-    kept = F.filter(parts, lambda p: F.size(p) == 2)
-    return F.transform(
-        kept,
-        lambda p: F.struct(unicode_strip(p.getItem(0)).alias("prop"),
-                           claim_status(p.getItem(1), negation_aware).alias("label")))
+    return F.transform(raw_claims(name_block(c)), lambda x: F.struct(
+        unicode_strip(raw_name(x)).alias("prop"), raw_label(x, negation_aware).alias("label")))
 
 
 def normalize_name(c) -> Column:
@@ -161,11 +194,17 @@ def assemble_prompt(system_content, user_content) -> Column:
 
 # ----- reward cores (R1-R3) ---------------------------------------------------
 
-def reward_format(c) -> Column:
+def reward_format(c, tail=None) -> Column:
     """1.0 when a name block is followed by only whitespace and an answer
-    block, else -2.0.  Cheap ``contains`` guards run before the lazy regex."""
+    block, else -2.0.  Decided at the first ``</name>`` after the first
+    ``<name>``; only a text with a further ``</name>`` needs the regex.
+    ``tail``: the text after that ``</name>``, if it is at hand."""
     cc = _c(c)
-    ok = (cc.contains("</name>") & cc.contains("</answer>") & cc.rlike(FORMAT_RE))
+    tail = after(after(cc, "<name>"), "</name>") if tail is None else _c(tail)
+    answer = F.ltrim(tail, F.lit(PY_WHITESPACE))
+    ok = (F.when(~tail.contains("</answer>"), F.lit(False))
+          .when(answer.startswith("<answer>"), F.lit(True))
+          .when(tail.contains("</name>"), cc.rlike(FORMAT_RE)))
     return F.when(F.coalesce(ok, F.lit(False)), F.lit(1.0)).otherwise(F.lit(-2.0))
 
 
@@ -176,17 +215,21 @@ def reward_correctness(extracted, answer, exact: bool = False) -> Column:
     return F.when(F.coalesce(hit, F.lit(False)), F.lit(2.0)).otherwise(F.lit(0.0))
 
 
-def choice_count(c, dotall: bool = False) -> Column:
+def choice_count(c, dotall: bool = False, block=None) -> Column:
     """Number of comma parts in the first name block (single-line unless
-    ``dotall``); NULL when there is no such block."""
-    pat = NAME_BLOCK if dotall else NAME_LINE
-    found = _c(c).contains("</name>") & _c(c).rlike(pat)
-    return F.when(found, F.size(F.split(F.regexp_extract(_c(c), pat, 1), ",", -1)))
+    ``dotall``); NULL when there is no such block.  ``block``: the text's
+    ``name_block``, if it is at hand."""
+    block = name_block(c) if block is None else _c(block)
+    if dotall:
+        return _commas(block) + F.lit(1)
+    line = F.when(_c(c).rlike(NAME_LINE), F.regexp_extract(_c(c), NAME_LINE, 1))
+    # the first block of several lines: a later one may stand on one line
+    return F.when(~block.contains("\n"), _commas(block) + F.lit(1)).when(block.isNotNull(), _commas(line) + F.lit(1))
 
 
-def reward_choice_count(c, min_number: int = 3, max_number: int = 10, dotall: bool = False) -> Column:
+def reward_choice_count(c, min_number: int = 3, max_number: int = 10, dotall: bool = False, block=None) -> Column:
     """0.0 when the count is within [min, max], -1.0 outside, -1.5 without a block."""
-    n = choice_count(c, dotall)
+    n = choice_count(c, dotall, block)
     return (F.when(n.isNull(), F.lit(-1.5))
             .when(n.between(min_number, max_number), F.lit(0.0))
             .otherwise(F.lit(-1.0)))

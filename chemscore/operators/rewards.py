@@ -2,19 +2,20 @@
 
 Physical plan (what ``score_completions`` asks Catalyst for):
 
-1. Completion side, map-only: every regex runs once per completion and the
-   long text is dropped before any shuffle (format/answer/choice rewards,
-   claim array); the result is staged.
-2. Claims are resolved before any prompt is met: exploded, joined with the
-   vocabulary of distinct names (a name's descriptor for every task, in one
-   map) and gathered back by the unique (prompt_id, gen_idx); staged.
+1. Completion side, map-only: the text is searched once per completion and
+   dropped before any shuffle (format/answer/choice rewards, claim array); the
+   result is staged, with a number for every row.
+2. The distinct claimed names are resolved to a vocabulary: a descriptor, its
+   place among the values of a molecule and its range per name and task.
 3. Prompt side: task and SMILES are projected from the prompt; the molecule's
-   descriptors arrive as a bounded ``MAP<descriptor, value>`` through one
-   shuffle on ``smiles`` (hot molecules are split by AQE's skew-join).
-4. ``completions JOIN prompts USING (prompt_id)``: two bare shuffles with no
-   aggregate above, so AQE can split a hot prompt.
-5. Claims are scored inside the row (higher-order functions over the claim
-   array, the fixed ranges as a literal map): no shuffle after the join.
+   values arrive as one array of fixed length through one shuffle on ``smiles``
+   (hot molecules are split by AQE's skew-join).
+4. ``completions JOIN prompts USING (prompt_id)``: two bare shuffles whose result
+   is not needed in their partitioning, so AQE can split a hot prompt.
+5. Behind that join claims are exploded, meet the vocabulary (broadcast while it
+   is small) and are scored as plain columns.  Rewards per completion are a hash
+   aggregate of fixed-width sums over the rows of a completion, combined before
+   its shuffle: what is shuffled is one narrow row per completion.
 """
 
 from __future__ import annotations
@@ -88,27 +89,20 @@ def batch_task(prompts: DataFrame, batch_col: str = "batch_id", pos_col: str = "
     return lookup_join(p, first, [batch_col], "left", max_broadcast_rows)
 
 
-def descriptor_map(descriptors: DataFrame) -> DataFrame:
-    """(smiles, desc MAP<STRING, DOUBLE>) from a wide or a long descriptor table.
+def descriptor_values(descriptors: DataFrame) -> DataFrame:
+    """(smiles, desc ARRAY<DOUBLE>) from a wide or a long descriptor table: the
+    values of ``dims.scorable_descriptors``, in their order.
 
-    NULL values are failed computations and are dropped (the claim is skipped).
-    Wide input needs no shuffle; long input is grouped per molecule (bounded
-    by the number of descriptors).
+    NULL values are failed computations (the claim is skipped).  Wide input needs
+    no shuffle; long input is one partial aggregate per molecule.
     """
+    names = dims.scorable_descriptors()
     if {"descriptor", "value"} <= set(descriptors.columns):
-        # only scorable descriptors, one value per (molecule, descriptor) via a
-        # partial aggregate: each collected list has at most 31 entries
-        keep = list(dims.scorable_descriptors())
-        long = descriptors.filter(F.col("value").isNotNull() & F.col("descriptor").isin(keep))
-        long = long.groupBy("smiles", "descriptor").agg(F.max("value").alias("value"))
-        return long.groupBy("smiles").agg(
-            F.map_from_entries(F.collect_list(F.struct("descriptor", "value"))).alias("desc"))
-    names = [c for c in descriptors.columns if c != "smiles"]
-    pairs = []
-    for n in names:
-        pairs += [F.lit(n), F.col(n).cast("double")]
-    m = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())
-    return descriptors.select("smiles", m.alias("desc"))
+        return descriptors.groupBy("smiles").agg(F.array(*[
+            F.max(F.when(F.col("descriptor") == n, F.col("value").cast("double"))) for n in names]).alias("desc"))
+    held = set(descriptors.columns)
+    return descriptors.select("smiles", F.array(*[
+        F.col(n).cast("double") if n in held else F.lit(None).cast("double") for n in names]).alias("desc"))
 
 
 def descriptors_long(descriptors_wide: DataFrame) -> DataFrame:
@@ -120,30 +114,30 @@ def descriptors_long(descriptors_wide: DataFrame) -> DataFrame:
 
 
 def molecule_side(molecules: DataFrame, descriptors: DataFrame) -> DataFrame:
-    """(smiles, valid, desc): one row per molecule.  The map keeps only the
-    descriptors a claim can ever be scored on, so the prompt-side shuffle
-    carries no unusable values."""
-    keep = F.array(*[F.lit(d) for d in dims.scorable_descriptors()])
-    dm = descriptor_map(descriptors)
-    dm = dm.select("smiles", F.map_filter("desc", lambda k, v: F.array_contains(keep, k)).alias("desc"))
+    """(smiles, valid, desc, _values): one row per molecule.  Only values that a
+    claim can ever be scored on are carried; ``_values`` is their hash."""
+    dm = descriptor_values(descriptors).withColumn("_values", F.xxhash64("desc"))
     return (molecules.select("smiles", F.col("valid").cast("boolean").alias("valid"))
             .join(dm, "smiles", "left"))
 
 
 def completion_features(completions: DataFrame, opts: ScoreOptions) -> DataFrame:
     """Per-completion projections (R1, X1, R3, X3); the text is dropped here."""
-    txt = completion_text(completions)
-    return completions.select(
+    # each cut is a column of its own, so that it is made once for all that is read off it
+    texts = completions.select("prompt_id", "gen_idx", completion_text(completions).alias("_text"))
+    texts = texts.withColumn("_name", X.after("_text", "<name>")).withColumn("_answer", X.after("_text", "<answer>"))
+    texts = texts.withColumn("_block", X.before("_name", "</name>")).withColumn("_tail", X.after("_name", "</name>"))
+    return texts.select(
         "prompt_id", "gen_idx",
-        X.reward_format(txt).alias("reward_format"),
-        X.extract_answer(txt, opts.greedy).alias("extracted"),
-        X.reward_choice_count(txt, opts.min_number, opts.max_number, opts.dotall).alias("reward_choices"),
-        X.parse_claims(txt, opts.negation_aware).alias("claims"))
+        X.reward_format("_text", "_tail").alias("reward_format"),
+        X.extract_answer("_text", opts.greedy, "_answer").alias("extracted"),
+        X.reward_choice_count("_text", opts.min_number, opts.max_number, opts.dotall, "_block").alias("reward_choices"),
+        X.raw_claims("_block").alias("claims"))
 
 
-def aligned(resolved: DataFrame, prompts: DataFrame, molecules: DataFrame, descriptors: DataFrame,
+def aligned(feats: DataFrame, prompts: DataFrame, molecules: DataFrame, descriptors: DataFrame,
             opts: ScoreOptions) -> DataFrame:
-    """J8 + J9: completions (``resolve_claims``) keyed to their prompt, molecule
+    """J8 + J9: completions (``completion_features``) keyed to their prompt, molecule
     validity and descriptors.  Nothing above this join needs its partitioning,
     so AQE can broadcast a small side or split a hot prompt."""
     p = prompt_fields(prompts)
@@ -155,19 +149,28 @@ def aligned(resolved: DataFrame, prompts: DataFrame, molecules: DataFrame, descr
     if opts.task_name is not None:
         p = p.withColumn("task", F.lit(opts.task_name))
     p = p.join(molecule_side(molecules, descriptors), "smiles", "left")
-    return resolved.join(p, "prompt_id", "inner")
+    return feats.join(p, "prompt_id", "inner")
 
 
 def prepare(completions: DataFrame, prompts: DataFrame, molecules: DataFrame, descriptors: DataFrame,
             opts: ScoreOptions) -> DataFrame:
     """Text work once: the per-completion features are written to the
     checkpoint folder (compact: the text is gone), then both the name
-    vocabulary and the claim resolution read them.  One row per completion
-    with its scored claims (``scored_claims``)."""
-    feats = materialize(completion_features(completions, opts), "completion-features", opts.staging_dir)
-    names = feats.select(F.explode("claims").alias("c")).select(F.col("c.prop").alias("prop"))
-    resolved = resolve_claims(feats, vocabulary(names, opts), opts)
-    return score_claims(aligned(resolved, prompts, molecules, descriptors, opts))
+    vocabulary and the scoring read them.  One row per completion and claim
+    (``score_claims``), one without a claim for a completion that makes none."""
+    feats = completion_features(completions, opts).withColumn("_row", F.monotonically_increasing_id())
+    feats = materialize(feats, "completion-features", opts.staging_dir)
+    names = feats.select(F.explode("claims").alias("c")).select(X.raw_name("c").alias("_name")).distinct()
+    names = materialize(names.withColumn("prop", X.unicode_strip("_name")), "claimed-names", opts.staging_dir)
+    vocab = vocabulary(names, opts)
+    base = aligned(feats, prompts, molecules, descriptors, opts)
+    base = base.withColumn("reward_correctness", X.reward_correctness(F.col("extracted"), F.col("answer"), opts.exact)) \
+        .withColumn("_claims", F.size("claims"))
+    claims = base.select(*[c for c in base.columns if c != "claims"], F.posexplode_outer("claims").alias("claim_pos", "_claim"))
+    claims = claims.withColumn("_name", X.raw_name("_claim")).withColumn("prop", X.unicode_strip("_name")) \
+        .withColumn("norm", X.normalize_name("prop")) \
+        .withColumn("label", F.when(F.col("_claim").isNotNull(), X.raw_label("_claim", opts.negation_aware)))
+    return score_claims(named_claims(claims, names, vocab, opts))
 
 
 # ----- claims ---------------------------------------------------------------------
@@ -190,125 +193,80 @@ def claim_names(completions: DataFrame, opts: ScoreOptions) -> DataFrame:
     return completions.select(F.explode(claims).alias("c")).select(F.col("c.prop").alias("prop"))
 
 
-def named_claims(claims: DataFrame, vocab: DataFrame, opts: ScoreOptions) -> DataFrame:
-    """Claim rows (norm, prompt_id, gen_idx, claim_pos) with ``by_task``: their name's descriptor for every known task."""
-    by_name = vocab.filter(F.col("descriptor").isNotNull()).groupBy("norm").agg(
-        F.map_from_entries(F.collect_list(F.struct("task", "descriptor"))).alias("by_task"))
+def named_claims(claims: DataFrame, names: DataFrame, vocab: DataFrame, opts: ScoreOptions) -> DataFrame:
+    """Claim rows with their name's ``descriptor`` for their task, its range (``lo``,
+    ``hi``) and its place among a molecule's values (``_at``).  The join is on the
+    name as it stands (``names``), which is normalized once and not per claim."""
+    spark, values = vocab.sparkSession, dims.scorable_descriptors()
+    at = F.array_position(F.array(*[F.lit(n) for n in values]), F.col("descriptor"))
+    keys = names.select("_name", X.normalize_name("prop").alias("norm"))
+    known = (vocab.filter(F.col("descriptor").isNotNull()).select("norm", "task", "descriptor")
+             .join(F.broadcast(dims.ranges_df(spark)), ["task", "descriptor"], "left")
+             .join(keys, "norm")
+             .select("_name", "task", "descriptor", "lo", "hi", F.when(at > 0, at - 1).cast("int").alias("_at")))
     # a handful of names carry most claims: salt if the vocabulary is too big to broadcast
-    return lookup_join(claims, materialize(by_name, "vocabulary-by-name", opts.staging_dir), ["norm"], "left",
-                       opts.max_broadcast_rows, salts=HOT_KEY_SALTS,
-                       salt_by=["prompt_id", "gen_idx", "claim_pos"], stage=False)
-
-
-def resolve_claims(feats: DataFrame, vocab: DataFrame, opts: ScoreOptions) -> DataFrame:
-    """The features with every claim's descriptor for every known task
-    (``by_task``), staged.  The gathering key is unique and a completion's
-    claims are bounded by its text, so no group is hot."""
-    claims = feats.select("prompt_id", "gen_idx", F.posexplode("claims").alias("claim_pos", "claim")).select(
-        "prompt_id", "gen_idx", "claim_pos", F.col("claim.prop").alias("prop"), F.col("claim.label").alias("label"),
-        X.normalize_name(F.col("claim.prop")).alias("norm"))
-    claims = named_claims(claims, vocab, opts)
-    claim = F.struct("claim_pos", "prop", "label", "norm", F.map_entries("by_task").alias("by_task"))
-    gathered = claims.groupBy("prompt_id", "gen_idx").agg(F.sort_array(F.collect_list(claim)).alias("resolved_claims"))
-    out = feats.drop("claims").join(gathered, ["prompt_id", "gen_idx"], "left")
-    return materialize(out, "resolved-claims", opts.staging_dir)
-
-
-def score_claims(base: DataFrame) -> DataFrame:
-    """R4 inside the row: ``scored_claims``, an array of the claims with resolved
-    descriptor, value, range, agreement and ``claim_status`` (why a claim is
-    not scored; its agreement is NULL then)."""
-    pairs = []
-    for t, d, lo, hi in dims.range_rows():
-        pairs += [F.lit(f"{t}|{d}"), F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"))]
-    ranges, functions = F.create_map(*pairs), F.array(*[F.lit(d) for d in dims.scorable_descriptors()])
-
-    def found(c):
-        entry = F.get(F.filter(c["by_task"], lambda e: e["key"] == F.col("task")), 0)
-        return F.struct(c["claim_pos"].alias("claim_pos"), c["prop"].alias("prop"), c["label"].alias("label"),
-                        c["norm"].alias("norm"), entry["value"].alias("descriptor"))
-
-    def ranged(c):
-        r = F.try_element_at(ranges, F.concat(F.col("task"), F.lit("|"), c["descriptor"]))
-        return F.struct(c["claim_pos"].alias("claim_pos"), c["prop"].alias("prop"), c["label"].alias("label"),
-                        c["norm"].alias("norm"), c["descriptor"].alias("descriptor"), r["lo"].alias("lo"), r["hi"].alias("hi"),
-                        F.try_element_at(F.col("desc"), c["descriptor"]).alias("value"))
-
-    def judged(c):
-        status = (F.when(F.col("smiles").isNull(), F.lit("no_smiles"))
-                  .when(~F.coalesce(F.col("valid"), F.lit(False)), F.lit("invalid_molecule"))
-                  .when(F.col("task") == dims.UNKNOWN_TASK, F.lit("unknown_task"))
-                  .when(c["descriptor"].isNull(), F.lit("no_match"))
-                  .when(~F.array_contains(functions, c["descriptor"]) | c["lo"].isNull(), F.lit("no_function_or_range"))
-                  .when(c["value"].isNull(), F.lit("no_value"))
-                  .otherwise(F.lit("scored")))
-        inside = F.when(c["value"].between(c["lo"], c["hi"]), F.lit(1)).otherwise(F.lit(-1))
-        return F.struct(*[c[n].alias(n) for n in ("claim_pos", "prop", "label", "norm", "descriptor", "lo", "hi", "value")],
-                        status.alias("claim_status"), inside.alias("inside"))
-
-    def agreed(c):
-        scored = c["claim_status"] == "scored"
-        return F.struct(*[c[n].alias(n) for n in ("claim_pos", "prop", "label", "norm", "descriptor", "lo", "hi", "value",
-                                                  "claim_status")],
-                        F.when(scored, c["inside"]).alias("range_label"),
-                        F.when(scored, F.abs(c["label"] + c["inside"]) / F.lit(2.0)).alias("agreement"))
-
-    out = F.col("resolved_claims")
-    for step in (found, ranged, judged, agreed):
-        out = F.transform(out, step)
-    return base.withColumn("scored_claims", out).drop("resolved_claims")
+    return lookup_join(claims, materialize(known, "vocabulary-by-name", opts.staging_dir), ["_name", "task"], "left",
+                       opts.max_broadcast_rows, salts=HOT_KEY_SALTS, salt_by=["_row", "claim_pos"], stage=False)
+
+
+def score_claims(claims: DataFrame) -> DataFrame:
+    """``value``, ``range_label``, ``agreement`` and ``claim_status`` (why a
+    claim is not scored; its agreement is NULL then) of every claim row."""
+    status = (F.when(F.col("claim_pos").isNull(), F.lit("no_claims"))
+              .when(F.col("smiles").isNull(), F.lit("no_smiles"))
+              .when(~F.coalesce(F.col("valid"), F.lit(False)), F.lit("invalid_molecule"))
+              .when(F.col("task") == dims.UNKNOWN_TASK, F.lit("unknown_task"))
+              .when(F.col("descriptor").isNull(), F.lit("no_match"))
+              .when(F.col("_at").isNull() | F.col("lo").isNull(), F.lit("no_function_or_range"))
+              .when(F.col("value").isNull(), F.lit("no_value"))
+              .otherwise(F.lit("scored")))
+    rows = claims.withColumn("value", F.get("desc", F.col("_at"))).withColumn("claim_status", status)
+    inside = F.when(F.col("value").between(F.col("lo"), F.col("hi")), F.lit(1)).otherwise(F.lit(-1))
+    rows = rows.withColumn("range_label", F.when(F.col("claim_status") == "scored", inside))
+    return rows.withColumn("agreement", F.abs(F.col("label") + F.col("range_label")) / F.lit(2.0))
 
 
 def claim_detail(base: DataFrame, keep_unclaimed: bool = True) -> DataFrame:
     """R4 (+P8) in row form: one row per claim; completions without claims keep
     one row with NULL claim (status ``no_claims``) when ``keep_unclaimed``."""
-    explode = F.explode_outer if keep_unclaimed else F.explode
-    rows = base.select("*", explode("scored_claims").alias("claim")).drop("scored_claims")
-    return (rows.select(*[c for c in rows.columns if c != "claim"], "claim.*")
-            .withColumn("claim_status", F.coalesce("claim_status", F.lit("no_claims"))))
+    rows = base if keep_unclaimed else base.filter(F.col("claim_pos").isNotNull())
+    return rows.drop("_row", "_claim", "_claims", "_name", "_at", "_values", "reward_correctness")
 
 
 def claim_rows(completions: DataFrame, prompts: DataFrame, molecules: DataFrame, descriptors: DataFrame,
                opts: ScoreOptions | None = None, keep_unclaimed: bool = True) -> DataFrame:
-    """``claim_detail`` without the per-completion form in between: a claim meets
-    the vocabulary and its prompt once each, as a row, and is never gathered.
-    Text work is done once; nothing above the join on the prompt needs its
-    partitioning, so a hot prompt can be split."""
-    opts = opts or ScoreOptions()
-    feats = materialize(completion_features(completions, opts), "completion-features", opts.staging_dir)
-    explode = F.posexplode_outer if keep_unclaimed else F.posexplode
-    claims = feats.select(*[c for c in feats.columns if c != "claims"], explode("claims").alias("claim_pos", "claim")).select(
-        "*", F.col("claim.prop").alias("prop"), F.col("claim.label").alias("label"),
-        X.normalize_name(F.col("claim.prop")).alias("norm")).drop("claim")
-    vocab = vocabulary(feats.select(F.explode("claims").alias("c")).select(F.col("c.prop").alias("prop")), opts)
-    claims = named_claims(claims, vocab, opts)
-    one = F.struct("claim_pos", "prop", "label", "norm", F.map_entries("by_task").alias("by_task"))
-    rows = claims.withColumn("resolved_claims", F.when(F.col("claim_pos").isNotNull(), F.array(one))).drop(
-        "claim_pos", "prop", "label", "norm", "by_task")
-    return claim_detail(score_claims(aligned(rows, prompts, molecules, descriptors, opts)), keep_unclaimed)
+    """``claim_detail`` of the prepared completions."""
+    return claim_detail(prepare(completions, prompts, molecules, descriptors, opts or ScoreOptions()), keep_unclaimed)
 
 
 # ----- per completion and per prompt -------------------------------------------------
 
 def per_completion(base: DataFrame, opts: ScoreOptions) -> DataFrame:
-    """R5 + P5 + R2 + R6: one row per completion, computed inside the row."""
+    """R5 + P5 + R2 + R6: one row per completion and prompt row (``prepare``).
+
+    A completion's rows are told by the number it got when it was staged, and by
+    everything of its prompt that bears on the result.  Prompt rows that are alike
+    in that share a group, and leave it as often as they went in.  The prompt's
+    key is not a grouping key by itself: grouping on the join's own partitioning
+    would keep AQE from splitting a hot prompt.
+    """
     w = opts.weights
-    claims = F.coalesce(F.col("scored_claims"), F.array())
-    agreed = F.filter(F.transform(claims, lambda c: c["agreement"]), lambda a: a.isNotNull())
-    rows = base.withColumn("n_claims", F.size(claims).cast("long")).withColumn("agreed", agreed)
-    n_scored = F.size("agreed").cast("long")
-    mean = F.aggregate("agreed", F.lit(0.0), lambda a, x: a + x) / F.nullif(n_scored, F.lit(0).cast("long"))
-    reason = (F.when(F.col("n_claims") == 0, F.lit("no_claims"))
-              .when(F.col("smiles").isNull(), F.lit("no_smiles"))
-              .when(~F.coalesce(F.col("valid"), F.lit(False)), F.lit("invalid_molecule"))
-              .when(F.col("task") == dims.UNKNOWN_TASK, F.lit("unknown_task"))
-              .when(n_scored == 0, F.lit("none_scorable"))
-              .otherwise(F.lit("scored")))
+    place = (F.when(F.col("smiles").isNull(), F.lit("no_smiles"))
+             .when(~F.coalesce(F.col("valid"), F.lit(False)), F.lit("invalid_molecule"))
+             .when(F.col("task") == dims.UNKNOWN_TASK, F.lit("unknown_task")))
+    rewards = ["reward_format", "reward_correctness", "reward_choices"]
+    sums = base.withColumn("_place", place).groupBy(
+        "_row", F.struct("prompt_id", "gen_idx").alias("_ids"), "task", *rewards, "_claims", "_place", "_values").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count("agreement").alias("_scored"), F.sum("agreement").alias("_agreed"))
+    sums = sums.withColumn("_times", (F.col("_rows") / F.greatest(F.col("_claims"), F.lit(1))).cast("int"))
+    rows = sums.select("*", F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy"))
+    reason = (F.when(F.col("_claims") == 0, F.lit("no_claims")).when(F.col("_place").isNotNull(), F.col("_place"))
+              .when(F.col("_scored") == 0, F.lit("none_scorable")).otherwise(F.lit("scored")))
     out = rows.select(
-        "prompt_id", "gen_idx", "task", "reward_format",
-        X.reward_correctness(F.col("extracted"), F.col("answer"), opts.exact).alias("reward_correctness"),
-        "reward_choices", F.coalesce(mean, F.lit(0.0)).alias("reward_advantage"),
-        reason.alias("skip_reason"), "n_claims", n_scored.alias("n_scored"))
+        "_ids.prompt_id", "_ids.gen_idx", "task", *rewards,
+        F.when(F.col("_scored") > 0, F.col("_agreed") / F.col("_scored")).otherwise(F.lit(0.0)).alias("reward_advantage"),
+        reason.alias("skip_reason"), F.col("_claims").cast("long").alias("n_claims"),
+        (F.col("_scored") / F.col("_times")).cast("long").alias("n_scored"))
     total = (F.lit(float(w.get("format", 1.0))) * F.col("reward_format")
              + F.lit(float(w.get("correctness", 1.0))) * F.col("reward_correctness")
              + F.lit(float(w.get("choices", 1.0))) * F.col("reward_choices")

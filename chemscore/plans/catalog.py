@@ -297,10 +297,9 @@ def q_in_range_label(spark, sf):
 @query("descriptor_join")
 def q_descriptor_join(spark, sf):
     """J4 as an explicit equi-join on (smiles, descriptor) against the long
-    descriptor table (the scorer itself reads the same values from a map)."""
-    opts = R.ScoreOptions()
-    c, p, m, d = scoring_inputs(spark, sf)
-    rows = R.claim_detail(R.prepare(c, p, m, d, opts), keep_unclaimed=False)
+    descriptor table (the scorer itself reads the same values from an array)."""
+    _, _, _, d = scoring_inputs(spark, sf)
+    rows = claim_rows(spark, sf)
     rows = rows.filter(F.col("descriptor").isNotNull() & F.col("valid")).drop("value")
     long = R.descriptors_long(d)
     return _claims_out(rows.join(long, ["smiles", "descriptor"], "inner"), "smiles", "descriptor", "value")

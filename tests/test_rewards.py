@@ -187,3 +187,25 @@ def test_claim_rows_equal_the_gathered_form(spark):
         assert set(got.columns) == set(want.columns)
         cols = sorted(c for c in got.columns if c != "desc")
         assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
+def test_rows_with_repeated_keys_are_scored_one_by_one(spark):
+    """A completion whose key comes again keeps its own claims; every prompt row that fits gives a row."""
+    c, p, m, d = _case_frames(spark)
+    c = c.withColumn("gen_idx", F.lit(0).cast("long"))                       # all completions of a prompt share a key
+    p = p.unionByName(p).unionByName(spark.createDataFrame([(1, "Task: BACE", "what about M3", "True")], p.schema))
+    got = R.score_completions(c, p, m, d, with_group_advantage=False).groupBy("prompt_id", "task", "skip_reason").agg(
+        F.count("*").alias("n"), F.sum("n_claims").alias("claims"), F.sum("n_scored").alias("scored")).collect()
+    got = {(r.prompt_id, r.task, r.skip_reason): (r.n, r.claims, r.scored) for r in got}
+    assert got == {(1, "BBBP", "scored"): (4, 12, 12), (1, "BBBP", "no_claims"): (4, 0, 0),
+                   (1, "BACE", "invalid_molecule"): (2, 6, 0), (1, "BACE", "no_claims"): (2, 0, 0),
+                   (2, "BBBP", "scored"): (6, 12, 12), (3, "BBBP", "invalid_molecule"): (2, 2, 0),
+                   (4, "UNKNOWN_TASK", "unknown_task"): (2, 2, 0), (5, "BBBP", "no_smiles"): (2, 2, 0)}
+
+
+def test_claims_are_scored_as_columns(spark):
+    """Claims are neither gathered into arrays nor scored by functions over arrays; names are normalized once each."""
+    frames = [view(spark, SF001, n) for n in ("completions", "prompts", "molecules", "descriptors_wide")]
+    plans = [_final_plan(df) for df in (R.score_completions(*frames, with_group_advantage=False), R.claim_rows(*frames).select("agreement"))]
+    for plan in plans:
+        assert not any(x in plan for x in ("collect_list", "lambdafunction", "ObjectHashAggregate", "translate("))

@@ -2,6 +2,7 @@
 from how the text was built."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -81,3 +82,33 @@ def test_hash_answers_and_names(spark):
     names = spark.createDataFrame([("Polar Surface_Area", "polarsurfacearea"), ("H-Bond", "hbond"), ("É t", "ét")],
                                   "s string, want string")
     assert all(r.n == r.want for r in names.select("want", X.normalize_name(F.col("s")).alias("n")).collect())
+
+
+#: What hostile texts are put together from: tags in any order, broken ones, white space of all kinds.
+PIECES = ["<name>", "</name>", "<answer>", "</answer>", "<name", "name>", "<<name>", "</answer", "a", "True", ",", ":", ", b: improve",
+          "not improve", "\n", " ", "\t", "\x1c", "\x85", " ", "　", "​", "é", "\U0001f600", "\r"]
+
+
+def by_regex(text):
+    """(answer, name block, format, one-line count, count, raw claims) as the regexes of the reference give them."""
+    found = lambda p, flags=re.S: (m := re.search(p, text, flags)) and m.group(1)
+    answer, block, line = found("<answer>(.*?)</answer>"), found("<name>(.*?)</name>"), found(r"<name>([^\n]*?)</name>", 0)
+    holds = re.search(r"<name>.*?</name>\s*<answer>.*?</answer>", text, re.S) is not None
+    items = [x.strip() for x in (block or "").strip().split(",")]
+    claims = [(x.split(":")[0].strip(), 1 if "improve" in x.split(":")[1].strip().lower() else -1) for x in items if x and x.count(":") == 1]
+    count = lambda b: None if b is None else len(b.split(","))
+    return (answer or "").strip(), None if block is None else block.strip(), holds, count(line), count(block), claims
+
+
+def test_cuts_equal_the_regexes(spark):
+    rnd = random.Random(77)
+    texts = ["".join(rnd.choice(PIECES[:9] if rnd.random() < 0.5 else PIECES) for _ in range(rnd.randint(0, 24))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select(
+        "i", X.extract_answer("s").alias("a"), X.extract_name_block("s").alias("b"), X.reward_format("s").alias("f"),
+        X.choice_count("s").alias("one"), X.choice_count("s", dotall=True).alias("all"), X.parse_claims("s").alias("c")).collect()
+    held = 0
+    for r in rows:
+        got = (r.a, r.b, r.f == 1.0, r.one, r["all"], [(c.prop, c.label) for c in r.c])
+        assert got == by_regex(texts[r.i]), repr(texts[r.i])
+        held += got[2]
+    assert held > 20
