@@ -13,7 +13,9 @@ Two learners share one form, the node table of ``operators.trees``:
 Grid search fits one forest per leaf size and fold, with the grid's most trees
 and greatest depth, and scores all its settings by cutting that forest: the
 first n of independent trees are a forest of n trees, and a greedily grown tree
-cut at depth d is the tree grown to depth d.  Folds are the explicit ``fold``
+cut at depth d is the tree grown to depth d.  Spark ML grows a forest on the
+driver, so forests are fitted a few trees at a time and kept as node tables;
+the driver never holds more than about ``FIT_NODES`` nodes.  Folds are the explicit ``fold``
 column (``operators.folds``), scored by exact ROC AUC; ties go to the first
 setting in grid order, as with ``GridSearchCV``.
 """
@@ -24,11 +26,10 @@ import itertools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -39,9 +40,13 @@ from pyspark.sql.window import Window
 from chemscore.operators import folds as FO
 from chemscore.operators import metrics as M
 from chemscore.operators import trees as T
-from chemscore.session import materialize
+from chemscore.session import materialize, staged_path
 
 SEED = 196          # random_state of the forest and of SMOTE
+#: Nodes that all fits under way may hold on the driver at a time, at most about
+#: (a kilobyte each), and trees of a forest's first fit, which shows their size.
+FIT_NODES = 100_000
+FIRST_TREES = 4
 
 # scikit-learn grids of the three classifier scripts (fixed values)
 REFERENCE_GRIDS = {
@@ -59,7 +64,7 @@ GRID_SETTING = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 1}
 
 @dataclass
 class GridResult:
-    model: PipelineModel
+    nodes: DataFrame          # node table of the best setting's forest, fitted on all rows
     table: DataFrame          # one row per setting: params, mean AUC
     best_params: dict
     folds: DataFrame          # param_id, fold, auc
@@ -116,20 +121,44 @@ def exact_forest(train: DataFrame, features: Sequence[str], id_col: str, setting
                   per_node=max(1, int(math.sqrt(len(features)))), seed=seed)
 
 
+def fit_forest(train: DataFrame, features: Sequence[str], setting: dict, seed: int = SEED,
+               held: int = FIT_NODES, name: str = "one") -> list[str]:
+    """Folders with the node tables of a Spark ML forest named ``name``, whose trees
+    are fitted so many at a time that about ``held`` nodes are on the driver.
+
+    Trees are independent, so the forests of several fits are one; every fit has a
+    seed of its own.  A single tree has at most two nodes per bin of all features."""
+    spark, total, done, at_once, out = train.sparkSession, setting["numTrees"], 0, FIRST_TREES, []
+    while done < total:
+        n = min(at_once, total - done)
+        rf = forest(seed + done, setting={**setting, "numTrees": n})
+        model = Pipeline(stages=[assembler(features), rf]).fit(train).stages[-1]
+        nodes = T.ml_nodes(spark, model).withColumn("tree", F.col("tree") + F.lit(done)).withColumn("forest", F.lit(name))
+        out.append(staged_path(spark, "fitted-nodes"))
+        nodes.write.parquet(out[-1])
+        at_once = max(1, held * n // max(1, model.totalNumNodes))
+        done += n
+    return out
+
+
+def forest_nodes(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    """The node table that ``fit_forest`` has left in ``folders``."""
+    return spark.read.schema(f"{T.NODES}, forest STRING").parquet(*folders)
+
+
 def fold_forests(train: DataFrame, features: Sequence[str], leaves: Sequence[int], trees: int, depth: int, fold_col: str,
-                 k: int, parallelism: int, seed: int = SEED) -> DataFrame:
+                 k: int, parallelism: int, seed: int = SEED, held: int = FIT_NODES) -> DataFrame:
     """Node tables of the forests fitted outside each fold, named ``leaf:fold``, staged."""
-    pipe = assembler(features)
+    jobs = [(leaf, fold) for leaf in leaves for fold in range(k)]
+    threads = min(parallelism, len(jobs))
 
-    def one(leaf: int, fold: int) -> DataFrame:
-        rf = forest(seed, setting={"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": leaf})
-        model = Pipeline(stages=[pipe, rf]).fit(train.filter(F.col(fold_col) != fold))
-        return T.ml_nodes(train.sparkSession, model.stages[-1]).withColumn("forest", F.lit(f"{leaf}:{fold}"))
+    def one(leaf: int, fold: int) -> list[str]:
+        return fit_forest(train.filter(F.col(fold_col) != fold), features,
+                          {"numTrees": trees, "maxDepth": depth, "minInstancesPerNode": leaf}, seed, held // threads, f"{leaf}:{fold}")
 
-    jobs = [(leaf, fold) for leaf in leaves for fold in range(k)]
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        tables = pool.starmap(inheritable_thread_target(train.sparkSession)(one), jobs)
-    return materialize(reduce(DataFrame.unionByName, tables), "grid-nodes")
+    with ThreadPool(threads) as pool:
+        folders = pool.starmap(inheritable_thread_target(train.sparkSession)(one), jobs, chunksize=1)
+    return forest_nodes(train.sparkSession, [f for fs in folders for f in fs])
 
 
 def setting_scores(train: DataFrame, nodes: DataFrame, features: Sequence[str], settings: list[dict], fold_col: str = "fold",
@@ -161,8 +190,8 @@ def grid_search_cv(train: DataFrame, features: Sequence[str], grid: dict, fold_c
     table = materialize(param_grid_table(train.sparkSession, grid).join(means, "param_id", "left"), "grid-table")
     best_i = M.cv_best(folds, "param_id").first()["param_id"]
     best = settings[int(best_i)] if best_i is not None else settings[0]
-    model = Pipeline(stages=[assembler(features), forest(seed, setting=best)]).fit(train)
-    return GridResult(model, table, dict(best), folds)
+    best_nodes = forest_nodes(train.sparkSession, fit_forest(train, features, best, seed))
+    return GridResult(best_nodes, table, dict(best), folds)
 
 
 def out_of_fold(data: DataFrame, features: Sequence[str], params: dict, k: int = 5,
@@ -171,11 +200,8 @@ def out_of_fold(data: DataFrame, features: Sequence[str], params: dict, k: int =
     ``params`` fitted on the other folds (one distributed fit per fold)."""
     out = None
     for f in range(k):
-        rf = forest(seed).setNumTrees(params["numTrees"]).setMaxDepth(params["maxDepth"]) \
-            .setMinInstancesPerNode(params["minInstancesPerNode"])
-        model = Pipeline(stages=[assembler(features), rf]).fit(data.filter(F.col(fold_col) != f))
-        part = positive_probability(model.transform(data.filter(F.col(fold_col) == f)))
-        part = part.select("label", "prob")
+        nodes = forest_nodes(data.sparkSession, fit_forest(data.filter(F.col(fold_col) != f), features, params, seed))
+        part = T.score(data.filter(F.col(fold_col) == f), nodes.drop("forest"), features, ["label"])
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -238,8 +264,10 @@ def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict,
         tv = balance(tv, features, "label", id_col)
     tv = materialize(FO.stratified_folds(tv, "label", id_col, k, out="fold"), "learning-folds")
     res = grid_search_cv(tv, features, grid, "fold", parallelism, k=k, id_col=id_col)
-    scored = materialize(positive_probability(res.model.transform(data))
-                         .select(id_col, split_col, "label", "prob", "prediction"), "learning-scores")
+    whole = data.withColumns({f: F.coalesce(F.col(f).cast("double"), F.raise_error(F.lit(f"null feature {f}")).cast("double"))
+                              for f in features})
+    scored = materialize(T.score(whole, res.nodes.drop("forest"), features, [id_col, split_col, "label"])
+                         .withColumn("prediction", (F.col("prob") > 0.5).cast("double")), "learning-scores")
     valid = scored.filter(F.col(split_col) == ("valid" if threshold_on == "oof" else threshold_on))
     test = scored.filter(F.col(split_col) == "test")
     if threshold_on == "oof":
@@ -258,4 +286,4 @@ def tune_and_apply(data: DataFrame, features: Sequence[str], grid: dict,
                  row(t_acc, "test", "accuracy", F.col("accuracy")), row(t_auc, "test", "auc", F.col("auc"))):
         out = out.unionByName(part)
     return FlowResult(out, res, M.roc_curve(test, "prob", "label"), feature_importances(
-        materialize(T.ml_nodes(data.sparkSession, res.model.stages[-1]), "flow-nodes"), features), scored)
+        res.nodes, features), scored)

@@ -34,8 +34,12 @@ from chemscore.session import materialize, staged_path
 #: Distinct values of a feature that one window task sorts, at most about.
 BUCKET_ROWS = 200_000
 MAX_BUCKETS = 2048
-#: Nodes a scoring pass sends to the tasks; more are scored in further passes.
-NODES_AT_ONCE = 2_000_000
+NODES = ("tree INT, node BIGINT, c0 DOUBLE, c1 DOUBLE, feature INT, threshold DOUBLE, gain DOUBLE, left BIGINT, "
+         "right BIGINT, prob DOUBLE")
+#: Nodes that travel with scoring tasks by way of the driver, and that one task of
+#: a larger table meets; rows that such a task scores.
+NODES_AT_ONCE = 250_000
+BLOCK_ROWS = 200_000
 _SCORE_ROWS = 2_000
 
 
@@ -264,17 +268,16 @@ class Forest:
             yield cut, self.prob[at]
 
 
-def _parts(nodes: DataFrame, limit: int) -> list[list[tuple[str, int]]]:
-    """(forest, tree) pairs, dealt to passes of at most about ``limit`` nodes."""
+def _parts(nodes: DataFrame, limit: int) -> list[tuple[str, int, int]]:
+    """(forest, tree, part): a forest's trees, dealt to parts of at most about ``limit`` nodes."""
     sizes = nodes.groupBy("forest", "tree").count().orderBy("forest", "tree").collect()   # one row per tree
-    parts, held = [[]], 0
+    out, part, held, forest = [], -1, 0, None
     for r in sizes:
-        if parts[-1] and held + r["count"] > limit:
-            parts.append([])
-            held = 0
-        parts[-1].append((r.forest, r.tree))
+        if r.forest != forest or held + r["count"] > limit:
+            part, held, forest = part + 1, 0, r.forest
+        out.append((r.forest, r.tree, part))
         held += r["count"]
-    return parts
+    return out
 
 
 def cut_sums(rows: DataFrame, nodes: DataFrame, features: Sequence[str], counts: Sequence[int], depths: Sequence[int],
@@ -282,46 +285,62 @@ def cut_sums(rows: DataFrame, nodes: DataFrame, features: Sequence[str], counts:
     """(keep, forest, sums): for every row and each forest of ``forest_of`` (an
     array of names) the sums of its trees' probabilities under every cut: the
     forest's first ``count`` trees, each down to ``depth``; ``sums`` is ordered by
-    depth, then count.  ``keep`` must tell the rows apart.
+    depth, then count.
 
-    The node arrays travel with the tasks.  A node table beyond ``limit`` is
-    scored in passes over the rows, one part of the trees each, whose sums are
-    added up by row.
+    A node table of at most ``limit`` rows travels with the tasks.  A larger one
+    never meets the driver: its trees are dealt to parts, the rows to blocks, and
+    each part is cogrouped with each block of its forest's rows.
     """
     counts, depths, keep = sorted(counts), sorted(depths), list(keep)
-    names, out = [f"_x{i}" for i in range(len(features))], None
+    names = [f"_x{i}" for i in range(len(features))]
     wide = rows.select(*keep, forest_of.alias("_forests"), *[F.col(f).cast("double").alias(n) for n, f in zip(names, features)])
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    parts = _parts(nodes, limit)
-    for part in parts:
-        chosen = nodes
-        if len(parts) > 1:
-            wanted = nodes.sparkSession.createDataFrame(part, "forest string, tree int")
-            chosen = nodes.join(F.broadcast(wanted), ["forest", "tree"])             # one row per tree of the part
-        held = chosen.select("forest", "tree", "node", "feature", "threshold", "left", "right", "prob").toPandas()
-        forests = {name: Forest.of(group) for name, group in held.groupby("forest")}
-
-        def run(batches, forests=forests):
+    nodes = nodes.select("forest", "tree", "node", "feature", "threshold", "left", "right", "prob")
+
+    def sums_of(name: str, forest: Forest, pdf: pd.DataFrame, keep: list[str]):
+        first = [int(np.searchsorted(forest.trees, c)) for c in counts]
+        for a in range(0, len(pdf), _SCORE_ROWS):
+            block, sums = pdf.iloc[a:a + _SCORE_ROWS], []
+            for _, prob in forest.walk(block[names].to_numpy(np.float64), depths):
+                running = np.cumsum(prob, axis=1)
+                sums += [running[:, k - 1] if k else np.zeros(len(block)) for k in first]
+            yield block[keep].assign(forest=name, sums=list(np.stack(sums, axis=1)))
+
+    if nodes.count() <= limit:
+        forests = {name: Forest.of(group) for name, group in nodes.toPandas().groupby("forest")}
+
+        def run(batches):
             for pdf in batches:
                 for name, forest in forests.items():
-                    mine = pdf[[name in f for f in pdf["_forests"]]]
-                    first = [int(np.searchsorted(forest.trees, c)) for c in counts]
-                    for a in range(0, len(mine), _SCORE_ROWS):
-                        block, sums = mine.iloc[a:a + _SCORE_ROWS], []
-                        for _, prob in forest.walk(block[names].to_numpy(np.float64), depths):
-                            running = np.cumsum(prob, axis=1)
-                            sums += [running[:, k - 1] if k else np.zeros(len(block)) for k in first]
-                        yield block[keep].assign(forest=name, sums=list(np.stack(sums, axis=1)))
-
-        got = wide.mapInPandas(run, f"{kinds}, forest string, sums array<double>")
-        out = got if out is None else out.unionByName(got)
-    if len(parts) == 1:
-        return out
+                    yield from sums_of(name, forest, pdf[[name in f for f in pdf["_forests"]]], keep)
+
+        return wide.mapInPandas(run, f"{kinds}, forest string, sums array<double>")
+
+    spark, parts = nodes.sparkSession, _parts(nodes, limit)
+    of_tree = spark.createDataFrame(parts, "forest string, tree int, _part int")                          # one row per tree
+    of_forest = spark.createDataFrame(sorted({(f, p) for f, _, p in parts}), "forest string, _part int")
+    wide = materialize(wide.withColumn("_n", F.monotonically_increasing_id()), "scored-rows")     # rows may be alike
+    blocks = max(1, -(-wide.count() // BLOCK_ROWS))
+    key, groups = ["forest", "_part", "_block"], blocks * (parts[-1][2] + 1)
+    sent = (wide.withColumn("forest", F.explode("_forests")).drop("_forests").join(F.broadcast(of_forest), "forest")
+            .withColumn("_block", F.pmod(F.xxhash64("_n"), F.lit(blocks)).cast("int")))
+    held = (nodes.join(F.broadcast(of_tree), ["forest", "tree"])
+            .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
+    columns = ["_n", *keep]
+
+    def meet(key, pdf, group):
+        found = list(sums_of(key[0], Forest.of(group), pdf, columns)) if len(group) and len(pdf) else []
+        return pd.concat(found) if found else pd.DataFrame(columns=[*columns, "forest", "sums"])
+
+    # few bytes and much work: an explicit number of partitions is not coalesced
+    tasks = min(groups, 2_000)
+    got = (sent.repartition(tasks, *key).groupBy(*key).cogroup(held.repartition(tasks, *key).groupBy(*key))
+           .applyInPandas(meet, f"_n bigint, {kinds}, forest string, sums array<double>"))
+    if len({f for f, _, _ in parts}) == parts[-1][2] + 1:
+        return got.drop("_n")
     # exact decimals: the order in which parts are added cannot change a sum
-    cells = out.select(*keep, "forest", F.posexplode("sums").alias("at", "s")).groupBy(*keep, "forest", "at").agg(
-        F.sum(F.col("s").cast("decimal(28,16)")).cast("double").alias("s"))
-    return cells.groupBy(*keep, "forest").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "s"))),
-                                                          lambda c: c["s"]).alias("sums"))
+    return got.groupBy("_n", *keep, "forest").agg(F.array(*[
+        F.sum(F.get("sums", F.lit(i)).cast("decimal(28,16)")).cast("double") for i in range(len(counts) * len(depths))]).alias("sums")).drop("_n")
 
 
 def score(rows: DataFrame, nodes: DataFrame, features: Sequence[str], keep: Sequence[str], out: str = "prob",

@@ -144,3 +144,28 @@ def test_small_tree_as_an_expression(spark):
     by_walk = {r.id: r.prob for r in T.score(df, nodes, FEATURES, ["id"]).collect()}
     assert {r.id: r.p for r in df.select("id", T.tree_expression(nodes, FEATURES).alias("p")).collect()} == by_walk
     assert len(set(by_walk.values())) > 3
+
+
+def test_a_forest_is_fitted_and_scored_in_small_parts(spark):
+    """The driver holds few trees of a forest at a time; rows that are alike stay apart."""
+    rows, df = table(spark, 120, 5)
+    df = df.withColumn("label", F.col("label").cast("double")).cache()
+    setting = {"numTrees": 11, "maxDepth": 5, "minInstancesPerNode": 1}
+    folders = ml.fit_forest(df, FEATURES, setting, held=60)
+    assert len(folders) > 3                                                            # several fits, one forest
+    nodes = ml.forest_nodes(spark, folders).cache()
+    assert sorted(r.tree for r in nodes.where("node = 0").collect()) == list(range(11))
+    assert len({tuple(sorted(str((r.node, r.feature, r.threshold, r.c0, r.c1)) for r in nodes.where(f"tree = {t}").collect()))
+                for t in range(11)}) > 5                                               # drawn apart
+    twice = df.unionByName(df)
+    got = [sorted(map(tuple, T.score(twice, nodes.drop("forest"), FEATURES, ["label"], limit=n).collect())) for n in (T.NODES_AT_ONCE, 60)]
+    assert len(got[0]) == len(got[1]) == 240
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-12 for a, b in zip(*got, strict=True))
+
+
+def test_node_tables_stay_off_the_driver(spark, monkeypatch):
+    _, df = table(spark, 120, 5)
+    nodes = ml.forest_nodes(spark, ml.fit_forest(df.withColumn("label", F.col("label").cast("double")), FEATURES,
+                                                 {"numTrees": 6, "maxDepth": 5, "minInstancesPerNode": 1})).drop("forest")
+    monkeypatch.setattr(type(nodes), "toPandas", lambda self: pytest.fail("a large node table came to the driver"))
+    assert T.score(df, nodes, FEATURES, ["id"], limit=40).count() == 120
