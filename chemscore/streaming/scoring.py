@@ -13,7 +13,7 @@ group advantage needs whole prompt groups; it is computed per micro-batch when
 the producer writes complete groups (``complete_groups=True``), as the trainer
 does (all generations of a prompt in one step).  ``stream_group_advantage``
 (R7) puts together groups whose generations arrive in different micro-batches:
-keyed state holds a prompt's generations until the group is whole or the
+keyed state holds its generations until the group is whole or the
 watermark has passed its last one.
 
 ST2: event-time metrics per reward and task in tumbling windows, in two forms.
@@ -78,33 +78,55 @@ def stream_score(spark: SparkSession, source_dir: str, prompts: DataFrame, molec
 GENERATIONS = "prompt_id BIGINT, gen_idx BIGINT, reward_total DOUBLE, group_size BIGINT, ts TIMESTAMP"
 GROUPED = ("prompt_id BIGINT, gen_idx BIGINT, reward_total DOUBLE, group_mean DOUBLE, group_std DOUBLE, group_size BIGINT, "
            "advantage DOUBLE, whole BOOLEAN")
-_GROUP_STATE = "size BIGINT, last BIGINT, gens ARRAY<BIGINT>, rewards ARRAY<DOUBLE>"
+#: Prompts share keyed state by a hash, so that a call of the state function handles many groups at once.
+GROUP_BUCKETS = 1024
+_HELD = {"prompt_id": "int64", "none": "int64", "gen_idx": "int64", "reward_total": "float64", "size": "int64", "last": "int64", "due": "int64"}
+_GROUP_STATE = ", ".join(f"{c} ARRAY<{'DOUBLE' if t == 'float64' else 'BIGINT'}>" for c, t in _HELD.items())
 
 
-def _hold_group(eps: float):
-    """State of one prompt: its generations so far."""
+def _hold_groups(eps: float):
+    """State of a bucket of prompts: the generations of their groups that are not whole, row by row, each with
+    its group's size, last time and the watermark at which the group is due."""
     def hold(key, parts, state):
-        size, last, gens, rewards = state.get if state.exists else (0, 0, [], [])
-        held = dict(zip(gens, rewards, strict=True))
-        over = state.hasTimedOut
-        if not over:
-            for pdf in parts:
-                for g, r, n, ms in zip(pdf["gen_idx"], pdf["reward_total"], pdf["group_size"], pdf["ms"], strict=True):
-                    held.setdefault(int(g), float(r))          # a generation that comes again changes nothing
-                    size, last = max(size, int(n)), max(last, int(ms))
-        whole = len(held) >= size
-        if not (whole or over):
-            state.update((size, last, sorted(held), [held[g] for g in sorted(held)]))
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 1)
+        mark = state.getCurrentWatermarkMs()
+        held = pd.DataFrame({c: np.array(v, dtype=t) for (c, t), v in zip(_HELD.items(), state.get, strict=True)}) \
+            if state.exists else pd.DataFrame({c: np.empty(0, t) for c, t in _HELD.items()})
+        kept = len(held)
+        if not state.hasTimedOut:
+            new = pd.concat(list(parts)).rename(columns={"group_size": "size", "ms": "last"}).assign(due=0)
+            held = pd.concat([held, new[list(_HELD)].astype(_HELD)], ignore_index=True)
+        group = held.groupby(["prompt_id", "none"]).ngroup().to_numpy()
+        n = int(group.max()) + 1 if len(held) else 0
+        size, last, due = (np.full(n, -1 << 62) for _ in range(3))
+        touched = np.zeros(n, bool)
+        for into, column in ((size, "size"), (last, "last"), (due, "due")):
+            np.maximum.at(into, group, held[column].to_numpy())
+        touched[group[kept:]] = True
+        # a generation that comes again changes nothing
+        first = ~held.assign(g=group).duplicated(["g", "gen_idx"]).to_numpy()
+        held, group = held[first], group[first]
+        count = np.bincount(group, minlength=n)
+        whole = count >= size
+        due = np.where(touched, np.maximum(last, mark) + 1, due)
+        leaves = whole | (~touched & (due <= mark))
+        stays = held[~leaves[group]].assign(size=size[group][~leaves[group]], last=last[group][~leaves[group]],
+                                            due=due[group][~leaves[group]])
+        if len(stays):
+            state.update(tuple(stays[c].tolist() for c in _HELD))
+            state.setTimeoutTimestamp(int(max(stays["due"].min(), mark + 1)))
+        elif state.exists:
+            state.remove()
+        out, g = held[leaves[group]], group[leaves[group]]
+        if not len(out):
             return
-        state.remove()
-        if held:
-            order = sorted(held)
-            r = np.array([held[g] for g in order])
-            std = r.std(ddof=1) if len(r) > 1 else np.nan
-            yield pd.DataFrame({
-                "prompt_id": key[0], "gen_idx": order, "reward_total": r, "group_mean": r.mean(), "group_std": std,
-                "group_size": len(r), "advantage": (r - r.mean()) / ((0.0 if np.isnan(std) else std) + eps), "whole": whole})
+        r = out["reward_total"].to_numpy()
+        mean = (np.bincount(g, r, n) / np.maximum(count, 1))[g]
+        square = np.bincount(g, (r - mean) ** 2, n)
+        std = np.where(count > 1, np.sqrt(square / np.maximum(count - 1, 1)), np.nan)[g]
+        yield pd.DataFrame({
+            "prompt_id": pd.Series(out["prompt_id"].to_numpy(), dtype="Int64").mask(out["none"].to_numpy() == 1).array,
+            "gen_idx": out["gen_idx"].to_numpy(), "reward_total": r, "group_mean": mean, "group_std": std,
+            "group_size": count[g], "advantage": (r - mean) / (np.where(np.isnan(std), 0.0, std) + eps), "whole": whole[g]})
     return hold
 
 
@@ -115,17 +137,20 @@ def stream_group_advantage(spark: SparkSession, source_dir: str, sink_dir: str,
     group_size: how many generations the prompt gets, ts: when it was scored),
     whose groups may be split over micro-batches and arrive in any order.
 
-    A group leaves, exactly once, when it is whole; state is bounded by a
-    group's size and dropped then.  Generations may be ``delay`` late; a group
+    A group leaves, exactly once, when it is whole; its state is dropped then.
+    Prompts are dealt to ``GROUP_BUCKETS`` buckets by a hash, and a bucket's state
+    holds its groups that are not whole yet.  Generations may be ``delay`` late; a group
     that is still incomplete once the watermark has passed its last generation
     leaves as it is (``whole`` false), for what it lacks could only come too
     late."""
     reader = spark.readStream.schema(GENERATIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    rows = reader.parquet(source_dir).withWatermark("ts", delay).withColumn("ms", F.unix_millis("ts"))
-    out = rows.groupBy("prompt_id").applyInPandasWithState(
-        _hold_group(eps), GROUPED, _GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = reader.parquet(source_dir).withWatermark("ts", delay).select(
+        F.pmod(F.xxhash64("prompt_id"), F.lit(GROUP_BUCKETS)).alias("bucket"), F.coalesce("prompt_id", F.lit(0)).alias("prompt_id"),
+        F.col("prompt_id").isNull().cast("long").alias("none"), "gen_idx", "reward_total", "group_size", F.unix_millis("ts").alias("ms"), "ts")
+    out = rows.groupBy("bucket").applyInPandasWithState(
+        _hold_groups(eps), GROUPED, _GROUP_STATE, "append", GroupStateTimeout.EventTimeTimeout)
     writer = (out.writeStream.outputMode("append").format("parquet").option("path", sink_dir)
               .option("checkpointLocation", checkpoint_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")

@@ -72,3 +72,18 @@ def test_stream_resolves_names_over_its_whole_life(spark, scratch):
     cols = ["prompt_id", "gen_idx", "reward_total", "skip_reason"]
     got = spark.read.parquet(os.path.join(scratch, "out"))
     assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
+
+
+def test_prompts_share_keyed_state(spark, scratch):
+    """Many groups are held under few keys, so that one call of the state function handles many of them."""
+    src, out, ck = (os.path.join(scratch, x) for x in ("in", "out", "ck"))
+    half = lambda g: spark.range(6_000).select("id", F.lit(g).alias("gen_idx"), (F.col("id") + g).cast("double"),
+                                               F.lit(2), F.lit(NOON)).toDF("prompt_id", "gen_idx", "reward_total", "group_size", "ts")
+    for g in (0, 1):
+        half(g).selectExpr("prompt_id", "cast(gen_idx as long) gen_idx", "reward_total", "cast(group_size as long) group_size", "ts") \
+            .coalesce(1).write.mode("append").parquet(src)
+        query = ST.stream_group_advantage(spark, src, out, ck)
+        query.awaitTermination()
+        keys = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress)
+        assert keys <= ST.GROUP_BUCKETS
+        assert spark.read.schema(ST.GROUPED).parquet(out).where("whole").count() == 12_000 * g
