@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chemscore.llm.bytebpe import KEEP_CHARS, CachedCoder, PreTokens, byte_alphabet
-from chemscore.llm.common import pylists, record_batch, shipped, sliced
+from chemscore.llm.common import pylists, record_batch, release, shipped, sliced
 
 _NONE = np.int64(1) << 62
 #: Tree cells worked on together (bounds a worker's memory).
@@ -144,9 +144,13 @@ class TreeBPE:
 
 
 @lru_cache(maxsize=2)
-def _worker(path: str) -> tuple[TreeBPE, CachedCoder]:
+def _worker(path: str, limit: int = 150_000) -> tuple[TreeBPE, CachedCoder]:
     tree = TreeBPE(path)
-    return tree, tree.coder()
+    return tree, tree.coder(limit)
+
+
+#: Codes of a generation that a worker of ``encode`` keeps while its task runs.
+_ENCODE_CODES = 75_000
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -159,10 +163,14 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        _, coder = _worker(path)
+        tree, coder = _worker(path, _ENCODE_CODES)
         for batch in sliced(batches, "text"):
             keys, texts = pylists(batch, "doc_id", "text")
             yield record_batch(schema, (keys, coder.texts([t or "" for t in texts])))
+        # the worker lives on beside the stages that follow: it keeps no texts' codes
+        tree.known = {}
+        coder.forget()
+        release()
 
     return shipped(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
 

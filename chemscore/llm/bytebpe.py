@@ -125,6 +125,11 @@ class CachedCoder:
         self.old_plain, self.old_spaced = {}, {}
         self.misses = 0
 
+    def forget(self) -> None:
+        """Drop all codes but the frequent ones."""
+        self.plain, self.spaced = {}, dict(self.frequent)
+        self.old_plain, self.old_spaced = {}, {}
+
     def _fill(self, cache: dict, old: dict, keys: set, lead: str) -> list[str]:
         missing = keys.difference(cache)
         if old and (again := missing.intersection(old)):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -90,7 +91,16 @@ def sliced(batches: Iterable[pa.RecordBatch], *columns: str, size: int = SLICE_C
             held += n
         if start < batch.num_rows:
             yield batch.slice(start)
-    pa.default_memory_pool().release_unused()                # workers outlive their tasks
+    release()
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system.  Workers outlive
+    their tasks, and what an idle one keeps counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # glibc has it
+    if trim:
+        trim(0)
 
 
 def record_batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:

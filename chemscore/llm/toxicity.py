@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chemscore.llm.common import hash_share, pylists, record_batch, shipped, sliced, small, stage
+from chemscore.llm.common import hash_share, pylists, record_batch, release, shipped, sliced, small, stage
 
 #: Look-alike letters, and signs written for letters.
 HOMOGLYPHS = {
@@ -172,6 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, folds: int
                 if len(seen[t]) > COUNTED:
                     yield from out()
         yield from out()
+        release()
 
     counts = (rows.mapInArrow(count, "toxic int, entry string, n long").groupBy("entry")
               .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("pos"),

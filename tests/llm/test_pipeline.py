@@ -1,13 +1,15 @@
 """The pipeline's stages on a small corpus, stage by stage and as a whole."""
 
+import gc
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 import __spark_entry__ as E
-from chemscore.llm import bytebpe
+from chemscore.llm import bpe, bytebpe
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,3 +76,20 @@ def test_all_queries_are_registered():
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(E.oracle_sql()) <= set(names)
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "bpe"]
+
+
+def test_encode_leaves_no_codes_in_idle_workers(spark, bpe_file):
+    """A worker outlives the stage: what it keeps counts against the stages that follow."""
+    r = random.Random(9)
+    docs = spark.createDataFrame([(i, " ".join(str(r.random()) for _ in range(50))) for i in range(200)], "doc_id long, text string")
+    assert bpe.encode(docs.repartition(4), bpe_file).count() == 200
+
+    def kept(batches):
+        for batch in batches:
+            held = [o for o in gc.get_objects() if isinstance(o, (bytebpe.CachedCoder, bpe.TreeBPE))]
+            codes = [len(d) for o in held for k in ("known", "plain", "spaced", "old_plain", "old_spaced")
+                     if (d := getattr(o, k, None)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([len(held)]), pa.array([sum(codes)])], names=["held", "codes"])
+
+    got = spark.range(64).repartition(16).mapInArrow(kept, "held long, codes long").collect()
+    assert any(g.held for g in got) and all(g.codes == 0 for g in got)
