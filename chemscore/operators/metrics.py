@@ -35,20 +35,21 @@ def _with_totals(pts: DataFrame, tot: DataFrame, by: list[str]) -> DataFrame:
     return pts.withColumn("P", F.lit(p).cast("long")).withColumn("N", F.lit(n).cast("long"))
 
 
-def roc_points(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
+def roc_points(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = (),
+               times: str | None = None) -> DataFrame:
     """E4 core: one row per (group, distinct score), descending, with the counts
     at that score (``tp_s``, ``fp_s``) and cumulative counts at threshold = score
     (``tp``, ``fp``: rows with score >= threshold)."""
-    return _roc_tables(df, score, label, by)[0]
+    return _roc_tables(df, score, label, by, times)[0]
 
 
-def _roc_tables(df: DataFrame, score: str, label: str, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def _roc_tables(df: DataFrame, score: str, label: str, by: Sequence[str], times: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(points, class totals); the totals come from the staged distinct-score
     table, not from another pass over the rows."""
     by = list(by)
-    y = F.col(label).cast("long")
+    y, n = F.col(label).cast("long"), F.col(times).cast("long") if times else F.lit(1)
     q = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
-        F.sum(y).alias("tp_s"), F.sum(F.lit(1) - y).alias("fp_s"))
+        F.sum(y * n).alias("tp_s"), F.sum((F.lit(1) - y) * n).alias("fp_s"))
     # the distinct-score table is read three times below (quantiles, bucket
     # totals, running sums): stage it once instead of re-aggregating the rows
     q = materialize(q, "roc-scores")
@@ -91,10 +92,12 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label", by: Seq
                     (F.col("fp") / F.nullif(F.col("N"), F.lit(0))).alias("fpr"))
 
 
-def roc_auc(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
-    """Exact ROC AUC per group (ties count one half); NULL when P or N is 0."""
+def roc_auc(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = (),
+            times: str | None = None) -> DataFrame:
+    """Exact ROC AUC per group (ties count one half); NULL when P or N is 0.
+    ``times`` names a column with a row's occurrences."""
     by = list(by)
-    pts = roc_points(df, score, label, by)
+    pts = roc_points(df, score, label, by, times)
     dec = "decimal(38,0)"
     term = F.col("fp_s").cast(dec) * (F.lit(2).cast(dec) * (F.col("tp") - F.col("tp_s")).cast(dec)
                                       + F.col("tp_s").cast(dec))

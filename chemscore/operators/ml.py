@@ -5,17 +5,20 @@ Two learners share one form, the node table of ``operators.trees``:
 * ``exact_forest`` and ``balanced_tree`` grow trees over every distinct value,
   as scikit-learn does (gini, ``max_features='sqrt'``, bootstrap by Poisson
   draws from md5, so that a fit is the same on any cluster);
-* the grid search and its refit use Spark ML's random forest, which bins
-  continuous features (``maxBins``): ``n_estimators -> numTrees``,
-  ``max_depth -> maxDepth``, ``min_samples_leaf -> minInstancesPerNode``.
-  ``min_samples_split`` has no Spark counterpart, so grids collapse over it.
+* the grid search and its refit use binned forests, as Spark ML's random forest
+  grows them (at most 64 bins a feature, the square root of the features, rounded
+  up, at each node): ``n_estimators -> numTrees``, ``max_depth -> maxDepth``,
+  ``min_samples_leaf -> minInstancesPerNode``.  ``min_samples_split`` has no
+  counterpart, so grids collapse over it.
 
 Grid search fits one forest per leaf size and fold, with the grid's most trees
 and greatest depth, and scores all its settings by cutting that forest: the
 first n of independent trees are a forest of n trees, and a greedily grown tree
-cut at depth d is the tree grown to depth d.  Spark ML grows a forest on the
-driver, so forests are fitted a few trees at a time and kept as node tables;
-the driver never holds more than about ``FIT_NODES`` nodes.  Folds are the explicit ``fold``
+cut at depth d is the tree grown to depth d.  Rows are counted by the cells of
+their bins, and whole trees are grown in tasks (``operators.binned``).  Where the
+features have too many cells for that, Spark ML grows the forests, from the
+driver, so a few trees at a time and kept as node tables; the driver then never
+holds more than about ``FIT_NODES`` nodes.  Folds are the explicit ``fold``
 column (``operators.folds``), scored by exact ROC AUC; ties go to the first
 setting in grid order, as with ``GridSearchCV``.
 """
@@ -33,10 +36,11 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chemscore.operators import binned as B
 from chemscore.operators import folds as FO
 from chemscore.operators import metrics as M
 from chemscore.operators import trees as T
@@ -149,6 +153,16 @@ def forest_nodes(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
 def fold_forests(train: DataFrame, features: Sequence[str], leaves: Sequence[int], trees: int, depth: int, fold_col: str,
                  k: int, parallelism: int, seed: int = SEED, held: int = FIT_NODES) -> DataFrame:
     """Node tables of the forests fitted outside each fold, named ``leaf:fold``, staged."""
+    cells = B.binned(train, features, fold_col, range(k))
+    if cells is None:
+        return spark_fold_forests(train, features, leaves, trees, depth, fold_col, k, parallelism, seed, held)
+    return materialize(B.node_tables(train.sparkSession, [(f"{leaf}:{c.out}", c, leaf) for leaf in leaves for c in cells],
+                                     trees, depth, seed), "forest-nodes")
+
+
+def spark_fold_forests(train: DataFrame, features: Sequence[str], leaves: Sequence[int], trees: int, depth: int, fold_col: str,
+                       k: int, parallelism: int, seed: int = SEED, held: int = FIT_NODES) -> DataFrame:
+    """``fold_forests`` by Spark ML, for features of too many cells."""
     jobs = [(leaf, fold) for leaf in leaves for fold in range(k)]
     threads = min(parallelism, len(jobs))
 
@@ -161,49 +175,80 @@ def fold_forests(train: DataFrame, features: Sequence[str], leaves: Sequence[int
     return forest_nodes(train.sparkSession, [f for fs in folders for f in fs])
 
 
-def setting_scores(train: DataFrame, nodes: DataFrame, features: Sequence[str], settings: list[dict], fold_col: str = "fold",
-                   id_col: str = "doc_id", limit: int = T.NODES_AT_ONCE) -> DataFrame:
-    """(id, fold, label, param_id, prob): every row under every setting, by the forests that have not seen its fold."""
+def _axes(settings: list[dict]) -> tuple[list[int], list[int], list[int]]:
     counts, depths, leaves = (sorted({s[n] for s in settings}) for n in ("numTrees", "maxDepth", "minInstancesPerNode"))
+    return counts, depths, leaves
+
+
+def _by_setting(sums: DataFrame, settings: list[dict], leaf: Column, keep: Sequence[str]) -> DataFrame:
+    """(keep, param_id, prob) of the ``sums`` that a forest of leaf size ``leaf`` (text) has under every cut."""
+    counts, depths, leaves = _axes(settings)
     place = {(s["maxDepth"], s["numTrees"], s["minInstancesPerNode"]): i for i, s in enumerate(settings)}
-    mine = F.array(*[F.concat(F.lit(f"{leaf}:"), F.col(fold_col).cast("string")) for leaf in leaves])
-    sums = T.cut_sums(train, nodes, features, counts, depths, [id_col, fold_col, "label"], mine, limit)
     # Of each leaf size the settings' places in the grid, in the order of the sums.
-    ids = F.create_map(*[x for leaf in leaves for x in (
-        F.lit(str(leaf)), F.array(*[F.lit(place[d, c, leaf]) for d in depths for c in counts]))])
-    cells = F.arrays_zip(F.element_at(ids, F.substring_index("forest", ":", 1)).alias("param_id"), F.col("sums").alias("s"),
+    ids = F.create_map(*[x for n in leaves for x in (
+        F.lit(str(n)), F.array(*[F.lit(place[d, c, n]) for d in depths for c in counts]))])
+    cells = F.arrays_zip(F.element_at(ids, leaf).alias("param_id"), F.col("sums").alias("s"),
                          F.array(*[F.lit(c) for _ in depths for c in counts]).alias("n"))
-    return sums.select(id_col, fold_col, "label", F.explode(cells).alias("c")).select(
-        id_col, fold_col, "label", F.col("c.param_id").cast("long").alias("param_id"), (F.col("c.s") / F.col("c.n")).alias("prob"))
-
-
-def grid_search_cv(train: DataFrame, features: Sequence[str], grid: dict, fold_col: str = "fold",
-                   parallelism: int = 8, seed: int = SEED, k: int = 5, id_col: str = "doc_id") -> GridResult:
-    """M3: k-fold grid search on ``fold_col``, exact AUC, refit of the best on all rows."""
-    settings = spark_grid(grid)
-    nodes = fold_forests(train, features, sorted({s["minInstancesPerNode"] for s in settings}),
-                         max(s["numTrees"] for s in settings), max(s["maxDepth"] for s in settings), fold_col, k, parallelism, seed)
-    scores = materialize(setting_scores(train, nodes, features, settings, fold_col, id_col)
-                         .withColumn("label", F.col("label").cast("int")), "grid-scores")
-    folds = materialize(M.roc_auc(scores, "prob", "label", ["param_id", fold_col]), "grid-fold-scores")
+    return sums.select(*keep, F.explode(cells).alias("c")).select(
+        *keep, F.col("c.param_id").cast("long").alias("param_id"), (F.col("c.s") / F.col("c.n")).alias("prob"))
+
+
+def setting_scores(train: DataFrame, nodes: DataFrame, features: Sequence[str], settings: list[dict], fold_col: str = "fold",
+                   id_col: str = "doc_id", limit: int = T.NODES_AT_ONCE) -> DataFrame:
+    """(id, fold, label, param_id, prob): every row under every setting, by the forests that have not seen its fold."""
+    counts, depths, leaves = _axes(settings)
+    mine = F.array(*[F.concat(F.lit(f"{leaf}:"), F.col(fold_col).cast("string")) for leaf in leaves])
+    keep = [id_col, fold_col, "label"]
+    sums = T.cut_sums(train, nodes, features, counts, depths, keep, mine, limit)
+    return _by_setting(sums, settings, F.substring_index("forest", ":", 1), keep)
+
+
+def cell_scores(spark: SparkSession, cells: Sequence[B.Cells], settings: list[dict], fold_col: str, seed: int = SEED) -> DataFrame:
+    """(fold, label, times, param_id, prob): every cell of the rows left out under every
+    setting, by the forest that has not seen them, with the rows of each class."""
+    counts, depths, leaves = _axes(settings)
+    sums = B.cut_sums(spark, cells, leaves, counts, depths, seed)
+    rows = F.array(*[F.struct(F.lit(y).alias("label"), F.col(f"h{y}").alias("times")) for y in (0, 1)])
+    out = _by_setting(sums, settings, F.col("leaf").cast("string"), ["out", "h0", "h1"])
+    return (out.select(F.col("out").alias(fold_col), "param_id", "prob", F.explode(rows).alias("r"))
+            .select(fold_col, "param_id", "prob", "r.label", "r.times").where("times > 0"))
+
+
+def grid_search_cv(train: DataFrame, features: Sequence[str], grid: dict, fold_col: str = "fold", parallelism: int = 8,
+                   seed: int = SEED, k: int = 5, id_col: str = "doc_id", limit: int = B.CELLS_AT_ONCE) -> GridResult:
+    """M3: k-fold grid search on ``fold_col``, exact AUC, refit of the best on all rows;
+    by Spark ML's forests where there are more than ``limit`` cells."""
+    settings, spark = spark_grid(grid), train.sparkSession
+    counts, depths, leaves = _axes(settings)
+    cells = B.binned(train, features, fold_col, [*range(k), None], limit=limit)
+    if cells is None:
+        nodes = spark_fold_forests(train, features, leaves, counts[-1], depths[-1], fold_col, k, parallelism, seed)
+        scores = materialize(setting_scores(train, nodes, features, settings, fold_col, id_col)
+                             .withColumn("label", F.col("label").cast("int")), "grid-scores")
+    else:
+        scores = materialize(cell_scores(spark, cells[:-1], settings, fold_col, seed), "grid-scores")
+    folds = materialize(M.roc_auc(scores, "prob", "label", ["param_id", fold_col], None if cells is None else "times"), "grid-fold-scores")
     means = folds.groupBy("param_id").agg(F.avg(F.col("auc").cast("decimal(28,18)")).cast("double").alias("mean_auc"))
-    table = materialize(param_grid_table(train.sparkSession, grid).join(means, "param_id", "left"), "grid-table")
+    table = materialize(param_grid_table(spark, grid).join(means, "param_id", "left"), "grid-table")
     best_i = M.cv_best(folds, "param_id").first()["param_id"]
     best = settings[int(best_i)] if best_i is not None else settings[0]
-    best_nodes = forest_nodes(train.sparkSession, fit_forest(train, features, best, seed))
+    if cells is None:
+        best_nodes = forest_nodes(spark, fit_forest(train, features, best, seed))
+    else:
+        best_nodes = materialize(B.node_tables(spark, [("one", cells[-1], best["minInstancesPerNode"])], best["numTrees"],
+                                               best["maxDepth"], seed), "forest-nodes")
     return GridResult(best_nodes, table, dict(best), folds)
 
 
 def out_of_fold(data: DataFrame, features: Sequence[str], params: dict, k: int = 5,
                 fold_col: str = "fold", seed: int = SEED) -> DataFrame:
     """Out-of-fold positive probabilities: fold ``f`` is scored by the setting
-    ``params`` fitted on the other folds (one distributed fit per fold)."""
-    out = None
-    for f in range(k):
-        nodes = forest_nodes(data.sparkSession, fit_forest(data.filter(F.col(fold_col) != f), features, params, seed))
-        part = T.score(data.filter(F.col(fold_col) == f), nodes.drop("forest"), features, ["label"])
-        out = part if out is None else out.unionByName(part)
-    return out
+    ``params`` fitted on the other folds."""
+    trees, depth, leaf = params["numTrees"], params["maxDepth"], params["minInstancesPerNode"]
+    nodes = fold_forests(data, features, [leaf], trees, depth, fold_col, k, 8, seed)
+    mine = F.array(F.concat(F.lit(f"{leaf}:"), F.col(fold_col).cast("string")))
+    sums = T.cut_sums(data, nodes, features, [trees], [depth], ["label"], mine)
+    return sums.select("label", (F.get("sums", F.lit(0)) / trees).alias("prob"))
 
 
 def feature_importances(nodes: DataFrame, features: Sequence[str]) -> DataFrame:
